@@ -1,0 +1,114 @@
+"""Secret scans with DataFrame functions alone: fixed forms, and strings of high entropy.
+
+A fixed form is found by its expression; where it lies follows from the lengths of the pieces between its matches.
+Candidate strings of mixed letters and digits are judged by the Shannon entropy of a sliding window: the window's
+character counts are carried from place to place and one character enters and one leaves, and the sum of c*log2(c) is
+mended for these two only.  The bound depends on the string's character class.  Strings on the allow list, and strings
+that overlap a fixed form, aren't added.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: The forms, and lengths that a match must have.  For runs of one class the least length can stand in the
+#: expression: a run shorter than that has no part that is as long.
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_LEAST = 8
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
+KINDS = ("assign", "access", "hex", "entropy")
+
+#: Parameters of the entropy scan: candidates, the window, bounds in bits by class, and what is allowed.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+WINDOW = 20
+BITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8}
+ALLOWED = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?i:.*(?:example|placeholder|sample|dummy|xxxx).*)|[0-9_/=+-]+|(?:[A-Za-z]+[-_/])+[A-Za-z]*[0-9]{0,4})$"
+
+SPAN = "struct<start:int,kind:int,end:int,value:string>"
+
+
+def _located(text: Column, form: str, kind: int, held: str | None = None) -> Column:
+    """Matches of ``form`` in ``text``, from the left and apart, as spans in code points; ``held`` is what a match must contain."""
+    gaps, hits = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
+
+    def step(at: Column, pair: Column) -> Column:
+        start = at["at"] + F.char_length(pair["gap"])
+        end = start + F.coalesce(F.char_length(pair["hit"]), F.lit(0))
+        keep = pair["hit"].isNotNull()
+        if held:
+            keep &= F.regexp_extract(pair["hit"], "(?s)^(?:" + held + ")$", 2).rlike(rf"^(?s:.{{{ASSIGN_LEAST},}})$")
+        span = F.struct(start.cast("int").alias("start"), F.lit(kind).cast("int").alias("kind"), end.cast("int").alias("end"), pair["hit"].alias("value"))
+        return F.struct(end.cast("int").alias("at"), F.when(keep, F.concat(at["out"], F.array(span))).otherwise(at["out"]).alias("out"))
+
+    none = F.array().cast(f"array<{SPAN}>")
+    # one gap more than matches: the last has no match beside it
+    named = F.transform(F.arrays_zip(gaps, hits), lambda p: F.struct(p.getField("0").alias("gap"), p.getField("1").alias("hit")))
+    found = F.aggregate(named, F.struct(F.lit(0).cast("int").alias("at"), none.alias("out")), step)["out"]
+    return F.when(text.rlike(form), found).otherwise(none)
+
+
+def peak_entropy(value: Column) -> Column:
+    """The largest entropy in bits of any WINDOW characters in a row of ``value`` (ASCII); null if it is shorter."""
+    weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+    code = lambda i: F.ascii(F.substring(value, i, F.lit(1)))
+
+    def step(s: Column, i: Column) -> Column:
+        new = code(i)
+        old = F.when(i > WINDOW, code(F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(-1))
+        a, b = s["counts"][new].cast("double"), F.when(old >= 0, s["counts"][F.greatest(old, F.lit(0))]).otherwise(F.lit(0)).cast("double")
+        total = F.when(new == old, s["sum"]).otherwise(s["sum"] + weight(a + 1) - weight(a) + F.when(old >= 0, weight(b - 1) - weight(b)).otherwise(F.lit(0.0)))
+        counts = F.transform(s["counts"], lambda c, k: (c + (k == new).cast("int") - (k == old).cast("int")).cast("int"))
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= WINDOW, F.least(s["low"], total)).otherwise(s["low"]).alias("low"))
+
+    start = F.struct(F.array_repeat(F.lit(0).cast("int"), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("low"))
+    low = F.aggregate(F.sequence(F.lit(1), F.char_length(value)), start, step)["low"]
+    return F.when(F.char_length(value) >= WINDOW, F.log2(F.lit(float(WINDOW))) - low / WINDOW)
+
+
+def _of_high_entropy(value: Column) -> Column:
+    bits = F.when(value.rlike("^[0-9a-f-]+$") | value.rlike("^[0-9A-F-]+$"), F.lit(BITS["hex"])).when(value.rlike("^[A-Za-z0-9]+$"), F.lit(BITS["alnum"])).otherwise(F.lit(BITS["base64"]))
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(ALLOWED)
+    return F.when(mixed, F.round(peak_entropy(value), 9) >= bits).otherwise(F.lit(False))
+
+
+def with_spans(documents: DataFrame) -> DataFrame:
+    """``documents`` and the arrays ``__base`` and ``__spans`` (structs of SPAN, ordered by start, then kind)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = F.array_sort(F.concat(_located(text, ASSIGN, 0, ASSIGN), _located(text, ACCESS, 1), _located(text, HEX, 2)))
+    rows = documents.withColumn("__base", base).withColumn("__candidates", _located(text, CANDIDATE, 3))
+    apart = lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    added = F.filter("__candidates", lambda c: F.when(apart(c), _of_high_entropy(c["value"])).otherwise(F.lit(False)))
+    return rows.withColumn("__spans", F.array_sort(F.concat("__base", added))).drop("__candidates")
+
+
+def _written(spans: str) -> Column:
+    kinds = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["end"])), ",")
+
+
+def scan(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` for each row; ``spans`` also has those of kind ``entropy``.
+
+    Null and empty texts have no spans and the digest of nothing.  Repeated rows are scanned each for itself; a null
+    ``doc_id`` is kept; other columns are ignored; an empty table gives an empty result.
+    """
+    rows = with_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
+    return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_written("__base"), 256).alias("base_sha256"), _written("__spans").alias("spans"))
+
+
+def redact(documents: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
+    """``documents`` with every span of ``text`` replaced by ``mark``; other texts stay as they are, null texts null."""
+    rows, columns = with_spans(documents), documents.columns
+
+    def step(s: Column, span: Column) -> Column:
+        # spans of different kinds may overlap: what is already out isn't written again
+        before = F.substring(F.col("text"), s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
+        new = span["start"] >= s["at"]
+        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], F.when(new, F.concat(before, F.lit(mark))).otherwise(F.lit(""))).alias("out"))
+
+    done = F.aggregate("__spans", F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out")), step)
+    text = F.when(F.size("__spans") > 0, F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.char_length("text")))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*columns)
