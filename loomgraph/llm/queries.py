@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, lang_id, near_texts, near_vectors, secrets, token_counts, warc
+from loomgraph.llm import bpe_codec, decontamination, lang_id, near_texts, near_vectors, secrets, token_counts, warc
 from loomgraph.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_lang_id, op4_jaccard_join, op6_near_vectors, op7_warc, op9_secrets, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_lang_id, op4_jaccard_join, op6_near_vectors, op7_warc, op8_decontamination, op9_secrets, op10_bpe_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
