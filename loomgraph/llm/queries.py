@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, decontamination, lang_id, near_texts, near_vectors, secrets, token_counts, warc
+from loomgraph.llm import bpe_codec, decontamination, lang_id, lm_scoring, near_texts, near_vectors, secret_scans, token_counts, warc
 from loomgraph.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_texts.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -40,14 +44,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_lang_id, op4_jaccard_join, op6_near_vectors, op7_warc, op8_decontamination, op9_secrets, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_lang_id, op4_jaccard_join, op5_lm_scoring, op6_near_vectors, op7_warc, op8_decontamination, op9_secret_scans, op10_bpe_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
