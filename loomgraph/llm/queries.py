@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, decontamination, lang_id, lm_scoring, near_texts, near_vectors, secret_scans, token_counts, warc
+from loomgraph.llm import bpe_codec, decontamination, lang_id, lm_scoring, near_texts, near_vectors, repeats, secret_scans, token_counts, warc
 from loomgraph.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_lang_id, op4_jaccard_join, op5_lm_scoring, op6_near_vectors, op7_warc, op8_decontamination, op9_secret_scans, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_lang_id, op4_jaccard_join, op5_lm_scoring, op6_near_vectors, op7_warc, op8_decontamination, op9_secret_scans, op10_bpe_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
