@@ -27,6 +27,8 @@ RELATIONS = {
 }
 #: Shares of what the fixed slots leave of a budget, and how many nodes each category takes at most.
 CATEGORIES = {"rules": (0.2, 8), "constraints": (0.16, 6), "risks": (0.14, 4), "decisions": (0.12, 4), "states": (0.14, 4), "evidence": (0.16, 6), "skills": (0.08, 4)}
+#: Fixed slots, charged before the categories: the first two always, the last if it fits.
+SLOTS = {"Goal": "goal", "Intent": "intent", "Step": "process", "Process": "process"}
 CATEGORY_OF = {"Rule": "rules", "Constraint": "constraints", "Risk": "risks", "Decision": "decisions", "State": "states", "Evidence": "evidence", "Skill": "skills"}
 #: Who may act on proposals of a scope; dashboard thresholds (direction, value).
 AUTHORITIES = {"session": ("session_operator", "workspace_reviewer", "global_reviewer"), "workspace": ("workspace_reviewer", "global_reviewer"), "global": ("global_reviewer",)}
