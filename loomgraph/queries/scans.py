@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import scans as S
-from loomgraph.queries.model_sql import CONTRACT, CORRECTIONS, EDGES, NODES, NORM, RECORDS, REQUESTS, terms, with_
+from loomgraph.queries.model_sql import CONTRACT, CORRECTIONS, EDGES, NODES, NORM, RECORDS, terms, with_
 from loomgraph.queries.registry import query
 from loomgraph.sources import corpus as C
 
@@ -146,4 +146,4 @@ def recall_eligible_edges(spark, d):
     return C.edges(spark, d).join(F.broadcast(contract), "type", "left_semi").groupBy("type").agg(F.count("*").alias("n"))
 
 
-_ = REQUESTS
+
