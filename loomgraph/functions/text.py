@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from loomgraph.functions.fixed import STOP_WORDS
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalized(text: Column) -> Column:
     """Lower case, ``_`` and ``-`` as spaces, letters and digits alone, single spaces."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[_-]+", " ")
@@ -39,10 +44,12 @@ def passes(target: Column, query: Column, query_terms: Column) -> Column:
 
 def score(target: Column, query: Column, query_terms: Column, phrase: float, term: float, coverage: float, full: float) -> Column:
     """The match score on normalised text."""
-    n, m = F.size(query_terms), matched(target, query_terms)
-    total = F.when(F.contains(target, query), phrase).otherwise(0.0) + m * term
-    total += F.when(n > 0, m / n * coverage).otherwise(0.0) + F.when((n > 0) & (m == n), full).otherwise(0.0)
-    return F.when(query == "", 0.0).otherwise(total)
+    def sum_(m: Column) -> Column:
+        n = F.size(query_terms)
+        total = F.when(F.contains(target, query), phrase).otherwise(0.0) + m * term
+        return total + F.when(n > 0, m / n * coverage).otherwise(0.0) + F.when((n > 0) & (m == n), full).otherwise(0.0)
+
+    return F.when(query == "", 0.0).otherwise(let(matched(target, query_terms), sum_))
 
 
 def estimated_tokens(text: Column) -> Column:

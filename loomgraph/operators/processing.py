@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed as X
+from loomgraph.functions.text import let
 
 #: Concepts and what they are called.
 CONCEPTS = {
@@ -48,15 +49,17 @@ def clauses(rows: DataFrame, key: str) -> DataFrame:
 def concepts(text: Column) -> Column:
     """Ids of the concepts that a text names: Latin names between spaces, others anywhere."""
     norm = F.trim(F.regexp_replace(F.regexp_replace(flat(text), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
-    padded = F.concat(F.lit(" "), norm, F.lit(" "))
-    found = [F.when(F.greatest(*(F.contains(padded, F.lit(f" {a} " if a.isascii() else a)) for a in names)), c) for c, names in CONCEPTS.items()]
-    return F.array_compact(F.array(*found))
+
+    def named(padded: Column) -> Column:
+        found = [F.when(F.greatest(*(F.contains(padded, F.lit(f" {a} " if a.isascii() else a)) for a in names)), c) for c, names in CONCEPTS.items()]
+        return F.array_compact(F.array(*found))
+
+    return let(F.concat(F.lit(" "), norm, F.lit(" ")), named)
 
 
 def classes(text: Column) -> Column:
     """Names of the semantic classes whose words a text has."""
-    low = flat(text)
-    return F.array_compact(F.array(*(F.when(low.rlike(ascii_words(p)), k) for k, p in X.PATTERNS.items())))
+    return let(flat(text), lambda low: F.array_compact(F.array(*(F.when(low.rlike(ascii_words(p)), k) for k, p in X.PATTERNS.items()))))
 
 
 def noise(clauses_: DataFrame, key: str, clause: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """Registered queries of the context graph."""
 
-from loomgraph.queries import compile, graph, processing, scans, sessions  # noqa: A004, F401
+from loomgraph.queries import compile, graph, processing, scans, sessions, streams  # noqa: A004, F401
 from loomgraph.queries.registry import ORACLE_SQL, QUERIES  # noqa: F401
