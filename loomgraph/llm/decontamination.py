@@ -1,9 +1,13 @@
-"""Benchmark decontamination: BM25 over test items, searched with block-max WAND by every passage of every text.
+"""Benchmark decontamination: BM25 over test items, searched by every passage of every text with block-max bounds (WAND).
 
 The test items are the indexed side, in shards of bounded size, each broadcast in its turn; passages are windows of
 words, twice as long as the longest item and half overlapping, so that an item's whole text lies in one of them.  A
-score is a share of what the item scores against itself.  Every item at or above the threshold is retrieved, and stands
-if enough three-word runs of its question and of its answer are in the passage.
+score is a share of what the item scores against itself.  Before a passage is searched, block-wise upper bounds of all
+passages of a text are summed at once: of the passage's rarer terms their largest weights in each block of items, and of
+common terms what any item of the block could have from all of them; only passages in which some block can reach the
+threshold go on, with that block.  There an item's terms are met from the heaviest on and left once what remains can't
+reach the threshold.  Every item at or above it is retrieved, and stands if enough three-word runs of its question and of
+its answer are in the passage.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import prepared
 
 K1, B = 1.2, 0.75
-#: Postings of a block with one upper bound, and words of the items that one broadcast index holds.
-BLOCK = 64
+#: Blocks of items at most; items that a rarer term has at most; words of the items that one broadcast index holds.
+ITEM_BLOCKS = 4096
+RARE = 32
 SHARD_WORDS = 1 << 20
 GRAM = 3
 
@@ -33,6 +38,24 @@ def words_of(text: str | None) -> list[str]:
     return find_words(text.lower()) if text else []
 
 
+class TermsOf(dict):
+    """Terms of the words of a piece between white space, -1 for words that no item has; starts anew when it is large."""
+
+    def __init__(self, terms: dict[str, int]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= 400_000:
+            self.clear()
+        found = tuple(self.terms.get(w, -1) for w in words_of(piece))
+        self[piece] = found = NO_TERM if found == NO_TERM else found
+        return found
+
+
+NO_TERM = (-1,)
+
+
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """An item's two parts: up to its last question mark and after it, or else its halves by words."""
     head, mark, tail = text.rpartition("?")
@@ -49,61 +72,76 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Postings by term: items in order, weights, and the largest weight of each block and of all."""
+    """Inverted lists of blocks of items with the largest weight in each, and each item's terms with their weights."""
 
     terms: dict[str, int]
-    items: list[np.ndarray]
-    weights: list[np.ndarray]
-    blocks: list[np.ndarray]
-    bounds: np.ndarray
+    #: Of rarer terms: where a term's blocks begin, the blocks, and the largest weights in them.
+    begin: np.ndarray
+    block: np.ndarray
+    largest: np.ndarray
+    #: Of each block: the most that one of its items has from all common terms.
+    common: np.ndarray
+    #: Of each item: terms and weights, the largest weights first.
+    items: list[list[tuple[int, float]]]
+    block_items: int
     texts: list[str]
     item_ids: list[int | None]
     longest: int
 
     @classmethod
     def of(cls, postings: pa.Table, texts: list[str], item_ids: list[int | None]) -> Index:
-        """``postings``: ``term, item`` (place in ``texts``) and ``weight``."""
+        """``postings``: ``term, item`` (place in ``texts``) and ``weight``, which sum to 1 for each item."""
         by_term: dict[str, list[tuple[int, float]]] = {}
         for term, item, weight in zip(*(postings.column(c).to_pylist() for c in ("term", "item", "weight")), strict=True):
             by_term.setdefault(term, []).append((item, weight))
-        terms = {t: k for k, t in enumerate(sorted(by_term))}
-        lists = [sorted(by_term[t]) for t in terms]
-        items, weights = [np.array([i for i, _ in x]) for x in lists], [np.array([w for _, w in x]) for x in lists]
-        blocks = [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) for w in weights]
-        return cls(terms, items, weights, blocks, np.array([w.max() for w in weights]), texts, item_ids, max([1, *(len(words_of(t)) for t in texts)]))
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose weights for ``terms`` (distinct) sum to ``threshold`` or more, with the sums."""
-        found, at, bounds = [], dict.fromkeys(terms, 0), self.bounds
-        alive = list(terms)
-        while True:
-            alive = [t for t in alive if at[t] < len(self.items[t])]
-            alive.sort(key=lambda t: self.items[t][at[t]])
-            total, pivot = 0.0, None
-            for k, t in enumerate(alive):
-                total += bounds[t]
-                if total >= threshold:
-                    pivot = k
+        terms, size = {t: k for k, t in enumerate(sorted(by_term))}, -(-len(texts) // ITEM_BLOCKS)
+        begin, block, largest, common, own = [0], [], [], np.zeros(len(texts)), [[] for _ in texts]
+        for k, t in enumerate(terms):
+            best: dict[int, float] = {}
+            for item, weight in by_term[t]:
+                own[item].append((k, weight))
+                if len(by_term[t]) > RARE:
+                    common[item] += weight
+                else:
+                    best[item // size] = max(weight, best.get(item // size, 0.0))
+            block += best
+            largest += best.values()
+            begin.append(len(block))
+        common = np.maximum.reduceat(common, np.arange(0, len(texts), size))
+        return cls(terms, np.array(begin), np.array(block, np.int64), np.array(largest, np.float64), common, [sorted(x, key=lambda p: (-p[1], p[0])) for x in own], size, texts, item_ids, max([1, *(len(words_of(t)) for t in texts)]))
+
+    def promising(self, place: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """Pairs of step k and block such that the block's bound in the passage of steps k and k + 1 reaches the threshold.
+
+        ``place`` and ``term``: the distinct terms of each step of a text, in order of steps.
+        """
+        steps, blocks = int(place[-1]) + 2, len(self.common)
+        count = self.begin[term + 1] - self.begin[term]
+        at = np.repeat(self.begin[term] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        found = []
+        for low in range(0, steps - 1, 256):  # some steps at a time, for texts without end
+            n = min(257, steps - low)
+            a, b = np.searchsorted(place, (low, low + n))
+            i, j = int(count[:a].sum()), int(count[:b].sum())
+            rare = np.bincount(np.repeat(place[a:b] - low, count[a:b]) * blocks + self.block[at[i:j]], self.largest[at[i:j]], n * blocks).reshape(n, blocks)
+            k, own = np.nonzero(rare[:-1] + rare[1:] + self.common >= threshold - 1e-9)
+            found += zip((k + low).tolist(), own.tolist(), strict=True)
+        return found
+
+    def search(self, terms: set[int], block: int, threshold: float) -> list[tuple[int, float]]:
+        """The block's items whose weights for ``terms`` sum to the threshold or more; an item is left as soon as it can't."""
+        found = []
+        for item in range(block * self.block_items, min((block + 1) * self.block_items, len(self.items))):
+            score, rest = 0.0, 1.0
+            for term, weight in self.items[item]:
+                rest -= weight
+                if term in terms:
+                    score += weight
+                elif score + rest < threshold - 1e-9:
                     break
-            if pivot is None:
-                return found
-            item = int(self.items[alive[pivot]][at[alive[pivot]]])
-            while pivot + 1 < len(alive) and self.items[alive[pivot + 1]][at[alive[pivot + 1]]] == item:
-                pivot += 1
-            upto = alive[: pivot + 1]
-            # shallow move: what the blocks that could hold the item allow at most
-            places = [at[t] + int(np.searchsorted(self.items[t][at[t] :], item)) for t in upto]
-            limit = sum(self.blocks[t][p // BLOCK] for t, p in zip(upto, places, strict=True) if p < len(self.items[t]))
-            if limit >= threshold:
-                score = sum(float(self.weights[t][p]) for t, p in zip(upto, places, strict=True) if p < len(self.items[t]) and self.items[t][p] == item)
-                if score >= threshold:
-                    found.append((item, score))
-                after = item + 1
-            else:  # no item before the first end of these blocks can do, nor before the next list's item
-                ends = [int(self.items[t][min((p // BLOCK + 1) * BLOCK, len(self.items[t])) - 1]) + 1 for t, p in zip(upto, places, strict=True) if p < len(self.items[t])]
-                after = max(item + 1, min([*ends, *([int(self.items[alive[pivot + 1]][at[alive[pivot + 1]]])] if pivot + 1 < len(alive) else [])]))
-            for t in upto:
-                at[t] += int(np.searchsorted(self.items[t][at[t] :], after))
+            if score >= threshold - 1e-9:
+                found.append((item, score))
+        return found
 
 
 def indexed_items(benchmark: DataFrame) -> DataFrame:
@@ -159,27 +197,27 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            step, count, term_of = index.longest, len(index.terms), index.terms.get
+            step, count, terms_of = index.longest, len(index.terms), TermsOf(index.terms)
             parts = [tuple(map(grams, question_and_answer(t))) for t in index.texts]
-            bounds = np.minimum(index.bounds, 1.0)
 
             def held(doc_id: int | None, text: str | None) -> list[dict]:
-                words = words_of(text)
-                terms = np.fromiter(map(term_of, words, repeat(-1)), np.int64, len(words))
+                terms = np.fromiter(chain.from_iterable(map(terms_of.__getitem__, (text or "").split())), np.int64)
                 at = np.flatnonzero(terms >= 0)
                 if not len(at):
                     return []
                 own = np.unique(at // step * count + terms[at])  # the distinct terms of each step
                 place, term = own // count, own % count
-                limit = np.bincount(place, bounds[term], len(words) // step + 2)
                 best: dict[int, tuple] = {}
-                for k in np.flatnonzero(limit[:-1] + limit[1:] >= threshold):
-                    a, b = np.searchsorted(place, (k, k + 2))
-                    hits = index.search(np.unique(term[a:b]).tolist(), threshold)
-                    if hits:
-                        window = words[k * step : (k + 2) * step]
-                        passage = grams(window) | {(w,) for w in window} | set(zip(window, window[1:], strict=False))  # parts of one or two words, too
-                    for item, score in hits:
+                pairs = index.promising(place, term, threshold)
+                words, known = words_of(text) if pairs else [], -1
+                for k, block in pairs:
+                    if k != known:
+                        a, b = np.searchsorted(place, (k, k + 2))
+                        inside, passage, known = set(term[a:b].tolist()), None, k
+                    for item, score in index.search(inside, block, threshold):
+                        if passage is None:
+                            window = words[k * step : (k + 2) * step]
+                            passage = grams(window) | {(w,) for w in window} | set(zip(window, window[1:], strict=False))  # parts of one or two words, too
                         q, a_ = (len(p & passage) / len(p) if p else 1.0 for p in parts[item])
                         if q >= overlap and a_ >= overlap:
                             best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (min(1.0, score), q, a_))
