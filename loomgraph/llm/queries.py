@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import bpe_codec, decontamination, lang_id, lm_scoring, near_texts, near_vectors, repeats, secret_scans, token_counts, warc
 from loomgraph.llm.common import table
+from loomgraph.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,5 +58,3 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_lang_id, op4_jaccard_join, op5_lm_scoring, op6_near_vectors, op7_warc, op8_decontamination, op9_secret_scans, op10_bpe_codec)}
-
-ORACLE_SQL: dict[str, str] = {}
