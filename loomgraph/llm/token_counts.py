@@ -61,14 +61,13 @@ def frequent_pieces(texts: DataFrame, most: int = HOT_PIECES) -> list[str]:
         return pa.Table.from_batches([_summary(rows.column("task")[0].as_py() // FAN_IN, counts, most)])
 
     summaries, left = texts.select("text").mapInArrow(count, "task long, pieces array<string>, counts array<long>"), texts.rdd.getNumPartitions()
-    while left > FAN_IN:
+    while True:  # one round at least, so that the tasks count side by side and one summary comes to the driver
         summaries = summaries.groupBy(F.floor(F.col("task") / FAN_IN).alias("to")).applyInArrow(merge, "task long, pieces array<string>, counts array<long>")
+        if left <= FAN_IN:
+            break
         left = -(-left // FAN_IN)
-    total: Counter = Counter()
-    for row in summaries.toLocalIterator():
-        total.update(dict(zip(row.pieces, row.counts, strict=True)))
-        total = _top(total, 8 * most)
-    return list(_top(total, most))
+    found = summaries.head()
+    return list(found.pieces) if found else []
 
 
 def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 512, hot: int = HOT_PIECES) -> DataFrame:
