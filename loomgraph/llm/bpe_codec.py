@@ -11,7 +11,8 @@ import hashlib
 import heapq
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,14 +103,20 @@ class ByteBPE:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def of_worker(path: str) -> tuple[ByteBPE, Callable[[str], np.ndarray]]:
+    """The tokenizer and its encoder; a worker keeps them, with their bounded caches, for all its tasks."""
+    bpe = ByteBPE(path)
+    return bpe, bpe.encoder()
+
+
 def _coded(documents: DataFrame, tokenizer_path: str, columns: str, row) -> DataFrame:
     prepared(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_path)
-        encode = bpe.encoder()
+        bpe, encode = of_worker(tokenizer_path)
         for batch in batches:
             out = [row(bpe, encode(text or "")) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out]) if out else pa.array([], t) for k, t in zip(names[1:], TYPES[len(names)], strict=True))], names=names)
@@ -130,7 +137,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     prepared(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_path)
+        bpe, _ = of_worker(tokenizer_path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,6 +71,13 @@ def frequent_pieces(texts: DataFrame, most: int = HOT_PIECES) -> list[str]:
     return list(found.pieces) if found else []
 
 
+@lru_cache(maxsize=1)
+def of_worker(path: str, first_tier: tuple[tuple[str, int], ...]) -> Pieces:
+    """Lengths of pieces in tokens; a worker keeps what it has had encoded, in bounded caches, for all its tasks."""
+    encode = load(path).encode
+    return Pieces(lambda t: len(encode(t, add_special_tokens=False).ids), sum, dict(first_tier))
+
+
 def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 512, hot: int = HOT_PIECES) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``documents`` (columns ``doc_id``, ``text``).
 
@@ -81,12 +89,11 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 512, ho
     tokenizer = load(tokenizer_path)
     pieces = frequent_pieces(rows.select("text"), hot)
     lengths = [len(e.ids) for e in tokenizer.encode_batch([" " + p for p in pieces], add_special_tokens=False)] if pieces else []
-    first_tier = spark.sparkContext.broadcast(dict(zip(pieces, lengths, strict=True)))
+    first_tier = spark.sparkContext.broadcast(tuple(zip(pieces, lengths, strict=True)))
     specials = special_tokens(tokenizer_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, parts = load(tokenizer_path).encode, splitter(specials)
-        pieces = Pieces(lambda t: len(encode(t, add_special_tokens=False).ids), sum, first_tier.value)
+        pieces, parts = of_worker(tokenizer_path, first_tier.value), splitter(specials)
 
         def tokens(text: str) -> int:
             return sum(1 if special else pieces.of(part) for part, special in parts(text))
