@@ -227,7 +227,7 @@ def repeated_strings(pieces: DataFrame) -> DataFrame:
         kinds = pieces.withColumn("h1", F.xxhash64(F.lit(1), "low", "high", "bytes")).withColumn("h2", F.xxhash64(F.lit(2), "low", "high", "bytes"))
         kind = ["key", "node", "h1", "h2"]
         counted = cut(kinds.groupBy(*kind).agg(F.count("*").alias("pieces"), F.min("context").alias("first")))
-        sizes = counted.groupBy("key", "node").agg(F.count("*").alias("kinds"))
+        sizes = cut(counted.groupBy("key", "node").agg(F.count("*").alias("kinds")))
         placed = cut(kinds.join(counted, kind).join(sizes, ["key", "node"]))
         found = found.unionByName(placed.where("pieces > 1").select("context", "low", "high"))
         # one piece of each kind meets the other kinds; what it shares holds for those equal to it, too
@@ -249,8 +249,10 @@ def _key(frame: DataFrame) -> DataFrame:
 def repeated_intervals(texts: DataFrame) -> DataFrame:
     """``id, mark, start, stop``: bytes of each text (``id, mark, text``) that repeated strings cover, one row a run of them."""
     found = cut(occurrences(texts))
+    # written first: a join with what an aggregate by the same key has just made isn't split where an anchor is very common
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("d1").alias("least"), F.max("d1").alias("most")).where("n > 1")
-    shared = cut(found.join(anchors.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "anchor"))
+    anchors = cut(anchors.select("anchor", (F.col("least") != F.col("most")).alias("mixed")))
+    shared = cut(found.join(anchors, "anchor"))
     whole = shared.where(~F.col("mixed")).select("id", "mark", "start", (F.col("start") + F.col("count") - 1 + LEAST).alias("stop"))
     # different contexts of one anchor: one occurrence of each stands for all, with its bytes
     mixed_ = shared.where("mixed")
