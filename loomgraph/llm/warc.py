@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import prepared
+from loomgraph.llm.common import cut, prepared
 
 #: Fixed values of the file format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -93,13 +93,14 @@ def records_of(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``page_id, url, payload, refers_to, revisit``: of equal payloads that are long enough, the largest ``page_id`` responds.
 
-    Counts come from partial aggregates over digests; the join back is one that Spark splits where a digest is very
-    common.  Repeated rows of the largest id all respond.  Null ids come before all others.
+    Counts come from partial aggregates over digests and are written first, so the join back is one of two shuffles,
+    which Spark splits where a digest is very common.  Repeated rows of the largest id all respond.  Null ids come
+    before all others.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha2("payload", 256))
     shared = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, "sha", "left")
+    joined = rows.join(cut(shared), "sha", "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("original")).alias("refers_to"), revisit.alias("revisit"))
 
