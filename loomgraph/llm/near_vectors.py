@@ -124,7 +124,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
 
     places = cut(classes.select("id", "v", "dim", "n", "label").mapInArrow(assign, "id long, v array<double>, dim int, n long, label string, cell int, guest boolean"))
     where = ["label", "dim", "cell"]
-    blocks = places.groupBy(*where).agg((F.floor(F.count_if(~F.col("guest")) / BLOCK) + 1).cast("int").alias("h"), F.ceil(F.count_if("guest") / BLOCK).cast("int").alias("g"))
+    # written before it is joined, so that its size is known and a very common cell's rows can be split
+    blocks = cut(places.groupBy(*where).agg((F.floor(F.count_if(~F.col("guest")) / BLOCK) + 1).cast("int").alias("h"), F.ceil(F.count_if("guest") / BLOCK).cast("int").alias("g")))
     block = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.when(F.col("guest"), F.greatest("g", F.lit(1))).otherwise(F.col("h"))).cast("int")
     placed = places.join(blocks, where).withColumn("block", block)
     # home block i meets home blocks j >= i, and guest blocks h + g
