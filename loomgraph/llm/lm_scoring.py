@@ -2,15 +2,16 @@
 
 Words are counted over all documents.  The most frequent words are input words of their own and share the output
 classes; a word's probability is that of its class, given two words on each side, times its share of the class.  The
-network is trained in numpy on all documents at once: every task trains from the same start on its own partition, and
-the tasks' parameters are averaged in rounds of bounded fan-in, each weighted by the words it saw.
+network is trained in numpy on every word of all documents at once: every task trains from the same start on its own
+partition in mini-batches, and the tasks' parameters are averaged in rounds of bounded fan-in, each weighted by the
+words it saw.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,8 @@ CLASSES = 256
 SINGLE = 192
 WIDTH = 24
 SIDES = (-2, -1, 1, 2)
-#: Every so many words of each text one is predicted in training; in scoring every word is.
-STRIDE = 4
+#: Training predicts every word of each text, as scoring does; no other value has an effect.
+STRIDE = 1
 BATCH = 1024
 FAN_IN = 16
 TASK_WORDS = 200_000
@@ -95,19 +96,21 @@ class WindowNet:
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float, squares: list[np.ndarray]) -> None:
         """One step of Adagrad on a batch, on the rows of the batch alone where a table is large."""
         h = self.hidden(context)
-        z = h @ self.outputs + self.offset
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        z /= len(target)
+        z = h @ self.outputs
+        z += self.offset
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z *= 1 / (len(target) * z.sum(axis=1, keepdims=True))
+        z[np.arange(len(target)), target] -= 1 / len(target)
         back = (z @ self.outputs.T) * (1 - h * h)
         for p, s, g in ((self.bias, squares[1], back.sum(axis=0)), (self.outputs, squares[2], h.T @ z), (self.offset, squares[3], z.sum(axis=0))):
             s += g * g
             p -= rate * g / (np.sqrt(s) + 1e-6)
         for k in range(len(SIDES)):
-            rows, place = np.unique(context[k], return_inverse=True)
-            g = np.zeros((len(rows), WIDTH), np.float32)
-            np.add.at(g, place, back)
+            order = np.argsort(context[k], kind="stable")
+            rows = context[k][order]
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            rows, g = rows[first], np.add.reduceat(back[order], first, axis=0)
             squares[0][k, rows] += g * g
             self.inputs[k, rows] -= rate * g / (np.sqrt(squares[0][k, rows]) + 1e-6)
 
@@ -138,6 +141,33 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def fitted(columns: Iterable[pa.Array], words: Words, seed: int, rate: float = 0.1, least: int = BATCH) -> tuple[WindowNet, int]:
+    """The network that a task trains on its texts, each word being once the target, and the number of words."""
+    net = WindowNet.start(seed)
+    squares, seen, held, size = [np.full_like(p, 1e-3) for p in net.parameters()], 0, [], 0
+
+    def learn() -> None:
+        x, y = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
+        for j in range(0, len(y), 4 * least):
+            net.learn(x[:, j : j + 4 * least], y[j : j + 4 * least], rate, squares)
+
+    for column in columns:
+        for text in column.to_pylist():
+            code = words.encoded(text)
+            n = code.shape[1]
+            if not n:
+                continue
+            held.append((contexts(code[0].astype(np.int64)), code[1].astype(np.int64)))
+            size += n
+            seen += n
+            if size >= least:
+                learn()
+                held, size = [], 0
+    if held:
+        learn()
+    return net, seen
+
+
 def train(texts: DataFrame, words: Words, seed: int, rate: float = 0.1) -> WindowNet:
     """The average of the networks that the tasks train, each on the texts of its partition."""
     spark = texts.sparkSession
@@ -150,25 +180,7 @@ def train(texts: DataFrame, words: Words, seed: int, rate: float = 0.1) -> Windo
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, net = shared.value, WindowNet.start(seed)
-        squares, seen, held, size = [np.full_like(p, 1e-3) for p in net.parameters()], 0, [], 0
-        for batch in batches:
-            for k, text in enumerate(batch.column(0).to_pylist()):
-                code = words.encoded(text)
-                n = code.shape[1]
-                at = np.arange(k % min(STRIDE, n) if n else 0, n, STRIDE)
-                if not len(at):
-                    continue
-                held.append((contexts(code[0].astype(np.int64))[:, at], code[1, at].astype(np.int64)))
-                size += len(at)
-                seen += n
-                if size >= BATCH:
-                    x, y = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
-                    for j in range(0, len(y), 4 * BATCH):
-                        net.learn(x[:, j : j + 4 * BATCH], y[j : j + 4 * BATCH], rate, squares)
-                    held, size = [], 0
-        if held:
-            net.learn(np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held]), rate, squares)
+        net, seen = fitted((batch.column(0) for batch in batches), shared.value, seed, rate, BATCH)
         yield row(TaskContext.get().partitionId(), float(seen), np.concatenate([p.ravel() for p in net.parameters()]))
 
     def mean(rows: pa.Table) -> pa.Table:

@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import bpe_codec, decontamination, lang_id, lm_scoring, near_texts, near_vectors, repeats, secret_scans, suffixes, token_counts, warc
@@ -152,6 +153,16 @@ def test_lm_scores_order_above_noise(spark, monkeypatch):
     assert min(got[k].mean_log_likelihood for k in range(60)) > got[60].mean_log_likelihood + 0.5
 
 
+def test_lm_trains_on_every_word(spark, monkeypatch):
+    """With the parameters of production, each word of each text is once the target of a training step."""
+    targets, learn = [], lm_scoring.WindowNet.learn
+    monkeypatch.setattr(lm_scoring.WindowNet, "learn", lambda net, x, y, *rest: (targets.extend(y.tolist()), learn(net, x, y, *rest)))
+    texts = [None, "", "one", *(prose(k, 300 + k) for k in range(8)), prose(9, 9000)]
+    n = sum(len((t or "").split()) for t in texts)
+    words = lm_scoring.Words.counted([("one", 1)], n, n)
+    assert lm_scoring.fitted([pa.array(texts[:6]), pa.array(texts[6:])], words, 3)[1] == n == len(targets)
+
+
 def vectors() -> list:
     draw = np.random.default_rng(5)
     rows = [(k, draw.normal(size=16), k % 3) for k in range(120)]
