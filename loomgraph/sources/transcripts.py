@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: How many entries a branch has at most; a longer chain ends there.
-DEPTH = 90
 ENTRY = "type string, id string, parentId string, timestamp string, message struct<role:string,content:string>, content string"
 
 
@@ -22,26 +20,33 @@ def entries(lines: DataFrame) -> DataFrame:
     return parsed.where(F.col("e.type").isNotNull() & (F.col("e.type") != "session")).select("file", "line_no", "e.*")
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """``frame`` from the checkpoint folder, so that rounds don't grow its lineage; a folder is chosen only where none is set."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return frame.checkpoint(eager=True)
+
+
 def branches(rows: DataFrame) -> DataFrame:
     """Each file's entries from its leaf back to the root, in the order of lines.
 
     The leaf is the last entry with an id that is nobody's parent; without any, or where no entry has an id, all
-    entries stay.  Chains are followed upwards for all files at once; a cycle, or a chain of more than DEPTH entries, ends
-    there.
+    entries stay.  Chains of any length are followed upwards for all files at once, twice as far in each round; a chain
+    that comes to a cycle ends when it has gone round.
     """
     known = rows.where("id is not null")
     parents = known.select("file", F.col("parentId").alias("id")).where("id is not null").distinct()
     leaf = known.join(parents, ["file", "id"], "left_anti").groupBy("file").agg(F.max_by("id", "line_no").alias("leaf"))
     up = known.groupBy("file", "id").agg(F.max_by("parentId", "line_no").alias("parent"))
-    spark = rows.sparkSession
-    up.createOrReplaceTempView("__up")
-    leaf.createOrReplaceTempView("__leaf")
-    chain = spark.sql(f"""
-        WITH RECURSIVE chain(file, id, depth) AS (
-          SELECT file, leaf, 0 FROM __leaf
-          UNION ALL
-          SELECT c.file, u.parent, c.depth + 1 FROM chain c JOIN __up u ON u.file = c.file AND u.id = c.id WHERE u.parent IS NOT NULL AND c.depth < {DEPTH}
-        ) SELECT DISTINCT file, id FROM chain""")
+    # after k rounds ``chain`` has the leaf's 2^k nearest ancestors and ``jump`` leads 2^k entries up
+    jump = written(up.where("parent is not null").select("file", "id", "parent"))
+    chain, size = written(leaf.select("file", F.col("leaf").alias("id"))), 0
+    while (now := chain.count()) > size:
+        size = now
+        chain = written(chain.unionByName(chain.join(jump, ["file", "id"]).select("file", F.col("parent").alias("id"))).distinct())
+        further = jump.select("file", F.col("id").alias("parent"), F.col("parent").alias("above"))
+        jump = written(jump.join(further, ["file", "parent"]).select("file", "id", F.col("above").alias("parent")))
     kept = rows.join(chain, ["file", "id"], "left_semi")
     whole = rows.join(leaf.select("file"), "file", "left_anti")
     return kept.select(*rows.columns).unionByName(whole)

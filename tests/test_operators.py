@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
@@ -58,3 +60,11 @@ def test_text_filter_on_empty_query(spark):
 
     row = spark.range(1).select(text.passes(F.lit("any text"), F.lit(""), text.terms(F.lit(""))).alias("empty"), text.passes(F.lit("alpha beta"), F.lit("gamma delta"), text.terms(F.lit("gamma delta"))).alias("other")).first()
     assert row.empty and not row.other
+
+
+def test_long_branches_keep_their_beginning(spark):
+    line = lambda k, parent: json.dumps({"type": "message", "id": f"t{k}", "parentId": parent and f"t{parent}", "message": {"role": "user", "content": "x"}})
+    lines = [("long", k, line(k, k - 1)) for k in range(1, 301)] + [("side", 1, line(1, 0)), ("side", 2, line(2, 1)), ("side", 3, line(3, 1))]
+    lines += [("cycle", k, line(k, k % 5 + 1)) for k in range(1, 6)] + [("cycle", 6, line(6, 3))]
+    got = {(r.file, r.id) for r in T.branches(T.entries(spark.createDataFrame(lines, "file string, line_no int, json string"))).collect()}
+    assert got == {("long", f"t{k}") for k in range(1, 301)} | {("side", "t1"), ("side", "t3")} | {("cycle", f"t{k}") for k in range(1, 7)}
