@@ -1,7 +1,9 @@
 """Document scores by masked pseudo-likelihood under a bidirectional window network.
 
-Words are counted over all documents.  The most frequent words are input words of their own and share the output
-classes; a word's probability is that of its class, given two words on each side, times its share of the class.  The
+Words are counted over all documents, and every word keeps its count.  The most frequent words are sent to every task;
+the others get an input row and a class by a hash, of which there are more the more such words there are.  A word's
+probability is that of its class, given two words on each side, times its share of the class; the counts of the words
+that aren't sent are joined to the documents' words.  The
 network is trained in numpy on every word of all documents at once: every task trains from the same start on its own
 partition in mini-batches, and the tasks' parameters are averaged in rounds of bounded fan-in, each weighted by the
 words it saw.
@@ -10,6 +12,7 @@ words it saw.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, prepared
 
-#: Words with counts of their own, input rows, output classes (the first ones of a single word each), and sizes.
+#: Words that are sent to every task, their input rows and output classes (the first ones of a single word each), and sizes.
 VOCABULARY = 32_768
 INPUTS = 8192
 CLASSES = 256
@@ -30,32 +33,60 @@ WIDTH = 24
 SIDES = (-2, -1, 1, 2)
 #: Training predicts every word of each text, as scoring does; no other value has an effect.
 STRIDE = 1
+#: Input rows and classes for the words that aren't sent, each time that their number doubles.
+MORE_INPUTS = 256
+MORE_CLASSES = 4
 BATCH = 1024
 FAN_IN = 16
 TASK_WORDS = 200_000
 
 
+class Codes(dict):
+    """Input row, class and log share by word; a word that isn't held has those of its hash, and a share without its count."""
+
+    def __init__(self, of: dict[str, tuple[int, int, float]], rest: list[float]) -> None:
+        super().__init__(of)
+        self.rest = rest
+
+    def __missing__(self, word: str) -> tuple[int, int, float]:
+        h = zlib.crc32(word.encode())
+        k = h % len(self.rest)
+        return INPUTS + h % (len(self.rest) // MORE_CLASSES * MORE_INPUTS), CLASSES + k, self.rest[k]
+
+    def __reduce__(self) -> tuple:
+        return Codes, (dict(self), self.rest)
+
+
+def rest_classes(rest: int) -> int:
+    """How many classes ``rest`` distinct words share that aren't sent."""
+    return MORE_CLASSES * max(1, rest.bit_length())
+
+
 @dataclass
 class Words:
-    """Input row, class and log share of the class by word; the rest shares row 1 and class 0.  Row 0 is the text's edge."""
+    """What is sent of the words.  Row 0 is the text's edge; rows from INPUTS and classes from CLASSES on are of words that aren't sent."""
 
-    of: dict[str, tuple[int, int, float]]
-    rest: tuple[int, int, float]
+    of: Codes
 
     @classmethod
-    def counted(cls, frequent: list[tuple[str, int]], total: int, distinct: int) -> Words:
+    def counted(cls, frequent: list[tuple[str, int]], rest: int, rest_mass: dict[int, int]) -> Words:
+        """``rest`` distinct words aren't frequent; ``rest_mass`` has the sum of their counts by class, from 0 on."""
         classes = [1 + k if k < SINGLE - 1 else SINGLE + (k - SINGLE + 1) % (CLASSES - SINGLE) for k in range(len(frequent))]
         mass = np.bincount(classes, [n for _, n in frequent], CLASSES) if frequent else np.zeros(CLASSES)
         rows = [2 + k if k < INPUTS // 2 else 2 + INPUTS // 2 + k % (INPUTS // 2 - 2) for k in range(len(frequent))]
         of = {w: (r, c, math.log(n / mass[c])) for (w, n), r, c in zip(frequent, rows, classes, strict=True)}
-        return cls(of, (1, 0, -math.log(max(1, distinct - len(frequent)))))
+        return cls(Codes(of, [-math.log(max(1, rest_mass.get(k, 0))) for k in range(rest_classes(rest))]))
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        """Input rows and classes of the network."""
+        n = len(self.of.rest)
+        return INPUTS + n // MORE_CLASSES * MORE_INPUTS, CLASSES + n
 
     def encoded(self, text: str | None) -> np.ndarray:
         """Input row, class and log share of each word: [3, words]."""
-        words = text.split() if text else []
-        get, rest = self.of.get, self.rest
-        flat = [x for w in words for x in get(w, rest)]
-        return np.array(flat, np.float64).reshape(-1, 3).T
+        of = self.of
+        return np.array([x for w in text.split() for x in of[w]] if text else [], np.float64).reshape(-1, 3).T
 
 
 @dataclass
@@ -68,10 +99,10 @@ class WindowNet:
     offset: np.ndarray
 
     @classmethod
-    def start(cls, seed: int) -> WindowNet:
+    def start(cls, seed: int, inputs: int, classes: int) -> WindowNet:
         draw = np.random.default_rng(seed)
         make = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
-        return cls(make(len(SIDES), INPUTS, WIDTH), np.zeros(WIDTH, np.float32), make(WIDTH, CLASSES), np.zeros(CLASSES, np.float32))
+        return cls(make(len(SIDES), inputs, WIDTH), np.zeros(WIDTH, np.float32), make(WIDTH, classes), np.zeros(classes, np.float32))
 
     def parameters(self) -> list[np.ndarray]:
         return [self.inputs, self.bias, self.outputs, self.offset]
@@ -143,7 +174,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def fitted(columns: Iterable[pa.Array], words: Words, seed: int, rate: float = 0.1, least: int = BATCH) -> tuple[WindowNet, int]:
     """The network that a task trains on its texts, each word being once the target, and the number of words."""
-    net = WindowNet.start(seed)
+    net = WindowNet.start(seed, *words.sizes)
     squares, seen, held, size = [np.full_like(p, 1e-3) for p in net.parameters()], 0, [], 0
 
     def learn() -> None:
@@ -195,7 +226,7 @@ def train(texts: DataFrame, words: Words, seed: int, rate: float = 0.1) -> Windo
         nets = nets.groupBy(F.floor(F.col("task") / FAN_IN).alias("to")).applyInArrow(mean, columns)
         left = -(-left // FAN_IN)
     found = nets.select("net").head()
-    net = WindowNet.start(seed)
+    net = WindowNet.start(seed, *words.sizes)
     if found:
         flat, at = np.frombuffer(found.net, np.float32), 0
         for p in net.parameters():
@@ -214,16 +245,23 @@ def score(documents: DataFrame, seed: int = 3) -> DataFrame:
     spark = prepared(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = cut(count_words(rows))
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).first()
     frequent = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    words = Words.counted(frequent, total.n or 0, total.distinct)
+    word, n = frequent[-1] if frequent else ("", 0)
+    others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+    rest = others.count()
+    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(rest_classes(rest))).cast("int")
+    words = Words.counted(frequent, rest, {r.k: r.n for r in others.groupBy(bucket.alias("k")).agg(F.sum("n").alias("n")).collect()})
     net = train(rows, words, seed)
     shared = spark.sparkContext.broadcast((words, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         words, net = shared.value
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            codes = [words.encoded(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            codes = [words.encoded(t) for t in texts]
             n = np.array([c.shape[1] for c in codes], np.int64)
             total = np.zeros(len(codes))
             if n.sum():
@@ -231,7 +269,14 @@ def score(documents: DataFrame, seed: int = 3) -> DataFrame:
                 y = np.concatenate([c[1] for c in codes]).astype(np.int64)
                 each = net.log_probabilities(x, y).astype(np.float64) + np.concatenate([c[2] for c in codes])
                 total = np.bincount(np.repeat(np.arange(len(codes)), n), each, len(codes))
-            mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+            found = [Counter(w for w in t.split() if w not in words.of) if t else {} for t in texts]
+            left = pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(codes))), batch.column(0), pa.array(n), pa.array(total), left], names=["row", "doc_id", "n_words", "sum", "left"])
+            at += len(codes)
+
+    # written, so that a row's number stays the same; the counts of its words that weren't sent are added by word
+    scored = cut(rows.mapInArrow(run, "row long, doc_id long, n_words long, sum double, left map<string,long>"))
+    pairs = scored.select("row", F.explode("left").alias("word", "times"))
+    added = pairs.join(others, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("added"))
+    whole = scored.drop("left").join(added, "row", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("added", F.lit(0.0)))
+    return whole.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -159,10 +160,24 @@ def test_lm_trains_on_every_word(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring.WindowNet, "learn", lambda net, x, y, *rest: (targets.extend(y.tolist()), learn(net, x, y, *rest)))
     texts = [None, "", "one", *(prose(k, 300 + k) for k in range(8)), prose(9, 9000)]
     n = sum(len((t or "").split()) for t in texts)
-    words = lm_scoring.Words.counted([("one", 1)], n, n)
+    words = lm_scoring.Words.counted([("one", 1)], n - 1, {})
     assert lm_scoring.fitted([pa.array(texts[:6]), pa.array(texts[6:])], words, 3)[1] == n == len(targets)
 
 
+def test_lm_counts_of_rare_words(spark, monkeypatch):
+    """Two words of one hashed row and class, both beyond the words that are sent, score apart by the log of their counts."""
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 1)
+    alike = {}
+    for k in range(100_000):
+        alike.setdefault(zlib.crc32(f"w{k}".encode()) % (4 * 256 * 5), []).append(f"w{k}")
+    a, b = max(alike.values(), key=len)[:2]
+    texts = [*["common"] * 300, *[a] * 40, *[b] * 5, None]
+    got = {r.doc_id: r for r in lm_scoring.score(documents(spark, texts)).collect()}
+    assert len(got) == len(texts) and got[345].n_words == 0
+    assert abs(got[300].log_likelihood - got[340].log_likelihood - np.log(40 / 5)) < 1e-3
+    assert lm_scoring.rest_classes(10**6) > lm_scoring.rest_classes(10**3)
+
+
 def vectors() -> list:
     draw = np.random.default_rng(5)
     rows = [(k, draw.normal(size=16), k % 3) for k in range(120)]
