@@ -28,18 +28,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.where((F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``__row`` for each row, whether it has an id of its own or not; written, so that it stays the same."""
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links hold together: that of the smallest id, once.  Documents without id stay."""
-    kept = near_texts.jaccard_join(docs).where("kept and doc_id is not null").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group that near-duplicate links hold together: that of the smallest id, one without id only if none has any."""
+    rows = numbered(docs)
+    found = near_texts.jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")).alias("first")
+    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; one without id can't be told from others without id, so these go together."""
-    ids = cut(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; each row is judged by its own text."""
+    rows = numbered(docs)
+    found = decontamination.leaks(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = cut(found.select(F.col("doc_id").alias("__row")).distinct())
+    few = leaks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(leaks) if few else leaks, "__row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

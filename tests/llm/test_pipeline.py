@@ -31,3 +31,18 @@ def test_pipeline(spark, tmp_path):
     assert set(seen[2]) == set(seen[3]) == set(seen[4]) == set(seen[1]) - {36}
     assert "abcdefgh1234" not in seen[3][37].text and seen[3][37].n_chars == len(seen[3][37].text) and seen[3][5].text == texts[5]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen[4])
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Rows with no id, or with one that other rows have too, are each judged by their own text."""
+    import corpus_pipeline
+
+    item = prose(900, 30)
+    leak, clean, copied, a, b = prose(60, 60) + " " + item + " " + prose(61, 60), prose(62, 120), prose(63, 120), prose(64, 120), prose(65, 120)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, leak), (None, clean), (None, copied), (None, copied), (7, a), (7, b), (9, clean), (3, b), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert near == sorted([(0, leak), (0, copied), (7, a), (9, clean), (3, b), (0, ""), (0, "")])
+    left = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect())
+    assert left == sorted((k or 0, t) for k, t in rows if t != leak)
