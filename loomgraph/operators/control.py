@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from loomgraph.functions import fixed as X
 
+#: A proposal's state after an event, by the state before it; any other event is refused.
+STEPS = {("none", "submit"): "submitted", ("submitted", "approve"): "approved", ("submitted", "reject"): "rejected", ("approved", "apply"): "applied", ("applied", "rollback"): "rolled_back"}
+
 
 def metric_status(value: Column, direction: Column, limit: Column) -> Column:
     over = F.when(value <= limit, "healthy").when(limit == 0, "critical").when(value >= limit * 1.5, "critical").otherwise("warning")
@@ -44,17 +51,31 @@ def proposal_state(log: DataFrame) -> DataFrame:
 
     submitted -> approved or rejected -> applied -> rolled_back; others are refused.
     """
-    events = log.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("events"))
-
-    def step(s: Column, e: Column) -> Column:
-        ok = (
-            ((s["state"] == "none") & (e["action"] == "submit")) | ((s["state"] == "submitted") & e["action"].isin("approve", "reject"))
-            | ((s["state"] == "approved") & (e["action"] == "apply")) | ((s["state"] == "applied") & (e["action"] == "rollback"))
-        )
-        new = F.create_map(*(F.lit(x) for x in ("submit", "submitted", "approve", "approved", "reject", "rejected", "apply", "applied", "rollback", "rolled_back")))[e["action"]]
-        return F.struct(F.when(ok, new).otherwise(s["state"]).alias("state"), (s["refused"] + (~ok).cast("int")).alias("refused"))
-
-    return events.select("proposal_id", F.aggregate("events", F.struct(F.lit("none").alias("state"), F.lit(0).alias("refused")), step).alias("s")).select("proposal_id", "s.state", "s.refused")
+    key = log.schema["proposal_id"].dataType
+    out = StructType([StructField("proposal_id", key), StructField("state", StringType()), StructField("refused", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proposal, state, refused, any_yet = None, "none", 0, False
+        for batch in batches:
+            done = []
+            for p, action in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not any_yet or p != proposal:
+                    if any_yet:
+                        done.append((proposal, state, refused))
+                    proposal, state, refused, any_yet = p, "none", 0, True
+                new = STEPS.get((state, action))
+                state, refused = new or state, refused + (new is None)
+            yield rows(done, batch.column(0).type)
+        if any_yet:
+            yield rows([(proposal, state, refused)], batch.column(0).type)
+
+    def rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        ids, states, refused = zip(*done, strict=True) if done else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(states, pa.string()), pa.array(refused, pa.int32())], names=["proposal_id", "state", "refused"])
+
+    # a proposal may have many events: they pass one batch at a time, and only its state is held
+    dealt = log.select("proposal_id", "seq", "action").repartition("proposal_id").sortWithinPartitions("proposal_id", "seq", "action")
+    return dealt.select("proposal_id", "action").mapInArrow(run, out)
 
 
 def skill_governance(evidence: Column, least: Column, stability: Column, clarity: Column, success: Column, failures: Column) -> Column:

@@ -11,10 +11,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "session_id string, messages long, baselines long, tail long, tokens long, folds long, evictions long, mode string"
+ARROW = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in OUT.split(", ")])
 STATE = "content string"
 TAIL_TURNS, RATIO, MOST, BASELINE_CHARS, LINE_CHARS = 2, 0.5, 3, 1200, 120
 
@@ -59,13 +61,23 @@ def row(session_id: str, s: dict) -> dict:
 def batch(messages: DataFrame, budget: int = 400) -> DataFrame:
     """The state of every session (``session_id, turn, role, content``) after all its messages."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = start()
-        for role, content in rows.sort_values("turn")[["role", "content"]].itertuples(index=False):
-            s = fold(s, role, content or "", budget)
-        return pd.DataFrame([row(key[0], s)])
-
-    return messages.select("session_id", "turn", "role", "content").groupBy("session_id").applyInPandas(run, OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, s = None, None
+        for batch in batches:
+            done = []
+            for session_id, role, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s is None or session_id != key:
+                    if s is not None:
+                        done.append(row(key, s))
+                    key, s = session_id, start()
+                s = fold(s, role, content or "", budget)
+            yield pa.RecordBatch.from_pylist(done, ARROW)
+        if s is not None:
+            yield pa.RecordBatch.from_pylist([row(key, s)], ARROW)
+
+    # a session may be long: its messages pass one batch at a time, and only its state is held
+    dealt = messages.select("session_id", "turn", "role", "content").repartition("session_id").sortWithinPartitions("session_id", "turn")
+    return dealt.select("session_id", "role", "content").mapInArrow(run, OUT)
 
 
 def stream(messages: DataFrame, budget: int = 400) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import control as K
 from loomgraph.operators import graph as G
 from loomgraph.operators import selection as S
 from loomgraph.sources import transcripts as T
@@ -68,3 +69,28 @@ def test_long_branches_keep_their_beginning(spark):
     lines += [("cycle", k, line(k, k % 5 + 1)) for k in range(1, 6)] + [("cycle", 6, line(6, 3))]
     got = {(r.file, r.id) for r in T.branches(T.entries(spark.createDataFrame(lines, "file string, line_no int, json string"))).collect()}
     assert got == {("long", f"t{k}") for k in range(1, 301)} | {("side", "t1"), ("side", "t3")} | {("cycle", f"t{k}") for k in range(1, 7)}
+
+
+def test_long_sessions_and_proposals_pass_in_batches(spark):
+    """With batches of 7 rows, keys that span many batches come out as plain folds, and no plan holds a key's rows at once."""
+    said = [(f"s{k % 3}" if k % 4 else "long", k, ("user", "assistant", "tool")[k % 3], "word " * (k % 90)) for k in range(400)]
+    acts = [(k % 3 if k % 4 else 99, k, ("submit", "apply", "approve", "apply", "reject", "rollback")[k * k % 6]) for k in range(400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        states = compression.batch(spark.createDataFrame(said, "session_id string, turn int, role string, content string"))
+        proposals = K.proposal_state(spark.createDataFrame(acts, "proposal_id long, seq int, action string"))
+        got, ended = {r.session_id: r.asDict() for r in states.collect()}, {r.proposal_id: (r.state, r.refused) for r in proposals.collect()}
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in (states, proposals)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all("MapInArrow" in p and "collect_list" not in p and "FlatMapGroups" not in p for p in plans)
+    want = {}
+    for key, _, role, content in said:
+        want[key] = compression.fold(want.get(key) or compression.start(), role, content, 400)
+    assert got == {k: compression.row(k, s) for k, s in want.items()}
+    need, after, plain = {"submit": "none", "approve": "submitted", "reject": "submitted", "apply": "approved", "rollback": "applied"}, {"submit": "submitted", "approve": "approved", "reject": "rejected", "apply": "applied", "rollback": "rolled_back"}, {}
+    for key, _, action in acts:
+        state, refused = plain.get(key, ("none", 0))
+        plain[key] = (after[action], refused) if need[action] == state else (state, refused + 1)
+    assert ended == plain
