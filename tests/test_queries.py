@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomgraph.queries import ORACLE_SQL, QUERIES
@@ -14,7 +15,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def plain(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    one = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x if isinstance(x, bool) else str(x)
+    one = lambda x: None if x is None or x is pd.NA or x != x else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x if isinstance(x, bool) else str(x)
     rows = [tuple(one(x.item() if hasattr(x, "item") else x) for x in row) for row in frame.itertuples(index=False, name=None)]
     return sorted(rows, key=repr)
 
