@@ -2,17 +2,19 @@
 
 Texts of equal shingle sets are one class.  Every class is embedded as the minima of 128 hash functions over its set; a
 run then splits the classes recursively: at each node two places of the embedding are drawn, and classes that share a
-place's token go to one child.  Classes that meet at the end of a path are compared by their embeddings (a bucket that
-is still large is split on, place by place, and at last cut into blocks by a hash of the path).  Runs are repeated until
-a pair at the threshold is missed with less than ``1 - recall``.  What has met forms candidate groups; in these every
-pair is compared exactly, by whole shingle sets in pairs of blocks, so that within a group no link is lost however
-the members met.  Only sums of links and one local root a class leave a pair of blocks.
+place's token go to one child.  Classes that meet at the end of a path are compared by their embeddings.  A bucket that
+is still large is split on by one more place a level; one that is large at the deepest level is a candidate group as a
+whole, so none of its pairs is left out.  Runs are repeated until a pair at the threshold is missed with less than
+``1 - recall``, counted over the deepest paths.  What has met forms candidate groups; in these every pair is compared
+exactly, by whole shingle sets in pairs of blocks, so that within a group no link is lost however the members met.
+Only sums of links and one local root a class leave a pair of blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +27,26 @@ from loomgraph.llm.shingles import Shingler, mixed
 
 PLACES = 128
 DEPTH = 3
-#: Classes of a bucket or block that are compared all with all; deepest path of a large bucket.
-BLOCK = 128
+#: Classes of a bucket that are compared all with all, and deepest path of a larger one.
+BUCKET = 128
 DEEPEST = 6
+#: Classes of a block of a candidate group, and shingles in it.
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 
 
-def missed(threshold: float, depth: int) -> float:
-    """The chance that one run misses a pair at the threshold: the binary tree of paths dies out."""
+def missed(threshold: float, depth: int, deepest: int) -> float:
+    """The chance that one run misses a pair at the threshold: the tree of paths, with one child from ``depth`` on, dies out."""
     q = 0.0
+    for _ in range(deepest - depth):
+        q = 1 - threshold * (1 - q)
     for _ in range(depth):
         q = (1 - threshold * (1 - q)) ** 2
     return q
 
 
-def runs_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(missed(threshold, depth))))
+def runs_for(recall: float, threshold: float, depth: int = DEPTH, deepest: int = DEEPEST) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(missed(threshold, depth, deepest))))
 
 
 def paths(runs: int, depth: int, seed: int) -> np.ndarray:
@@ -85,7 +92,10 @@ def spread(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, runs: int, seed: int) -> DataFrame:
-    """``doc_id, key, sketch, paths`` of every row; ``key`` is a digest of its shingle set, null without words or id."""
+    """``doc_id, key, size, sketch, paths`` of every row; ``key`` is a digest of its ``size`` shingles, null without words or id.
+
+    A sketch has the lowest byte of each minimum, which is enough to compare two; paths are of whole minima.
+    """
     drawn = paths(runs, DEPTH, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,26 +115,27 @@ def sketches(documents: DataFrame, runs: int, seed: int) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array([None if k is None else xxhash.xxh3_128_digest(s.tobytes()) for s, k in zip(sets, at, strict=True)], pa.binary()),
-                    pa.array([None if k is None else low[k].tobytes() for k in at], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([None if k is None else low[k].astype(np.uint8).tobytes() for k in at], pa.binary()),
                     pa.array([None if k is None else ends[k].astype(np.int64) for k in at], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "sketch", "paths"],
+                names=["doc_id", "key", "size", "sketch", "paths"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, sketch binary, paths array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, size long, sketch binary, paths array<long>")
 
 
 def met_in_buckets(rows: DataFrame, least: float) -> DataFrame:
     """Links ``a, b`` from each class to the first of those it reaches in its bucket over estimates of at least ``least``.
 
-    ``rows`` (``path, block, id, sketch``) come sorted within partitions that hold whole buckets.
+    ``rows`` (``path, id, sketch``) come sorted within partitions that hold whole buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(bucket: np.ndarray, ids: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
             left, right, d = [], [], 1
             while d < len(bucket):
-                at = np.flatnonzero((bucket[d:] == bucket[:-d]).all(axis=1))
+                at = np.flatnonzero(bucket[d:] == bucket[:-d])
                 if not len(at):
                     break
                 at = at[(low[at] == low[at + d]).mean(axis=1) >= least]
@@ -140,17 +151,16 @@ def met_in_buckets(rows: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-            new = bucket, batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, PLACES).astype(np.uint8)
+            new = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, PLACES)
             held = new if held is None else tuple(map(np.concatenate, zip(held, new, strict=True)))
-            done = int((held[0] == held[0][-1]).all(axis=1).argmax())  # the last bucket may go on in the next batch
+            done = int((held[0] == held[0][-1]).argmax())  # the last bucket may go on in the next batch
             if done:
                 yield links(*(x[:done] for x in held))
                 held = tuple(x[done:] for x in held)
         if held is not None:
             yield links(*held)
 
-    return rows.select("path", "block", "id", "sketch").mapInArrow(run, "a long, b long")
+    return rows.select("path", "id", "sketch").mapInArrow(run, "a long, b long")
 
 
 def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
@@ -199,34 +209,32 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.8, recall: float = 0
     prepared(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = cut(sketches(rows, runs_for(recall, threshold), seed))
-    classes = cut(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")))
-
-    ends = classes.select("id", F.explode("paths").alias("path"))
-    # sizes are written before they are joined: Spark splits a very common path's rows only in a join of two shuffles
-    sizes = cut(ends.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = cut(ends.join(sizes, "path"))
-    found, depth = [shared.where(F.col("size") <= BLOCK).select("path", "id", F.lit(0).alias("block"))], DEPTH
-    large = shared.where(F.col("size") > BLOCK).select("path", "id")
+    first = [F.first(c).alias(c) for c in ("size", "sketch", "paths")]
+    classes = cut(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *first))
     embedded = classes.select("id", "sketch")
-    while depth < DEEPEST and not large.isEmpty():
-        # the next place of a path follows from the path itself; its token is four bytes of the embedding
+
+    def counted(ends: DataFrame) -> DataFrame:
+        """Rows of buckets of several; counts are written before they are joined: Spark splits a very common path's rows only in a join of two shuffles."""
+        sizes = cut(ends.groupBy("path").agg(F.count("*").alias("many"), F.min("id").alias("least")).where("many > 1"))
+        return cut(ends.join(sizes, "path"))
+
+    shared, small, depth = counted(classes.select("id", F.explode("paths").alias("path"))), [], DEPTH
+    while True:
+        small.append(shared.where(F.col("many") <= BUCKET).select("path", "id"))
+        large = shared.where(F.col("many") > BUCKET)
+        if depth == DEEPEST or large.isEmpty():
+            break
+        # the next place of a path follows from the path itself; its token is that byte of the sketch
         place = F.pmod(F.xxhash64("path", F.lit(depth)), F.lit(PLACES)).cast("int")
-        below = large.join(embedded, "id").select("id", F.xxhash64("path", F.substring("sketch", place * 4 + 1, F.lit(4))).alias("path"))
-        below = cut(below)
-        below = below.join(cut(below.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")), "path")
-        found.append(below.where(F.col("size") <= BLOCK).select("path", "id", F.lit(0).alias("block")))
-        large, depth = below.where(F.col("size") > BLOCK).select("path", "id", "size"), depth + 1
-    if "size" in large.columns:
-        found.append(large.select("path", "id", F.pmod(F.xxhash64("id", "path"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")))
-    buckets = found[0]
-    for more in found[1:]:
-        buckets = buckets.unionByName(more)
-    dealt = buckets.join(embedded, "id").repartition("path", "block").sortWithinPartitions("path", "block", "id")
-    groups = cut(connected_components(met_in_buckets(dealt, threshold - 0.15)))
-
-    blocks = cut(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h")))
+        shared, depth = counted(cut(large.select("path", "id").join(embedded, "id").select("id", F.xxhash64("path", F.substring("sketch", place + 1, F.lit(1))).alias("path")))), depth + 1
+    dealt = reduce(DataFrame.unionByName, small).join(embedded, "id").repartition("path").sortWithinPartitions("path", "id")
+    met = met_in_buckets(dealt, threshold - 0.15).unionByName(large.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    groups = cut(connected_components(met).join(classes.select("id", "n", "key", "size"), "id"))
+
+    many = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)
+    blocks = cut(groups.groupBy("component").agg(F.ceil(many).cast("int").alias("h")))
     placed = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("h")).cast("int"))
-    members = placed.join(classes.select("id", "n", "key"), "id").join(rows.select(F.col("doc_id").alias("id"), "text"), "id")
+    members = placed.join(rows.select(F.col("doc_id").alias("id"), "text"), "id").select("component", "id", "n", "block", "h", "key", "text")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -237,7 +245,7 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.8, recall: float = 0
             own = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(5).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(c.filter(own) for c in batch.columns[:5]), pa.array(sets, pa.binary()).filter(own)], names=["component", "id", "n", "block", "h", "set"])
 
-    sets = members.select("component", "id", "n", "block", "h", "key", "text").mapInArrow(with_sets, "component long, id long, n long, block int, h int, set binary")
+    sets = members.mapInArrow(with_sets, "component long, id long, n long, block int, h int, set binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     verified = cut(sets.select("component", "id", "n", "block", "set", F.explode(pairs).alias("p")).select("component", "id", "n", "block", "set", "p.i", "p.j").groupBy("component", "i", "j").applyInArrow(lambda t: compared(t, threshold), "id long, links long, root long"))
     components = connected_components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -116,10 +116,12 @@ def test_language_id_on_held_out_rows(spark):
 
 
 def jaccard(texts: list) -> tuple[dict, dict]:
-    sets = [set(Shingler()(t).tolist()) for t in texts]
+    shingled = Shingler()
+    sets = [set(shingled(t).tolist()) for t in texts]
     met = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    label = list(range(len(sets)))
-    for _ in sets:
+    label, before = list(range(len(sets))), None
+    while label != before:
+        before = list(label)
         for a, b in met:
             label[a] = label[b] = min(label[a], label[b])
     return {k: sum(a == k for a, _ in met) for k in range(len(sets))}, dict(enumerate(label))
@@ -129,6 +131,7 @@ def jaccard(texts: list) -> tuple[dict, dict]:
 def test_jaccard_join(spark, monkeypatch, block):
     """With blocks of 4, buckets are split on and groups compared in pairs of blocks."""
     monkeypatch.setattr(near_texts, "BLOCK", block)
+    monkeypatch.setattr(near_texts, "BUCKET", block)
     base = prose(50, 120).split()
     near = [" ".join([*base[: 5 * k], f"w{k}", *base[5 * k + 1 :]]) for k in range(20)]
     chain = [" ".join(base[:k] + [f"v{j}" for j in range(k)] + base[k:]) for k in range(1, 8)]
@@ -140,6 +143,20 @@ def test_jaccard_join(spark, monkeypatch, block):
     assert all(r.kept == (r.component_id == k) for k, r in got.items())
 
 
+def test_jaccard_join_of_large_buckets(spark):
+    """With the parameters of production: many near copies of one text, and a template whose texts are mostly below the threshold."""
+    draw = random.Random(4)
+    base, template = prose(51, 150).split(), prose(52, 100).split()
+    near = [" ".join(base[:k] + [f"w{j}"] + base[k + 1 :]) for j, k in enumerate(draw.randrange(150) for _ in range(600))]
+    filled = [template[:60] + prose(3000 + k, 40).split() + template[60:] for k in range(300)]
+    twins = [[*f[:-1], f"x{k}"] for k, f in enumerate(filled[:20])]
+    texts = [*near, *map(" ".join, filled), *map(" ".join, twins), *(prose(5000 + k, 60) for k in range(80))]
+    links, component = jaccard(texts)
+    got = {r.doc_id: r for r in near_texts.jaccard_join(documents(spark, texts)).collect()}
+    assert sum(links.values()) > 100_000 and {k: r.n_links for k, r in got.items()} == links
+    assert {k: r.component_id for k, r in got.items()} == component
+
+
 def test_lm_scores_order_above_noise(spark, monkeypatch):
     """A text in a pattern that the corpus repeats scores above one of the same words in another order."""
     monkeypatch.setattr(lm_scoring, "BATCH", 32)
