@@ -220,6 +220,8 @@ def repeated_in_shards(pieces: DataFrame) -> DataFrame:
 def repeated_strings(pieces: DataFrame) -> DataFrame:
     """``context, low, high`` over all pieces (``PIECE``), small keys in shards and large ones refined first."""
     spark = pieces.sparkSession
+    # a number of its own: by their few bytes, what is most work for a byte would be put into few tasks
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = spark.createDataFrame([], "context binary, low int, high int")
     while True:
         pieces = cut(pieces)
@@ -232,7 +234,7 @@ def repeated_strings(pieces: DataFrame) -> DataFrame:
         found = found.unionByName(placed.where("pieces > 1").select("context", "low", "high"))
         # one piece of each kind meets the other kinds; what it shares holds for those equal to it, too
         one = placed.where((F.col("kinds") > 1) & (F.col("context") == F.col("first")))
-        small = one.where(F.col("kinds") <= LARGE).repartition("key", "node").sortWithinPartitions("key", "node", "context")
+        small = one.where(F.col("kinds") <= LARGE).repartition(parts, "key", "node").sortWithinPartitions("key", "node", "context")
         met = repeated_in_shards(small)
         found = found.unionByName(met)
         large = one.where(F.col("kinds") > LARGE)
@@ -316,5 +318,5 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    """``without_repeats`` with the digest of what is left: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    return without_repeats(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """``without_repeats`` with the digest of what is left: ``doc_id, n_removed, n_bytes, n_spans, kept_sha256``."""
+    return without_repeats(documents).select("doc_id", "n_removed", "n_bytes", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
