@@ -1,13 +1,13 @@
-"""Benchmark decontamination: BM25 over test items, searched by every passage of every text with block-max bounds (WAND).
-
-The test items are the indexed side, in shards of bounded size, each broadcast in its turn; passages are windows of
-words, twice as long as the longest item and half overlapping, so that an item's whole text lies in one of them.  A
-score is a share of what the item scores against itself.  Before a passage is searched, block-wise upper bounds of all
-passages of a text are summed at once: of the passage's rarer terms their largest weights in each block of items, and of
-common terms what any item of the block could have from all of them; only passages in which some block can reach the
-threshold go on, with that block.  There an item's terms are met from the heaviest on and left once what remains can't
-reach the threshold.  Every item at or above it is retrieved, and stands if enough three-word runs of its question and of
-its answer are in the passage.
+"""Benchmark decontamination: BM25 over test items, searched by every passage of every text by block-max WAND.
+
+The test items are the indexed side, in shards of bounded size, each broadcast in its turn.  Items are of length classes
+(16, 64, 256 ... words); a class is searched by windows of twice its length, half overlapping, so an item's whole text
+lies in one of them, and neither other items nor shards have a say in where windows lie.  A score is a share of what the
+item scores against itself.  A passage has a cursor on the list of each of its terms.  The lists' largest weights say up
+to which cursor, in the order of items, the threshold can be reached; the largest weights of the blocks that hold this
+pivot say whether it is worth a look.  If so, cursors move there and the item is scored; if not, they move past the
+nearest end of those blocks.  The cursors of many passages step together.  Every item at or above the threshold is
+retrieved, and stands if enough three-word runs of its question and of its answer are in the passage.
 """
 
 from __future__ import annotations
@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import prepared
 
 K1, B = 1.2, 0.75
-#: Blocks of items at most; items that a rarer term has at most; words of the items that one broadcast index holds.
-ITEM_BLOCKS = 4096
-RARE = 32
+#: Words of the shortest length class; each further class is four times as long.
+SHORTEST = 16
+#: Postings of a block of a list; words of the items that one broadcast index holds.
+BLOCK_POSTINGS = 8
 SHARD_WORDS = 1 << 20
+#: Cursors that step together, and words whose passages are searched at once.
+CURSORS = 1 << 14
+TEXT_WORDS = 1 << 17
 GRAM = 3
 
 find_words = re.compile(r"\w+").findall
@@ -70,78 +74,133 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
 
 
+def length_class(words: int) -> int:
+    """The longest that an item of so many words may be in its class."""
+    longest = SHORTEST
+    while longest < words:
+        longest *= 4
+    return longest
+
+
+class Lists:
+    """Inverted lists of the items of one length class: each term's items in order, with the largest weights of list and blocks.
+
+    ``term, item, weight`` are its postings, ``terms`` and ``items`` how many of either there are.  Keys are term and
+    item in one number, so all lists together are in order.  One term more than there are has an empty list.
+    """
+
+    def __init__(self, term: np.ndarray, item: np.ndarray, weight: np.ndarray, terms: int, items: int):
+        order = np.lexsort((item, term))
+        # the smaller numbers are, the faster they are sorted and found
+        self.item_kind = np.int16 if items < 1 << 15 else np.int32
+        self.key_kind = np.int32 if (terms + 1) * (items + 1) < 1 << 31 else np.int64
+        term, self.weight, self.items, self.none = term[order], np.append(weight[order], 0.0), items, terms
+        self.item = np.append(item[order], items).astype(self.item_kind)
+        self.key = (term * (items + 1) + self.item[:-1]).astype(self.key_kind)
+        self.begin = np.searchsorted(term, np.arange(terms + 2))
+        self.top = np.zeros(terms + 1)
+        np.maximum.at(self.top, term, self.weight[:-1])
+        first = np.flatnonzero((np.arange(len(term)) - self.begin[term]) % BLOCK_POSTINGS == 0)
+        last = np.append(first[1:], len(term)) - 1
+        self.block_base, self.block_last, self.block_key = np.append(term[first] * (items + 1), -1), np.append(self.item[last], self.item_kind(items)), self.key[last]
+        self.block_top = np.append(np.maximum.reduceat(self.weight[:-1], first), 0.0)
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Passages, items and scores of at least ``threshold``; ``passage`` and ``term`` are distinct pairs in order of passages."""
+        least = threshold - 1e-9
+        own = self.top[term] > 0
+        passage, term = passage[own], term[own]
+        if not len(passage):
+            return
+        live = np.bincount(passage, self.top[term])[passage] >= least
+        passage, term = passage[live], term[live]
+        first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])[: len(passage)])
+        size = np.diff(np.append(first, len(passage)))
+        by_size = np.argsort(size, kind="stable")[::-1]  # long ones first, so that little is padded
+        at = 0
+        while at < len(by_size):
+            width = int(size[by_size[at]])
+            some = by_size[at : at + max(1, CURSORS // width)]
+            at += len(some)
+            place = np.arange(width)
+            inside = place < size[some][:, None]
+            terms = np.where(inside, term[np.where(inside, first[some][:, None] + place, 0)], self.none)
+            yield from self.wand(passage[first[some]], terms, least)
+
+    def wand(self, passage: np.ndarray, terms: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Block-max WAND over rows of cursors, one row a passage, one cursor a term."""
+        base, top, cursor, stop = (terms * (self.items + 1)).astype(self.key_kind), self.top[terms], self.begin[terms], self.begin[terms + 1]
+        while len(passage):
+            here = np.where(cursor < stop, self.item[cursor], self.item_kind(self.items))
+            order = np.argsort(here, axis=1, kind="stable")
+            inward = np.take_along_axis(here, order, axis=1)
+            reached = np.cumsum(np.where(inward < self.items, np.take_along_axis(top, order, axis=1), 0.0), axis=1) >= least
+            on = reached[:, -1]
+            some = np.count_nonzero(on)
+            if not some:
+                return
+            if some < 0.7 * len(on):  # else the rows that are done stay a while, without a pivot
+                passage, base, top, cursor, stop, here, inward, reached, on = (x[on] for x in (passage, base, top, cursor, stop, here, inward, reached, on))
+            pivot = np.where(on, inward[np.arange(len(passage)), reached.argmax(axis=1)], self.item_kind(-1))
+            row, column = np.nonzero(here <= pivot[:, None])
+            begun, p = base[row, column], pivot[row]
+            block = np.searchsorted(self.block_key, begun + p)
+            held = self.block_base[block] == begun
+            worth = np.bincount(row, np.where(held, self.block_top[block], 0.0), len(passage)) >= least
+            # past the nearest end of the pivot's blocks, or on to the next cursor
+            beyond = np.where(here > pivot[:, None], here, self.item_kind(self.items)).min(axis=1)
+            np.minimum.at(beyond, row[held], self.block_last[block[held]] + self.item_kind(1))
+            to = np.where(worth, pivot, beyond)
+            moved = np.searchsorted(self.key, begun + to[row])
+            moved = np.minimum(moved, stop[row, column])
+            at_pivot = worth[row] & (moved < stop[row, column]) & (self.item[moved] == p)
+            score = np.bincount(row[at_pivot], self.weight[moved[at_pivot]], len(passage))
+            hit = np.flatnonzero(worth & (score >= least))
+            if len(hit):
+                yield passage[hit], pivot[hit], score[hit]
+            cursor[row, column] = moved + at_pivot
+
+
 @dataclass
 class Index:
-    """Inverted lists of blocks of items with the largest weight in each, and each item's terms with their weights."""
+    """Inverted lists by length class, over the same terms and items."""
 
     terms: dict[str, int]
-    #: Of rarer terms: where a term's blocks begin, the blocks, and the largest weights in them.
-    begin: np.ndarray
-    block: np.ndarray
-    largest: np.ndarray
-    #: Of each block: the most that one of its items has from all common terms.
-    common: np.ndarray
-    #: Of each item: terms and weights, the largest weights first.
-    items: list[list[tuple[int, float]]]
-    block_items: int
+    lists: dict[int, Lists]
     texts: list[str]
     item_ids: list[int | None]
-    longest: int
 
     @classmethod
     def of(cls, postings: pa.Table, texts: list[str], item_ids: list[int | None]) -> Index:
         """``postings``: ``term, item`` (place in ``texts``) and ``weight``, which sum to 1 for each item."""
-        by_term: dict[str, list[tuple[int, float]]] = {}
-        for term, item, weight in zip(*(postings.column(c).to_pylist() for c in ("term", "item", "weight")), strict=True):
-            by_term.setdefault(term, []).append((item, weight))
-        terms, size = {t: k for k, t in enumerate(sorted(by_term))}, -(-len(texts) // ITEM_BLOCKS)
-        begin, block, largest, common, own = [0], [], [], np.zeros(len(texts)), [[] for _ in texts]
-        for k, t in enumerate(terms):
-            best: dict[int, float] = {}
-            for item, weight in by_term[t]:
-                own[item].append((k, weight))
-                if len(by_term[t]) > RARE:
-                    common[item] += weight
-                else:
-                    best[item // size] = max(weight, best.get(item // size, 0.0))
-            block += best
-            largest += best.values()
-            begin.append(len(block))
-        common = np.maximum.reduceat(common, np.arange(0, len(texts), size))
-        return cls(terms, np.array(begin), np.array(block, np.int64), np.array(largest, np.float64), common, [sorted(x, key=lambda p: (-p[1], p[0])) for x in own], size, texts, item_ids, max([1, *(len(words_of(t)) for t in texts)]))
-
-    def promising(self, place: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-        """Pairs of step k and block such that the block's bound in the passage of steps k and k + 1 reaches the threshold.
-
-        ``place`` and ``term``: the distinct terms of each step of a text, in order of steps.
-        """
-        steps, blocks = int(place[-1]) + 2, len(self.common)
-        count = self.begin[term + 1] - self.begin[term]
-        at = np.repeat(self.begin[term] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        found = []
-        for low in range(0, steps - 1, 256):  # some steps at a time, for texts without end
-            n = min(257, steps - low)
-            a, b = np.searchsorted(place, (low, low + n))
-            i, j = int(count[:a].sum()), int(count[:b].sum())
-            rare = np.bincount(np.repeat(place[a:b] - low, count[a:b]) * blocks + self.block[at[i:j]], self.largest[at[i:j]], n * blocks).reshape(n, blocks)
-            k, own = np.nonzero(rare[:-1] + rare[1:] + self.common >= threshold - 1e-9)
-            found += zip((k + low).tolist(), own.tolist(), strict=True)
-        return found
+        names, term = np.unique(postings.column("term").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        item, weight = postings.column("item").to_numpy(), postings.column("weight").to_numpy()
+        longest = np.array([length_class(len(words_of(t))) for t in texts])
+        lists = {int(c): Lists(term[own], item[own], weight[own], len(names), len(texts)) for c in np.unique(longest) if len(own := np.flatnonzero(longest[item] == c))}
+        return cls({str(t): k for k, t in enumerate(names)}, lists, texts, item_ids)
 
-    def search(self, terms: set[int], block: int, threshold: float) -> list[tuple[int, float]]:
-        """The block's items whose weights for ``terms`` sum to the threshold or more; an item is left as soon as it can't."""
-        found = []
-        for item in range(block * self.block_items, min((block + 1) * self.block_items, len(self.items))):
-            score, rest = 0.0, 1.0
-            for term, weight in self.items[item]:
-                rest -= weight
-                if term in terms:
-                    score += weight
-                elif score + rest < threshold - 1e-9:
-                    break
-            if score >= threshold - 1e-9:
-                found.append((item, score))
-        return found
+    def search(self, texts: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+        """Text, length class, window, item and score of all that is retrieved; ``texts`` are the terms of each text's words, -1 for others.
+
+        Window k has the words from k times the class's length on, twice as many as that.
+        """
+        words = np.concatenate([*texts, np.zeros(0, np.int64)])
+        count = np.array([len(t) for t in texts])
+        owner = np.repeat(np.arange(len(texts)), count)
+        within = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
+        known = np.flatnonzero(words >= 0)
+        words, owner, within = words[known], owner[known], within[known]
+        for step, lists in self.lists.items():
+            windows = np.maximum(1, -(-count // step) - 1)
+            begin = np.cumsum(windows) - windows
+            own = lists.top[words] > 0
+            k, limit = within[own] // step, windows[owner[own]]
+            base, terms = begin[owner[own]], words[own]
+            late, early = k < limit, k > 0  # a step is the first half of its own window and the second of the one before
+            pair = np.unique(np.concatenate([(base + k)[late], (base + k - 1)[early]]) * (lists.none + 1) + np.concatenate([terms[late], terms[early]]))
+            for passages, items, scores in lists.retrieve(pair // (lists.none + 1), pair % (lists.none + 1), threshold):
+                text = np.searchsorted(begin, passages, "right") - 1
+                yield from zip(text.tolist(), [step] * len(text), (passages - begin[text]).tolist(), items.tolist(), scores.tolist(), strict=True)
 
 
 def indexed_items(benchmark: DataFrame) -> DataFrame:
@@ -197,35 +256,34 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            step, count, terms_of = index.longest, len(index.terms), TermsOf(index.terms)
+            terms_of = TermsOf(index.terms)
             parts = [tuple(map(grams, question_and_answer(t))) for t in index.texts]
 
-            def held(doc_id: int | None, text: str | None) -> list[dict]:
-                terms = np.fromiter(chain.from_iterable(map(terms_of.__getitem__, (text or "").split())), np.int64)
-                at = np.flatnonzero(terms >= 0)
-                if not len(at):
-                    return []
-                own = np.unique(at // step * count + terms[at])  # the distinct terms of each step
-                place, term = own // count, own % count
-                best: dict[int, tuple] = {}
-                pairs = index.promising(place, term, threshold)
-                words, known = words_of(text) if pairs else [], -1
-                for k, block in pairs:
-                    if k != known:
-                        a, b = np.searchsorted(place, (k, k + 2))
-                        inside, passage, known = set(term[a:b].tolist()), None, k
-                    for item, score in index.search(inside, block, threshold):
-                        if passage is None:
-                            window = words[k * step : (k + 2) * step]
-                            passage = grams(window) | {(w,) for w in window} | set(zip(window, window[1:], strict=False))  # parts of one or two words, too
-                        q, a_ = (len(p & passage) / len(p) if p else 1.0 for p in parts[item])
-                        if q >= overlap and a_ >= overlap:
-                            best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (min(1.0, score), q, a_))
-                return [{"doc_id": doc_id, "item_id": index.item_ids[i], "score": s, "question_overlap": q, "answer_overlap": a} for i, (s, q, a) in sorted(best.items())]
+            def found(held: list[tuple[int | None, str, np.ndarray]]) -> pa.RecordBatch:
+                best: dict[tuple[int, int], tuple] = {}
+                passages: dict[tuple[int, int, int], set] = {}
+                for text, step, k, item, score in index.search([h[2] for h in held], threshold):
+                    passage = passages.get((text, step, k))
+                    if passage is None:
+                        window = words_of(held[text][1])[k * step : (k + 2) * step]
+                        passages[text, step, k] = passage = grams(window) | {(w,) for w in window} | set(zip(window, window[1:], strict=False))  # parts of one or two words, too
+                    q, a = (len(p & passage) / len(p) if p else 1.0 for p in parts[item])
+                    if q >= overlap and a >= overlap:
+                        best[text, item] = max(best.get((text, item), (0.0, 0.0, 0.0)), (min(1.0, score), q, a))
+                out = [{"doc_id": held[t][0], "item_id": index.item_ids[i], "score": s, "question_overlap": q, "answer_overlap": a} for (t, i), (s, q, a) in sorted(best.items())]
+                return pa.RecordBatch.from_pylist(out, schema=schema)
 
             for batch in batches:
-                out = [r for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in held(d, t)]
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                held, size = [], 0
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    terms = np.fromiter(chain.from_iterable(map(terms_of.__getitem__, (text or "").split())), np.int64)
+                    held.append((doc_id, text or "", terms))
+                    size += len(terms)
+                    if size >= TEXT_WORDS:
+                        yield found(held)
+                        held, size = [], 0
+                if held:
+                    yield found(held)
 
         part = rows.mapInArrow(run, columns)
         found = part if found is None else found.unionByName(part)
