@@ -1,16 +1,20 @@
 """Document scores by masked pseudo-likelihood under a bidirectional window network.
 
-Words are counted over all documents, and every word keeps its count.  The most frequent words are sent to every task;
-the others get an input row and a class by a hash, of which there are more the more such words there are.  A word's
-probability is that of its class, given two words on each side, times its share of the class; the counts of the words
-that aren't sent are joined to the documents' words.  The
-network is trained in numpy on every word of all documents at once: every task trains from the same start on its own
-partition in mini-batches, and the tasks' parameters are averaged in rounds of bounded fan-in, each weighted by the
-words it saw.
+Words are counted over all documents, and every word keeps its count.  The most frequent words have an input row and a
+leaf of the output tree each; the others share leaves by a hash, of which there are more the more such words there are,
+and a word's share of its leaf follows from the counts, which are joined to the documents' words.  The network predicts
+every word from two words on each side: a word's probability is the product of the choices on its path through a Huffman
+tree over all leaves, so the probabilities of all words sum to one.
+
+The network is trained in numpy on every word of all documents.  Documents are dealt by a hash to groups of about
+GROUP_WORDS words, one network is trained in mini-batches on each, all from the same start, and their parameters are
+averaged in rounds of bounded fan-in, weighted by words.  Groups depend on the rows alone, so neither the partitions nor
+the order of the table has a say.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -24,132 +28,191 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, prepared
 
-#: Words that are sent to every task, their input rows and output classes (the first ones of a single word each), and sizes.
+#: Words that have a leaf each, at most; steps of an octave by which the least count of such a word is found.
 VOCABULARY = 32_768
-INPUTS = 8192
-CLASSES = 256
-SINGLE = 192
-WIDTH = 24
+STEPS = 16
+WIDTH = 16
 SIDES = (-2, -1, 1, 2)
-#: Training predicts every word of each text, as scoring does; no other value has an effect.
-STRIDE = 1
-#: Input rows and classes for the words that aren't sent, each time that their number doubles.
-MORE_INPUTS = 256
-MORE_CLASSES = 4
-BATCH = 1024
+#: Leaves for the words that have none of their own, each time that their number doubles.
+MORE_LEAVES = 4
+#: Words of a mini-batch, of a group that trains one network, and networks that are averaged at once.
+BATCH = 4096
+#: Nodes at the top of the tree, which most paths go through: all words of a batch meet them at once.
+TOP = 64
+GROUP_WORDS = 4_000_000
 FAN_IN = 16
 TASK_WORDS = 200_000
 
 
 class Codes(dict):
-    """Input row, class and log share by word; a word that isn't held has those of its hash, and a share without its count."""
+    """Leaf by word; a word without a leaf of its own has that of its hash."""
 
-    def __init__(self, of: dict[str, tuple[int, int, float]], rest: list[float]) -> None:
+    def __init__(self, of: dict[str, int], rest: int) -> None:
         super().__init__(of)
-        self.rest = rest
+        self.own, self.rest = len(of), rest
 
-    def __missing__(self, word: str) -> tuple[int, int, float]:
-        h = zlib.crc32(word.encode())
-        k = h % len(self.rest)
-        return INPUTS + h % (len(self.rest) // MORE_CLASSES * MORE_INPUTS), CLASSES + k, self.rest[k]
+    def __missing__(self, word: str) -> int:
+        return self.own + zlib.crc32(word.encode()) % self.rest
 
     def __reduce__(self) -> tuple:
         return Codes, (dict(self), self.rest)
 
 
-def rest_classes(rest: int) -> int:
-    """How many classes ``rest`` distinct words share that aren't sent."""
-    return MORE_CLASSES * max(1, rest.bit_length())
+def rest_leaves(rest: int) -> int:
+    """How many leaves ``rest`` distinct words share."""
+    return MORE_LEAVES * max(1, rest.bit_length())
 
 
 @dataclass
 class Words:
-    """What is sent of the words.  Row 0 is the text's edge; rows from INPUTS and classes from CLASSES on are of words that aren't sent."""
+    """What is sent of the words: leaves, their log shares (0 for a word alone), and each leaf's path through the tree."""
 
     of: Codes
+    share: np.ndarray
+    #: Where a leaf's path begins, and the nodes and directions (1 or -1) along all paths.
+    begin: np.ndarray
+    node: np.ndarray
+    way: np.ndarray
 
     @classmethod
     def counted(cls, frequent: list[tuple[str, int]], rest: int, rest_mass: dict[int, int]) -> Words:
-        """``rest`` distinct words aren't frequent; ``rest_mass`` has the sum of their counts by class, from 0 on."""
-        classes = [1 + k if k < SINGLE - 1 else SINGLE + (k - SINGLE + 1) % (CLASSES - SINGLE) for k in range(len(frequent))]
-        mass = np.bincount(classes, [n for _, n in frequent], CLASSES) if frequent else np.zeros(CLASSES)
-        rows = [2 + k if k < INPUTS // 2 else 2 + INPUTS // 2 + k % (INPUTS // 2 - 2) for k in range(len(frequent))]
-        of = {w: (r, c, math.log(n / mass[c])) for (w, n), r, c in zip(frequent, rows, classes, strict=True)}
-        return cls(Codes(of, [-math.log(max(1, rest_mass.get(k, 0))) for k in range(rest_classes(rest))]))
+        """``rest`` distinct words aren't frequent; ``rest_mass`` has the sum of their counts by leaf, from 0 on."""
+        leaves = rest_leaves(rest)
+        mass = [max(1, rest_mass.get(k, 0)) for k in range(leaves)]
+        of = Codes({w: k for k, (w, _) in enumerate(frequent)}, leaves)
+        share = np.concatenate([np.zeros(len(frequent)), -np.log(mass)])
+        return cls(of, share, *huffman([*(n for _, n in frequent), *mass]))
 
     @property
-    def sizes(self) -> tuple[int, int]:
-        """Input rows and classes of the network."""
-        n = len(self.of.rest)
-        return INPUTS + n // MORE_CLASSES * MORE_INPUTS, CLASSES + n
+    def leaves(self) -> int:
+        return len(self.share)
 
     def encoded(self, text: str | None) -> np.ndarray:
-        """Input row, class and log share of each word: [3, words]."""
-        of = self.of
-        return np.array([x for w in text.split() for x in of[w]] if text else [], np.float64).reshape(-1, 3).T
+        """The leaf of each word."""
+        return np.fromiter(map(self.of.__getitem__, text.split()), np.int64) if text else np.zeros(0, np.int64)
+
+    def steps(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All steps of the paths to ``leaf``: which of them, node, way; and how many steps each has."""
+        count = self.begin[leaf + 1] - self.begin[leaf]
+        first = np.cumsum(count) - count
+        at = np.arange(int(count.sum())) + np.repeat(self.begin[leaf] - first, count)
+        return np.repeat(np.arange(len(leaf)), count), self.node[at], self.way[at], count
+
+
+def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The paths to the leaves of a Huffman tree: where each begins, nodes from the root on, and ways."""
+    n, heap = len(counts), [(c, k) for k, c in enumerate(counts)]
+    heapq.heapify(heap)
+    above, way = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32)
+    for parent in range(n, 2 * n - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        above[i], above[j], way[i], way[j] = parent, parent, 1, -1
+        heapq.heappush(heap, (a + b, parent))
+    begin, nodes, ways = [0], [], []
+    for leaf in range(n):
+        path, k = [], leaf
+        while k != 2 * n - 2:
+            path.append((2 * n - 2 - above[k], way[k]))  # the root is node 0
+            k = above[k]
+        nodes += [p[0] for p in reversed(path)]
+        ways += [p[1] for p in reversed(path)]
+        begin.append(len(nodes))
+    return np.array(begin), np.array(nodes, np.int64), np.array(ways, np.float32)
 
 
 @dataclass
 class WindowNet:
-    """Input rows by side [side, row, hidden], hidden bias, output weights and bias."""
+    """Input rows (0 is the text's edge), a scale by side, hidden bias, and the weights and bias of the tree's nodes."""
 
     inputs: np.ndarray
+    scale: np.ndarray
     bias: np.ndarray
-    outputs: np.ndarray
+    nodes: np.ndarray
     offset: np.ndarray
 
     @classmethod
-    def start(cls, seed: int, inputs: int, classes: int) -> WindowNet:
+    def start(cls, seed: int, leaves: int) -> WindowNet:
         draw = np.random.default_rng(seed)
-        make = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
-        return cls(make(len(SIDES), inputs, WIDTH), np.zeros(WIDTH, np.float32), make(WIDTH, classes), np.zeros(classes, np.float32))
+        make = lambda *shape: draw.normal(0, 0.3, shape).astype(np.float32)
+        return cls(make(leaves + 1, WIDTH), 1 + make(len(SIDES), WIDTH), np.zeros(WIDTH, np.float32), np.zeros((max(1, leaves - 1), WIDTH), np.float32), np.zeros(max(1, leaves - 1), np.float32))
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.inputs, self.bias, self.outputs, self.offset]
+        return [self.inputs, self.scale, self.bias, self.nodes, self.offset]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.bias + self.inputs[0].take(context[0], axis=0)
-        for k in range(1, len(SIDES)):
-            h += self.inputs[k].take(context[k], axis=0)
+        """``context``: input rows by place and side."""
+        h = np.einsum("psw,sw->pw", self.inputs[context], self.scale, optimize=False) + self.bias
         return np.tanh(h, out=h)
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each target class given its context: [side, place] and [place]."""
-        out = np.empty(len(target), np.float32)
-        for k in range(0, len(target), 4096):
-            z = self.hidden(context[:, k : k + 4096]) @ self.outputs
-            z += self.offset
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), target[k : k + 4096]]
-            out[k : k + 4096] = own - np.log(np.exp(z, out=z).sum(axis=1))
+    def log_probabilities(self, words: Words, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of each leaf given its context: [place, side] and [place]."""
+        out = np.empty(len(leaf))
+        for k in range(0, len(leaf), BATCH):
+            h = self.hidden(context[k : k + BATCH])
+            of, z, _ = self.choices(words, h, leaf[k : k + BATCH])
+            # log(sigmoid(z))
+            out[k : k + BATCH] = np.bincount(of, np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), len(h))
         return out
 
-    def learn(self, context: np.ndarray, target: np.ndarray, rate: float, squares: list[np.ndarray]) -> None:
+    def choices(self, words: Words, h: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Of all steps of the paths: which word's, and the answer in the step's way; and what learning needs besides."""
+        of, node, way, _ = words.steps(leaf)
+        top = node < TOP
+        near, far = np.flatnonzero(top), np.flatnonzero(~top)
+        beyond, w = h[of[far]], self.nodes[node[far]]
+        z = np.empty(len(node), np.float32)
+        z[near] = (h @ self.nodes[:TOP].T)[of[near], node[near]]
+        z[far] = np.einsum("iw,iw->i", beyond, w)
+        return of, way * (z + self.offset[node]), (node, way, near, far, beyond, w)
+
+    def learn(self, words: Words, context: np.ndarray, leaf: np.ndarray, rate: float, squares: list[np.ndarray]) -> None:
         """One step of Adagrad on a batch, on the rows of the batch alone where a table is large."""
-        h = self.hidden(context)
-        z = h @ self.outputs
-        z += self.offset
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z *= 1 / (len(target) * z.sum(axis=1, keepdims=True))
-        z[np.arange(len(target)), target] -= 1 / len(target)
-        back = (z @ self.outputs.T) * (1 - h * h)
-        for p, s, g in ((self.bias, squares[1], back.sum(axis=0)), (self.outputs, squares[2], h.T @ z), (self.offset, squares[3], z.sum(axis=0))):
-            s += g * g
-            p -= rate * g / (np.sqrt(s) + 1e-6)
-        for k in range(len(SIDES)):
-            order = np.argsort(context[k], kind="stable")
-            rows = context[k][order]
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            rows, g = rows[first], np.add.reduceat(back[order], first, axis=0)
-            squares[0][k, rows] += g * g
-            self.inputs[k, rows] -= rate * g / (np.sqrt(squares[0][k, rows]) + 1e-6)
-
-
-def contexts(rows: np.ndarray) -> np.ndarray:
-    """The rows on each side of every place; the edge's row beyond the text."""
-    padded = np.concatenate([[0, 0], rows, [0, 0]])
-    return np.stack([padded[2 + k : 2 + k + len(rows)] for k in SIDES])
+        x = self.inputs[context]
+        h = np.tanh(np.einsum("psw,sw->pw", x, self.scale, optimize=False) + self.bias)
+        of, z, (node, way, near, far, beyond, w) = self.choices(words, h, leaf)
+        g = -way / (1 + np.exp(np.clip(z, -30, 30)))
+        at_top = np.zeros((len(h), TOP), np.float32)
+        at_top[of[near], node[near]] = g[near]
+        back = at_top[:, : len(self.nodes)] @ self.nodes[:TOP]
+        if len(far):
+            w *= g[far, None]
+            first = np.flatnonzero(np.r_[True, of[far[1:]] != of[far[:-1]]])
+            back[of[far[first]]] += np.add.reduceat(w, first, axis=0)
+            beyond *= g[far, None]
+            rows, step = summed(node[far], beyond)
+            self._step(self.nodes, squares[3], rows, step, rate)
+        n = min(TOP, len(self.nodes))
+        self._step(self.nodes, squares[3], slice(0, n), (at_top.T @ h)[:n], rate)
+        total = np.bincount(node, g, len(self.offset)).astype(np.float32)
+        squares[4] += total * total
+        self.offset -= rate * total / np.sqrt(squares[4])
+        back *= 1 - h * h
+        sides = back[:, None, :] * self.scale
+        for p, s, d in ((self.scale, squares[1], np.einsum("psw,pw->sw", x, back)), (self.bias, squares[2], back.sum(axis=0))):
+            s += d * d
+            p -= rate * d / np.sqrt(s)
+        rows, step = summed(context.ravel(), sides.reshape(-1, WIDTH))
+        self._step(self.inputs, squares[0], rows, step, rate)
+
+    @staticmethod
+    def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
+        s = squares[rows] + g * g
+        squares[rows] = s
+        table[rows] -= rate * g / np.sqrt(s)
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows.astype(np.int32), kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def contexts(leaf: np.ndarray) -> np.ndarray:
+    """The input rows on each side of every place of a text: [place, side]."""
+    padded = np.concatenate([[0, 0], leaf + 1, [0, 0]])
+    return np.stack([padded[2 + k : 2 + k + len(leaf)] for k in SIDES], axis=1)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -172,71 +235,114 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fitted(columns: Iterable[pa.Array], words: Words, seed: int, rate: float = 0.1, least: int = BATCH) -> tuple[WindowNet, int]:
-    """The network that a task trains on its texts, each word being once the target, and the number of words."""
-    net = WindowNet.start(seed, *words.sizes)
-    squares, seen, held, size = [np.full_like(p, 1e-3) for p in net.parameters()], 0, [], 0
-
-    def learn() -> None:
-        x, y = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
-        for j in range(0, len(y), 4 * least):
-            net.learn(x[:, j : j + 4 * least], y[j : j + 4 * least], rate, squares)
-
-    for column in columns:
-        for text in column.to_pylist():
-            code = words.encoded(text)
-            n = code.shape[1]
-            if not n:
-                continue
-            held.append((contexts(code[0].astype(np.int64)), code[1].astype(np.int64)))
-            size += n
-            seen += n
-            if size >= least:
-                learn()
-                held, size = [], 0
-    if held:
-        learn()
-    return net, seen
-
-
-def train(texts: DataFrame, words: Words, seed: int, rate: float = 0.1) -> WindowNet:
-    """The average of the networks that the tasks train, each on the texts of its partition."""
-    spark = texts.sparkSession
+class Fit:
+    """A network in training on texts that come one by one; every word is once the target of a step."""
+
+    def __init__(self, words: Words, seed: int, batch: int, rate: float = 0.1):
+        self.words, self.batch, self.rate, self.net = words, batch, rate, WindowNet.start(seed, words.leaves)
+        self.squares = [np.full_like(p, 1e-2) for p in self.net.parameters()]
+        self.seen, self.size, self.held = 0, 0, []
+
+    def add(self, text: str | None) -> None:
+        leaf = self.words.encoded(text)
+        if len(leaf):
+            self.held.append((contexts(leaf), leaf))
+            self.size += len(leaf)
+            if self.size >= self.batch:
+                self.learn(whole=True)
+
+    def learn(self, whole: bool) -> None:
+        """Steps on what is held, as long as ``whole`` batches are left, or on all."""
+        x, y = np.concatenate([h[0] for h in self.held]), np.concatenate([h[1] for h in self.held])
+        stop = len(y) // self.batch * self.batch if whole else len(y)
+        for k in range(0, stop, self.batch):
+            self.net.learn(self.words, x[k : k + self.batch], y[k : k + self.batch], self.rate, self.squares)
+        self.seen, self.size, self.held = self.seen + min(stop, len(y)), len(y) - min(stop, len(y)), [(x[stop:], y[stop:])]
+
+    def done(self) -> tuple[WindowNet, int]:
+        if self.size:
+            self.learn(whole=False)
+        return self.net, self.seen
+
+
+def fitted(texts: Iterable[str | None], words: Words, seed: int) -> tuple[WindowNet, int]:
+    """The network that is trained on ``texts``, and the number of their words."""
+    fit = Fit(words, seed, BATCH)
+    for text in texts:
+        fit.add(text)
+    return fit.done()
+
+
+def train(rows: DataFrame, words: Words, total: int, seed: int) -> WindowNet:
+    """The average of the networks of all groups of ``rows`` (``doc_id, text``), which have ``total`` words."""
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(words)
-    columns = "task long, seen double, net binary"
+    columns = "part long, seen double, net binary"
+    parts = max(1, -(-total // GROUP_WORDS))
 
-    def row(task: int, seen: float, flat: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([seen], pa.float64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], names=["task", "seen", "net"])
+    def row(part: int, seen: float, flat: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.float64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], names=["part", "seen", "net"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        net, seen = fitted((batch.column(0) for batch in batches), shared.value, seed, rate, BATCH)
-        yield row(TaskContext.get().partitionId(), float(seen), np.concatenate([p.ravel() for p in net.parameters()]))
-
-    def mean(rows: pa.Table) -> pa.Table:
-        seen = np.array(rows.column("seen").to_pylist())
-        total = np.zeros(len(rows.column("net")[0].as_py()) // 4)
-        for w, net in zip(seen / seen.sum() if seen.sum() else np.full(len(seen), 1 / len(seen)), rows.column("net"), strict=True):
-            total += w * np.frombuffer(net.as_py(), np.float32)
-        return pa.Table.from_batches([row(rows.column("task")[0].as_py() // FAN_IN, float(seen.sum()), total)])
-
-    nets, left = texts.select("text").mapInArrow(fit, columns), texts.rdd.getNumPartitions()
-    while left > 1:
-        nets = nets.groupBy(F.floor(F.col("task") / FAN_IN).alias("to")).applyInArrow(mean, columns)
-        left = -(-left // FAN_IN)
-    found = nets.select("net").head()
-    net = WindowNet.start(seed, *words.sizes)
+        part, at = None, None
+        for batch in batches:
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part:
+                    if at is not None:
+                        yield row(part, *flat(*at.done()))
+                    part, at = p, Fit(shared.value, seed, BATCH)
+                at.add(text)
+        if at is not None:
+            yield row(part, *flat(*at.done()))
+
+    def flat(net: WindowNet, seen: int) -> tuple[float, np.ndarray]:
+        return float(seen), np.concatenate([p.ravel() for p in net.parameters()])
+
+    def mean(nets: pa.Table) -> pa.Table:
+        nets = nets.sort_by("part")
+        seen = np.array(nets.column("seen").to_pylist())
+        share = seen / seen.sum() if seen.sum() else np.full(len(seen), 1 / len(seen))
+        total = sum(w * np.frombuffer(net.as_py(), np.float32) for w, net in zip(share, nets.column("net"), strict=True))
+        return pa.Table.from_batches([row(nets.column("part")[0].as_py() // FAN_IN, float(seen.sum()), total)])
+
+    digest = F.xxhash64("doc_id", "text")
+    dealt = rows.where(F.col("text").isNotNull()).select(F.pmod(digest, F.lit(parts)).alias("part"), F.xxhash64(digest).alias("place"), "text")
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "place", "text").select("part", "text")
+    nets = cut(dealt.mapInArrow(fit, columns))
+    while nets.count() > 1:
+        nets = cut(nets.groupBy(F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(mean, columns))
+    net, found = WindowNet.start(seed, words.leaves), nets.select("net").head()
     if found:
-        flat, at = np.frombuffer(found.net, np.float32), 0
+        values, at = np.frombuffer(found.net, np.float32), 0
         for p in net.parameters():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
+            p[...] = values[at : at + p.size].reshape(p.shape)
             at += p.size
     return net
 
 
+def vocabulary(counts: DataFrame) -> tuple[Words, DataFrame, int]:
+    """What is sent of the words, the counts of those without a leaf of their own (``word, n``), and the number of all words.
+
+    A word has its own leaf if its count is at least the smallest that not more than VOCABULARY words reach, in steps.
+    """
+    level = F.floor(F.log2("n") * STEPS)
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
+    least, size = math.inf, 0
+    for r in levels:
+        size += r.words
+        if size > VOCABULARY:
+            break
+        least = r.level
+    frequent = [(r.word, r.n) for r in counts.where(level >= F.lit(float(least))).collect()]
+    others = counts.where(level < F.lit(float(least)))
+    rest = sum(r.words for r in levels) - len(frequent)
+    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(rest_leaves(rest))).cast("int")
+    mass = {r.k: r.n for r in others.groupBy(bucket.alias("k")).agg(F.sum("n").alias("n")).collect()}
+    return Words.counted(sorted(frequent, key=lambda p: (-p[1], p[0])), rest, mass), others, sum(r.n for r in levels)
+
+
 def score(documents: DataFrame, seed: int = 3) -> DataFrame:
-    """``doc_id, n_words, log_likelihood, mean_log_likelihood`` of every whole text (``doc_id, text``).
+    """``doc_id, mean_log_likelihood, log_likelihood, n_words`` of every whole text (``doc_id, text``).
 
     The log-likelihood is the sum of every word's conditional log-probability given both sides.  Null and empty texts
     have 0 words, the sum 0 and a null mean.  Repeated rows are scored each for itself and count each in training; a null ``doc_id`` is
@@ -244,34 +350,26 @@ def score(documents: DataFrame, seed: int = 3) -> DataFrame:
     """
     spark = prepared(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = cut(count_words(rows))
-    frequent = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    word, n = frequent[-1] if frequent else ("", 0)
-    others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
-    rest = others.count()
-    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(rest_classes(rest))).cast("int")
-    words = Words.counted(frequent, rest, {r.k: r.n for r in others.groupBy(bucket.alias("k")).agg(F.sum("n").alias("n")).collect()})
-    net = train(rows, words, seed)
-    shared = spark.sparkContext.broadcast((words, net))
+    words, others, total = vocabulary(cut(count_words(rows)))
+    shared = spark.sparkContext.broadcast((words, train(rows, words, total, seed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         words, net = shared.value
+        own = words.of.own
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(1).to_pylist()
             codes = [words.encoded(t) for t in texts]
-            n = np.array([c.shape[1] for c in codes], np.int64)
+            n = np.array([len(c) for c in codes], np.int64)
             total = np.zeros(len(codes))
             if n.sum():
-                x = np.concatenate([contexts(c[0].astype(np.int64)) for c in codes if c.shape[1]], axis=1)
-                y = np.concatenate([c[1] for c in codes]).astype(np.int64)
-                each = net.log_probabilities(x, y).astype(np.float64) + np.concatenate([c[2] for c in codes])
+                y = np.concatenate(codes)
+                each = net.log_probabilities(words, np.concatenate([contexts(c) for c in codes if len(c)]), y) + words.share[y]
                 total = np.bincount(np.repeat(np.arange(len(codes)), n), each, len(codes))
-            found = [Counter(w for w in t.split() if w not in words.of) if t else {} for t in texts]
-            left = pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(codes))), batch.column(0), pa.array(n), pa.array(total), left], names=["row", "doc_id", "n_words", "sum", "left"])
+            left = [Counter(w for w, c in zip(t.split(), code.tolist(), strict=True) if c >= own) if len(code) and code.max() >= own else {} for t, code in zip(texts, codes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(codes))), batch.column(0), pa.array(n), pa.array(total), pa.array([list(f.items()) for f in left], pa.map_(pa.string(), pa.int64()))], names=["row", "doc_id", "n_words", "sum", "left"])
             at += len(codes)
 
     # written, so that a row's number stays the same; the counts of its words that weren't sent are added by word
@@ -279,4 +377,4 @@ def score(documents: DataFrame, seed: int = 3) -> DataFrame:
     pairs = scored.select("row", F.explode("left").alias("word", "times"))
     added = pairs.join(others, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("added"))
     whole = scored.drop("left").join(added, "row", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("added", F.lit(0.0)))
-    return whole.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
+    return whole.select("doc_id", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"), "log_likelihood", "n_words")
