@@ -19,23 +19,23 @@ from loomgraph.llm.common import prepared
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
+#: A window begins so many bytes after the one before it: they overlap, so that no filter misses a place at a border.
+STRIDE = WINDOW - max(WIDTHS) + 1
 FILTERS = 8
 UNDETERMINED = "und"
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of all texts, zero-filled at the end: bytes, index of the text, number of its own bytes."""
+    """All windows of all texts, zero-filled at the end: bytes, index of the text, number of bytes that are its first windows'."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    counts = -(-sizes // WINDOW)
-    out = np.zeros((int(counts.sum()), WINDOW), np.uint8)
-    flat, at = out.reshape(-1), 0
-    for text, n in zip(texts, counts.tolist(), strict=True):
-        flat[at : at + len(text)] = np.frombuffer(text, np.uint8)
-        at += n * WINDOW
+    counts = -(-sizes // STRIDE)
     owner = np.repeat(np.arange(len(texts)), counts)
-    first = np.repeat(np.cumsum(counts) - counts, counts)
-    own = np.minimum(sizes[owner] - (np.arange(len(owner)) - first) * WINDOW, WINDOW)
-    return out, owner, own
+    within = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
+    flat = np.frombuffer(b"".join(t + bytes(WINDOW) for t in texts), np.uint8)
+    begin = np.cumsum(sizes + WINDOW) - sizes - WINDOW
+    out = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[begin[owner] + within] if len(owner) else np.zeros((0, WINDOW), np.uint8)
+    # what follows a text within its last window is its own zeros
+    return out, owner, np.minimum(sizes[owner] - within, STRIDE)
 
 
 @dataclass
@@ -144,9 +144,9 @@ def train(documents: DataFrame, sample_rows: int = 4000, windows_a_row: int = 2,
             got, tags = [], []
             for text, lang, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 content = text.encode()
-                n = -(-len(content) // WINDOW)
+                n = -(-len(content) // STRIDE)
                 for k in sorted({(h + j * (n // windows_a_row + 1)) % n for j in range(windows_a_row)}):
-                    got.append(content[k * WINDOW : (k + 1) * WINDOW])
+                    got.append(content[k * STRIDE : k * STRIDE + WINDOW])
                     tags.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(tags, pa.string())], names=["window", "lang"])
 
@@ -154,7 +154,7 @@ def train(documents: DataFrame, sample_rows: int = 4000, windows_a_row: int = 2,
     table = chosen.mapInArrow(sample, "window binary, lang string").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
     if not len(table):
         return None
-    x, _, _ = windows(table.column("window").to_pylist())
+    x = np.stack([np.frombuffer(w.ljust(WINDOW, b"\0"), np.uint8) for w in table.column("window").to_pylist()])
     y = np.searchsorted(languages, table.column("lang").to_pylist())
     return ByteNet.start(languages, seed).fit(x, y, epochs, seed)
 
