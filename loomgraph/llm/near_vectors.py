@@ -18,6 +18,8 @@ from loomgraph.llm.common import cut, prepared
 from loomgraph.llm.components import connected_components
 
 BLOCK = 256
+#: Rows that are held against all centroids at once: 16 MB for as many as 16,384 of them.
+ROWS = 128
 
 
 def spherical_k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -25,12 +27,17 @@ def spherical_k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarr
     draw = np.random.default_rng(seed)
     centroids = x[draw.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        fit = x @ centroids.T
-        own = fit.argmax(axis=1)
+        own, best = np.empty(len(x), np.int64), np.empty(len(x))
+        for at in range(0, len(x), ROWS):
+            fit = x[at : at + ROWS] @ centroids.T
+            own[at : at + ROWS] = fit.argmax(axis=1)
+            best[at : at + ROWS] = fit.max(axis=1)
+        order = np.argsort(own, kind="stable")
+        cells, first = np.unique(own[order], return_index=True)
         sums = np.zeros_like(centroids)
-        np.add.at(sums, own, x)
-        worst = iter(np.argsort(fit[np.arange(len(x)), own], kind="stable"))
-        for empty in np.flatnonzero(np.bincount(own, minlength=k) == 0):
+        sums[cells] = np.add.reduceat(x[order], first, axis=0)
+        worst = iter(np.argsort(best, kind="stable"))
+        for empty in np.setdiff1d(np.arange(k), cells):
             sums[empty] = x[next(worst)]
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centroids
@@ -113,14 +120,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim)) if (dims != dim).any() else batch
                 c = shared.value.get(int(dim), np.zeros((1, int(dim))))
-                fit = _matrix(pa.chunked_array([part.column(1)])) @ c.T
-                own = fit.argmax(axis=1)
-                apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-9
-                near = fit[np.arange(len(own)), own][:, None] - fit <= reach * apart[own]
-                near &= np.arange(len(c))[None, :] <= own[:, None]
-                row, cell = np.nonzero(near)
+                x, rows_, cells_, guests = _matrix(pa.chunked_array([part.column(1)])), [], [], []
+                for at in range(0, len(x), ROWS):
+                    fit = x[at : at + ROWS] @ c.T
+                    own = fit.argmax(axis=1)
+                    # borders between the cells of these rows and all others, not between all cells
+                    homes, home = np.unique(own, return_inverse=True)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * c[homes] @ c.T)) + 1e-9
+                    near = fit[np.arange(len(own)), own][:, None] - fit <= reach * apart[home]
+                    near &= np.arange(len(c))[None, :] <= own[:, None]
+                    row, cell = np.nonzero(near)
+                    rows_.append(row + at)
+                    cells_.append(cell)
+                    guests.append(cell != own[row])
+                row, cell, guest = map(np.concatenate, (rows_, cells_, guests))
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(cell != own[row])], names=["id", "v", "dim", "n", "label", "cell", "guest"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(guest)], names=["id", "v", "dim", "n", "label", "cell", "guest"])
 
     places = cut(classes.select("id", "v", "dim", "n", "label").mapInArrow(assign, "id long, v array<double>, dim int, n long, label string, cell int, guest boolean"))
     where = ["label", "dim", "cell"]
