@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch.  Texts may be long, so a batch is kept well below Spark's 10,000 rows.
+#: Rows and bytes of one Arrow batch.  Texts may be long, so a batch is kept well below Spark's 10,000 rows.
 ARROW_ROWS = 512
+ARROW_BYTES = 32 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with small Arrow batches and a checkpoint folder.
 
-    The folder is the cluster's own ``spark.checkpoint.dir``; one is chosen here only where none is set (tests).
+    The folder is the cluster's own ``spark.checkpoint.dir``.  Where none is set, a local session gets one of its own;
+    on a cluster that is an error, since executors don't share a folder that the driver would choose.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return spark
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.byte_bpe import CACHE_CHARS, Pieces, load, special_tokens, splitter
-from loomgraph.llm.common import prepared
+from loomgraph.llm.common import cut, prepared
 
 #: Pieces in the broadcast tier (under 1 MB), distinct pieces a task counts at once, summaries merged by one task.
 HOT_PIECES = 8192
@@ -57,16 +57,15 @@ def frequent_pieces(texts: DataFrame, most: int = HOT_PIECES) -> list[str]:
 
     def merge(rows: pa.Table) -> pa.Table:
         counts: Counter = Counter()
+        rows = rows.sort_by("task")
         for pieces, n in zip(rows.column("pieces").to_pylist(), rows.column("counts").to_pylist(), strict=True):
             counts.update(dict(zip(pieces, n, strict=True)))
         return pa.Table.from_batches([_summary(rows.column("task")[0].as_py() // FAN_IN, counts, most)])
 
-    summaries, left = texts.select("text").mapInArrow(count, "task long, pieces array<string>, counts array<long>"), texts.rdd.getNumPartitions()
-    while True:  # one round at least, so that the tasks count side by side and one summary comes to the driver
-        summaries = summaries.groupBy(F.floor(F.col("task") / FAN_IN).alias("to")).applyInArrow(merge, "task long, pieces array<string>, counts array<long>")
-        if left <= FAN_IN:
-            break
-        left = -(-left // FAN_IN)
+    columns = "task long, pieces array<string>, counts array<long>"
+    summaries = cut(texts.select("text").mapInArrow(count, columns))
+    while summaries.count() > 1:
+        summaries = cut(summaries.groupBy(F.floor(F.col("task") / FAN_IN).alias("to")).applyInArrow(merge, columns))
     found = summaries.head()
     return list(found.pieces) if found else []
 
