@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from loomgraph.llm import bpe_codec, decontamination, lang_id, lm_scoring, near_texts, near_vectors, repeats, secret_scans, suffixes, token_counts, warc
@@ -115,6 +115,36 @@ def test_language_id_on_held_out_rows(spark):
     assert all(r.lang_pred == "und" for r in lang_id.identify(documents(spark, texts[:20], [None] * 20)).collect())
 
 
+def test_byte_net_against_a_plain_version():
+    """Pooling over every place of whole texts, and gradients against small changes of the loss."""
+    net = lang_id.ByteNet.start(["a", "b", "c"], 3)
+    texts = [prose(k, n).encode() for k, n in enumerate((1, 40, 52, 90))] + [b"x" * 253, b"y" * 256, b"z" * 257, "é".encode() * 400]
+    x, owner, own = lang_id.windows(texts)
+    assert np.bincount(owner, own).tolist() == [len(t) for t in texts]
+    for t in range(len(texts)):
+        seen = {bytes(w[k : k + 4]) for w in x[owner == t] for k in range(lang_id.STRIDE)}
+        padded = texts[t] + bytes(3)
+        assert {padded[k : k + 4] for k in range(len(texts[t]))} <= seen
+    said = net.probabilities(x)
+    for w, p in zip(x, said, strict=True):
+        answer = [max(sum(f[j, w[k + j], i] for j in range(len(f))) for k in range(lang_id.STRIDE)) for f in net.filters for i in range(lang_id.FILTERS)]
+        z = np.maximum(np.array(answer) + net.bias, 0) @ net.weight + net.offset
+        assert np.allclose(p, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+    y = np.arange(len(x)) % 3
+    net = lang_id.ByteNet(net.languages, *([p.astype(np.float64) for p in part] if isinstance(part, list) else part.astype(np.float64) for part in (net.filters, net.bias, net.weight, net.offset)))
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(len(y)), y]).mean()
+    draw = random.Random(5)
+    for p, g in zip(net.parameters(), net.gradients(x, y), strict=True):
+        for at in draw.sample(list(zip(*np.nonzero(g), strict=True)), 8 if g.any() and np.count_nonzero(g) >= 8 else np.count_nonzero(g)):
+            old = p[at]
+            p[at] = old + 1e-6
+            up = loss()
+            p[at] = old - 1e-6
+            slope = (up - loss()) / 2e-6
+            p[at] = old
+            assert abs(slope - g[at]) <= 1e-3 * abs(g[at]) + 1e-6
+
+
 def jaccard(texts: list) -> tuple[dict, dict]:
     shingled = Shingler()
     sets = [set(shingled(t).tolist()) for t in texts]
@@ -160,7 +190,6 @@ def test_jaccard_join_of_large_buckets(spark):
 def test_lm_scores_order_above_noise(spark, monkeypatch):
     """A text in a pattern that the corpus repeats scores above one of the same words in another order."""
     monkeypatch.setattr(lm_scoring, "BATCH", 32)
-    monkeypatch.setattr(lm_scoring, "STRIDE", 1)
     cycle = ["red", "green", "blue", "white", "black"]
     texts = [" ".join(cycle[(k + j) % 5] for j in range(100)) for k in range(60)]
     mixed = cycle * 20
@@ -171,28 +200,98 @@ def test_lm_scores_order_above_noise(spark, monkeypatch):
     assert min(got[k].mean_log_likelihood for k in range(60)) > got[60].mean_log_likelihood + 0.5
 
 
-def test_lm_trains_on_every_word(spark, monkeypatch):
+def lm_corpus() -> list:
+    return [*AWKWARD, *(prose(70 + k, 150, "abcd") for k in range(40)), prose(9, 9000, "abc")]
+
+
+def test_lm_trains_on_every_word(monkeypatch):
     """With the parameters of production, each word of each text is once the target of a training step."""
     targets, learn = [], lm_scoring.WindowNet.learn
-    monkeypatch.setattr(lm_scoring.WindowNet, "learn", lambda net, x, y, *rest: (targets.extend(y.tolist()), learn(net, x, y, *rest)))
+    monkeypatch.setattr(lm_scoring.WindowNet, "learn", lambda net, words, x, y, *rest: (targets.extend(y.tolist()), learn(net, words, x, y, *rest)))
     texts = [None, "", "one", *(prose(k, 300 + k) for k in range(8)), prose(9, 9000)]
     n = sum(len((t or "").split()) for t in texts)
     words = lm_scoring.Words.counted([("one", 1)], n - 1, {})
-    assert lm_scoring.fitted([pa.array(texts[:6]), pa.array(texts[6:])], words, 3)[1] == n == len(targets)
+    assert lm_scoring.fitted(texts, words, 3)[1] == n
+    assert sorted(targets) == sorted(x for t in texts for x in words.encoded(t).tolist())
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    """A step of Adagrad goes the way of the loss' slope, found by small changes of every parameter."""
+    words = lm_scoring.Words.counted([("a", 9), ("b", 5), ("c", 3)], 4, {0: 2, 3: 1})
+    net = lm_scoring.WindowNet.start(1, words.leaves)
+    draw = np.random.default_rng(2)
+    for p in net.parameters():
+        p += draw.normal(0, 0.3, p.shape).astype(np.float32)
+    leaf = words.encoded("a b c a x y a b z a c")
+    x = lm_scoring.contexts(leaf)
+    loss = lambda: -net.log_probabilities(words, x, leaf).sum()
+    slopes = []
+    for p in net.parameters():
+        slope = np.zeros_like(p)
+        for at in np.ndindex(p.shape):
+            old = p[at]
+            p[at] = old + 1e-2
+            up = loss()
+            p[at] = old - 1e-2
+            slope[at] = (up - loss()) / 2e-2
+            p[at] = old
+        slopes.append(slope)
+    before = [p.copy() for p in net.parameters()]
+    net.learn(words, x, leaf, 1e-3, [np.zeros_like(p) + 1e12 for p in net.parameters()])  # so much that a step is the slope, scaled
+    for p, old, slope in zip(net.parameters(), before, slopes, strict=True):
+        assert np.allclose((old - p) * 1e9, slope, atol=0.15 * max(1e-3, np.abs(slope).max()) + 60 * np.finfo(np.float32).eps * 1e9 * np.abs(old).max())
+
+
+def plain_log_probability(words, net, context: list[int], leaf: int) -> float:
+    h = [math.tanh(net.bias[w] + sum(net.inputs[r, w] * net.scale[s, w] for s, r in enumerate(context))) for w in range(lm_scoring.WIDTH)]
+    path = range(words.begin[leaf], words.begin[leaf + 1])
+    return -sum(math.log1p(math.exp(-words.way[k] * (sum(a * b for a, b in zip(h, net.nodes[words.node[k]], strict=True)) + net.offset[words.node[k]]))) for k in path)
+
+
+def test_lm_scores_are_sums_over_a_plain_version(spark, monkeypatch):
+    """Each score against loops over words and path steps; all leaves' probabilities sum to 1; partitions and order have no say."""
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 60)
+    monkeypatch.setattr(lm_scoring, "GROUP_WORDS", 4000)
+    kept = {}
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda rows, words, *rest: kept.setdefault("net", (words, train(rows, words, *rest)))[1])
+    texts = lm_corpus()
+    docs = documents(spark, texts)
+    got = {r.doc_id: r for r in lm_scoring.score(docs.repartition(3)).collect()}
+    words, net = kept.pop("net")
+    counts: dict[str, int] = {}
+    for t in texts:
+        for w in (t or "").split():
+            counts[w] = counts.get(w, 0) + 1
+    mass: dict[int, int] = {}
+    for w, n in counts.items():
+        mass[words.of[w]] = mass.get(words.of[w], 0) + n
+    for k, t in enumerate(texts[:-1]):
+        leaves = [words.of[w] for w in (t or "").split()]
+        padded = [-1, -1, *leaves, -1, -1]
+        want = 0.0
+        for j, w in enumerate((t or "").split()):
+            own = 0.0 if leaves[j] < words.of.own else math.log(counts[w] / mass[leaves[j]])
+            want += own + plain_log_probability(words, net, [padded[j + 2 + s] + 1 for s in lm_scoring.SIDES], leaves[j])
+        assert got[k].n_words == len(leaves) and abs(got[k].log_likelihood - want) <= 1e-4 * max(1.0, abs(want)), k
+    total = sum(math.exp(plain_log_probability(words, net, [0, 1, 2, 3], leaf)) for leaf in range(words.leaves))
+    assert abs(total - 1) < 1e-5
+    again = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs.orderBy(docs.doc_id.desc()).repartition(7)).collect()}
+    assert all(abs(again[k] - r.log_likelihood) <= 1e-6 * max(1.0, abs(r.log_likelihood)) for k, r in got.items())
 
 
 def test_lm_counts_of_rare_words(spark, monkeypatch):
-    """Two words of one hashed row and class, both beyond the words that are sent, score apart by the log of their counts."""
+    """Two words of one hashed leaf, both without one of their own, score apart by the log of their counts."""
     monkeypatch.setattr(lm_scoring, "VOCABULARY", 1)
     alike = {}
     for k in range(100_000):
-        alike.setdefault(zlib.crc32(f"w{k}".encode()) % (4 * 256 * 5), []).append(f"w{k}")
+        alike.setdefault(zlib.crc32(f"w{k}".encode()) % lm_scoring.rest_leaves(2), []).append(f"w{k}")
     a, b = max(alike.values(), key=len)[:2]
     texts = [*["common"] * 300, *[a] * 40, *[b] * 5, None]
     got = {r.doc_id: r for r in lm_scoring.score(documents(spark, texts)).collect()}
     assert len(got) == len(texts) and got[345].n_words == 0
     assert abs(got[300].log_likelihood - got[340].log_likelihood - np.log(40 / 5)) < 1e-3
-    assert lm_scoring.rest_classes(10**6) > lm_scoring.rest_classes(10**3)
+    assert lm_scoring.rest_leaves(10**6) > lm_scoring.rest_leaves(10**3)
 
 
 def vectors() -> list:
@@ -254,6 +353,64 @@ def test_decontamination(spark):
     assert decontamination.leaks(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def plain_leaks(texts: list, items: list, threshold: float = 0.5, overlap: float = 0.5) -> dict:
+    """BM25 of every passage of every text against every item, by loops."""
+    words_of = lambda t: re.findall(r"\w+", (t or "").lower())
+    own = {i: words_of(t) for i, t in items if words_of(t)}
+    mean, n = sum(map(len, own.values())) / len(own), len(own)
+    df = {}
+    for w in own.values():
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    weight = {}
+    for i, w in own.items():
+        raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)}
+        weight[i] = {t: x / sum(raw.values()) for t, x in raw.items()}
+    out = {}
+    for d, text in enumerate(texts):
+        words = words_of(text)
+        for i, w in own.items():
+            step = 16
+            while step < len(w):
+                step *= 4
+            question, answer = map(decontamination.grams, decontamination.question_and_answer(dict(items)[i]))
+            for k in range(max(1, -(-len(words) // step) - 1)):
+                window = words[k * step : (k + 2) * step]
+                score = sum(x for t, x in weight[i].items() if t in set(window))
+                runs = {tuple(window[j : j + m]) for m in (1, 2, 3) for j in range(len(window) - m + 1)}
+                q, a = (len(p & runs) / len(p) if p else 1.0 for p in (question, answer))
+                if score >= threshold - 1e-9 and q >= overlap and a >= overlap:
+                    out[d, i] = max(out.get((d, i), (0.0, 0.0, 0.0)), (min(1.0, score), q, a))
+    return out
+
+
+@pytest.mark.parametrize("words_a_shard", [1 << 20, 300])
+def test_decontamination_against_every_passage_and_item(spark, words_a_shard):
+    """Few different words, so that lists are long and many items are near the threshold; items of 1 to 200 words."""
+    draw = random.Random(11)
+    vocabulary = prose(77, 60).split()
+    say = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    items = [(k, say(draw.choice((1, 3, 9, 15, 16, 17, 30, 64, 65, 200)))) for k in range(70)] + [(90, "Is " + say(8) + "? " + say(3)), (91, None), (92, "?!")]
+    texts = [None, "", *(say(draw.choice((5, 40, 150, 700))) for _ in range(40))]
+    texts += [say(37) + " " + t + " " + say(55) for _, t in items[::3] if t] + [" ".join(t.split()[: 2 * len(t.split()) // 3]) for _, t in items[:30]]
+    want = plain_leaks(texts, items)
+    got = decontamination.leaks(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), shard_words=words_a_shard).collect()
+    assert len(want) > 60 and {(r.doc_id, r.item_id) for r in got} == set(want) and len(got) == len(want)
+    assert all(np.allclose((r.score, r.question_overlap, r.answer_overlap), want[r.doc_id, r.item_id]) for r in got)
+
+
+def test_decontamination_windows_follow_an_item_s_own_length(spark):
+    """Pieces of a short item 300 words apart are no leak, however long other items are and however they are dealt."""
+    short, other = prose(40, 20), prose(41, 25)
+    long = " ".join(prose(42 + k, 200) for k in range(10))
+    words = short.split()
+    text = " ".join(words[:10]) + " " + prose(60, 300) + " " + " ".join(words[10:])
+    items = spark.createDataFrame([(1, short), (2, long), (3, other)], "item_id long, text string")
+    for words_a_shard in (1 << 20, 40):
+        got = decontamination.leaks(documents(spark, [text, "x " + short, "y " + long]), items, shard_words=words_a_shard).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2)]
+
+
 def secrets_of(text: str) -> tuple:
     kinds = (
         (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
