@@ -1,7 +1,7 @@
 """Benchmark decontamination: BM25 over test items, searched by every passage of every text by block-max WAND.
 
 The test items are the indexed side, in shards of bounded size, each broadcast in its turn.  Items are of length classes
-(16, 64, 256 ... words); a class is searched by windows of twice its length, half overlapping, so an item's whole text
+(16, 24, 36 ... words); a class is searched by windows of twice its length, half overlapping, so an item's whole text
 lies in one of them, and neither other items nor shards have a say in where windows lie.  A score is a share of what the
 item scores against itself.  A passage has a cursor on the list of each of its terms.  The lists' largest weights say up
 to which cursor, in the order of items, the threshold can be reached; the largest weights of the blocks that hold this
@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import prepared
 
 K1, B = 1.2, 0.75
-#: Words of the shortest length class; each further class is four times as long.
+#: Words of the shortest length class; each further class is half as long again.
 SHORTEST = 16
 #: Postings of a block of a list; words of the items that one broadcast index holds.
-BLOCK_POSTINGS = 8
+BLOCK_POSTINGS = 16
 SHARD_WORDS = 1 << 20
 #: Cursors that step together, and words whose passages are searched at once.
 CURSORS = 1 << 14
@@ -43,21 +42,48 @@ def words_of(text: str | None) -> list[str]:
 
 
 class TermsOf(dict):
-    """Terms of the words of a piece between white space, -1 for words that no item has; starts anew when it is large."""
+    """The term of each piece between white space, -1 for a word that no item has; pieces of none or several words have a
+    lower number, the place of their terms in ``lists``."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
-        self.terms = terms
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= 400_000:
-            self.clear()
-        found = tuple(self.terms.get(w, -1) for w in words_of(piece))
-        self[piece] = found = NO_TERM if found == NO_TERM else found
+        self.terms, self.lists = terms, []
+
+    def __missing__(self, piece: str) -> int:
+        core = piece.lower().strip(MARKS)
+        if core.isalnum():
+            found = self.terms.get(core, -1)
+        else:
+            words = words_of(piece)
+            found = self.terms.get(words[0], -1) if len(words) == 1 else -2 - len(self.lists)
+            if len(words) != 1:
+                self.lists.append([self.terms.get(w, -1) for w in words])
+        self[piece] = found
         return found
 
-
-NO_TERM = (-1,)
+    def of(self, text: str) -> np.ndarray:
+        """The terms of a text's words in order."""
+        if len(self) >= CACHE:
+            self.clear()
+            self.lists.clear()
+        pieces = text.split()
+        found = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        odd = np.flatnonzero(found < -1)
+        if not len(odd):
+            return found
+        lists = [self.lists[-2 - k] for k in found[odd].tolist()]
+        count = np.ones(len(found), np.int64)
+        count[odd] = [len(x) for x in lists]
+        begin, out = np.cumsum(count) - count, np.repeat(found, count)
+        for at, x in zip(begin[odd].tolist(), lists, strict=True):
+            out[at : at + len(x)] = x
+        return out
+
+
+#: Pieces that a task remembers.
+CACHE = 400_000
+#: Marks around a word that is otherwise one run of letters and digits.
+MARKS = ".,;:!?()[]\"'"
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -75,10 +101,10 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
 
 
 def length_class(words: int) -> int:
-    """The longest that an item of so many words may be in its class."""
+    """The longest that an item of so many words may be in its class: close to its own length, so that weights are alike."""
     longest = SHORTEST
     while longest < words:
-        longest *= 4
+        longest += longest // 2
     return longest
 
 
@@ -104,6 +130,8 @@ class Lists:
         last = np.append(first[1:], len(term)) - 1
         self.block_base, self.block_last, self.block_key = np.append(term[first] * (items + 1), -1), np.append(self.item[last], self.item_kind(items)), self.key[last]
         self.block_top = np.append(np.maximum.reduceat(self.weight[:-1], first), 0.0)
+        blocks = np.searchsorted(term[first], np.arange(terms + 2))
+        self.first_block, self.several = blocks[:-1], np.diff(blocks) > 1
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Passages, items and scores of at least ``threshold``; ``passage`` and ``term`` are distinct pairs in order of passages."""
@@ -129,6 +157,7 @@ class Lists:
 
     def wand(self, passage: np.ndarray, terms: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Block-max WAND over rows of cursors, one row a passage, one cursor a term."""
+        several, single = self.several[terms], self.first_block[terms]
         base, top, cursor, stop = (terms * (self.items + 1)).astype(self.key_kind), self.top[terms], self.begin[terms], self.begin[terms + 1]
         while len(passage):
             here = np.where(cursor < stop, self.item[cursor], self.item_kind(self.items))
@@ -140,12 +169,14 @@ class Lists:
             if not some:
                 return
             if some < 0.7 * len(on):  # else the rows that are done stay a while, without a pivot
-                passage, base, top, cursor, stop, here, inward, reached, on = (x[on] for x in (passage, base, top, cursor, stop, here, inward, reached, on))
+                passage, base, top, cursor, stop, several, single, here, inward, reached, on = (x[on] for x in (passage, base, top, cursor, stop, several, single, here, inward, reached, on))
             pivot = np.where(on, inward[np.arange(len(passage)), reached.argmax(axis=1)], self.item_kind(-1))
             row, column = np.nonzero(here <= pivot[:, None])
             begun, p = base[row, column], pivot[row]
-            block = np.searchsorted(self.block_key, begun + p)
-            held = self.block_base[block] == begun
+            block = single[row, column]  # the block that holds the list's first item from the pivot on
+            many = np.flatnonzero(several[row, column])
+            block[many] = np.searchsorted(self.block_key, begun[many] + p[many])
+            held = (self.block_base[block] == begun) & (self.block_last[block] >= p)
             worth = np.bincount(row, np.where(held, self.block_top[block], 0.0), len(passage)) >= least
             # past the nearest end of the pivot's blocks, or on to the next cursor
             beyond = np.where(here > pivot[:, None], here, self.item_kind(self.items)).min(axis=1)
@@ -276,7 +307,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
             for batch in batches:
                 held, size = [], 0
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    terms = np.fromiter(chain.from_iterable(map(terms_of.__getitem__, (text or "").split())), np.int64)
+                    terms = terms_of.of(text or "")
                     held.append((doc_id, text or "", terms))
                     size += len(terms)
                     if size >= TEXT_WORDS:
