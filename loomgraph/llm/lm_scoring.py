@@ -41,6 +41,8 @@ BATCH = 4096
 TOP = 64
 GROUP_WORDS = 4_000_000
 FAN_IN = 16
+#: Tasks that groups are dealt to; a task has one network in hand at a time, however many groups it has.
+MOST_TASKS = 8192
 TASK_WORDS = 200_000
 
 
@@ -307,7 +309,7 @@ def train(rows: DataFrame, words: Words, total: int, seed: int) -> WindowNet:
 
     digest = F.xxhash64("doc_id", "text")
     dealt = rows.where(F.col("text").isNotNull()).select(F.pmod(digest, F.lit(parts)).alias("part"), F.xxhash64(digest).alias("place"), "text")
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "place", "text").select("part", "text")
+    dealt = dealt.repartitionById(min(parts, MOST_TASKS), F.pmod("part", F.lit(min(parts, MOST_TASKS))).cast("int")).sortWithinPartitions("part", "place", "text").select("part", "text")
     nets = cut(dealt.mapInArrow(fit, columns))
     while nets.count() > 1:
         nets = cut(nets.groupBy(F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(mean, columns))
