@@ -372,7 +372,7 @@ def plain_leaks(texts: list, items: list, threshold: float = 0.5, overlap: float
         for i, w in own.items():
             step = 16
             while step < len(w):
-                step *= 4
+                step += step // 2
             question, answer = map(decontamination.grams, decontamination.question_and_answer(dict(items)[i]))
             for k in range(max(1, -(-len(words) // step) - 1)):
                 window = words[k * step : (k + 2) * step]
