@@ -33,19 +33,6 @@ def flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
-def sentences(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, pos, sentence``: cut after .!? before white space, after full-width stops, and at empty lines; trimmed, none empty."""
-    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), r"([.!?])(?=\s)", "$1\u0001"), "([。！？；])", "$1\u0001"), "\n(?=\n)", "\n\u0001")
-    parts = F.filter(F.transform(F.split(cut, "\u0001"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    return rows.select(key, F.posexplode(parts).alias("pos", "sentence"))
-
-
-def clauses(rows: DataFrame, key: str) -> DataFrame:
-    """``key, pos, at, clause``: sentences cut after commas, semicolons and colons."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace("sentence", "([,;:，；：、])", "$1\u0001"), "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
-    return rows.select(key, "pos", F.posexplode(parts).alias("at", "clause"))
-
-
 def concepts(text: Column) -> Column:
     """Ids of the concepts that a text names: Latin names between spaces, others anywhere."""
     norm = F.trim(F.regexp_replace(F.regexp_replace(flat(text), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
@@ -57,21 +44,6 @@ def concepts(text: Column) -> Column:
     return let(F.concat(F.lit(" "), norm, F.lit(" ")), named)
 
 
-def classes(text: Column) -> Column:
-    """Names of the semantic classes whose words a text has."""
-    return let(flat(text), lambda low: F.array_compact(F.array(*(F.when(low.rlike(ascii_words(p)), k) for k, p in X.PATTERNS.items()))))
-
-
-def noise(clauses_: DataFrame, key: str, clause: str) -> DataFrame:
-    """A disposition for each clause: repeats and acknowledgements are evidence only, short ones without a class are hints, the rest is kept."""
-    norm = flat(F.col(clause))
-    w = Window.partitionBy(key, "norm").orderBy("pos", "at")
-    rows = clauses_.withColumn("norm", norm).withColumn("seen", F.row_number().over(w))
-    weak = (F.size(classes(F.col(clause))) == 0) & (F.size(concepts(F.col(clause))) == 0) & (F.size(F.split("norm", " ")) <= 3)
-    out = F.when(F.col("norm") == "", "drop").when((F.col("seen") > 1) | F.col("norm").rlike(ACKNOWLEDGEMENT), "evidence_only").when(weak, "hint_only").otherwise("materialize")
-    return rows.withColumn("disposition", out).drop("seen")
-
-
 def digested(results: DataFrame, text: str) -> DataFrame:
     """Large results as head and tail with what is left out; small ones as they are."""
     t = F.coalesce(F.col(text), F.lit(""))

@@ -11,44 +11,14 @@ from loomgraph.queries.model_sql import CORRECTIONS, NODES, RECORDS, with_
 from loomgraph.queries.registry import query
 from loomgraph.sources import corpus as C
 
-SENTENCES = "sentences AS (SELECT doc_id, s FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?])(\\s)', '\\1' || chr(1) || '\\2', 'g'), '([。！？；])', '\\1' || chr(1), 'g'), '\\n\\n', chr(10) || chr(1) || chr(10), 'g'), chr(1))) AS r FROM documents), LATERAL (SELECT regexp_replace(regexp_replace(r, '^\\s+', ''), '\\s+$', '') AS s) WHERE s <> '')"
 FLAT = "trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g'))"
 
 
-@query("ref_op184_sentences", with_(SENTENCES) + "SELECT doc_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS chars FROM sentences GROUP BY 1")
-def sentences(spark, d):
-    return P.sentences(C.read(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.char_length("sentence")).alias("chars"))
-
-
-CLAUSES = "clauses AS (SELECT doc_id, c FROM (SELECT doc_id, unnest(string_split(regexp_replace(s, '([,;:，；：、])', '\\1' || chr(1), 'g'), chr(1))) AS r FROM sentences), LATERAL (SELECT trim(r) AS c) WHERE c <> '')"
-
-
-def _clauses(spark, d):
-    return P.clauses(P.sentences(C.read(spark, d, "documents"), "doc_id", "text"), "doc_id")
-
-
-@query("ref_op185_clauses", with_(SENTENCES, CLAUSES) + "SELECT doc_id, count(*) AS n_clauses, sum(length(c))::BIGINT AS chars FROM clauses GROUP BY 1")
-def clauses(spark, d):
-    return _clauses(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_clauses"), F.sum(F.char_length("clause")).alias("chars"))
-
-
 @query("ref_op183_utterance_normalisation", f"SELECT conv_id, turn, sha256({FLAT.format('text')}) AS norm_sha FROM conversations")
 def utterances(spark, d):
     return C.read(spark, d, "conversations").select("conv_id", "turn", F.sha2(P.flat(F.col("text")), 256).alias("norm_sha"))
 
 
-CONCEPT_CASES = " + ".join("(" + " OR ".join(f"contains(p, '{f' {a} ' if a.isascii() else a}')" for a in names) + ")::INT" for names in P.CONCEPTS.values())
-SPICED = "CASE turn % 4 WHEN 0 THEN text || ' KG and checkpoint' WHEN 1 THEN 'trace view, ' || text WHEN 2 THEN text || ' 图谱' ELSE text END"
-
-
-@query("ref_op188_concepts", f"SELECT conv_id, turn, {CONCEPT_CASES} AS concepts FROM (SELECT conv_id, turn, ' ' || trim(regexp_replace(regexp_replace({FLAT.format(SPICED)}, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ' ' AS p FROM conversations)")
-def concepts(spark, d):
-    t, turn = F.col("text"), F.col("turn") % 4
-    said = F.when(turn == 0, F.concat(t, F.lit(" KG and checkpoint"))).when(turn == 1, F.concat(F.lit("trace view, "), t)).when(turn == 2, F.concat(t, F.lit(" 图谱"))).otherwise(t)
-    return C.read(spark, d, "conversations").select("conv_id", "turn", F.size(P.concepts(said)).alias("concepts"))
-
-
-CLASS_CASES = " + ".join("regexp_matches(f, '" + p.replace("'", "''") + "')::INT" for p in X.PATTERNS.values())
 SAID = "CASE turn % 5 WHEN 0 THEN text || ' we need a tool' WHEN 1 THEN 'You must not do it; ' || text WHEN 2 THEN text || ' failed with an error' WHEN 3 THEN 'What is the next step?' ELSE text END"
 
 
@@ -57,11 +27,6 @@ def _said():
     return F.when(turn == 0, F.concat(t, F.lit(" we need a tool"))).when(turn == 1, F.concat(F.lit("You must not do it; "), t)).when(turn == 2, F.concat(t, F.lit(" failed with an error"))).when(turn == 3, "What is the next step?").otherwise(t)
 
 
-@query("ref_op189_semantic_classes", f"SELECT conv_id, turn, {CLASS_CASES} AS classes FROM (SELECT conv_id, turn, {FLAT.format(SAID)} AS f FROM conversations)")
-def semantic_classes(spark, d):
-    return C.read(spark, d, "conversations").select("conv_id", "turn", F.size(P.classes(_said())).alias("classes"))
-
-
 @query("ref_op190_node_type_ladder", f"SELECT conv_id, turn, CASE WHEN regexp_matches(f, '{X.PATTERNS['Risk']}') THEN 'Risk' WHEN regexp_matches(f, '{X.PATTERNS['Constraint'].replace(chr(39), chr(39) * 2)}') THEN 'Constraint' WHEN regexp_matches(f, '{X.PATTERNS['Step']}') THEN 'Step' WHEN regexp_matches(f, '{X.PATTERNS['Goal']}') THEN 'Goal' ELSE CASE role WHEN 'user' THEN 'Intent' WHEN 'assistant' THEN 'Decision' ELSE 'State' END END AS type FROM (SELECT conv_id, turn, role, {FLAT.format(SAID)} AS f FROM conversations)")
 def node_type_ladder(spark, d):
     low = P.flat(_said())
@@ -72,12 +37,6 @@ def node_type_ladder(spark, d):
     return C.read(spark, d, "conversations").select("conv_id", "turn", kind.alias("type"))
 
 
-@query("ref_op232_noise_policy")
-def noise_policy(spark, d):
-    n = lambda k: F.count_if(F.col("disposition") == k).alias(k)
-    return P.noise(_clauses(spark, d), "doc_id", "clause").groupBy("doc_id").agg(*map(n, ("drop", "evidence_only", "hint_only", "materialize")))
-
-
 @query("ref_op050_open_risk_labels", with_(RECORDS) + "SELECT id FROM records WHERE regexp_matches(lower(content), 'risk|block|conflict|constraint|forbid|warning')")
 def open_risk_labels(spark, d):
     return C.records(spark, d).where(F.lower("content").rlike("risk|block|conflict|constraint|forbid|warning")).select("id")
@@ -107,11 +66,6 @@ def head_tail_preview(spark, d):
     return P.digested(C.read(spark, d, "pages"), "html").select("page_id", "compressed", F.col("omitted_chars").cast("long").alias("omitted_chars"), F.col("lines").cast("long").alias("lines"), F.sha2("preview", 256).alias("preview_sha"))
 
 
-@query("ref_op275_tool_result_policy", "SELECT event_type IN ('error', 'click') AS tool, count(*) FILTER (WHERE length(props) > 8) AS large, count(*) AS n FROM events GROUP BY 1")
-def tool_result_policy(spark, d):
-    return C.read(spark, d, "events").groupBy(F.col("event_type").isin("error", "click").alias("tool")).agg(F.count_if(F.char_length("props") > 8).alias("large"), F.count("*").alias("n"))
-
-
 @query("ref_op198_merge_key_slug", with_(RECORDS) + "SELECT id, CASE WHEN s = '' THEN 'unspecified' ELSE s END AS slug FROM (SELECT id, left(regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 72) AS s FROM records)")
 def merge_key_slug(spark, d):
     return C.records(spark, d).select("id", P.slug(F.col("content")).alias("slug"))
