@@ -205,30 +205,12 @@ def import_dedupe(spark, d):
     return C.read(spark, d, "documents").groupBy(F.sha2(F.lower(F.trim("text")), 256).alias("dedupe_key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query("ref_op290_authority_matrix", with_(NODES) + "SELECT id, CASE scope WHEN 'session' THEN TRUE WHEN 'workspace' THEN strength <> 'heuristic' ELSE strength = 'hard' END AS allowed FROM nodes")
-def authority_matrix(spark, d):
-    who = F.when(F.col("strength") == "hard", "global_reviewer").when(F.col("strength") == "soft", "workspace_reviewer").otherwise("session_operator")
-    return C.nodes(spark, d).select("id", K.authorised(F.col("scope"), who).alias("allowed"))
-
-
 @query("ref_op292_proposal_states", "WITH RECURSIVE e AS (SELECT user_id AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'view' THEN 'submit' WHEN 'click' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'apply' ELSE 'rollback' END AS a FROM events), run AS (SELECT DISTINCT p, 0::BIGINT AS k, 'none' AS s, 0 AS refused FROM e UNION ALL SELECT r.p, e.k, CASE WHEN f THEN CASE a WHEN 'submit' THEN 'submitted' WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'apply' THEN 'applied' ELSE 'rolled_back' END ELSE s END, refused + CASE WHEN f THEN 0 ELSE 1 END FROM run r JOIN e ON e.p = r.p AND e.k = r.k + 1, LATERAL (SELECT (s = 'none' AND a = 'submit') OR (s = 'submitted' AND a IN ('approve', 'reject')) OR (s = 'approved' AND a = 'apply') OR (s = 'applied' AND a = 'rollback') AS f)) SELECT p AS proposal_id, arg_max(s, k) AS state, max(refused) AS refused FROM run GROUP BY 1")
 def proposal_states(spark, d):
     action = F.create_map(*(F.lit(x) for x in ("view", "submit", "click", "approve", "error", "reject", "purchase", "apply", "signup", "rollback")))[F.col("event_type")]
     return K.proposal_state(C.read(spark, d, "events").select(F.col("user_id").alias("proposal_id"), F.col("event_id").alias("seq"), action.alias("action")))
 
 
-@query("ref_op093_merge_suggestions", with_(CORRECTIONS) + "SELECT target_id, count(*) AS proposals FROM corrections WHERE target_kind <> 'noise_policy' GROUP BY 1 HAVING count(*) >= 2")
-def merge_suggestions(spark, d):
-    return C.corrections(spark, d).where("target_kind <> 'noise_policy'").groupBy("target_id").agg(F.count("*").alias("proposals")).where("proposals >= 2")
-
-
-@query("ref_op091_proposal_overlap", with_(CORRECTIONS) + "SELECT a.target_id, count(*) AS pairs, max(CASE WHEN a.action <> b.action THEN 2 ELSE 1 END) AS severity FROM corrections a JOIN corrections b ON a.target_id = b.target_id AND a.target_kind = b.target_kind AND a.id < b.id GROUP BY 1")
-def proposal_overlap(spark, d):
-    c = C.corrections(spark, d).groupBy("target_id", "target_kind").agg(F.count("*").alias("n"), F.count_if(F.col("action") == "apply").alias("a"))
-    pairs, mixed = F.col("n") * (F.col("n") - 1) / 2, (F.col("a") > 0) & (F.col("a") < F.col("n"))
-    return c.where("n > 1").groupBy("target_id").agg(F.sum(pairs).cast("long").alias("pairs"), F.max(F.when(mixed, 2).otherwise(1)).alias("severity"))
-
-
 @query("ref_op094_workspace_catalog", with_(NODES, RECORDS) + "SELECT coalesce(a.workspace_id, b.workspace_id) AS workspace_id, coalesce(sessions, 0) AS sessions, coalesce(rules, 0) AS rules FROM (SELECT workspace_id, count(DISTINCT session_id) AS sessions FROM records GROUP BY 1) a FULL JOIN (SELECT workspace_id, count(*) AS rules FROM nodes WHERE type = 'Rule' GROUP BY 1) b ON a.workspace_id = b.workspace_id")
 def workspace_catalog(spark, d):
     a = C.records(spark, d).groupBy("workspace_id").agg(F.countDistinct("session_id").alias("sessions"))
