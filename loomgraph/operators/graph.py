@@ -103,6 +103,37 @@ def resolved(corrections: DataFrame, kind: str) -> DataFrame:
     return own.withColumn("r", F.row_number().over(w)).where("r = 1 and action <> 'rollback'").drop("r")
 
 
+def standing(corrections: DataFrame) -> DataFrame:
+    """The standing corrections of all kinds at once: of each kind and target the last event, if it isn't a rollback."""
+    w = Window.partitionBy("target_kind", "target_id").orderBy(F.desc("created_at"), F.desc("event_id"))
+    return corrections.withColumn("r", F.row_number().over(w)).where("r = 1 and action <> 'rollback'").drop("r")
+
+
+def alias_catalog(defaults: DataFrame, corrections: DataFrame) -> DataFrame:
+    """``concept, alias``: the defaults and those that the last event of each concept and alias has added."""
+    w = Window.partitionBy("target_id", "new_label").orderBy(F.desc("created_at"), F.desc("event_id"))
+    added = corrections.where("target_kind = 'concept_alias'").withColumn("r", F.row_number().over(w)).where("r = 1 and action <> 'rollback'")
+    return defaults.union(added.select(F.col("target_id"), "new_label")).distinct()
+
+
+def semantic_overrides(corrections: DataFrame) -> DataFrame:
+    """``target_id, type, include`` by the last event of each target and type: applied includes it, rolled back excludes it."""
+    return corrections.groupBy("target_id", "type").agg(F.max_by(F.col("action") == "apply", F.struct("created_at", "event_id")).alias("include"))
+
+
+def conflict_patches(pairs: DataFrame) -> DataFrame:
+    """What the pairs of a node (``conflict_pairs``) make of it: superseded, by whom, in conflict with whom, and suppressed."""
+    loser = F.when(F.col("winner") == F.col("left_id"), F.col("right_id")).otherwise(F.col("left_id"))
+    opposed = F.col("relation") == "conflicts_with"
+    p = pairs.select(F.col("winner"), loser.alias("loser"), opposed.alias("opposed"))
+    each = p.select(F.col("loser").alias("id"), F.col("winner").alias("other"), "opposed", F.lit(True).alias("lost")).unionByName(p.select(F.col("winner").alias("id"), F.col("loser").alias("other"), "opposed", F.lit(False).alias("lost")))
+    gone = F.col("lost") & ~F.col("opposed")
+    return each.groupBy("id").agg(
+        F.when(F.max(gone), "superseded").otherwise("active").alias("freshness"), F.max(F.when(gone, F.col("other"))).alias("superseded_by"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("opposed"), F.col("other")))), ",").alias("conflicting"), F.max(F.col("lost") & F.col("opposed")).alias("suppressed"),
+    )
+
+
 def corrected(nodes: DataFrame, corrections: DataFrame) -> DataFrame:
     """Nodes without suppressed ones, with overriding labels."""
     gone = resolved(corrections, "node_suppression").select(F.col("target_id").alias("id"))

@@ -45,8 +45,11 @@ def import_jobs(records: DataFrame) -> DataFrame:
 
 def repo_entity(path: Column) -> Column:
     """What kind of thing a path of a repository is."""
-    low = F.lower(F.coalesce(path, F.lit("")))
-    return F.when(low == "", "Repo").when(low.endswith("/"), "Module").when(low.rlike(r"api|route|controller"), "API").when(low.rlike(r"\.(sh|ps1|cmd|bat)$"), "Command").otherwise("File")
+    low = F.lower(path)
+    return (
+        F.when(F.coalesce(low, F.lit("")) == "", "RepoEntity").when(low.rlike(r"\.(ts|tsx|js)$"), F.when(low.rlike(r"[\\/]api[\\/]"), "API").otherwise("File"))
+        .when(low.endswith(".md"), "Document").when(low.rlike(r"\.(json|yaml|yml)$"), "Module").otherwise("RepoEntity")
+    )
 
 
 def attempt_allowed(action: Column) -> Column:

@@ -9,6 +9,10 @@ from loomgraph.functions import fixed as X
 from loomgraph.functions import text as T
 
 
+#: Requests that are sent to every task at once.
+REQUESTS = 20_000
+
+
 def promotion(kind: Column, confidence: Column, observations: Column, downgrades: Column, state: Column) -> Column:
     """Class, contamination risk, workspace eligibility and decision of promoted knowledge; null for other types."""
     often = (observations >= 3) & (confidence >= 0.78)
@@ -57,15 +61,20 @@ def base_score() -> Column:
 def candidates(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each request with the nodes of its session, its workspace and all scopes that it may recall, and their scores.
 
-    Session and workspace nodes come by equality joins; global ones are for all requests, so requests, a bounded
-    query set, are the broadcast side of that part.  A node comes once a request, from the closest scope.
+    Session and workspace nodes come by equality joins.  Global ones are for all requests, which are a stated query set:
+    they are sent in blocks of REQUESTS, counted first, and pairs are ranked where they arise before any is shuffled.  A
+    node comes once a request, from the closest scope.
     """
     r = requests.withColumn("norm", T.normalized(F.col("query"))).withColumn("terms", T.terms(F.col("norm"))).withColumnsRenamed({"session_id": "r_session", "workspace_id": "r_workspace"})
     n = nodes.where(admitted() & (F.col("freshness") != "superseded") & eligible(F.col("type"))).withColumn("label_norm", T.normalized(F.col("label"))).withColumn("payload_norm", T.normalized(F.col("payload"))).withColumn("base", base_score())
     session = r.join(n.where("scope = 'session'"), F.col("r_session") == F.col("session_id"))
     workspace = r.join(n.where("scope = 'workspace'"), F.col("r_workspace") == F.col("workspace_id"))
-    everywhere = n.where("scope = 'global'").crossJoin(F.broadcast(r)).select(*session.columns)
-    found = session.unionByName(workspace).unionByName(everywhere)
+    found = session.unionByName(workspace)
+    blocks = -(-requests.count() // REQUESTS)
+    numbered = r.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(max(1, blocks))))
+    for block in range(blocks):
+        held = F.broadcast(numbered.where(F.col("block") == block).drop("block"))
+        found = found.unionByName(n.where("scope = 'global'").crossJoin(held).select(*session.columns))
     label = T.score(F.col("label_norm"), F.col("norm"), F.col("terms"), 4, 0.75, 1.5, 1)
     payload = T.score(F.col("payload_norm"), F.col("norm"), F.col("terms"), 2, 0.5, 1, 0.5)
     cost = T.estimated_tokens(F.col("label")) + T.estimated_tokens(F.col("payload"))
@@ -82,7 +91,9 @@ def within_limits(rows: DataFrame, slots: bool = False) -> DataFrame:
     """The best nodes of each category of each request, up to the category's limit; with ``slots`` the fixed ones, too."""
     category = X.lookup(F.col("type"), X.CATEGORY_OF | (X.SLOTS if slots else {}), "string")
     most = F.coalesce(X.lookup(F.col("category"), {k: v[1] for k, v in X.CATEGORIES.items()}, "int"), F.lit(1))
-    return ranked(rows.withColumn("category", category).where("category is not null"), "request_id", "category").where(F.col("rank") <= most)
+    best = ranked(rows.withColumn("category", category).where("category is not null"), "request_id", "category")
+    # the largest limit is a number, so each task keeps no more than that before the shuffle
+    return best.where(F.col("rank") <= max(v[1] for v in X.CATEGORIES.values())).where(F.col("rank") <= most)
 
 
 def taken(items: Column, total: Column, used: Column, pool: Column, soft_first: bool) -> Column:

@@ -49,9 +49,9 @@ def text_filter(spark, d):
     return r.join(n, "session_id").where(T.passes(F.col("l"), F.col("q"), T.terms(F.col("q")))).select("request_id", "id")
 
 
-@query("ref_op083_text_match_scores", MODEL + "SELECT request_id, id, score FROM candidates WHERE scope <> 'global'")
+@query("ref_op083_text_match_scores", MODEL + "SELECT request_id, id, score FROM candidates")
 def text_match(spark, d):
-    return S.candidates(C.requests(spark, d), C.nodes(spark, d)).where("scope <> 'global'").select("request_id", "id", "score")
+    return S.candidates(C.requests(spark, d), C.nodes(spark, d)).select("request_id", "id", "score")
 
 
 @query("ref_op044_scope_admission", with_(NODES, KNOWLEDGE, PROMOTED) + "SELECT id, scope = 'session' OR CASE scope WHEN 'workspace' THEN workspace_eligible ELSE risk = 'low' AND knowledge_class IN ('stable_skill', 'hard_constraint_candidate') END AS admitted FROM promoted")

@@ -14,10 +14,13 @@ STEPS = """steps AS (SELECT at_, to_, id AS edge_id, type, confidence AS ec, CAS
 SOURCES = "sources AS (SELECT id AS source_id, session_id, CASE type WHEN 'Rule' THEN 2.5 ELSE 2.0 END::DOUBLE AS slot_bonus FROM nodes WHERE type IN ('Rule', 'Step', 'Decision', 'Goal'))"
 ONE = "one AS (SELECT s.source_id, s.session_id, t.to_ AS target_id, t.type, t.edge_id, s.slot_bonus + t.priority AS bonus FROM sources s JOIN steps t ON s.source_id = t.at_ JOIN nodes n ON n.id = t.to_ WHERE n.type IN ('Evidence', 'State', 'Tool', 'Topic'))"
 TWO = f"two AS (SELECT s.source_id, a.to_ AS middle_id, b.to_ AS target_id, a.type AS first, b.type AS second, round(s.slot_bonus + a.priority + (s.slot_bonus + b.priority) * 0.75 + (a.ec + b.ec) / 2 * 0.9 + (m.confidence + n.confidence) / 2 * 0.75, 6) AS bonus FROM sources s JOIN steps a ON s.source_id = a.at_ JOIN nodes m ON m.id = a.to_ JOIN steps b ON b.at_ = a.to_ JOIN nodes n ON n.id = b.to_ WHERE m.type IN {BETWEEN} AND n.type IN ('Evidence', 'Topic', 'Tool') AND b.type IN ('supported_by', 'next_step') AND b.to_ <> s.source_id)"
-LABELLED = "labelled AS (SELECT *, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'never ' || label WHEN (conv_id + turn) % 3 = 1 THEN 'must ' || label ELSE label END AS said FROM nodes)"
-PAIRS = """sided AS (SELECT *, CASE (conv_id + turn) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' ELSE 'neutral' END AS polarity, CASE origin_kind WHEN 'raw' THEN 3 WHEN 'compressed' THEN 2 ELSE 1 END AS origin, 'all' AS one FROM nodes WHERE type IN ('Rule', 'Constraint', 'Mode', 'Process')),
-pairs AS (SELECT a.conv_id % 5 AS g, a.id AS left_id, b.id AS right_id, a.type = b.type AS same, (a.polarity, b.polarity) IN (('positive', 'negative'), ('negative', 'positive')) AS opposite, CASE WHEN a.updated_at > b.updated_at THEN a.id ELSE b.id END AS newer,
- CASE WHEN (b.override_priority, b.origin, b.confidence, b.updated_at) > (a.override_priority, a.origin, a.confidence, a.updated_at) THEN b.id ELSE a.id END AS strong FROM sided a JOIN sided b ON a.conv_id % 5 = b.conv_id % 5 AND a.scope = b.scope AND a.conflict_key = b.conflict_key AND a.id < b.id)"""
+#: labels with words that command or forbid; two types, so that equal ones meet in a session
+LABELLED = """labelled AS (SELECT * EXCLUDE (type), (['Rule', 'Constraint'])[((turn // 4) % 2 + 1)::INTEGER] AS type, label || (['; never do this', '; must keep it', '', ''])[((conv_id + turn // 2) % 4 + 1)::INTEGER] AS said FROM nodes),
+sided AS (SELECT *, CASE WHEN regexp_matches(lower(said), '\\b(?:must not|should not|do not|don''t|never|forbid|forbidden|disable|stop|remove|avoid)\\b|不要|不能|不可|禁止|禁用|停止|移除|避免') THEN 'negative' WHEN regexp_matches(lower(said), '\\b(?:must|should|enable|continue|keep|preserve|use|required)\\b|必须|应该|启用|继续|保留|使用|要求') THEN 'positive' ELSE 'neutral' END AS polarity,
+  CASE origin_kind WHEN 'raw' THEN 3 WHEN 'compressed' THEN 2 ELSE 1 END AS origin FROM labelled)"""
+PAIRS = LABELLED + """,
+pairs AS (SELECT a.id AS left_id, b.id AS right_id, a.type = b.type AS same, (a.polarity, b.polarity) IN (('positive', 'negative'), ('negative', 'positive')) AS opposite, CASE WHEN a.updated_at > b.updated_at THEN a.id ELSE b.id END AS newer,
+ CASE WHEN (b.override_priority, b.origin, b.confidence, b.updated_at) > (a.override_priority, a.origin, a.confidence, a.updated_at) THEN b.id ELSE a.id END AS strong FROM sided a JOIN sided b ON a.session_id = b.session_id AND a.scope = b.scope AND a.conflict_key = b.conflict_key AND a.id < b.id)"""
 STANDING = "standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_kind, target_id ORDER BY created_at DESC, event_id DESC) AS r FROM corrections) WHERE r = 1 AND action <> 'rollback')"
 
 
@@ -35,8 +38,10 @@ def _two(spark, d):
 
 
 def _sided(spark, d):
-    said = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "never do").when((F.col("conv_id") + F.col("turn")) % 3 == 1, "must do").otherwise("thing")
-    return C.nodes(spark, d).withColumn("polarity", G.polarity(said)).withColumn("session_id", F.concat(F.lit("g"), F.col("conv_id") % 5))
+    n = C.nodes(spark, d)
+    pick = lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (k % len(v) + 1).cast("int"))
+    said = F.concat("label", pick(F.col("conv_id") + F.floor(F.col("turn") / 2), "; never do this", "; must keep it", "", ""))
+    return n.withColumns({"type": pick(F.floor(F.col("turn") / 4), "Rule", "Constraint"), "polarity": G.polarity(said)})
 
 
 @query("ref_op081_one_hop", with_(NODES, EDGES, STEPS, SOURCES, ONE) + "SELECT source_id, target_id, type, edge_id, bonus FROM one")
@@ -81,9 +86,9 @@ def path_admission_status(spark, d):
     return G.admitted_paths(_paths(spark, d))
 
 
-@query("ref_op192_polarity", "SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' ELSE 'neutral' END AS polarity FROM conversations")
+@query("ref_op192_polarity", with_(NODES, LABELLED) + "SELECT id, polarity FROM sided")
 def polarity(spark, d):
-    return _sided(spark, d).select("conv_id", "turn", "polarity")
+    return _sided(spark, d).select("id", "polarity")
 
 
 @query("ref_op084_conflicts", with_(NODES, PAIRS) + "SELECT left_id, right_id, CASE WHEN opposite THEN 'conflicts_with' ELSE 'supersedes' END AS relation, CASE WHEN opposite THEN strong ELSE newer END AS winner FROM pairs WHERE opposite OR same")
@@ -110,11 +115,7 @@ def suppressed_by_conflict(spark, d):
 
 @query("ref_op149_correction_precedence", with_(CORRECTIONS, STANDING) + "SELECT target_kind, count(*) AS n FROM standing GROUP BY 1")
 def correction_precedence(spark, d):
-    c, out = C.corrections(spark, d), None
-    for kind in C.TARGET_KINDS.values():
-        part = G.resolved(c, kind).groupBy("target_kind").agg(F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return G.standing(C.corrections(spark, d)).groupBy("target_kind").agg(F.count("*").alias("n"))
 
 
 @query("ref_op223_suppression_and_labels", with_(CORRECTIONS, STANDING) + "SELECT target_id, id, new_label FROM standing WHERE target_kind = 'label_override'")
@@ -127,14 +128,35 @@ def noise_override(spark, d):
     return G.resolved(C.corrections(spark, d), "noise_policy").select("target_id", "disposition")
 
 
-@query("ref_op221_promotion_decision", with_(CORRECTIONS, STANDING) + "SELECT target_id, CASE WHEN event_id % 2 = 0 THEN 'promote' ELSE 'hold' END AS decision FROM standing WHERE target_kind = 'promotion_decision'")
+@query("ref_op221_promotion_decision", with_(CORRECTIONS, STANDING) + "SELECT target_id, CASE disposition WHEN 'materialize' THEN 'promote' WHEN 'drop' THEN 'retire' ELSE 'hold' END AS decision FROM standing WHERE target_kind = 'promotion_decision'")
 def promotion_decision(spark, d):
-    return G.resolved(C.corrections(spark, d), "promotion_decision").select("target_id", F.when(F.col("event_id") % 2 == 0, "promote").otherwise("hold").alias("decision"))
+    return G.resolved(C.corrections(spark, d), "promotion_decision").select("target_id", F.when(F.col("disposition") == "materialize", "promote").when(F.col("disposition") == "drop", "retire").otherwise("hold").alias("decision"))
 
 
-@query("ref_op219_alias_catalog", with_(CORRECTIONS, STANDING) + "SELECT new_label AS alias, count(*) AS concepts FROM standing WHERE target_kind = 'concept_alias' GROUP BY 1")
+@query("ref_op219_alias_catalog", with_(CORRECTIONS) + "SELECT target_id AS concept, new_label AS alias FROM (SELECT *, row_number() OVER (PARTITION BY target_id, new_label ORDER BY created_at DESC, event_id DESC) AS r FROM corrections WHERE target_kind = 'concept_alias') WHERE r = 1 AND action <> 'rollback' UNION SELECT * FROM (VALUES ('n1.0', 'kg'), ('n2.0', 'trace'))")
 def alias_catalog(spark, d):
-    return G.resolved(C.corrections(spark, d), "concept_alias").groupBy(F.col("new_label").alias("alias")).agg(F.count("*").alias("concepts"))
+    return G.alias_catalog(spark.createDataFrame([("n1.0", "kg"), ("n2.0", "trace")], "concept string, alias string"), C.corrections(spark, d))
+
+
+@query("ref_op127_alias_workbench", with_(CORRECTIONS) + "SELECT target_id AS concept, string_agg(DISTINCT new_label, ',' ORDER BY new_label) AS labels, count(*) AS corrections, max(created_at) AS latest FROM corrections WHERE target_kind = 'concept_alias' GROUP BY 1")
+def alias_workbench(spark, d):
+    c = C.corrections(spark, d).where("target_kind = 'concept_alias'")
+    return c.groupBy(F.col("target_id").alias("concept")).agg(F.array_join(F.array_sort(F.collect_set("new_label")), ",").alias("labels"), F.count("*").alias("corrections"), F.max("created_at").alias("latest"))
+
+
+@query("ref_op220_semantic_overrides", with_(CORRECTIONS) + "SELECT target_id, disposition AS type, bool_or(action = 'apply') AS include FROM (SELECT *, row_number() OVER (PARTITION BY target_id, disposition ORDER BY created_at DESC, event_id DESC) AS r FROM corrections WHERE target_kind = 'noise_policy') WHERE r = 1 GROUP BY 1, 2")
+def semantic_overrides(spark, d):
+    return G.semantic_overrides(C.corrections(spark, d).where("target_kind = 'noise_policy'").withColumnRenamed("disposition", "type"))
+
+
+@query(
+    "ref_op218_conflict_patches",
+    with_(NODES, PAIRS) + """, sides AS (SELECT strong AS winner, CASE WHEN strong = left_id THEN right_id ELSE left_id END AS loser, TRUE AS opposed FROM pairs WHERE opposite UNION ALL SELECT newer, CASE WHEN newer = left_id THEN right_id ELSE left_id END, FALSE FROM pairs WHERE same AND NOT opposite),
+  every AS (SELECT loser AS id, winner AS other, opposed, TRUE AS lost FROM sides UNION ALL SELECT winner, loser, opposed, FALSE FROM sides)
+  SELECT id, CASE WHEN bool_or(lost AND NOT opposed) THEN 'superseded' ELSE 'active' END AS freshness, max(other) FILTER (WHERE lost AND NOT opposed) AS superseded_by, coalesce(string_agg(DISTINCT other, ',' ORDER BY other) FILTER (WHERE opposed), '') AS conflicting, bool_or(lost AND opposed) AS suppressed FROM every GROUP BY 1""",
+)
+def conflict_patches(spark, d):
+    return G.conflict_patches(G.conflict_pairs(_sided(spark, d)))
 
 
 @query("ref_op088_correction_overlay", with_(NODES, CORRECTIONS, STANDING) + "SELECT n.id, coalesce(s.new_label, n.label) AS label FROM nodes n LEFT JOIN standing s ON s.target_kind = 'label_override' AND s.target_id = n.id WHERE n.id NOT IN (SELECT target_id FROM standing WHERE target_kind = 'node_suppression')")

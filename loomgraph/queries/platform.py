@@ -14,7 +14,7 @@ PROPOSALS = """proposals AS (SELECT event_id // 4 AS proposal_id, (['session', '
 held AS (SELECT c.*, event_id // 4 AS proposal_id, CASE WHEN target_kind = 'concept_alias' AND event_id % 3 > 0 THEN new_label END AS alias FROM corrections c)"""
 MODEL = with_(CORRECTIONS, PROPOSALS)
 RECORDS = """records AS (SELECT 'd' || doc_id AS id, 's' || (doc_id % 40) AS session_id, CASE WHEN doc_id % 40 % 5 > 0 THEN 'w' || (doc_id % 40 % 5) END AS workspace_id, (['document', 'repo_structure', 'structured_input'])[(doc_id % 3 + 1)::INTEGER] AS source_kind,
-  (['src/a' || doc_id || '.py', 'src/api/r' || doc_id, 'lib/', 'run.sh', ''])[(doc_id % 5 + 1)::INTEGER] AS path, coalesce(text, '') AS content FROM documents)"""
+  (['src/a' || doc_id || '.TS', 'src/api/r' || doc_id || '.js', 'README.md', 'cfg.yaml', ''])[(doc_id % 5 + 1)::INTEGER] AS path, coalesce(text, '') AS content FROM documents)"""
 JOBS = """jobs AS (SELECT event_id AS job_id, 'w' || (event_id % 11) AS workspace_id, (['pending', 'scheduled', 'running', 'failed', 'completed'])[(event_id % 5 + 1)::INTEGER] AS status, event_id % 13 = 0 AS paused, event_id % 17 = 0 AS dead, event_id % 4 AS attempts, event_id % 6 AS retries, event_id % 3 > 0 AS retriable, (['run', 'retry', 'rerun'])[(event_id // 5 % 3 + 1)::INTEGER] AS action FROM events)"""
 
 
@@ -36,7 +36,7 @@ def held(spark, d):
 
 def records(spark, d):
     n, session = F.col("doc_id"), F.col("doc_id") % 40
-    path = F.element_at(F.array(F.concat(F.lit("src/a"), n, F.lit(".py")), F.concat(F.lit("src/api/r"), n), F.lit("lib/"), F.lit("run.sh"), F.lit("")), (n % 5 + 1).cast("int"))
+    path = F.element_at(F.array(F.concat(F.lit("src/a"), n, F.lit(".TS")), F.concat(F.lit("src/api/r"), n, F.lit(".js")), F.lit("README.md"), F.lit("cfg.yaml"), F.lit("")), (n % 5 + 1).cast("int"))
     return C.read(spark, d, "documents").select(
         F.concat(F.lit("d"), n).alias("id"), F.concat(F.lit("s"), session).alias("session_id"), F.when(session % 5 > 0, F.concat(F.lit("w"), session % 5)).alias("workspace_id"), _pick(n, "document", "repo_structure", "structured_input").alias("source_kind"),
         path.alias("path"), F.coalesce("text", F.lit("")).alias("content"),
@@ -59,7 +59,7 @@ def import_catalog(spark, d):
 _STABLE = "array_to_string([x FOR x IN [regexp_replace(regexp_replace(y, '^\\s+', ''), '\\s+$', '') FOR y IN string_split_regex(content, '\\r?\\n')] IF x <> ''], chr(10))"
 
 
-@query("ref_op199_stable_text", "WITH " + RECORDS + f" SELECT id, left(sha256({_STABLE}), 16) AS digest, CASE WHEN path = '' THEN 'Repo' WHEN path = 'lib/' THEN 'Module' WHEN path LIKE 'src/api%' THEN 'API' WHEN path = 'run.sh' THEN 'Command' ELSE 'File' END AS entity FROM records")
+@query("ref_op199_stable_text", "WITH " + RECORDS + f" SELECT id, left(sha256({_STABLE}), 16) AS digest, CASE WHEN path = '' THEN 'RepoEntity' WHEN path = 'README.md' THEN 'Document' WHEN path LIKE 'src/api%' THEN 'API' WHEN path = 'cfg.yaml' THEN 'Module' ELSE 'File' END AS entity FROM records")
 def stable_text(spark, d):
     return records(spark, d).select("id", F.substring(F.sha2(P.stable_text(F.col("content")), 256), 1, 16).alias("digest"), P.repo_entity(F.col("path")).alias("entity"))
 

@@ -236,11 +236,3 @@ def prefer_primary(spark, d):
 
     n = C.nodes(spark, d).where(F.col("type").isin("Step", "Process"))
     return n.withColumn("steps", F.count_if(F.col("type") == "Step").over(Window.partitionBy("session_id"))).where("type = 'Step' or steps = 0").select("session_id", "id")
-
-
-@query("ref_op127_alias_workbench", with_(CORRECTIONS) + "SELECT target_id, string_agg(DISTINCT new_label, ',' ORDER BY new_label) AS labels FROM corrections WHERE target_kind = 'concept_alias' GROUP BY 1")
-def alias_workbench(spark, d):
-    return C.corrections(spark, d).where("target_kind = 'concept_alias'").groupBy("target_id").agg(F.array_join(F.array_sort(F.collect_set("new_label")), ",").alias("labels"))
-
-
-

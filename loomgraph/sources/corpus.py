@@ -32,7 +32,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     source = F.when(F.col("role") == "user", "conversation").when(F.col("role") == "assistant", "transcript").when(F.col("role") == "system", "system").otherwise("tool_output")
     return c.select(
-        F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), F.concat(F.lit("s"), "conv_id").alias("session_id"), F.concat(F.lit("w"), F.col("conv_id") % 7).alias("workspace_id"),
+        F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), F.concat(F.lit("s"), "conv_id").alias("session_id"), F.concat(F.lit("w"), F.floor(F.col("conv_id") / 16)).alias("workspace_id"),
         "conv_id", "turn", "role", source.alias("source_type"), F.col("text").alias("content"), iso(F.col("conv_id") * 1000 + F.col("turn")).alias("created_at"),
     )
 
@@ -49,7 +49,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(turn, "hard", "soft", "heuristic").alias("strength"), F.round(F.lit(0.5) + (conv * 13 + turn * 7) % 50 / 100, 2).alias("confidence"),
         pick(conv + turn, "superseded", "active", "active", "stale", "active", "active").alias("freshness"), pick(turn, "compressed", "raw", "raw", "derived", "raw").alias("origin_kind"),
         observations.alias("observations"), downgrades.alias("downgrades"), pick(conv + turn, "candidate", "candidate", "promoted", "downgraded", "retired").alias("promotion_state"),
-        F.concat(F.lit("k"), (conv * 5 + turn) % 11).alias("conflict_key"), (turn * 10 + conv % 3).alias("override_priority"), iso(conv * 1000 + turn).alias("updated_at"),
+        F.concat(F.lit("k"), turn % 2).alias("conflict_key"), (turn * 10 + conv % 3).alias("override_priority"), iso(conv * 1000 + turn).alias("updated_at"),
     )
 
 
@@ -69,7 +69,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, k = read(spark, sf_dir, "benchmark"), F.col("item_id") % 40
-    return b.select(F.col("item_id").alias("request_id"), F.concat(F.lit("s"), k).alias("session_id"), F.concat(F.lit("w"), k % 7).alias("workspace_id"), F.col("text").alias("query"), (F.lit(400) + F.col("item_id") % 30 * 20).alias("token_budget"))
+    return b.select(F.col("item_id").alias("request_id"), F.concat(F.lit("s"), k).alias("session_id"), F.concat(F.lit("w"), F.floor(k / 16)).alias("workspace_id"), F.col("text").alias("query"), (F.lit(400) + F.col("item_id") % 30 * 20).alias("token_budget"))
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
