@@ -78,7 +78,7 @@ def candidates(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     label = T.score(F.col("label_norm"), F.col("norm"), F.col("terms"), 4, 0.75, 1.5, 1)
     payload = T.score(F.col("payload_norm"), F.col("norm"), F.col("terms"), 2, 0.5, 1, 0.5)
     cost = T.estimated_tokens(F.col("label")) + T.estimated_tokens(F.col("payload"))
-    return found.select("request_id", "token_budget", "id", "type", "scope", "label", F.round(F.col("base") + label + payload, 6).alias("score"), cost.alias("cost"), X.lookup(F.col("scope"), X.SCOPE_PRECEDENCE, "int").alias("precedence"))
+    return found.select("request_id", "token_budget", "id", "type", "scope", "label", "confidence", "origin_kind", ((label + payload) > 0).alias("direct"), F.round(F.col("base") + label + payload, 6).alias("score"), cost.alias("cost"), X.lookup(F.col("scope"), X.SCOPE_PRECEDENCE, "int").alias("precedence"))
 
 
 def ranked(rows: DataFrame, *by: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """Registered queries of the context graph."""
 
-from loomgraph.queries import compile, graph, ingest, platform, processing, scans, sessions, streams, tools, transcripts  # noqa: A004, F401
+from loomgraph.queries import bundles, compile, graph, ingest, platform, processing, scans, sessions, streams, tools, transcripts  # noqa: A004, F401
 from loomgraph.queries.registry import ORACLE_SQL, QUERIES  # noqa: F401

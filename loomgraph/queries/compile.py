@@ -24,7 +24,7 @@ KNOWLEDGE = "knowledge AS (SELECT id, scope, confidence, observations, downgrade
 CANDIDATES = f"""pairs AS (SELECT r.request_id, r.token_budget, n.*, {NORM.format("r.query")} AS q, {NORM.format("n.label")} AS l, {NORM.format("n.payload")} AS p FROM requests r, nodes n
   WHERE n.type <> 'Pattern' AND n.freshness <> 'superseded' AND CASE n.scope WHEN 'session' THEN n.session_id = r.session_id WHEN 'workspace' THEN n.workspace_id = r.workspace_id ELSE TRUE END),
 counted AS (SELECT *, len(ts) AS n, len([t FOR t IN ts IF contains(l, t)]) AS ml, len([t FOR t IN ts IF contains(p, t)]) AS mp FROM (SELECT *, {terms("q")} AS ts FROM pairs)),
-candidates AS (SELECT request_id, token_budget, id, type, scope, label, CASE scope WHEN 'session' THEN 12 WHEN 'workspace' THEN 8 ELSE 4 END AS precedence,
+candidates AS (SELECT request_id, token_budget, id, type, scope, label, confidence, origin_kind, q <> '' AND (contains(l, q) OR contains(p, q) OR ml > 0 OR mp > 0) AS direct, CASE scope WHEN 'session' THEN 12 WHEN 'workspace' THEN 8 ELSE 4 END AS precedence,
   greatest(1, ceil(length(label) / 4.0)::INTEGER) + greatest(1, ceil(length(payload) / 4.0)::INTEGER) AS cost,
   round(CASE strength WHEN 'hard' THEN 4.0 WHEN 'soft' THEN 2.0 ELSE 1.0 END::DOUBLE + CASE origin_kind WHEN 'raw' THEN 3.0 WHEN 'compressed' THEN 1.0 ELSE 0.5 END::DOUBLE + CASE freshness WHEN 'active' THEN 2.0 ELSE 0.0 END::DOUBLE + confidence
     + CASE WHEN q = '' THEN 0.0 ELSE CASE WHEN contains(l, q) THEN 4.0 ELSE 0.0 END + ml * 0.75 + CASE WHEN n > 0 THEN ml::DOUBLE / n * 1.5 ELSE 0.0 END + CASE WHEN n > 0 AND ml = n THEN 1.0 ELSE 0.0 END END::DOUBLE

@@ -150,22 +150,6 @@ def window_summary(spark, d):
     return C.records(spark, d).groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(F.char_length("content")), 6).alias("mean_chars"), F.max("created_at").alias("latest"))
 
 
-@query("ref_op118_bundle_quality", with_(NODES) + "SELECT session_id, CASE WHEN count(*) FILTER (WHERE type = 'Rule') = 0 THEN 1 ELSE round(count(*) FILTER (WHERE type = 'Rule' AND freshness = 'active')::DOUBLE / count(*) FILTER (WHERE type = 'Rule'), 6) END::DOUBLE AS coverage FROM nodes GROUP BY 1")
-def bundle_quality(spark, d):
-    rules = F.count_if(F.col("type") == "Rule")
-    return C.nodes(spark, d).groupBy("session_id").agg(F.when(rules == 0, 1.0).otherwise(F.round(F.count_if((F.col("type") == "Rule") & (F.col("freshness") == "active")) / rules, 6)).alias("coverage"))
-
-
-@query("ref_op120_memory_usefulness", "SELECT quality, count(*) AS n, round(avg(toxic), 6) AS intrusion FROM labels GROUP BY 1")
-def memory_usefulness(spark, d):
-    return C.read(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("toxic"), 6).alias("intrusion"))
-
-
-@query("ref_op124_threshold_failures", with_(METRICS, CARDS) + "SELECT snapshot_id, count(*) FILTER (WHERE status <> 'healthy') AS failures FROM cards GROUP BY 1")
-def threshold_failures(spark, d):
-    return _cards(spark, d).groupBy("snapshot_id").agg(F.count_if(F.col("status") != "healthy").alias("failures"))
-
-
 SKILLS = "skills AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'purchase') AS evidence, count(*) FILTER (WHERE event_type = 'error' AND value > 40) AS failures, round(least(1.0, avg(value) / 25), 6) AS success, round(count(*) % 4 / 4.0 + 0.25, 6) AS clarity, round(count(*) % 3 / 3.0 + 0.3, 6) AS stability, round(count(*) % 10 / 10.0, 6) AS frequency FROM events GROUP BY 1)"
 
 
@@ -228,11 +212,3 @@ def subscription_fanout(spark, d):
     subs = spark.createDataFrame([(1, "error", 2), (2, "purchase", 1), (3, "error", 3)], "subscription int, event_type string, least int")
     e = C.read(spark, d, "events").withColumn("rank", F.when(F.col("value") >= 30, 3).when(F.col("value") >= 10, 2).otherwise(1))
     return e.join(F.broadcast(subs), "event_type").where("rank >= least").select("event_id", "subscription")
-
-
-@query("ref_op162_prefer_primary", with_(NODES) + "SELECT session_id, id FROM (SELECT *, count(*) FILTER (WHERE type = 'Step') OVER (PARTITION BY session_id) AS steps FROM nodes WHERE type IN ('Step', 'Process')) WHERE type = 'Step' OR steps = 0")
-def prefer_primary(spark, d):
-    from pyspark.sql import Window
-
-    n = C.nodes(spark, d).where(F.col("type").isin("Step", "Process"))
-    return n.withColumn("steps", F.count_if(F.col("type") == "Step").over(Window.partitionBy("session_id"))).where("type = 'Step' or steps = 0").select("session_id", "id")
