@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, prepared
@@ -163,6 +163,17 @@ def met_in_buckets(rows: DataFrame, least: float) -> DataFrame:
     return rows.select("path", "id", "sketch").mapInArrow(run, "a long, b long")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links of the same components as ``links`` (``a, b``), few of them: each a keeps one to its smallest b, which takes over the others.
+
+    A class has a link for each path on which it met a class before it, so there are few to one a, and in a large group
+    most lead to the same smallest classes.
+    """
+    w = links.where("a <> b").withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    own = w.select("a", F.col("least").alias("b"))
+    return own.unionByName(w.where("b <> least").select(F.col("least").alias("a"), "b")).distinct()
+
+
 def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
     """The sizes of all pairs' intersections, by products over slices of the tokens that more than one set has."""
     n = len(sets)
@@ -229,7 +240,7 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.8, recall: float = 0
         shared, depth = counted(cut(large.select("path", "id").join(embedded, "id").select("id", F.xxhash64("path", F.substring("sketch", place + 1, F.lit(1))).alias("path")))), depth + 1
     dealt = reduce(DataFrame.unionByName, small).join(embedded, "id").repartition("path").sortWithinPartitions("path", "id")
     met = met_in_buckets(dealt, threshold - 0.15).unionByName(large.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    groups = cut(connected_components(met).join(classes.select("id", "n", "key", "size"), "id"))
+    groups = cut(connected_components(contracted(met)).join(classes.select("id", "n", "key", "size"), "id"))
 
     many = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)
     blocks = cut(groups.groupBy("component").agg(F.ceil(many).cast("int").alias("h")))
