@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe_codec, decontamination, lang_id, near_texts, secret_scans
@@ -25,10 +25,13 @@ BROADCAST_IDS = 1_000_000
 
 
 def by_place(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text``, and all columns of ``docs`` under names by place (``c0``, ``c1`` ...), with which no others clash."""
-    named = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
-    column = lambda name, kind: F.col(f"c{docs.columns.index(name)}").cast(kind).alias(name)
-    return named.select(column("doc_id", "long"), column("text", "string"), *named.columns)
+    """``docs`` with columns named by place (``c0``, ``c1`` ...), with which no others clash."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def own(docs: DataFrame, name: str, kind: str) -> Column:
+    """Column ``name`` of ``docs`` in ``by_place(docs)``, as ``kind``."""
+    return F.col(f"c{docs.columns.index(name)}").cast(kind).alias(name)
 
 
 def as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table nothing is left.
     """
     rows, net = by_place(docs), lang_id.train(docs)
-    said = lang_id.predict(rows, net, *rows.columns[2:])
+    said = lang_id.predict(rows.select(own(docs, "doc_id", "long"), own(docs, "text", "string"), "*"), net, *rows.columns)
     return as_before(said.where((F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= least_score(docs, net))), docs)
 
 
@@ -67,9 +70,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     have any names; of an empty table nothing is left.
     """
     rows = numbered(docs)
-    found = near_texts.jaccard_join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    found = near_texts.jaccard_join(rows.select(F.col("row").alias("doc_id"), own(docs, "text", "string"))).select(F.col("doc_id").alias("row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
-    kept = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("first.row")
+    kept = found.join(rows.select("row", own(docs, "doc_id", "long")), "row").groupBy("component_id").agg(first).select("first.row")
     return as_before(rows.join(kept, "row", "left_semi"), docs)
 
 
@@ -79,7 +82,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts stay; other columns may have any names; of an empty table nothing is left.
     """
     rows = numbered(docs)
-    found = decontamination.leaks(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.leaks(rows.select(F.col("row").alias("doc_id"), own(docs, "text", "string")), table(spark, sf_dir, "benchmark"))
     leaks = cut(found.select(F.col("doc_id").alias("row")).distinct())
     few = leaks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return as_before(rows.join(F.broadcast(leaks) if few else leaks, "row", "left_anti"), docs)
@@ -92,7 +95,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     may have any names; an empty table gives an empty one.
     """
     kinds, names = dict(docs.dtypes), docs.columns
-    masked = secret_scans.redact(by_place(docs).withColumn("before", F.col("text")))
+    rows = by_place(docs).select("*", own(docs, "text", "string"))
+    masked = secret_scans.redact(rows.withColumn("before", F.col("text")))
     new = masked.withColumn(f"c{names.index('text')}", F.col("text").cast(kinds["text"]))
     if "n_chars" in names:
         c = f"c{names.index('n_chars')}"
