@@ -88,17 +88,6 @@ def source_dimension(spark, d):
     return S.source_dimension(C.read(spark, d, "documents").select(F.col("source").alias("source_type"), "lang"), "source_type", "lang")
 
 
-@query("ref_op036_artifact_sink", "SELECT sha256(props) AS content_hash, left(sha256(props), 2) || '/' || sha256(props) || '.json' AS path, any_value(props) AS content FROM events GROUP BY 1, 2")
-def artifact_sink(spark, d):
-    return S.artifacts(C.read(spark, d, "events"), "props")
-
-
-@query("ref_op037_artifact_prune", "SELECT count(*) AS scanned, count(*) FILTER (WHERE event_id * 60 <= (SELECT max(event_id) * 60 - 86400 FROM events)) AS deleted FROM events")
-def artifact_prune(spark, d):
-    e = C.read(spark, d, "events").select((F.col("event_id") * 60).alias("modified"))
-    return e.crossJoin(F.broadcast(e.agg((F.max("modified") - 86400).alias("limit")))).agg(F.count("*").alias("scanned"), F.count_if(F.col("modified") <= F.col("limit")).alias("deleted"))
-
-
 @query("ref_op040_node_filter", with_(NODES) + f"SELECT id FROM nodes, (SELECT {NORM.format(repr(TEXT))} AS q) WHERE scope = 'session' AND freshness = 'active' AND origin_kind = 'raw' AND (contains({NORM.format('label')}, q) OR len([t FOR t IN {terms('q')} IF contains({NORM.format('label')}, t)]) >= 1 OR contains({NORM.format('payload')}, q) OR len([t FOR t IN {terms('q')} IF contains({NORM.format('payload')}, t)]) >= 1)")
 def node_filter(spark, d):
     return C.nodes(spark, d).where(S.node_filter(scopes=("session",), freshness=("active",), origins=("raw",), query=TEXT)).select("id")
