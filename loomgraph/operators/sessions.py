@@ -94,3 +94,20 @@ def paired(calls: DataFrame, results: DataFrame) -> DataFrame:
     c = exact.where("result_turn is null").select("session_id", "call_turn").withColumn("k", F.row_number().over(w("call_turn")))
     r = exact.where("call_turn is null").select("session_id", "result_turn").withColumn("k", F.row_number().over(w("result_turn")))
     return both.unionByName(c.join(r, ["session_id", "k"], "full").select("session_id", "call_turn", "result_turn"))
+
+
+def appended_baselines(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The baseline of each session: the former one if it says the same, else a new one of the next version.
+
+    ``now``: ``session_id, summary, last_turn``; ``before``: ``session_id, old, version``.
+    """
+    rows = now.join(before, "session_id", "left")
+    version = F.when(F.col("summary").eqNullSafe(F.col("old")), F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1)
+    rows = rows.withColumn("version", version)
+    return rows.select("session_id", "version", F.sha2(F.concat_ws("|", "session_id", F.lit("baseline"), "version", "last_turn", "summary"), 256).alias("baseline_id"))
+
+
+def state_ids(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The id of each session's compression state, and whether it is what it was."""
+    own = lambda rows, name: rows.select("session_id", F.sha2(F.concat_ws("|", "session_id", F.lit("compression_state"), "mode", F.sha2("summary", 256), "last_turn"), 256).alias(name))
+    return own(now, "state_id").join(own(before, "former"), "session_id", "left").select("session_id", "state_id", F.col("state_id").eqNullSafe(F.col("former")).alias("same"))

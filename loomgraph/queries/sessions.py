@@ -140,12 +140,3 @@ def set_difference(spark, d):
 def set_equality(spark, d):
     side = lambda k: F.collect_list(F.when(F.col("turn") % 2 == k, F.col("type")))
     return C.nodes(spark, d).groupBy("session_id").agg(S.same_ids(side(0), side(1)).alias("same"))
-
-
-@query("ref_op133_layer_overlap", with_(RECORDS, BLOCKS) + "SELECT session_id, FALSE AS overlap FROM blocks GROUP BY 1")
-def layer_overlap(spark, d):
-    w = Window.partitionBy("session_id")
-    m = S.turns(C.records(spark, d)).withColumn("top", F.max("block").over(w))
-    layer = lambda c: F.collect_set(F.when(c, F.col("id")))
-    g = m.groupBy("session_id").agg(layer(F.col("block") <= 1).alias("a"), layer((F.col("block") > 1) & (F.col("block") <= F.col("top") - 2)).alias("b"), layer((F.col("block") > 1) & (F.col("block") > F.col("top") - 2)).alias("c"))
-    return g.select("session_id", (F.arrays_overlap("a", "b") | F.arrays_overlap("b", "c") | F.arrays_overlap("a", "c")).alias("overlap"))
