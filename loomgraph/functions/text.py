@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +17,30 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Compatibility forms below the astral planes: characters that have a single one, theirs, and those of several characters."""
+    form = {c: n for k in range(0x80, 0xFFFF) if not 0xD800 <= k < 0xE000 and (n := unicodedata.normalize("NFKC", c := chr(k))) != c}
+    single = {c: n for c, n in form.items() if len(n) == 1}
+    return "".join(single), "".join(single.values()), {c: n for c, n in form.items() if len(n) > 1}
+
+
+def compatible(text: Column) -> Column:
+    """NFKC of each character on its own: wide, narrow and circled forms, ligatures, fractions, units; marks aren't composed.
+
+    Texts without letters beyond ASCII aren't looked at, and only those with a character that becomes several are split.
+    """
+    from_, to, several = _folds()
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    widened = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(table[c], c)), "")
+    folded = F.translate(text, from_, to)
+    some = "[" + "".join(f"\\u{ord(c):04x}" for c in several) + "]"
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(text.rlike(some), widened(folded)).otherwise(folded)).otherwise(text)
+
+
 def normalized(text: Column) -> Column:
-    """Lower case, ``_`` and ``-`` as spaces, letters and digits alone, single spaces."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[_-]+", " ")
+    """Compatibility forms folded, lower case, ``_`` and ``-`` as spaces, letters and digits alone, single spaces."""
+    out = F.regexp_replace(F.lower(compatible(F.coalesce(text, F.lit("")))), "[_-]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed as X
-from loomgraph.functions.text import let
+from loomgraph.functions.text import compatible, let
 
 #: Concepts and what they are called.
 CONCEPTS = {
@@ -29,8 +29,8 @@ def ascii_words(pattern: str) -> str:
 
 
 def flat(text: Column) -> Column:
-    """Lower case and single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    """Compatibility forms folded, lower case and single spaces."""
+    return F.trim(F.regexp_replace(F.lower(compatible(F.coalesce(text, F.lit("")))), r"\s+", " "))
 
 
 def concepts(text: Column) -> Column:

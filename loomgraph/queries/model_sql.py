@@ -36,7 +36,11 @@ REQUESTS = "requests AS (SELECT item_id AS request_id, 's' || (item_id % 40) AS
 CORRECTIONS = f"""corrections AS (SELECT 'm' || event_id AS id, event_id, CASE event_type WHEN 'view' THEN 'label_override' WHEN 'click' THEN 'node_suppression' WHEN 'error' THEN 'noise_policy' WHEN 'purchase' THEN 'promotion_decision' WHEN 'signup' THEN 'concept_alias' END AS target_kind,
   'n' || user_id || '.' || (event_id % 3) AS target_id, CASE WHEN event_id % 4 = 3 THEN 'rollback' ELSE 'apply' END AS action, 'label ' || (event_id % 50) AS new_label,
   (['drop', 'evidence_only', 'hint_only', 'materialize'])[(event_id % 4 + 1)::INTEGER] AS disposition, {_iso("event_id * 60")} AS created_at FROM events)"""
-CONTRACT = "contract(type, stable, usage, freshness, default_confidence, recall_priority, recall_order) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else repr(x) for x in (k, *v)) + ")" for k, v in RELATIONS.items()) + ")"
+CONTRACT = """contract(type, stable, usage, freshness, default_confidence, recall_priority, recall_order) AS (VALUES
+  ('documents', TRUE, 'explain_only', 'active', 0.92, NULL, NULL), ('contains', TRUE, 'explain_only', 'active', 0.9, NULL, NULL), ('defines', TRUE, 'explain_only', 'active', 0.9, NULL, NULL),
+  ('supported_by', TRUE, 'recall_eligible', 'active', 1.0, 2.5, 1), ('requires', TRUE, 'recall_eligible', 'active', 0.85, 1.75, 2), ('next_step', TRUE, 'recall_eligible', 'active', 0.8, 1.5, 3), ('overrides', TRUE, 'recall_eligible', 'active', 0.95, 1.25, 4),
+  ('supersedes', TRUE, 'governance_only', 'superseded', 0.95, NULL, 5), ('conflicts_with', TRUE, 'governance_only', 'active', 0.9, NULL, NULL), ('derived_from', FALSE, 'explain_only', 'active', 0.75, NULL, NULL),
+  ('applies_when', FALSE, 'explain_only', 'active', 0.7, NULL, NULL), ('forbids', FALSE, 'explain_only', 'active', 0.7, NULL, NULL), ('permits', FALSE, 'explain_only', 'active', 0.7, NULL, NULL), ('uses_skill', FALSE, 'explain_only', 'active', 0.7, NULL, NULL), ('produces', FALSE, 'explain_only', 'active', 0.7, NULL, NULL))"""
 
 
 def terms(norm: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed as X
 from loomgraph.operators import control as K
+from loomgraph.operators import ingest as I
 from loomgraph.operators import processing as P
 from loomgraph.queries.model_sql import CORRECTIONS, NODES, RECORDS, with_
 from loomgraph.queries.registry import query
@@ -48,10 +49,11 @@ def evidence_nodes(spark, d):
     return C.records(spark, d).select(F.sha2(F.concat_ws("|", "id", "source_type"), 256).alias("node_id"), F.lit("Evidence").alias("type"), F.substring(flat, 1, 96).alias("label"))
 
 
-@query("ref_op066_kind_strength_confidence", with_(RECORDS) + "SELECT source_type, CASE source_type WHEN 'system' THEN 'hard' WHEN 'conversation' THEN 'soft' ELSE 'heuristic' END AS strength, count(*) AS n FROM records GROUP BY 1, 2")
+@query("ref_op066_kind_strength_confidence", with_(NODES, RECORDS) + "SELECT n.id, CASE WHEN type IN ('Rule', 'Constraint', 'Mode') THEN 'norm' WHEN type IN ('Process', 'Step', 'Skill', 'Pattern') THEN 'process' WHEN type = 'Risk' THEN 'inference' WHEN type IN ('State', 'Goal', 'Intent', 'Outcome') THEN 'state' ELSE 'fact' END AS kind, CASE source_type WHEN 'system' THEN 'hard' ELSE 'heuristic' END AS strength, CASE source_type WHEN 'system' THEN 1.0 WHEN 'tool_output' THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM nodes n JOIN records r ON r.conv_id = n.conv_id AND r.turn = n.turn")
 def strengths(spark, d):
-    s = F.when(F.col("source_type") == "system", "hard").when(F.col("source_type") == "conversation", "soft").otherwise("heuristic")
-    return C.records(spark, d).groupBy("source_type", s.alias("strength")).agg(F.count("*").alias("n"))
+    r = C.records(spark, d).select("conv_id", "turn", "source_type")
+    n = C.nodes(spark, d).select("conv_id", "turn", "id", "type").join(r, ["conv_id", "turn"])
+    return n.select("id", I.kind(F.col("type")).alias("kind"), I.strength(F.col("source_type")).alias("strength"), I.confidence(F.col("source_type")).alias("confidence"))
 
 
 @query("ref_op067_label_preview", with_(RECORDS) + "SELECT id, CASE WHEN length(f) <= 96 THEN f ELSE left(f, 93) || '...' END AS label FROM (SELECT id, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS f FROM records)")

