@@ -222,13 +222,18 @@ class Index:
         known = np.flatnonzero(words >= 0)
         words, owner, within = words[known], owner[known], within[known]
         for step, lists in self.lists.items():
-            windows = np.maximum(1, -(-count // step) - 1)
+            steps = np.maximum(1, -(-count // step))
+            windows = np.maximum(1, steps - 1)
             begin = np.cumsum(windows) - windows
-            own = lists.top[words] > 0
-            k, limit = within[own] // step, windows[owner[own]]
-            base, terms = begin[owner[own]], words[own]
-            late, early = k < limit, k > 0  # a step is the first half of its own window and the second of the one before
-            pair = np.unique(np.concatenate([(base + k)[late], (base + k - 1)[early]]) * (lists.none + 1) + np.concatenate([terms[late], terms[early]]))
+            weight = lists.top[words]
+            own = np.flatnonzero(weight > 0)
+            k, terms, base = within[own] // step, words[own], begin[owner[own]]
+            # most of what a window could score, its repeated words counted each time: few windows go further
+            late, early = k < windows[owner[own]], k > 0  # a step is the first half of its own window and the second of the one before
+            window = np.concatenate([(base + k)[late], (base + k - 1)[early]])
+            terms = np.concatenate([terms[late], terms[early]])
+            hopeful = (np.bincount(window, lists.top[terms], int(windows.sum())) >= threshold - 1e-9)[window]
+            pair = np.unique(window[hopeful] * (lists.none + 1) + terms[hopeful])
             for passages, items, scores in lists.retrieve(pair // (lists.none + 1), pair % (lists.none + 1), threshold):
                 text = np.searchsorted(begin, passages, "right") - 1
                 yield from zip(text.tolist(), [step] * len(text), (passages - begin[text]).tolist(), items.tolist(), scores.tolist(), strict=True)
