@@ -454,3 +454,57 @@ def test_empty_tables(spark, run):
 def test_empty_vectors_and_pages(spark):
     assert near_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def awkward_documents(spark, rows: list):
+    """Rows of id and text with columns that operators might use within."""
+    return spark.createDataFrame([(k, t, "x", "x", 0, "x", "x") for k, t in rows], "doc_id long, text string, key string, component_id string, n_tokens int, mark string, part string")
+
+
+def test_null_ids_and_repeated_rows(spark, tokenizer):
+    p, q = prose(400, 120), prose(401, 120)
+    rows = [(None, p), (None, p), (1, p), (1, p), (2, q), (None, None), (3, "")]
+    docs = awkward_documents(spark, rows)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.digests(docs).collect())
+    n = len(p)
+    assert got == sorted([(False, 0, n, n)] * 2 + [(True, 1, n, n)] * 2 + [(True, 2, len(q), 0), (False, 0, 0, 0), (True, 3, 0, 0)])
+    joined = sorted((r.doc_id or 0, r.n_links, r.component_id or 0, r.kept) for r in near_texts.jaccard_join(docs).collect())
+    assert joined == sorted([(0, 0, 0, True)] * 3 + [(1, 1, 1, True)] * 2 + [(2, 0, 2, True), (3, 0, 3, True)])
+    item = " ".join(q.split()[:30])
+    bench = spark.createDataFrame([(None, item, "x"), (7, item, "x"), (7, item, "x"), (8, None, "x")], "item_id long, text string, doc_id string")
+    leaks = sorted((r.doc_id, r.item_id or 0) for r in decontamination.leaks(docs, bench).collect())
+    assert leaks == [(2, 0), (2, 7)] and decontamination.leaks(docs.limit(0), bench).count() == 0
+    scored = lm_scoring.score(docs).collect()
+    assert len(scored) == len(rows) and len({round(r.log_likelihood, 6) for r in scored if r.n_words == 120}) == 2
+    said = lang_id.identify(docs.withColumn("lang", docs.key)).collect()
+    assert len(said) == len(rows) and sum(r.lang_pred == "und" for r in said) == 2
+    assert sorted(r.n_tokens for r in token_counts.count_tokens(docs, tokenizer_path()).collect()) == sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+    assert secret_scans.scan(docs).count() == bpe_codec.digests(docs, tokenizer_path()).count() == len(rows)
+
+
+def test_repeated_vectors_and_pages(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (None, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, [1.0, 0.0], 1)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, component string, n int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in near_vectors.near_duplicates(frame).collect())
+    assert got == [(0, 0, 0), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4)]
+    pages = spark.createDataFrame([(1, "u", "a", "x"), (2, "u", "a", "x"), (2, "u", "a", "x"), (None, None, "b", "x"), (5, None, None, "x")], "page_id long, url string, html string, sha string")
+    back = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.round_trip(pages).collect())
+    assert back == [(0, "response", 0), (1, "revisit", 2), (2, "response", 0), (2, "response", 0), (5, "response", 0)]
+
+
+def test_texts_beyond_a_chunk(spark, tokenizer):
+    """A text of several MB whose repeated passage lies across the border of what is hashed at once."""
+    draw = random.Random(6)
+    words = lambda n: " ".join("".join(draw.choices("abcdefghijklmnop", k=9)) for _ in range(n))
+    passage, head = words(60), words(419_420)
+    head = head[: repeats.CHUNK - 300]
+    long = head + " " + passage + " " + words(40_000)
+    docs = documents(spark, [long, "start " + passage + " end"])
+    got = {r.doc_id: (r.n_bytes, r.n_spans, r.n_removed) for r in repeats.digests(docs).collect()}
+    n = len(passage) + 2  # the spaces around it are alike, too
+    assert len(head) > repeats.CHUNK - 400 and got == {0: (len(long), 1, n), 1: (len(passage) + 10, 1, n)}
+    leaks = decontamination.leaks(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in leaks} == {0, 1}
+    assert {r.doc_id: r.n_words for r in lm_scoring.score(docs).collect()} == {0: len(long.split()), 1: 62}
+    counted = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, tokenizer_path()).collect()}
+    assert counted[0] == len(tokenizer.encode(long, add_special_tokens=False).ids)
