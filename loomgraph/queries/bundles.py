@@ -18,13 +18,21 @@ from loomgraph.sources import corpus as C
 
 #: nodes whose labels speak of failures and risks, too
 SPOKEN = NODES.replace("nodes AS (", "plain_nodes AS (", 1) + ",\nnodes AS (SELECT * REPLACE (label || (['; error seen', '; open risk', '', '', ''])[((conv_id + turn) % 5 + 1)::INTEGER] AS label) FROM plain_nodes)"
-SLOTTED = """slotted AS (SELECT *, row_number() OVER (PARTITION BY request_id, slot ORDER BY precedence DESC, score DESC, label, id) AS rank, CASE WHEN slot IN ('goal', 'intent', 'process') THEN 1 WHEN slot = 'rules' THEN 8 WHEN slot IN ('constraints', 'evidence') THEN 6 ELSE 4 END AS most FROM (SELECT *, CASE type WHEN 'Goal' THEN 'goal' WHEN 'Intent' THEN 'intent' WHEN 'Step' THEN 'process' WHEN 'Process' THEN 'process' WHEN 'Rule' THEN 'rules'
-  WHEN 'Constraint' THEN 'constraints' WHEN 'Risk' THEN 'risks' WHEN 'Decision' THEN 'decisions' WHEN 'State' THEN 'states' WHEN 'Evidence' THEN 'evidence' WHEN 'Skill' THEN 'skills' END AS slot FROM candidates) WHERE slot IS NOT NULL),
+SLOTTED = """slotted AS (SELECT *, row_number() OVER (PARTITION BY request_id, slot ORDER BY precedence DESC, score DESC, label, id) AS rank, CASE WHEN slot
+    IN ('goal', 'intent', 'process') THEN 1 WHEN slot = 'rules' THEN 8 WHEN slot IN ('constraints', 'evidence') THEN 6 ELSE 4 END AS most FROM
+    (SELECT *, CASE type WHEN 'Goal' THEN 'goal' WHEN 'Intent' THEN 'intent' WHEN 'Step' THEN 'process' WHEN 'Process' THEN 'process' WHEN 'Rule'
+    THEN 'rules'
+  WHEN 'Constraint' THEN 'constraints' WHEN 'Risk' THEN 'risks' WHEN 'Decision' THEN 'decisions' WHEN 'State' THEN 'states' WHEN 'Evidence' THEN
+    'evidence' WHEN 'Skill' THEN 'skills' END AS slot FROM candidates) WHERE slot IS NOT NULL),
 items AS (SELECT * FROM slotted WHERE rank <= most)"""
 MODEL = with_(SPOKEN, REQUESTS, CANDIDATES, SLOTTED)
-SIGNALS = """signals AS (SELECT DISTINCT request_id, id, CASE slot WHEN 'risks' THEN 'risk' WHEN 'states' THEN 'state' ELSE 'decision' END AS signal FROM items WHERE slot = 'risks' OR (slot IN ('states', 'decisions') AND regexp_matches(lower(label), '\\b(?:fail|failure|blocked|timeout|error|exception|rollback|conflict)\\b|失败|阻塞|超时|错误|异常|回滚|冲突'))),
-tried AS (SELECT *, CASE WHEN process IS NOT NULL THEN CASE WHEN failures = 0 THEN 'success' ELSE 'partial' END WHEN failures > 0 THEN 'failure' ELSE 'running' END AS status FROM (SELECT i.request_id, max(id) FILTER (WHERE slot = 'process') AS process, max(id) FILTER (WHERE slot = 'goal') AS goal, count(*) FILTER (WHERE slot = 'risks') AS risks, count(*) FILTER (WHERE slot = 'states') AS states,
-  count(*) FILTER (WHERE slot = 'rules') AS rules, count(*) FILTER (WHERE slot = 'constraints') AS constraints, (SELECT count(*) FROM signals s WHERE s.request_id = i.request_id) AS failures FROM items i GROUP BY 1))"""
+SIGNALS = """signals AS (SELECT DISTINCT request_id, id, CASE slot WHEN 'risks' THEN 'risk' WHEN 'states' THEN 'state' ELSE 'decision' END AS signal FROM
+    items WHERE slot = 'risks' OR (slot IN ('states', 'decisions') AND regexp_matches(lower(label), '\\b(?:fail|failure|blocked|timeout|error|exception|rollback|conflict)\\b|失败|阻塞|超时|错误|异常|回滚|冲突'))),
+tried AS (SELECT *, CASE WHEN process IS NOT NULL THEN CASE WHEN failures = 0 THEN 'success' ELSE 'partial' END WHEN failures > 0 THEN 'failure'
+    ELSE 'running' END AS status FROM (SELECT i.request_id, max(id) FILTER (WHERE slot = 'process') AS process, max(id) FILTER (WHERE slot =
+    'goal') AS goal, count(*) FILTER (WHERE slot = 'risks') AS risks, count(*) FILTER (WHERE slot = 'states') AS states,
+  count(*) FILTER (WHERE slot = 'rules') AS rules, count(*) FILTER (WHERE slot = 'constraints') AS constraints, (SELECT count(*) FROM signals
+    s WHERE s.request_id = i.request_id) AS failures FROM items i GROUP BY 1))"""
 
 
 def nodes(spark, d):
@@ -45,7 +53,10 @@ def items(spark, d):
     return slotted(spark, d).where("rank <= 8").where("rank <= most")
 
 
-@query("ref_op134_open_risks", MODEL + ", o AS (SELECT request_id, id, min({'f': f, 'r': rank}) AS o FROM (SELECT *, CASE WHEN slot = 'risks' THEN 0 WHEN slot = 'constraints' THEN 1 ELSE 2 END AS f FROM items WHERE slot = 'risks' OR (slot IN ('constraints', 'states') AND regexp_matches(lower(label), 'risk|block|conflict|constraint|forbid|warning'))) GROUP BY 1, 2) SELECT request_id, id, place, inferred FROM (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY o.f, o.r, id) AS place, o.f > 0 AS inferred FROM o) WHERE place <= 4")
+@query("ref_op134_open_risks", MODEL + """, o AS (SELECT request_id, id, min({'f': f, 'r': rank}) AS o FROM (SELECT *, CASE WHEN slot = 'risks' THEN 0 WHEN slot =
+    'constraints' THEN 1 ELSE 2 END AS f FROM items WHERE slot = 'risks' OR (slot IN ('constraints', 'states') AND regexp_matches(lower(label),
+    'risk|block|conflict|constraint|forbid|warning'))) GROUP BY 1, 2) SELECT request_id, id, place, inferred FROM (SELECT request_id, id, row_number()
+    OVER (PARTITION BY request_id ORDER BY o.f, o.r, id) AS place, o.f > 0 AS inferred FROM o) WHERE place <= 4""")
 def open_risks(spark, d):
     return B.open_risks(items(spark, d)).withColumn("place", F.col("place").cast("long"))
 
@@ -55,7 +66,10 @@ TOPIC = "topics AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER B
 
 @query(
     "ref_op175_topic_admission",
-    MODEL + ", " + TOPIC + ", f AS (SELECT request_id, count(*) FILTER (WHERE slot = 'evidence') >= 4 AND count(*) FILTER (WHERE slot = 'skills') >= 2 AS full_ FROM items GROUP BY 1), h AS (SELECT t.*, confidence >= 0.7 AND NOT coalesce(full_, FALSE) AS may FROM topics t LEFT JOIN f USING (request_id) WHERE rank <= 4) SELECT request_id, id, coalesce(rank = min(rank) FILTER (WHERE may) OVER (PARTITION BY request_id), FALSE) AS admitted FROM h",
+    MODEL + ", " + TOPIC + """, f AS (SELECT request_id, count(*) FILTER (WHERE slot = 'evidence') >= 4 AND count(*) FILTER (WHERE slot = 'skills') >=
+    2 AS full_ FROM items GROUP BY 1), h AS (SELECT t.*, confidence >= 0.7 AND NOT coalesce(full_, FALSE) AS may FROM topics t LEFT JOIN f USING
+    (request_id) WHERE rank <= 4) SELECT request_id, id, coalesce(rank = min(rank) FILTER (WHERE may) OVER (PARTITION BY request_id), FALSE)
+    AS admitted FROM h""",
 )
 def topic_admission(spark, d):
     return B.topic_admissions(items(spark, d), S.ranked(candidates(spark, d).where("type = 'Topic'"), "request_id"))
@@ -66,14 +80,17 @@ def failure_labels(spark, d):
     return nodes(spark, d).where(F.lower("label").rlike(B.FAILED)).select("id")
 
 
-@query("ref_op243_failure_signals", MODEL + ", " + SIGNALS + " SELECT request_id, id, signal, CASE signal WHEN 'risk' THEN 'high' ELSE 'medium' END AS severity, 'failure-signal:' || left(sha256(id || '|' || signal), 16) AS signal_id FROM signals")
+@query("ref_op243_failure_signals", MODEL + ", " + SIGNALS + """ SELECT request_id, id, signal, CASE signal WHEN 'risk' THEN 'high' ELSE 'medium' END AS severity, 'failure-signal:' || left(sha256(id
+    || '|' || signal), 16) AS signal_id FROM signals""")
 def failure_signals(spark, d):
     return B.failure_signals(items(spark, d))
 
 
 @query(
     "ref_op243_attempts",
-    MODEL + ", " + SIGNALS + " SELECT request_id, status, CASE status WHEN 'success' THEN 'resolved' WHEN 'failure' THEN 'abandoned' ELSE 'open' END AS episode, failures, ((process IS NOT NULL)::INT + (goal IS NOT NULL)::INT + CASE WHEN process IS NOT NULL AND risks = 0 THEN 2 ELSE 0 END + (failures = 0 AND states > 0)::INT)::INTEGER AS successes FROM tried",
+    MODEL + ", " + SIGNALS + """ SELECT request_id, status, CASE status WHEN 'success' THEN 'resolved' WHEN 'failure' THEN 'abandoned' ELSE 'open' END AS
+    episode, failures, ((process IS NOT NULL)::INT + (goal IS NOT NULL)::INT + CASE WHEN process IS NOT NULL AND risks = 0 THEN 2 ELSE 0 END
+    + (failures = 0 AND states > 0)::INT)::INTEGER AS successes FROM tried""",
 )
 def attempts(spark, d):
     return B.attempts(items(spark, d)).select("request_id", "status", "episode", "failures", "successes")
@@ -81,7 +98,9 @@ def attempts(spark, d):
 
 @query(
     "ref_op244_procedures",
-    MODEL + ", " + SIGNALS + " SELECT request_id, process AS step_id, CASE WHEN failures = 0 THEN 'validated' ELSE 'candidate' END AS procedure, round(greatest(0, least(1, 0.55 + CASE WHEN rules > 0 THEN 0.15 ELSE 0 END + CASE WHEN constraints > 0 THEN 0.1 ELSE 0 END - least(0.3, failures * 0.08))), 6)::DOUBLE AS confidence FROM tried WHERE process IS NOT NULL",
+    MODEL + ", " + SIGNALS + """ SELECT request_id, process AS step_id, CASE WHEN failures = 0 THEN 'validated' ELSE 'candidate' END AS procedure, round(greatest(0,
+    least(1, 0.55 + CASE WHEN rules > 0 THEN 0.15 ELSE 0 END + CASE WHEN constraints > 0 THEN 0.1 ELSE 0 END - least(0.3, failures * 0.08))),
+    6)::DOUBLE AS confidence FROM tried WHERE process IS NOT NULL""",
 )
 def procedures(spark, d):
     rows = items(spark, d)
@@ -91,7 +110,10 @@ def procedures(spark, d):
 
 @query(
     "ref_op245_experience_edges",
-    MODEL + ", " + SIGNALS + ", e AS (SELECT i.*, status IN ('success', 'partial') AS learned FROM items i JOIN tried USING (request_id)) SELECT request_id, edge, id AS to_id, CASE scope WHEN 'global' THEN 'workspace' ELSE scope END AS scope FROM (SELECT request_id, 'derived_from' AS edge, id, scope FROM e UNION ALL SELECT request_id, 'requires', id, scope FROM e WHERE learned AND slot IN ('rules', 'constraints') UNION ALL SELECT request_id, 'produces', id, scope FROM e WHERE learned AND slot = 'process')",
+    MODEL + ", " + SIGNALS + """, e AS (SELECT i.*, status IN ('success', 'partial') AS learned FROM items i JOIN tried USING (request_id)) SELECT request_id,
+    edge, id AS to_id, CASE scope WHEN 'global' THEN 'workspace' ELSE scope END AS scope FROM (SELECT request_id, 'derived_from' AS edge, id,
+    scope FROM e UNION ALL SELECT request_id, 'requires', id, scope FROM e WHERE learned AND slot IN ('rules', 'constraints') UNION ALL SELECT
+    request_id, 'produces', id, scope FROM e WHERE learned AND slot = 'process')""",
 )
 def experience_edges(spark, d):
     return B.experience_edges(items(spark, d))
@@ -99,22 +121,31 @@ def experience_edges(spark, d):
 
 @query(
     "ref_op251_experience_roles",
-    MODEL + ", " + SIGNALS + """, r AS (SELECT i.request_id, i.id, i.slot, status IN ('success', 'partial') AS learned, EXISTS (SELECT 1 FROM signals s WHERE s.request_id = i.request_id AND s.id = i.id) AS failed FROM items i JOIN tried t USING (request_id)),
-  n AS (SELECT request_id, id, slot, [x FOR x IN [CASE WHEN slot = 'process' THEN 'attempt_step' END, CASE WHEN slot = 'process' THEN 'critical_step' END, CASE WHEN slot = 'evidence' THEN 'attempt_evidence' END, CASE WHEN failed THEN 'failure_signal_source' END, CASE WHEN slot = 'process' AND learned THEN 'procedure_step' END, CASE WHEN slot IN ('rules', 'constraints') AND learned THEN 'procedure_prerequisite' END,
-    CASE WHEN failed THEN 'failure_pattern_source' END, CASE WHEN slot = 'process' AND learned THEN 'successful_procedure_step' END, CASE WHEN slot IN ('rules', 'constraints') AND learned THEN 'successful_procedure_prerequisite' END] IF x IS NOT NULL] AS roles FROM r)
+    MODEL + ", " + SIGNALS + """, r AS (SELECT i.request_id, i.id, i.slot, status IN ('success', 'partial') AS learned, EXISTS (SELECT 1 FROM signals s WHERE s.request_id =
+    i.request_id AND s.id = i.id) AS failed FROM items i JOIN tried t USING (request_id)),
+  n AS (SELECT request_id, id, slot, [x FOR x IN [CASE WHEN slot = 'process' THEN 'attempt_step' END, CASE WHEN slot = 'process' THEN 'critical_step'
+    END, CASE WHEN slot = 'evidence' THEN 'attempt_evidence' END, CASE WHEN failed THEN 'failure_signal_source' END, CASE WHEN slot = 'process'
+    AND learned THEN 'procedure_step' END, CASE WHEN slot IN ('rules', 'constraints') AND learned THEN 'procedure_prerequisite' END,
+    CASE WHEN failed THEN 'failure_pattern_source' END, CASE WHEN slot = 'process' AND learned THEN 'successful_procedure_step' END, CASE WHEN
+    slot IN ('rules', 'constraints') AND learned THEN 'successful_procedure_prerequisite' END] IF x IS NOT NULL] AS roles FROM r)
   SELECT request_id, id, slot, array_to_string(roles, ',') AS roles FROM n WHERE len(roles) > 0""",
 )
 def experience_roles(spark, d):
     return B.experience_roles(items(spark, d)).withColumn("roles", F.array_join("roles", ","))
 
 
-SKILL = """s AS (SELECT request_id, max(label) FILTER (WHERE slot = 'process') AS process, count(*) FILTER (WHERE slot = 'evidence') AS evidence, count(*) FILTER (WHERE slot = 'rules') AS rules, count(*) FILTER (WHERE slot = 'risks') AS risks, string_agg(id, ',' ORDER BY id) FILTER (WHERE slot = 'rules') AS rule_ids, string_agg(id, ',' ORDER BY id) FILTER (WHERE slot = 'constraints') AS constraint_ids FROM items GROUP BY 1)"""
+SKILL = """s AS (SELECT request_id, max(label) FILTER (WHERE slot = 'process') AS process, count(*) FILTER (WHERE slot = 'evidence') AS evidence, count(*)
+    FILTER (WHERE slot = 'rules') AS rules, count(*) FILTER (WHERE slot = 'risks') AS risks, string_agg(id, ',' ORDER BY id) FILTER (WHERE slot
+    = 'rules') AS rule_ids, string_agg(id, ',' ORDER BY id) FILTER (WHERE slot = 'constraints') AS constraint_ids FROM items GROUP BY 1)"""
 
 
 @query(
     "ref_op257_crystallised_skills",
-    MODEL + ", " + SKILL + """ SELECT request_id, trim(regexp_replace(process, '(?i)^(workflow|skill|rule):', '')) AS name, least(1.0, evidence / 5.0)::DOUBLE AS frequency, CASE WHEN rules > 0 THEN 0.8 ELSE 0.45 END::DOUBLE AS stability, CASE WHEN risks = 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS success, 0.85::DOUBLE AS clarity,
-  'workflow:' || CASE WHEN p = '' THEN 'unspecified' ELSE p END || '|rules:' || coalesce(rule_ids, 'none') || '|constraints:' || coalesce(constraint_ids, 'none') AS merge_key, CASE WHEN evidence >= 3 AND risks = 0 THEN 'fresh' ELSE 'cooling' END AS decay
+    MODEL + ", " + SKILL + """ SELECT request_id, trim(regexp_replace(process, '(?i)^(workflow|skill|rule):', '')) AS name, least(1.0, evidence / 5.0)::DOUBLE AS frequency,
+    CASE WHEN rules > 0 THEN 0.8 ELSE 0.45 END::DOUBLE AS stability, CASE WHEN risks = 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS success, 0.85::DOUBLE
+    AS clarity,
+  'workflow:' || CASE WHEN p = '' THEN 'unspecified' ELSE p END || '|rules:' || coalesce(rule_ids, 'none') || '|constraints:' || coalesce(constraint_ids,
+    'none') AS merge_key, CASE WHEN evidence >= 3 AND risks = 0 THEN 'fresh' ELSE 'cooling' END AS decay
   FROM (SELECT *, left(regexp_replace(regexp_replace(lower(process), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 72) AS p FROM s WHERE process IS NOT NULL AND evidence >= 2)""",
 )
 def crystallised_skills(spark, d):
@@ -126,7 +157,8 @@ def retention(spark, d):
     return B.retention(items(spark, d))
 
 
-_EXPECTED = "expected AS (SELECT r.request_id, n.id, CASE WHEN n.type IN ('Rule', 'Evidence', 'Decision') THEN 'required' ELSE 'forbidden' END AS kind FROM requests r JOIN nodes n ON n.session_id = r.session_id WHERE n.type IN ('Rule', 'Evidence', 'Decision', 'Skill', 'State'))"
+_EXPECTED = """expected AS (SELECT r.request_id, n.id, CASE WHEN n.type IN ('Rule', 'Evidence', 'Decision') THEN 'required' ELSE 'forbidden'
+    END AS kind FROM requests r JOIN nodes n ON n.session_id = r.session_id WHERE n.type IN ('Rule', 'Evidence', 'Decision', 'Skill', 'State'))"""
 
 
 def _expected(spark, d):
@@ -134,7 +166,12 @@ def _expected(spark, d):
     return r.join(n, "session_id").select("request_id", "id", F.when(F.col("type").isin("Rule", "Evidence", "Decision"), "required").otherwise("forbidden").alias("kind"))
 
 
-QUALITY = _EXPECTED + ", x AS (SELECT e.*, EXISTS (SELECT 1 FROM items i WHERE i.request_id = e.request_id AND i.id = e.id) AS has FROM expected e), quality AS (SELECT request_id, CASE WHEN count(*) FILTER (WHERE kind = 'required') = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE kind = 'required' AND has)::DOUBLE / count(*) FILTER (WHERE kind = 'required'), 6) END::DOUBLE AS coverage, count(*) FILTER (WHERE kind = 'required' AND NOT has) AS missing, count(*) FILTER (WHERE kind = 'forbidden' AND has) AS forbidden, CASE WHEN count(*) FILTER (WHERE kind = 'forbidden') = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE kind = 'forbidden' AND has)::DOUBLE / count(*) FILTER (WHERE kind = 'forbidden'), 6) END::DOUBLE AS intrusion FROM x GROUP BY 1)"
+QUALITY = _EXPECTED + """, x AS (SELECT e.*, EXISTS (SELECT 1 FROM items i WHERE i.request_id = e.request_id AND i.id = e.id) AS has FROM expected
+    e), quality AS (SELECT request_id, CASE WHEN count(*) FILTER (WHERE kind = 'required') = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE kind
+    = 'required' AND has)::DOUBLE / count(*) FILTER (WHERE kind = 'required'), 6) END::DOUBLE AS coverage, count(*) FILTER (WHERE kind = 'required'
+    AND NOT has) AS missing, count(*) FILTER (WHERE kind = 'forbidden' AND has) AS forbidden, CASE WHEN count(*) FILTER (WHERE kind = 'forbidden')
+    = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE kind = 'forbidden' AND has)::DOUBLE / count(*) FILTER (WHERE kind = 'forbidden'), 6) END::DOUBLE
+    AS intrusion FROM x GROUP BY 1)"""
 
 
 @query("ref_op118_bundle_quality", MODEL + ", " + QUALITY + " SELECT request_id, coverage, missing, forbidden FROM quality")
@@ -147,14 +184,17 @@ def memory_usefulness(spark, d):
     return B.quality(items(spark, d), _expected(spark, d)).select("request_id", F.col("coverage").alias("usefulness"), "intrusion")
 
 
-@query("ref_op124_threshold_failures", MODEL + ", " + QUALITY + ", u AS (UNPIVOT (SELECT request_id, coverage, missing::DOUBLE AS missing, forbidden::DOUBLE AS forbidden, intrusion FROM quality) ON coverage, missing, forbidden, intrusion INTO NAME metric VALUE value) SELECT request_id, metric, value FROM u WHERE CASE metric WHEN 'coverage' THEN value < 1 ELSE value > 0 END")
+@query("ref_op124_threshold_failures", MODEL + ", " + QUALITY + """, u AS (UNPIVOT (SELECT request_id, coverage, missing::DOUBLE AS missing, forbidden::DOUBLE AS forbidden, intrusion FROM
+    quality) ON coverage, missing, forbidden, intrusion INTO NAME metric VALUE value) SELECT request_id, metric, value FROM u WHERE CASE metric
+    WHEN 'coverage' THEN value < 1 ELSE value > 0 END""")
 def threshold_failures(spark, d):
     q = B.quality(items(spark, d), _expected(spark, d)).withColumns({"missing": F.col("missing").cast("double"), "forbidden": F.col("forbidden").cast("double")})
     rows = q.unpivot(["request_id"], ["coverage", "missing", "forbidden", "intrusion"], "metric", "value")
     return rows.where(F.when(F.col("metric") == "coverage", F.col("value") < 1).otherwise(F.col("value") > 0))
 
 
-RELATED = """related AS (SELECT DISTINCT i.request_id, CASE WHEN e.from_id = i.id THEN e.to_id ELSE e.from_id END AS id FROM items i JOIN edges e ON (e.from_id = i.id OR e.to_id = i.id) AND e.type IN ('supported_by', 'requires', 'next_step', 'overrides') WHERE i.slot <> 'evidence')"""
+RELATED = """related AS (SELECT DISTINCT i.request_id, CASE WHEN e.from_id = i.id THEN e.to_id ELSE e.from_id END AS id FROM items i JOIN edges e ON (e.from_id
+    = i.id OR e.to_id = i.id) AND e.type IN ('supported_by', 'requires', 'next_step', 'overrides') WHERE i.slot <> 'evidence')"""
 
 
 def related(spark, d, rows):
@@ -164,9 +204,14 @@ def related(spark, d, rows):
 
 @query(
     "ref_op119_relation_recall",
-    with_(SPOKEN, EDGES, REQUESTS, CANDIDATES, SLOTTED, RELATED) + """, r AS (SELECT request_id, id FROM items JOIN related USING (request_id, id) WHERE slot = 'evidence'), e AS (SELECT r.request_id, n.id FROM requests r JOIN nodes n ON n.session_id = r.session_id WHERE n.type = 'Evidence' AND n.freshness = 'active'), a AS (SELECT r.request_id, n.id FROM requests r JOIN nodes n ON n.workspace_id = r.workspace_id),
-  f AS (SELECT request_id, id, r.id IS NOT NULL AS r, e.id IS NOT NULL AS e, EXISTS (SELECT 1 FROM a WHERE a.request_id = coalesce(r.request_id, e.request_id) AND a.id = coalesce(r.id, e.id)) AS a FROM r FULL JOIN e USING (request_id, id))
-  SELECT request_id, CASE WHEN count(*) FILTER (WHERE r) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE r AND a)::DOUBLE / count(*) FILTER (WHERE r), 6) END::DOUBLE AS precision, CASE WHEN count(*) FILTER (WHERE e) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE r AND e)::DOUBLE / count(*) FILTER (WHERE e), 6) END::DOUBLE AS recall, count(*) FILTER (WHERE r AND NOT a) AS noise FROM f GROUP BY 1""",
+    with_(SPOKEN, EDGES, REQUESTS, CANDIDATES, SLOTTED, RELATED) + """, r AS (SELECT request_id, id FROM items JOIN related USING (request_id, id) WHERE slot = 'evidence'), e AS (SELECT r.request_id, n.id FROM requests
+    r JOIN nodes n ON n.session_id = r.session_id WHERE n.type = 'Evidence' AND n.freshness = 'active'), a AS (SELECT r.request_id, n.id FROM
+    requests r JOIN nodes n ON n.workspace_id = r.workspace_id),
+  f AS (SELECT request_id, id, r.id IS NOT NULL AS r, e.id IS NOT NULL AS e, EXISTS (SELECT 1 FROM a WHERE a.request_id = coalesce(r.request_id,
+    e.request_id) AND a.id = coalesce(r.id, e.id)) AS a FROM r FULL JOIN e USING (request_id, id))
+  SELECT request_id, CASE WHEN count(*) FILTER (WHERE r) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE r AND a)::DOUBLE / count(*) FILTER (WHERE
+    r), 6) END::DOUBLE AS precision, CASE WHEN count(*) FILTER (WHERE e) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE r AND e)::DOUBLE / count(*)
+    FILTER (WHERE e), 6) END::DOUBLE AS recall, count(*) FILTER (WHERE r AND NOT a) AS noise FROM f GROUP BY 1""",
 )
 def relation_recall(spark, d):
     rows, r = items(spark, d), C.requests(spark, d)
@@ -179,7 +224,10 @@ def relation_recall(spark, d):
 
 @query(
     "ref_op242_recall_kinds",
-    with_(SPOKEN, EDGES, REQUESTS, CANDIDATES, SLOTTED, RELATED) + ", k AS (SELECT i.request_id, i.slot, i.id, direct, EXISTS (SELECT 1 FROM related r WHERE r.request_id = i.request_id AND r.id = i.id) AS rel FROM items i) SELECT request_id, id, array_to_string([x FOR x IN [CASE WHEN direct OR NOT rel THEN 'direct_text' END, CASE WHEN rel THEN 'relation_graph' END] IF x IS NOT NULL], ',') AS kinds, CASE WHEN rel THEN 'relation_graph' ELSE 'direct_text' END AS primary_kind FROM k",
+    with_(SPOKEN, EDGES, REQUESTS, CANDIDATES, SLOTTED, RELATED) + """, k AS (SELECT i.request_id, i.slot, i.id, direct, EXISTS (SELECT 1 FROM related r WHERE r.request_id = i.request_id AND
+    r.id = i.id) AS rel FROM items i) SELECT request_id, id, array_to_string([x FOR x IN [CASE WHEN direct OR NOT rel THEN 'direct_text' END,
+    CASE WHEN rel THEN 'relation_graph' END] IF x IS NOT NULL], ',') AS kinds, CASE WHEN rel THEN 'relation_graph' ELSE 'direct_text' END AS
+    primary_kind FROM k""",
 )
 def recall_kinds(spark, d):
     rows = items(spark, d)
@@ -190,7 +238,10 @@ def recall_kinds(spark, d):
 
 @query(
     "ref_op114_recalled_nodes",
-    with_(SPOKEN, EDGES, REQUESTS, CANDIDATES, SLOTTED, RELATED) + ", m AS (SELECT request_id, id, rank <= most AS included, CASE WHEN rank <= most THEN 'selected for ' ELSE 'skipped in ' END || slot AS reason, 'direct_text' AS kind FROM slotted UNION ALL SELECT request_id, id, FALSE, 'related to a selection', 'relation_graph' FROM related) SELECT request_id, id, bool_or(included) AS included, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons, CASE WHEN bool_or(kind = 'relation_graph') THEN 'relation_graph' ELSE 'direct_text' END AS primary_kind FROM m GROUP BY 1, 2",
+    with_(SPOKEN, EDGES, REQUESTS, CANDIDATES, SLOTTED, RELATED) + """, m AS (SELECT request_id, id, rank <= most AS included, CASE WHEN rank <= most THEN 'selected for ' ELSE 'skipped in ' END
+    || slot AS reason, 'direct_text' AS kind FROM slotted UNION ALL SELECT request_id, id, FALSE, 'related to a selection', 'relation_graph'
+    FROM related) SELECT request_id, id, bool_or(included) AS included, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons, CASE WHEN
+    bool_or(kind = 'relation_graph') THEN 'relation_graph' ELSE 'direct_text' END AS primary_kind FROM m GROUP BY 1, 2""",
 )
 def recalled_nodes(spark, d):
     s = slotted(spark, d)
@@ -199,12 +250,18 @@ def recalled_nodes(spark, d):
     return B.recalled_nodes(own.unionByName(more)).select("request_id", "id", "included", F.array_join("reasons", "; ").alias("reasons"), "primary_kind")
 
 
-_STATUS = """suppressed AS (SELECT target_id AS id FROM standing WHERE target_kind = 'node_suppression'), considered AS (SELECT c.request_id, c.id, c.type, s.slot, coalesce(s.rank, t.rank) AS rank, s.most, c.id IN (SELECT id FROM suppressed) AS gone, n.freshness = 'stale' AS conflicted, c.scope = 'session' AS admitted FROM candidates c LEFT JOIN slotted s USING (request_id, id) LEFT JOIN topics t USING (request_id, id) JOIN nodes n ON n.id = c.id)"""
+_STATUS = """suppressed AS (SELECT target_id AS id FROM standing WHERE target_kind = 'node_suppression'), considered AS (SELECT c.request_id, c.id, c.type,
+    s.slot, coalesce(s.rank, t.rank) AS rank, s.most, c.id IN (SELECT id FROM suppressed) AS gone, n.freshness = 'stale' AS conflicted, c.scope
+    = 'session' AS admitted FROM candidates c LEFT JOIN slotted s USING (request_id, id) LEFT JOIN topics t USING (request_id, id) JOIN nodes
+    n ON n.id = c.id)"""
 
 
 @query(
     "ref_op316_selection_status",
-    with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING, CANDIDATES, SLOTTED, TOPIC, _STATUS) + "SELECT request_id, id, st AS status, st IN ('fixed', 'category') AS included FROM (SELECT *, CASE WHEN gone THEN 'suppressed' WHEN slot IN ('goal', 'intent', 'process') AND rank <= most THEN 'fixed' WHEN slot IS NOT NULL AND rank <= most THEN 'category' WHEN slot IN ('goal', 'intent', 'process') THEN 'fixed_skipped' WHEN slot IS NOT NULL THEN 'category_skipped' WHEN type = 'Topic' AND rank <= 4 THEN 'topic_hint' WHEN conflicted THEN 'conflict' WHEN NOT admitted THEN 'scope' ELSE 'not_selected' END AS st FROM considered)",
+    with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING, CANDIDATES, SLOTTED, TOPIC, _STATUS) + """SELECT request_id, id, st AS status, st IN ('fixed', 'category') AS included FROM (SELECT *, CASE WHEN gone THEN 'suppressed'
+    WHEN slot IN ('goal', 'intent', 'process') AND rank <= most THEN 'fixed' WHEN slot IS NOT NULL AND rank <= most THEN 'category' WHEN slot
+    IN ('goal', 'intent', 'process') THEN 'fixed_skipped' WHEN slot IS NOT NULL THEN 'category_skipped' WHEN type = 'Topic' AND rank <= 4 THEN
+    'topic_hint' WHEN conflicted THEN 'conflict' WHEN NOT admitted THEN 'scope' ELSE 'not_selected' END AS st FROM considered)""",
 )
 def selection_status(spark, d):
     c = candidates(spark, d)
@@ -216,21 +273,28 @@ def selection_status(spark, d):
     return B.selection_status(rows)
 
 
-@query("ref_op161_prefer_primary", MODEL + "SELECT request_id, id FROM (SELECT *, count(*) FILTER (WHERE origin_kind = 'raw') OVER (PARTITION BY request_id, type) AS raws FROM candidates) WHERE raws = 0 OR origin_kind = 'raw'")
+@query("ref_op161_prefer_primary", MODEL + """SELECT request_id, id FROM (SELECT *, count(*) FILTER (WHERE origin_kind = 'raw') OVER (PARTITION BY request_id, type) AS
+    raws FROM candidates) WHERE raws = 0 OR origin_kind = 'raw'""")
 def prefer_primary(spark, d):
     return B.prefer_primary(candidates(spark, d), F.col("origin_kind") == "raw", "request_id", "type").select("request_id", "id")
 
 
 @query(
     "ref_op162_merge_primary_secondary",
-    with_(NODES) + "SELECT session_id, id, rank FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY place, updated_at DESC, id) AS rank FROM (SELECT *, min(place) OVER (PARTITION BY session_id) AS best FROM (SELECT *, CASE origin_kind WHEN 'raw' THEN CASE WHEN scope = 'session' THEN 1 END WHEN 'compressed' THEN 2 ELSE 3 END AS place FROM nodes) WHERE place IS NOT NULL) WHERE place < 3 OR best = 3) WHERE rank <= 3",
+    with_(NODES) + """SELECT session_id, id, rank FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY place, updated_at
+    DESC, id) AS rank FROM (SELECT *, min(place) OVER (PARTITION BY session_id) AS best FROM (SELECT *, CASE origin_kind WHEN 'raw' THEN CASE
+    WHEN scope = 'session' THEN 1 END WHEN 'compressed' THEN 2 ELSE 3 END AS place FROM nodes) WHERE place IS NOT NULL) WHERE place < 3 OR best
+    = 3) WHERE rank <= 3""",
 )
 def merge_primary_secondary(spark, d):
     place = F.when(F.col("origin_kind") == "raw", F.when(F.col("scope") == "session", 1)).when(F.col("origin_kind") == "compressed", 2).otherwise(3)
     return B.merged(C.nodes(spark, d), place, 3, "session_id", F.desc("updated_at"), F.asc("id")).select("session_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("ref_op182_text_match_analysis", with_(SPOKEN, REQUESTS) + f", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format('r.query')} AS q, {NORM.format('n.label')} AS l FROM requests r JOIN nodes n ON n.session_id = r.session_id)) SELECT request_id, id, q <> '' AND contains(l, q) AS phrase, len([t FOR t IN ts IF contains(l, t)])::INTEGER AS matched, CASE WHEN len(ts) = 0 THEN 0 ELSE round(len([t FOR t IN ts IF contains(l, t)])::DOUBLE / len(ts), 6) END::DOUBLE AS coverage FROM m")
+@query("ref_op182_text_match_analysis", with_(SPOKEN, REQUESTS) + f""", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format('r.query')} AS q, {NORM.format('n.label')}
+    AS l FROM requests r JOIN nodes n ON n.session_id = r.session_id)) SELECT request_id, id, q <> '' AND contains(l, q) AS phrase, len([t FOR
+    t IN ts IF contains(l, t)])::INTEGER AS matched, CASE WHEN len(ts) = 0 THEN 0 ELSE round(len([t FOR t IN ts IF contains(l, t)])::DOUBLE /
+    len(ts), 6) END::DOUBLE AS coverage FROM m""")
 def text_match_analysis(spark, d):
     r = C.requests(spark, d).select("request_id", "session_id", T.normalized(F.col("query")).alias("q")).withColumn("ts", T.terms(F.col("q")))
     rows = r.join(nodes(spark, d).select("session_id", "id", T.normalized(F.col("label")).alias("l")), "session_id")
@@ -238,7 +302,10 @@ def text_match_analysis(spark, d):
     return rows.select("request_id", "id", ((F.col("q") != "") & F.contains("l", "q")).alias("phrase"), m.alias("matched"), F.when(F.size("ts") == 0, 0.0).otherwise(F.round(m / F.size("ts"), 6)).alias("coverage"))
 
 
-@query("ref_op160_scope_hierarchy", with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING) + ", every AS (SELECT request_id, n.id, 1 AS place FROM requests r JOIN nodes n ON n.scope = 'session' AND n.session_id = r.session_id UNION ALL SELECT request_id, n.id, 2 FROM requests r JOIN nodes n ON n.scope = 'workspace' AND n.workspace_id = r.workspace_id UNION ALL SELECT request_id, n.id, 4 FROM requests r JOIN nodes n ON n.session_id = r.session_id JOIN standing s ON s.target_kind = 'label_override' AND s.target_id = n.id) SELECT request_id, id, min(place) AS place FROM every GROUP BY 1, 2")
+@query("ref_op160_scope_hierarchy", with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING) + """, every AS (SELECT request_id, n.id, 1 AS place FROM requests r JOIN nodes n ON n.scope = 'session' AND n.session_id = r.session_id
+    UNION ALL SELECT request_id, n.id, 2 FROM requests r JOIN nodes n ON n.scope = 'workspace' AND n.workspace_id = r.workspace_id UNION ALL
+    SELECT request_id, n.id, 4 FROM requests r JOIN nodes n ON n.session_id = r.session_id JOIN standing s ON s.target_kind = 'label_override'
+    AND s.target_id = n.id) SELECT request_id, id, min(place) AS place FROM every GROUP BY 1, 2""")
 def scope_hierarchy(spark, d):
     r, n = C.requests(spark, d).select("request_id", F.col("session_id").alias("s"), F.col("workspace_id").alias("w")), nodes(spark, d)
     own = r.join(n.where("scope = 'session'"), F.col("s") == F.col("session_id")).select("request_id", "id", F.lit(1).alias("place"))
@@ -248,7 +315,9 @@ def scope_hierarchy(spark, d):
     return own.unionByName(near).unionByName(over).groupBy("request_id", "id").agg(F.min("place").alias("place"))
 
 
-@query("ref_op052_label_override_filter", with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING) + f", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format('r.query')} AS q, {NORM.format(chr(39) + 'the ' + chr(39) + ' || s.new_label')} AS l FROM requests r JOIN nodes n ON n.session_id = r.session_id AND n.scope = 'session' JOIN standing s ON s.target_kind = 'label_override' AND s.target_id = n.id)) SELECT request_id, id FROM m WHERE q = '' OR contains(l, q) OR len([t FOR t IN ts IF contains(l, t)]) >= 1")
+@query("ref_op052_label_override_filter", with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING) + f""", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format('r.query')} AS q, {NORM.format(chr(39) + 'the ' + chr(39) + ' || s.new_label')}
+    AS l FROM requests r JOIN nodes n ON n.session_id = r.session_id AND n.scope = 'session' JOIN standing s ON s.target_kind = 'label_override'
+    AND s.target_id = n.id)) SELECT request_id, id FROM m WHERE q = '' OR contains(l, q) OR len([t FOR t IN ts IF contains(l, t)]) >= 1""")
 def label_override_filter(spark, d):
     named = G.resolved(C.corrections(spark, d), "label_override").select(F.col("target_id").alias("id"), T.normalized(F.concat(F.lit("the "), "new_label")).alias("l"))
     n = nodes(spark, d).where("scope = 'session'").select("session_id", "id").join(named, "id")
@@ -256,11 +325,19 @@ def label_override_filter(spark, d):
     return r.join(n, "session_id").where((F.col("q") == "") | F.contains("l", "q") | (T.matched(F.col("l"), F.col("ts")) >= 1)).select("request_id", "id")
 
 
-KNOWN = """known AS (SELECT 'k' || conv_id || '.' || turn AS id, (['FailureSignal', 'ProcedureCandidate', 'FailurePattern', 'SuccessfulProcedure'])[(turn % 4 + 1)::INTEGER] AS type, confidence, CASE WHEN conv_id % 2 = 0 THEN 'validated' ELSE 'candidate' END AS status, (['high', 'medium', 'low'])[(conv_id % 3 + 1)::INTEGER] AS severity, 'n' || conv_id || '.0' AS a, 'n' || conv_id || '.1' AS b, label FROM nodes),
-hints AS (SELECT a AS node_id, id AS source_id, 'failure_signal' AS kind, CASE severity WHEN 'high' THEN 2.5 WHEN 'medium' THEN 2.0 ELSE 1.5 END AS bonus, 0 AS late FROM known WHERE type = 'FailureSignal'
-  UNION ALL SELECT unnest([a, b]), id, 'procedure_step', CASE status WHEN 'validated' THEN 2.75 ELSE 2.1 END + least(0.5, confidence * 0.5), 0 FROM known WHERE type = 'ProcedureCandidate' UNION ALL SELECT b, id, 'critical_step', 3.0, 0 FROM known WHERE type = 'ProcedureCandidate' UNION ALL SELECT a, id, 'prerequisite', 1.75, 0 FROM known WHERE type = 'ProcedureCandidate'
-  UNION ALL SELECT a, id, 'failure_pattern', 2.2, 0 FROM known WHERE type = 'FailurePattern' UNION ALL SELECT unnest([a, b]), id, 'successful_procedure', 2.6, 0 FROM known WHERE type = 'SuccessfulProcedure' UNION ALL SELECT a, id, 'prerequisite', 1.9, 0 FROM known WHERE type = 'SuccessfulProcedure'"""
-LABELLED = f""" UNION ALL SELECT n.id, k.id, CASE k.type WHEN 'FailurePattern' THEN 'failure_pattern' ELSE 'successful_procedure' END, CASE k.type WHEN 'FailurePattern' THEN 1.85 ELSE 2.15 END, 1 FROM known k JOIN nodes n ON {NORM.format("n.label")} = {NORM.format("k.label")} WHERE k.type IN ('FailurePattern', 'SuccessfulProcedure') AND {NORM.format("n.label")} <> ''),
+KNOWN = """known AS (SELECT 'k' || conv_id || '.' || turn AS id, (['FailureSignal', 'ProcedureCandidate', 'FailurePattern', 'SuccessfulProcedure'])[(turn
+    % 4 + 1)::INTEGER] AS type, confidence, CASE WHEN conv_id % 2 = 0 THEN 'validated' ELSE 'candidate' END AS status, (['high', 'medium', 'low'])[(conv_id
+    % 3 + 1)::INTEGER] AS severity, 'n' || conv_id || '.0' AS a, 'n' || conv_id || '.1' AS b, label FROM nodes),
+hints AS (SELECT a AS node_id, id AS source_id, 'failure_signal' AS kind, CASE severity WHEN 'high' THEN 2.5 WHEN 'medium' THEN 2.0 ELSE 1.5
+    END AS bonus, 0 AS late FROM known WHERE type = 'FailureSignal'
+  UNION ALL SELECT unnest([a, b]), id, 'procedure_step', CASE status WHEN 'validated' THEN 2.75 ELSE 2.1 END + least(0.5, confidence * 0.5),
+    0 FROM known WHERE type = 'ProcedureCandidate' UNION ALL SELECT b, id, 'critical_step', 3.0, 0 FROM known WHERE type = 'ProcedureCandidate'
+    UNION ALL SELECT a, id, 'prerequisite', 1.75, 0 FROM known WHERE type = 'ProcedureCandidate'
+  UNION ALL SELECT a, id, 'failure_pattern', 2.2, 0 FROM known WHERE type = 'FailurePattern' UNION ALL SELECT unnest([a, b]), id, 'successful_procedure',
+    2.6, 0 FROM known WHERE type = 'SuccessfulProcedure' UNION ALL SELECT a, id, 'prerequisite', 1.9, 0 FROM known WHERE type = 'SuccessfulProcedure'"""
+LABELLED = f""" UNION ALL SELECT n.id, k.id, CASE k.type WHEN 'FailurePattern' THEN 'failure_pattern' ELSE 'successful_procedure' END, CASE k.type WHEN 'FailurePattern'
+    THEN 1.85 ELSE 2.15 END, 1 FROM known k JOIN nodes n ON {NORM.format("n.label")} = {NORM.format("k.label")} WHERE k.type IN ('FailurePattern',
+    'SuccessfulProcedure') AND {NORM.format("n.label")} <> ''),
 once AS (SELECT node_id, source_id, kind, arg_min(bonus, (late, -bonus)) AS bonus FROM hints GROUP BY 1, 2, 3)"""
 
 
@@ -286,14 +363,22 @@ def learning_bonus(spark, d):
     return h.groupBy("node_id").agg(F.round(F.sum("bonus"), 6).alias("bonus"), F.count("*").alias("hints"))
 
 
-_STATE = "CASE WHEN decision = 'retire' THEN 'retired' WHEN decision = 'hold' THEN CASE WHEN n >= 2 THEN 'downgraded' ELSE 'candidate' END WHEN decision = 'promote' THEN 'reinforced' WHEN state0 = 'retired' THEN 'retired' WHEN (mixed AND n >= 2) OR c1 < c0 - 0.08 OR d0 >= 2 THEN 'downgraded' WHEN n >= 2 THEN 'reinforced' ELSE 'candidate' END"
-OBSERVED = f"""pairs AS (SELECT id, observations AS n0, downgrades AS d0, promotion_state AS state0, confidence AS c0, observations + 1 AS n, round(0.5 + ((conv_id * 11 + turn * 3) % 50) / 100.0, 2)::DOUBLE AS c1, (conv_id + turn) % 4 = 0 AS mixed, (['promote', 'hold', 'retire'])[((conv_id * 2 + turn) % 9 + 1)::INTEGER] AS decision, turn % 5 = 4 AS again FROM nodes),
+_STATE = """CASE WHEN decision = 'retire' THEN 'retired' WHEN decision = 'hold' THEN CASE WHEN n >= 2 THEN 'downgraded' ELSE 'candidate'
+    END WHEN decision = 'promote' THEN 'reinforced' WHEN state0 = 'retired' THEN 'retired' WHEN (mixed AND n >= 2) OR c1 < c0 - 0.08 OR d0 >=
+    2 THEN 'downgraded' WHEN n >= 2 THEN 'reinforced' ELSE 'candidate' END"""
+OBSERVED = f"""pairs AS (SELECT id, observations AS n0, downgrades AS d0, promotion_state AS state0, confidence AS c0, observations + 1 AS n, round(0.5 + ((conv_id
+    * 11 + turn * 3) % 50) / 100.0, 2)::DOUBLE AS c1, (conv_id + turn) % 4 = 0 AS mixed, (['promote', 'hold', 'retire'])[((conv_id * 2 + turn)
+    % 9 + 1)::INTEGER] AS decision, turn % 5 = 4 AS again FROM nodes),
 stated AS (SELECT *, {_STATE} AS state FROM pairs), counted AS (SELECT *, CASE state WHEN 'downgraded' THEN d0 + 1 WHEN 'reinforced' THEN 0 ELSE d0 END AS dg FROM stated)"""
 
 
 @query(
     "ref_op248_pattern_reinforcement",
-    with_(NODES, OBSERVED) + "SELECT id, CASE WHEN again THEN n0 ELSE n END AS observations, CASE WHEN again THEN state0 ELSE state END AS state, CASE WHEN again THEN d0 ELSE dg END AS downgrades, CASE WHEN NOT again THEN CASE WHEN state = 'retired' THEN 'stale' WHEN state = 'downgraded' OR dg >= 2 THEN CASE WHEN c1 >= 0.7 THEN 'cooling' ELSE 'stale' END WHEN n >= 3 OR c1 >= 0.85 THEN 'fresh' WHEN n >= 2 OR c1 >= 0.7 THEN 'cooling' ELSE 'stale' END END AS decay, round(CASE WHEN again THEN greatest(c0, c1) ELSE least(0.99, greatest(c0, c1) + 0.03) END, 6)::DOUBLE AS confidence FROM counted",
+    with_(NODES, OBSERVED) + """SELECT id, CASE WHEN again THEN n0 ELSE n END AS observations, CASE WHEN again THEN state0 ELSE state END AS state, CASE
+    WHEN again THEN d0 ELSE dg END AS downgrades, CASE WHEN NOT again THEN CASE WHEN state = 'retired' THEN 'stale' WHEN state = 'downgraded'
+    OR dg >= 2 THEN CASE WHEN c1 >= 0.7 THEN 'cooling' ELSE 'stale' END WHEN n >= 3 OR c1 >= 0.85 THEN 'fresh' WHEN n >= 2 OR c1 >= 0.7 THEN
+    'cooling' ELSE 'stale' END END AS decay, round(CASE WHEN again THEN greatest(c0, c1) ELSE least(0.99, greatest(c0, c1) + 0.03) END, 6)::DOUBLE
+    AS confidence FROM counted""",
 )
 def pattern_reinforcement(spark, d):
     conv, turn, n = F.col("conv_id"), F.col("turn"), C.nodes(spark, d)
@@ -303,14 +388,17 @@ def pattern_reinforcement(spark, d):
     return B.reinforced(old, new)
 
 
-@query("ref_op250_derived_guard", "SELECT 'b' || conv_id || '.' || turn AS id, CASE WHEN turn % 5 = 0 THEN 'evidence' WHEN turn % 5 = 1 THEN 'no provenance' WHEN turn % 5 = 2 THEN 'origin' ELSE 'stage' END AS why FROM conversations WHERE turn % 5 < 4")
+@query("ref_op250_derived_guard", """SELECT 'b' || conv_id || '.' || turn AS id, CASE WHEN turn % 5 = 0 THEN 'evidence' WHEN turn % 5 = 1 THEN 'no provenance'
+    WHEN turn % 5 = 2 THEN 'origin' ELSE 'stage' END AS why FROM conversations WHERE turn % 5 < 4""")
 def derived_guard(spark, d):
     c, turn = C.read(spark, d, "conversations"), F.col("turn") % 5
     rows = c.select(F.concat(F.lit("b"), "conv_id", F.lit("."), "turn").alias("id"), F.when(turn == 0, "Evidence").otherwise("Pattern").alias("type"), F.when(turn == 2, "raw").when(turn != 1, "derived").alias("origin_kind"), F.when(turn == 3, "checkpoint").otherwise("runtime_bundle").alias("source_stage"))
     return B.not_derived(rows)
 
 
-_RISEN = """g AS (SELECT id, scope, type, knowledge_class, risk, decision FROM promoted p LEFT JOIN (SELECT target_id, CASE disposition WHEN 'materialize' THEN 'promote' WHEN 'drop' THEN 'retire' ELSE 'hold' END AS decision FROM standing WHERE target_kind = 'promotion_decision') s ON s.target_id = p.id)"""
+_RISEN = """g AS (SELECT id, scope, type, knowledge_class, risk, decision FROM promoted p LEFT JOIN (SELECT target_id, CASE disposition WHEN 'materialize'
+    THEN 'promote' WHEN 'drop' THEN 'retire' ELSE 'hold' END AS decision FROM standing WHERE target_kind = 'promotion_decision') s ON s.target_id
+    = p.id)"""
 
 
 def _promoted():
@@ -319,7 +407,8 @@ def _promoted():
     return with_(NODES, CORRECTIONS, STANDING, KNOWLEDGE, PROMOTED, _RISEN)
 
 
-@query("ref_op249_global_promotion", _promoted() + "SELECT 'global:' || id AS id, 'global' AS scope, type, coalesce(decision, 'governance') AS \"by\" FROM g WHERE scope = 'workspace' AND coalesce(decision, '') NOT IN ('retire', 'hold') AND (decision = 'promote' OR (risk = 'low' AND knowledge_class IN ('stable_skill', 'hard_constraint_candidate')))")
+@query("ref_op249_global_promotion", _promoted() + """SELECT 'global:' || id AS id, 'global' AS scope, type, coalesce(decision, 'governance') AS \"by\" FROM g WHERE scope = 'workspace'
+    AND coalesce(decision, '') NOT IN ('retire', 'hold') AND (decision = 'promote' OR (risk = 'low' AND knowledge_class IN ('stable_skill', 'hard_constraint_candidate')))""")
 def global_promotion(spark, d):
     kind = F.element_at(F.array(*map(F.lit, X.PROMOTED_TYPES)), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
     n = C.nodes(spark, d).withColumn("type", kind)

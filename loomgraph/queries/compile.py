@@ -11,7 +11,8 @@ from loomgraph.queries.model_sql import NODES, NORM, REQUESTS, terms, with_
 from loomgraph.queries.registry import query
 from loomgraph.sources import corpus as C
 
-PROMOTED = """promoted AS (SELECT *, CASE WHEN state = 'retired' THEN FALSE ELSE knowledge_class IN ('hard_constraint_candidate', 'stable_skill') OR (knowledge_class = 'local_procedure' AND risk <> 'high') OR (knowledge_class = 'failure_experience' AND risk = 'medium') END AS workspace_eligible FROM (
+PROMOTED = """promoted AS (SELECT *, CASE WHEN state = 'retired' THEN FALSE ELSE knowledge_class IN ('hard_constraint_candidate', 'stable_skill') OR (knowledge_class
+    = 'local_procedure' AND risk <> 'high') OR (knowledge_class = 'failure_experience' AND risk = 'medium') END AS workspace_eligible FROM (
  SELECT *, CASE WHEN state IN ('retired', 'downgraded') OR downgrades >= 2 THEN 'high' WHEN knowledge_class IN ('hard_constraint_candidate', 'stable_skill') THEN 'low'
   WHEN knowledge_class = 'failure_experience' THEN CASE WHEN observations >= 4 AND confidence >= 0.88 THEN 'medium' ELSE 'high' END
   WHEN (CASE WHEN type = 'SuccessfulProcedure' THEN observations >= 1 ELSE observations >= 2 END) AND confidence >= 0.72 THEN 'medium' ELSE 'high' END AS risk FROM (
@@ -19,18 +20,28 @@ PROMOTED = """promoted AS (SELECT *, CASE WHEN state = 'retired' THEN FALSE ELSE
   WHEN type = 'SuccessfulProcedure' THEN CASE WHEN observations >= 3 AND confidence >= 0.78 THEN 'stable_skill' ELSE 'local_procedure' END
   WHEN downgrades > 0 THEN 'local_procedure' WHEN observations >= 3 AND confidence >= 0.78 THEN 'stable_skill' ELSE 'local_procedure' END AS knowledge_class FROM knowledge)))"""
 #: promoted knowledge of every kind: each turn as one of the three types
-KNOWLEDGE = "knowledge AS (SELECT id, scope, confidence, observations, downgrades, promotion_state AS state, (['Pattern', 'FailurePattern', 'SuccessfulProcedure'])[((conv_id + turn) % 3 + 1)::INTEGER] AS type FROM nodes)"
+KNOWLEDGE = """knowledge AS (SELECT id, scope, confidence, observations, downgrades, promotion_state AS state, (['Pattern', 'FailurePattern',
+    'SuccessfulProcedure'])[((conv_id + turn) % 3 + 1)::INTEGER] AS type FROM nodes)"""
 #: of the node types that the driver's turns have, patterns alone are promoted knowledge and not eligible for prompts
 CANDIDATES = f"""pairs AS (SELECT r.request_id, r.token_budget, n.*, {NORM.format("r.query")} AS q, {NORM.format("n.label")} AS l, {NORM.format("n.payload")} AS p FROM requests r, nodes n
-  WHERE n.type <> 'Pattern' AND n.freshness <> 'superseded' AND CASE n.scope WHEN 'session' THEN n.session_id = r.session_id WHEN 'workspace' THEN n.workspace_id = r.workspace_id ELSE TRUE END),
+  WHERE n.type <> 'Pattern' AND n.freshness <> 'superseded' AND CASE n.scope WHEN 'session' THEN n.session_id = r.session_id WHEN 'workspace'
+    THEN n.workspace_id = r.workspace_id ELSE TRUE END),
 counted AS (SELECT *, len(ts) AS n, len([t FOR t IN ts IF contains(l, t)]) AS ml, len([t FOR t IN ts IF contains(p, t)]) AS mp FROM (SELECT *, {terms("q")} AS ts FROM pairs)),
-candidates AS (SELECT request_id, token_budget, id, type, scope, label, confidence, origin_kind, q <> '' AND (contains(l, q) OR contains(p, q) OR ml > 0 OR mp > 0) AS direct, CASE scope WHEN 'session' THEN 12 WHEN 'workspace' THEN 8 ELSE 4 END AS precedence,
+candidates AS (SELECT request_id, token_budget, id, type, scope, label, confidence, origin_kind, q <> '' AND (contains(l, q) OR contains(p, q)
+    OR ml > 0 OR mp > 0) AS direct, CASE scope WHEN 'session' THEN 12 WHEN 'workspace' THEN 8 ELSE 4 END AS precedence,
   greatest(1, ceil(length(label) / 4.0)::INTEGER) + greatest(1, ceil(length(payload) / 4.0)::INTEGER) AS cost,
-  round(CASE strength WHEN 'hard' THEN 4.0 WHEN 'soft' THEN 2.0 ELSE 1.0 END::DOUBLE + CASE origin_kind WHEN 'raw' THEN 3.0 WHEN 'compressed' THEN 1.0 ELSE 0.5 END::DOUBLE + CASE freshness WHEN 'active' THEN 2.0 ELSE 0.0 END::DOUBLE + confidence
-    + CASE WHEN q = '' THEN 0.0 ELSE CASE WHEN contains(l, q) THEN 4.0 ELSE 0.0 END + ml * 0.75 + CASE WHEN n > 0 THEN ml::DOUBLE / n * 1.5 ELSE 0.0 END + CASE WHEN n > 0 AND ml = n THEN 1.0 ELSE 0.0 END END::DOUBLE
-    + CASE WHEN q = '' THEN 0.0 ELSE CASE WHEN contains(p, q) THEN 2.0 ELSE 0.0 END + mp * 0.5 + CASE WHEN n > 0 THEN mp::DOUBLE / n ELSE 0.0 END + CASE WHEN n > 0 AND mp = n THEN 0.5 ELSE 0.0 END END::DOUBLE, 6) AS score FROM counted)"""
+  round(CASE strength WHEN 'hard' THEN 4.0 WHEN 'soft' THEN 2.0 ELSE 1.0 END::DOUBLE + CASE origin_kind WHEN 'raw' THEN 3.0 WHEN 'compressed'
+    THEN 1.0 ELSE 0.5 END::DOUBLE + CASE freshness WHEN 'active' THEN 2.0 ELSE 0.0 END::DOUBLE + confidence
+    + CASE WHEN q = '' THEN 0.0 ELSE CASE WHEN contains(l, q) THEN 4.0 ELSE 0.0 END + ml * 0.75 + CASE WHEN n > 0 THEN ml::DOUBLE / n * 1.5 ELSE
+    0.0 END + CASE WHEN n > 0 AND ml = n THEN 1.0 ELSE 0.0 END END::DOUBLE
+    + CASE WHEN q = '' THEN 0.0 ELSE CASE WHEN contains(p, q) THEN 2.0 ELSE 0.0 END + mp * 0.5 + CASE WHEN n > 0 THEN mp::DOUBLE / n ELSE 0.0
+    END + CASE WHEN n > 0 AND mp = n THEN 0.5 ELSE 0.0 END END::DOUBLE, 6) AS score FROM counted)"""
 MODEL = with_(NODES, REQUESTS, CANDIDATES)
-LIMITED = ", limited AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, category ORDER BY precedence DESC, score DESC, label, id) AS rank FROM (SELECT *, CASE type WHEN 'Rule' THEN 'rules' WHEN 'Constraint' THEN 'constraints' WHEN 'Risk' THEN 'risks' WHEN 'Decision' THEN 'decisions' WHEN 'State' THEN 'states' WHEN 'Evidence' THEN 'evidence' WHEN 'Skill' THEN 'skills' END AS category FROM candidates) WHERE category IS NOT NULL) WHERE rank <= CASE category WHEN 'rules' THEN 8 WHEN 'constraints' THEN 6 WHEN 'evidence' THEN 6 ELSE 4 END)"
+LIMITED = """, limited AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, category ORDER BY precedence DESC, score
+    DESC, label, id) AS rank FROM (SELECT *, CASE type WHEN 'Rule' THEN 'rules' WHEN 'Constraint' THEN 'constraints' WHEN 'Risk' THEN 'risks'
+    WHEN 'Decision' THEN 'decisions' WHEN 'State' THEN 'states' WHEN 'Evidence' THEN 'evidence' WHEN 'Skill' THEN 'skills' END AS category FROM
+    candidates) WHERE category IS NOT NULL) WHERE rank <= CASE category WHEN 'rules' THEN 8 WHEN 'constraints' THEN 6 WHEN 'evidence' THEN 6
+    ELSE 4 END)"""
 
 
 def _best(rows, *kinds):
@@ -42,7 +53,10 @@ def bundles(spark, d):
     return S.packed(S.within_limits(S.candidates(C.requests(spark, d), C.nodes(spark, d)), slots=True))
 
 
-@query("ref_op043_text_filter", with_(NODES, REQUESTS) + f", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format(chr(39)+' '+chr(39)+' || array_to_string(string_split(r.query, chr(32))[1:3], chr(32))')} AS q, {NORM.format('n.label')} AS l FROM requests r JOIN nodes n ON n.session_id = r.session_id)) SELECT request_id, id FROM m WHERE q = '' OR contains(l, q) OR len([t FOR t IN ts IF contains(l, t)]) >= CASE WHEN len(ts) <= 2 THEN len(ts) ELSE greatest(2, ceil(len(ts) * 0.6)) END AND len(ts) > 0")
+@query("ref_op043_text_filter", with_(NODES, REQUESTS) + f""", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format(chr(39)+' '+chr(39)+' || array_to_string(string_split(r.query, chr(32))[1:3], chr(32))')}
+    AS q, {NORM.format('n.label')} AS l FROM requests r JOIN nodes n ON n.session_id = r.session_id)) SELECT request_id, id FROM m WHERE q =
+    '' OR contains(l, q) OR len([t FOR t IN ts IF contains(l, t)]) >= CASE WHEN len(ts) <= 2 THEN len(ts) ELSE greatest(2, ceil(len(ts) * 0.6))
+    END AND len(ts) > 0""")
 def text_filter(spark, d):
     r = C.requests(spark, d).select("request_id", "session_id", T.normalized(F.substring_index("query", " ", 3)).alias("q"))
     n = C.nodes(spark, d).select("id", "session_id", T.normalized(F.col("label")).alias("l"))
@@ -54,7 +68,8 @@ def text_match(spark, d):
     return S.candidates(C.requests(spark, d), C.nodes(spark, d)).select("request_id", "id", "score")
 
 
-@query("ref_op044_scope_admission", with_(NODES, KNOWLEDGE, PROMOTED) + "SELECT id, scope = 'session' OR CASE scope WHEN 'workspace' THEN workspace_eligible ELSE risk = 'low' AND knowledge_class IN ('stable_skill', 'hard_constraint_candidate') END AS admitted FROM promoted")
+@query("ref_op044_scope_admission", with_(NODES, KNOWLEDGE, PROMOTED) + """SELECT id, scope = 'session' OR CASE scope WHEN 'workspace' THEN workspace_eligible ELSE risk = 'low' AND knowledge_class
+    IN ('stable_skill', 'hard_constraint_candidate') END AS admitted FROM promoted""")
 def scope_admission(spark, d):
     kind = F.element_at(F.array(*map(F.lit, X.PROMOTED_TYPES)), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
     return C.nodes(spark, d).withColumn("type", kind).select("id", S.admitted().alias("admitted"))
@@ -67,13 +82,19 @@ def promotion_governance(spark, d):
     return n.select("id", "type", S.promotion(F.col("type"), F.col("confidence"), F.col("observations"), F.col("downgrades"), F.col("promotion_state")).alias("g")).select("id", "type", "g.*")
 
 
-@query("ref_op063_scope_policy", with_(NODES) + "SELECT id, CASE scope WHEN 'session' THEN 12 WHEN 'workspace' THEN 8 ELSE 4 END AS precedence, scope <> 'session' AS fallback, CASE scope WHEN 'global' THEN FALSE WHEN 'session' THEN type IN ('Rule', 'Constraint', 'Mode', 'Process', 'Step', 'Skill') ELSE type IN ('Rule', 'Constraint', 'Mode', 'Skill') END AS eligible, CASE scope WHEN 'global' THEN NULL WHEN 'session' THEN CASE WHEN type IN ('Rule', 'Constraint', 'Mode', 'Process', 'Step', 'Skill') THEN 'workspace' END ELSE CASE WHEN type IN ('Rule', 'Constraint', 'Mode', 'Skill') THEN 'global' END END AS target, scope <> 'global' AS review FROM nodes")
+@query("ref_op063_scope_policy", with_(NODES) + """SELECT id, CASE scope WHEN 'session' THEN 12 WHEN 'workspace' THEN 8 ELSE 4 END AS precedence, scope <> 'session' AS fallback,
+    CASE scope WHEN 'global' THEN FALSE WHEN 'session' THEN type IN ('Rule', 'Constraint', 'Mode', 'Process', 'Step', 'Skill') ELSE type IN ('Rule',
+    'Constraint', 'Mode', 'Skill') END AS eligible, CASE scope WHEN 'global' THEN NULL WHEN 'session' THEN CASE WHEN type IN ('Rule', 'Constraint',
+    'Mode', 'Process', 'Step', 'Skill') THEN 'workspace' END ELSE CASE WHEN type IN ('Rule', 'Constraint', 'Mode', 'Skill') THEN 'global' END
+    END AS target, scope <> 'global' AS review FROM nodes""")
 def scope_policy(spark, d):
     p = S.scope_promotion(F.col("scope"), F.col("type"), F.col("workspace_id")).alias("p")
     return C.nodes(spark, d).select("id", X.lookup(F.col("scope"), X.SCOPE_PRECEDENCE, "int").alias("precedence"), (F.col("scope") != "session").alias("fallback"), p).select("id", "precedence", "fallback", "p.eligible", "p.target", "p.review")
 
 
-@query("ref_op045_scope_match", with_(NODES, REQUESTS) + "SELECT r.request_id, n.scope, count(*) AS n FROM requests r, nodes n WHERE CASE n.scope WHEN 'session' THEN n.session_id = r.session_id WHEN 'workspace' THEN n.workspace_id = r.workspace_id ELSE TRUE END AND n.type <> 'Pattern' AND n.freshness <> 'superseded' GROUP BY 1, 2")
+@query("ref_op045_scope_match", with_(NODES, REQUESTS) + """SELECT r.request_id, n.scope, count(*) AS n FROM requests r, nodes n WHERE CASE n.scope WHEN 'session' THEN n.session_id
+    = r.session_id WHEN 'workspace' THEN n.workspace_id = r.workspace_id ELSE TRUE END AND n.type <> 'Pattern' AND n.freshness <> 'superseded'
+    GROUP BY 1, 2""")
 def scope_match(spark, d):
     return S.candidates(C.requests(spark, d), C.nodes(spark, d)).groupBy("request_id", "scope").agg(F.count("*").alias("n"))
 
@@ -88,12 +109,14 @@ def rank_nodes(spark, d):
     return S.ranked(S.candidates(C.requests(spark, d), C.nodes(spark, d)), "request_id", "type").select("request_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("ref_op141_score_node", with_(NODES) + "SELECT id, round(CASE strength WHEN 'hard' THEN 4 WHEN 'soft' THEN 2 ELSE 1 END + CASE origin_kind WHEN 'raw' THEN 3 WHEN 'compressed' THEN 1 ELSE 0.5 END + CASE freshness WHEN 'active' THEN 2 ELSE 0 END + confidence, 6)::DOUBLE AS score FROM nodes")
+@query("ref_op141_score_node", with_(NODES) + """SELECT id, round(CASE strength WHEN 'hard' THEN 4 WHEN 'soft' THEN 2 ELSE 1 END + CASE origin_kind WHEN 'raw' THEN 3 WHEN
+    'compressed' THEN 1 ELSE 0.5 END + CASE freshness WHEN 'active' THEN 2 ELSE 0 END + confidence, 6)::DOUBLE AS score FROM nodes""")
 def score_node(spark, d):
     return C.nodes(spark, d).select("id", F.round(S.base_score(), 6).alias("score"))
 
 
-@query("ref_op142_pick_best", MODEL + "SELECT request_id, id AS goal_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY precedence DESC, score DESC, label, id) AS r FROM candidates WHERE type = 'Goal') WHERE r = 1")
+@query("ref_op142_pick_best", MODEL + """SELECT request_id, id AS goal_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY precedence DESC, score
+    DESC, label, id) AS r FROM candidates WHERE type = 'Goal') WHERE r = 1""")
 def pick_best(spark, d):
     return _best(S.candidates(C.requests(spark, d), C.nodes(spark, d)), "Goal").select("request_id", F.col("id").alias("goal_id"))
 
@@ -108,7 +131,8 @@ def token_estimate(spark, d):
     return C.nodes(spark, d).select("id", (T.estimated_tokens(F.col("label")) + T.estimated_tokens(F.col("payload"))).alias("cost"))
 
 
-@query("ref_op171_category_budgets", with_(REQUESTS) + "SELECT request_id, floor(token_budget * 0.2)::BIGINT AS rules, floor(token_budget * 0.16)::BIGINT AS constraints, floor(token_budget * 0.14)::BIGINT AS risks, floor(token_budget * 0.12)::BIGINT AS decisions, floor(token_budget * 0.08)::BIGINT AS skills FROM requests")
+@query("ref_op171_category_budgets", with_(REQUESTS) + """SELECT request_id, floor(token_budget * 0.2)::BIGINT AS rules, floor(token_budget * 0.16)::BIGINT AS constraints, floor(token_budget
+    * 0.14)::BIGINT AS risks, floor(token_budget * 0.12)::BIGINT AS decisions, floor(token_budget * 0.08)::BIGINT AS skills FROM requests""")
 def category_budgets(spark, d):
     share = lambda c: F.floor(F.round(F.col("token_budget") * X.CATEGORIES[c][0], 6)).cast("long").alias(c)
     return C.requests(spark, d).select("request_id", *map(share, ("rules", "constraints", "risks", "decisions", "skills")))
@@ -121,7 +145,9 @@ def category_budgets(spark, d):
     MODEL.replace("WITH ", "WITH RECURSIVE ", 1) + LIMITED
     + ", it AS (SELECT request_id, token_budget, id, cost, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS k FROM limited WHERE category = 'rules'),"
     + " run AS (SELECT request_id, token_budget, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS n, NULL::VARCHAR AS id, FALSE AS took FROM it WHERE k = 1 UNION ALL"
-    + " SELECT r.request_id, r.token_budget, i.k, r.used + CASE WHEN f THEN i.cost ELSE 0 END, r.n + CASE WHEN f THEN 1 ELSE 0 END, i.id, f FROM run r JOIN it i ON i.request_id = r.request_id AND i.k = r.k + 1, LATERAL (SELECT r.used + i.cost <= r.token_budget AND (r.used + i.cost <= floor(r.token_budget * 0.2) OR r.n = 0) AS f))"
+    + """ SELECT r.request_id, r.token_budget, i.k, r.used + CASE WHEN f THEN i.cost ELSE 0 END, r.n + CASE WHEN f THEN 1 ELSE 0 END,
+    i.id, f FROM run r JOIN it i ON i.request_id = r.request_id AND i.k = r.k + 1, LATERAL (SELECT r.used + i.cost <= r.token_budget AND (r.used
+    + i.cost <= floor(r.token_budget * 0.2) OR r.n = 0) AS f))"""
     + " SELECT request_id, id FROM run WHERE took",
 )
 def greedy_rules(spark, d):

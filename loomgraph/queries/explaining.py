@@ -17,7 +17,9 @@ from loomgraph.queries.tools import WITH, results
 from loomgraph.sources import corpus as C
 
 
-@query("ref_op069_tool_payload", WITH + "SELECT id, '{' || array_to_string([x FOR x IN ['\"tool\":\"' || tool || '\"', '\"status\":\"' || status || '\"', '\"kind\":\"' || kind || '\"', '\"errorCode\":\"' || error_code || '\"', '\"items\":' || items] IF x IS NOT NULL], ',') || '}' AS payload FROM results WHERE reduced")
+@query("ref_op069_tool_payload", WITH + """SELECT id, '{' || array_to_string([x FOR x IN ['\"tool\":\"' || tool || '\"', '\"status\":\"' || status || '\"', '\"kind\":\"'
+    || kind || '\"', '\"errorCode\":\"' || error_code || '\"', '\"items\":' || items] IF x IS NOT NULL], ',') || '}' AS payload FROM results
+    WHERE reduced""")
 def tool_payload(spark, d):
     kept_ = T.compressed(results(spark, d))
     return kept_.select("id", F.to_json(F.struct("tool", "status", "kind", F.col("error_code").alias("errorCode"), "items"), {"ignoreNullFields": "true"}).alias("payload"))
@@ -37,7 +39,9 @@ def degree(spark, d):
 
 @query(
     "ref_op072_trace_view",
-    with_(RECORDS, Q.SPOKEN, REQUESTS, CANDIDATES, Q.SLOTTED, KEPT) + "SELECT n.id, r.source_type, n.origin_kind, coalesce(s.bundles, 0) AS bundles, coalesce(p.kinds, 0) AS kept_kinds FROM nodes n JOIN records r ON r.conv_id = n.conv_id AND r.turn = n.turn LEFT JOIN (SELECT id, count(DISTINCT request_id) AS bundles FROM items GROUP BY 1) s ON s.id = n.id LEFT JOIN (SELECT id, count(DISTINCT kind) AS kinds FROM found GROUP BY 1) p ON p.id = n.id",
+    with_(RECORDS, Q.SPOKEN, REQUESTS, CANDIDATES, Q.SLOTTED, KEPT) + """SELECT n.id, r.source_type, n.origin_kind, coalesce(s.bundles, 0) AS bundles, coalesce(p.kinds, 0) AS kept_kinds FROM nodes
+    n JOIN records r ON r.conv_id = n.conv_id AND r.turn = n.turn LEFT JOIN (SELECT id, count(DISTINCT request_id) AS bundles FROM items GROUP
+    BY 1) s ON s.id = n.id LEFT JOIN (SELECT id, count(DISTINCT kind) AS kinds FROM found GROUP BY 1) p ON p.id = n.id""",
 )
 def trace_view(spark, d):
     source = C.records(spark, d).select("conv_id", "turn", "source_type")
@@ -50,7 +54,11 @@ def trace_view(spark, d):
 @query(
     "ref_op315_explain",
     with_(Q.SPOKEN, EDGES, REQUESTS, CORRECTIONS, STANDING, CANDIDATES, Q.SLOTTED, Q.TOPIC, Q._STATUS, DEGREE)
-    + "SELECT request_id, c.id, CASE WHEN gone THEN 'suppressed' WHEN slot IN ('goal', 'intent', 'process') AND rank <= most THEN 'fixed' WHEN slot IS NOT NULL AND rank <= most THEN 'category' WHEN slot IN ('goal', 'intent', 'process') THEN 'fixed_skipped' WHEN slot IS NOT NULL THEN 'category_skipped' WHEN type = 'Topic' AND rank <= 4 THEN 'topic_hint' WHEN conflicted THEN 'conflict' WHEN NOT admitted THEN 'scope' ELSE 'not_selected' END AS status, coalesce(g.edges, 0) AS edges, coalesce(k.n, 0) AS corrections FROM considered c LEFT JOIN degree g ON g.id = c.id LEFT JOIN (SELECT target_id AS id, count(*) AS n FROM corrections GROUP BY 1) k ON k.id = c.id",
+    + """SELECT request_id, c.id, CASE WHEN gone THEN 'suppressed' WHEN slot IN ('goal', 'intent', 'process') AND rank <= most THEN
+    'fixed' WHEN slot IS NOT NULL AND rank <= most THEN 'category' WHEN slot IN ('goal', 'intent', 'process') THEN 'fixed_skipped' WHEN slot
+    IS NOT NULL THEN 'category_skipped' WHEN type = 'Topic' AND rank <= 4 THEN 'topic_hint' WHEN conflicted THEN 'conflict' WHEN NOT admitted
+    THEN 'scope' ELSE 'not_selected' END AS status, coalesce(g.edges, 0) AS edges, coalesce(k.n, 0) AS corrections FROM considered c LEFT JOIN
+    degree g ON g.id = c.id LEFT JOIN (SELECT target_id AS id, count(*) AS n FROM corrections GROUP BY 1) k ON k.id = c.id""",
 )
 def explain(spark, d):
     touched = C.corrections(spark, d).groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("corrections"))
@@ -60,7 +68,9 @@ def explain(spark, d):
 
 @query(
     "ref_op121_explain_completeness",
-    with_(NODES, EDGES, KEPT, DEGREE) + "SELECT session_id, count(*) AS probes, CASE WHEN count(*) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE coalesce(edges, 0) >= 3 AND id IN (SELECT id FROM found WHERE kind = 'delta'))::DOUBLE / count(*), 6) END::DOUBLE AS coverage FROM nodes n LEFT JOIN degree USING (id) WHERE type IN ('Rule', 'Decision', 'State') GROUP BY 1",
+    with_(NODES, EDGES, KEPT, DEGREE) + """SELECT session_id, count(*) AS probes, CASE WHEN count(*) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE coalesce(edges,
+    0) >= 3 AND id IN (SELECT id FROM found WHERE kind = 'delta'))::DOUBLE / count(*), 6) END::DOUBLE AS coverage FROM nodes n LEFT JOIN degree
+    USING (id) WHERE type IN ('Rule', 'Decision', 'State') GROUP BY 1""",
 )
 def explain_completeness(spark, d):
     held = P.persisted_in(C.nodes(spark, d).select("id", "session_id"), kept(spark, d)).where("kind = 'delta'").select("id").distinct().withColumn("held", F.lit(True))
@@ -69,7 +79,9 @@ def explain_completeness(spark, d):
     return rows.groupBy("session_id").agg(F.count("*").alias("probes"), B.coverage(F.count_if(whole), F.count("*")).alias("coverage"))
 
 
-@query("ref_op304_notifications", "WITH a AS (SELECT user_id AS snapshot_id, event_type AS metric, avg(value) AS v FROM events GROUP BY 1, 2), s(id, metric, least) AS (VALUES (1, 'error', 22.0), (2, NULL, 30.0), (3, 'view', 18.0)) SELECT s.id AS subscription, snapshot_id, a.metric, row_number() OVER (PARTITION BY s.id ORDER BY snapshot_id, a.metric) AS seq FROM a JOIN s ON (s.metric IS NULL OR s.metric = a.metric) AND a.v >= s.least")
+@query("ref_op304_notifications", """WITH a AS (SELECT user_id AS snapshot_id, event_type AS metric, avg(value) AS v FROM events GROUP BY 1, 2), s(id, metric,
+    least) AS (VALUES (1, 'error', 22.0), (2, NULL, 30.0), (3, 'view', 18.0)) SELECT s.id AS subscription, snapshot_id, a.metric, row_number()
+    OVER (PARTITION BY s.id ORDER BY snapshot_id, a.metric) AS seq FROM a JOIN s ON (s.metric IS NULL OR s.metric = a.metric) AND a.v >= s.least""")
 def notifications(spark, d):
     from pyspark.sql import Window
 

@@ -9,25 +9,40 @@ from loomgraph.queries.model_sql import RECORDS, with_
 from loomgraph.queries.registry import query
 from loomgraph.sources import corpus as C
 
-RECS = """recs AS (SELECT *, 'session' AS scope, CASE turn % 7 WHEN 0 THEN 'First we need a workflow, and then the KG checkpoint; ok. ' || content WHEN 1 THEN 'You must not stop because the build failed. ' || content
-    WHEN 2 THEN content || '. Thanks. Thanks. Got it!' WHEN 3 THEN 'What is the next step? ' || content WHEN 4 THEN content || '，但是 需要 图谱，检查点。好的！' WHEN 5 THEN 'Debug mode' || chr(10) || chr(10) || 'two, 3.5 words' ELSE content END AS said,
-  CASE WHEN turn % 13 = 12 THEN 'document' END AS explicit_route, CASE turn % 5 WHEN 1 THEN 'transcript_message' WHEN 2 THEN 'checkpoint' WHEN 3 THEN 'tool_result_persist' END AS source_stage,
+RECS = """recs AS (SELECT *, 'session' AS scope, CASE turn % 7 WHEN 0 THEN 'First we need a workflow, and then the KG checkpoint; ok. ' || content WHEN
+    1 THEN 'You must not stop because the build failed. ' || content
+    WHEN 2 THEN content || '. Thanks. Thanks. Got it!' WHEN 3 THEN 'What is the next step? ' || content WHEN 4 THEN content || '，但是 需要 图谱，检查点。好的！'
+    WHEN 5 THEN 'Debug mode' || chr(10) || chr(10) || 'two, 3.5 words' ELSE content END AS said,
+  CASE WHEN turn % 13 = 12 THEN 'document' END AS explicit_route, CASE turn % 5 WHEN 1 THEN 'transcript_message' WHEN 2 THEN 'checkpoint' WHEN
+    3 THEN 'tool_result_persist' END AS source_stage,
   CASE WHEN turn % 9 = 4 THEN 'custom_message' END AS transcript_type, turn % 11 = 5 AS is_trace FROM records),
-routed AS (SELECT *, CASE WHEN explicit_route IS NOT NULL THEN explicit_route WHEN source_stage = 'transcript_message' OR transcript_type IS NOT NULL THEN 'transcript' WHEN source_stage = 'checkpoint' OR is_trace THEN 'experience_trace'
+routed AS (SELECT *, CASE WHEN explicit_route IS NOT NULL THEN explicit_route WHEN source_stage = 'transcript_message' OR transcript_type IS
+    NOT NULL THEN 'transcript' WHEN source_stage = 'checkpoint' OR is_trace THEN 'experience_trace'
   WHEN source_stage = 'tool_result_persist' OR source_type = 'tool_output' THEN 'tool_result' WHEN source_type = 'system' THEN 'system' ELSE 'conversation' END AS route FROM recs)"""
 
-SENTENCES = """pieces AS (SELECT id, route, unnest(p) AS raw, generate_subscripts(p, 1) AS k FROM (SELECT id, route, string_split(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(said, ''), chr(1) || chr(2), '  '), '([.!?])(\\s)', '\\1' || chr(1) || '\\2', 'g'), '([。！？])', '\\1' || chr(1), 'g'), '\\n\\n', chr(10) || chr(1) || chr(10), 'g'), chr(1)) AS p FROM routed)),
-placed AS (SELECT id, route, k, raw, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS text, length(raw) - length(regexp_replace(raw, '^\\s+', '')) + coalesce(sum(length(raw)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pieces),
-sentences AS (SELECT id, route, row_number() OVER (PARTITION BY id ORDER BY k) AS sentence, text, start::BIGINT AS start, (start + length(text))::BIGINT AS stop FROM placed WHERE text <> '')"""
+SENTENCES = """pieces AS (SELECT id, route, unnest(p) AS raw, generate_subscripts(p, 1) AS k FROM (SELECT id, route, string_split(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(said,
+    ''), chr(1) || chr(2), '  '), '([.!?])(\\s)', '\\1' || chr(1) || '\\2', 'g'), '([。！？])', '\\1' || chr(1), 'g'), '\\n\\n', chr(10) || chr(1)
+    || chr(10), 'g'), chr(1)) AS p FROM routed)),
+placed AS (SELECT id, route, k, raw, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS text, length(raw) - length(regexp_replace(raw,
+    '^\\s+', '')) + coalesce(sum(length(raw)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM pieces),
+sentences AS (SELECT id, route, row_number() OVER (PARTITION BY id ORDER BY k) AS sentence, text, start::BIGINT AS start, (start + length(text))::BIGINT
+    AS stop FROM placed WHERE text <> '')"""
 
 _CONNECTOR = "([\\s,，；。\\[{''\"“‘])((?:and|but|then|however|because|while|before|after|if|when|unless|so|or)\\b|但是|不过|然后|并且|而且|以及|如果|因为|所以|否则|之后|之前|同时|另外|或者)"
 CLAUSES = f"""marked AS (SELECT id, route, sentence, start AS base, route IN ('conversation', 'transcript', 'experience_trace') AS split, text,
-  regexp_replace(regexp_replace(replace(regexp_replace(text, '{_CONNECTOR}', '\\1' || chr(2) || '\\2', 'gi'), '', ''), '([,，;；])([^' || chr(2) || ']|$)', '\\1' || chr(1) || '\\2', 'g'), '[' || chr(1) || ']$', '') AS m FROM sentences),
-cut AS (SELECT id, route, sentence, base, split, CASE WHEN split THEN string_split_regex(m, '[' || chr(1) || chr(2) || ']') ELSE [text] END AS p, CASE WHEN split THEN regexp_extract_all(m, '[' || chr(1) || chr(2) || ']') ELSE [] END AS e FROM marked),
+  regexp_replace(regexp_replace(replace(regexp_replace(text, '{_CONNECTOR}', '\\1' || chr(2) || '\\2', 'gi'), '', ''), '([,，;；])([^' || chr(2)
+    || ']|$)', '\\1' || chr(1) || '\\2', 'g'), '[' || chr(1) || ']$', '') AS m FROM sentences),
+cut AS (SELECT id, route, sentence, base, split, CASE WHEN split THEN string_split_regex(m, '[' || chr(1) || chr(2) || ']') ELSE [text] END AS
+    p, CASE WHEN split THEN regexp_extract_all(m, '[' || chr(1) || chr(2) || ']') ELSE [] END AS e FROM marked),
 bits AS (SELECT id, route, sentence, base, split, e, unnest(p) AS raw, generate_subscripts(p, 1) AS k FROM cut),
-located AS (SELECT *, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS text, base + length(raw) - length(regexp_replace(raw, '^\\s+', '')) + coalesce(sum(length(raw)) OVER (PARTITION BY id, sentence ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-  CASE WHEN NOT split THEN 'fallback' ELSE CASE coalesce(e[k], e[len(e)]) WHEN chr(1) THEN 'punctuation' WHEN chr(2) THEN 'connector' ELSE 'sentence' END END AS boundary FROM bits),
-clauses AS (SELECT id, route, sentence, row_number() OVER (PARTITION BY id, sentence ORDER BY k) AS clause, boundary, text, start::BIGINT AS start, (start + length(text))::BIGINT AS stop FROM located WHERE text <> '')"""
+located AS (SELECT *, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') AS text, base + length(raw) - length(regexp_replace(raw,
+    '^\\s+', '')) + coalesce(sum(length(raw)) OVER (PARTITION BY id, sentence ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    AS start,
+  CASE WHEN NOT split THEN 'fallback' ELSE CASE coalesce(e[k], e[len(e)]) WHEN chr(1) THEN 'punctuation' WHEN chr(2) THEN 'connector' ELSE 'sentence'
+    END END AS boundary FROM bits),
+clauses AS (SELECT id, route, sentence, row_number() OVER (PARTITION BY id, sentence ORDER BY k) AS clause, boundary, text, start::BIGINT AS
+    start, (start + length(text))::BIGINT AS stop FROM located WHERE text <> '')"""
 
 _ALIASES = (
     ("artifact_sidecar", "' artifact sidecar ', ' sidecar artifact ', ' sidecar ', '工件 sidecar', '旁路产物', '侧挂产物'"), ("checkpoint", "' checkpoint ', ' state checkpoint ', ' memory checkpoint ', '检查点', '状态检查点', '记忆检查点'"),
@@ -46,39 +61,71 @@ _SAYS = (
 )
 _TYPES = " || ".join(f"CASE WHEN regexp_matches(norm, '{p}') THEN [{t}] ELSE [] END" for p, t in _SAYS)
 SPANS = f"""worded AS (SELECT *, id || ':sentence-' || sentence || '-clause-' || clause AS span_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM clauses),
-named AS (SELECT * EXCLUDE (p), [c FOR c IN [{_CONCEPTS}] IF c IS NOT NULL] AS concepts FROM (SELECT *, ' ' || trim(regexp_replace(regexp_replace(norm, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ' ' AS p FROM worded)),
-spans AS (SELECT *, list_sort([t FOR t IN list_distinct([CASE route WHEN 'conversation' THEN 'Intent' WHEN 'tool_result' THEN 'State' WHEN 'transcript' THEN 'Decision' WHEN 'experience_trace' THEN 'Decision' ELSE 'Topic' END] || {_TYPES} || CASE WHEN len(concepts) > 0 THEN ['Topic', 'Concept'] ELSE [] END)
-  IF list_contains(CASE route WHEN 'conversation' THEN ['Intent', 'Goal', 'Constraint', 'Risk', 'Process', 'Step', 'Topic', 'Concept'] WHEN 'tool_result' THEN ['State', 'Risk', 'Outcome', 'Tool', 'Process', 'Step', 'Topic', 'Concept']
-    WHEN 'transcript' THEN ['Intent', 'Decision', 'State', 'Constraint', 'Process', 'Step', 'Risk', 'Topic', 'Concept'] WHEN 'document' THEN ['Rule', 'Constraint', 'Process', 'Step', 'Skill', 'Outcome', 'Tool', 'Topic', 'Concept']
-    WHEN 'experience_trace' THEN ['Decision', 'State', 'Risk', 'Process', 'Step', 'Skill', 'Topic', 'Concept'] ELSE ['Rule', 'Constraint', 'Mode', 'Process', 'Step', 'Topic', 'Concept'] END, t)]) AS types FROM named)"""
+named AS (SELECT * EXCLUDE (p), [c FOR c IN [{_CONCEPTS}] IF c IS NOT NULL] AS concepts FROM (SELECT *, ' ' || trim(regexp_replace(regexp_replace(norm,
+    '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ' ' AS p FROM worded)),
+spans AS (SELECT *, list_sort([t FOR t IN list_distinct([CASE route WHEN 'conversation' THEN 'Intent' WHEN 'tool_result' THEN 'State' WHEN 'transcript'
+    THEN 'Decision' WHEN 'experience_trace' THEN 'Decision' ELSE 'Topic' END] || {_TYPES} || CASE WHEN len(concepts) > 0 THEN ['Topic', 'Concept']
+    ELSE [] END)
+  IF list_contains(CASE route WHEN 'conversation' THEN ['Intent', 'Goal', 'Constraint', 'Risk', 'Process', 'Step', 'Topic', 'Concept'] WHEN 'tool_result'
+    THEN ['State', 'Risk', 'Outcome', 'Tool', 'Process', 'Step', 'Topic', 'Concept']
+    WHEN 'transcript' THEN ['Intent', 'Decision', 'State', 'Constraint', 'Process', 'Step', 'Risk', 'Topic', 'Concept'] WHEN 'document' THEN
+    ['Rule', 'Constraint', 'Process', 'Step', 'Skill', 'Outcome', 'Tool', 'Topic', 'Concept']
+    WHEN 'experience_trace' THEN ['Decision', 'State', 'Risk', 'Process', 'Step', 'Skill', 'Topic', 'Concept'] ELSE ['Rule', 'Constraint', 'Mode',
+    'Process', 'Step', 'Topic', 'Concept'] END, t)]) AS types FROM named)"""
 
 #: corrections of spans by id, and of one text
-FIXES = """fixes AS (SELECT 'm' || event_id AS id, CASE WHEN event_id % 50 = 7 THEN 'got it!' ELSE 'c' || user_id || '.' || (event_id % 4) || ':sentence-1-clause-1' END AS target_id, CASE WHEN event_id % 5 = 0 THEN 'rollback' ELSE 'apply' END AS action,
-  CASE WHEN event_id % 7 < 4 THEN (['drop', 'evidence_only', 'hint_only', 'materialize'])[(event_id % 7 + 1)::INTEGER] END AS disposition, lpad(event_id::VARCHAR, 12, '0') AS created_at FROM events WHERE event_type = 'error'),
+FIXES = """fixes AS (SELECT 'm' || event_id AS id, CASE WHEN event_id % 50 = 7 THEN 'got it!' ELSE 'c' || user_id || '.' || (event_id % 4) || ':sentence-1-clause-1'
+    END AS target_id, CASE WHEN event_id % 5 = 0 THEN 'rollback' ELSE 'apply' END AS action,
+  CASE WHEN event_id % 7 < 4 THEN (['drop', 'evidence_only', 'hint_only', 'materialize'])[(event_id % 7 + 1)::INTEGER] END AS disposition, lpad(event_id::VARCHAR,
+    12, '0') AS created_at FROM events WHERE event_type = 'error'),
 newest AS (SELECT target_id, max({'c': created_at, 'i': id, 'a': action, 'd': disposition}) AS s FROM fixes WHERE disposition IS NOT NULL GROUP BY 1)"""
-NOISE = """fixed AS (SELECT s.*, CASE WHEN f.a <> 'rollback' THEN f.d END AS override FROM (SELECT s.*, greatest(a.s, b.s) AS f FROM spans s LEFT JOIN newest a ON a.target_id = s.span_id LEFT JOIN newest b ON b.target_id = s.norm) s),
+NOISE = """fixed AS (SELECT s.*, CASE WHEN f.a <> 'rollback' THEN f.d END AS override FROM (SELECT s.*, greatest(a.s, b.s) AS f FROM spans s LEFT JOIN newest
+    a ON a.target_id = s.span_id LEFT JOIN newest b ON b.target_id = s.norm) s),
 noise AS (SELECT * EXCLUDE (earlier), CASE WHEN override IS NOT NULL THEN override WHEN earlier > 0 THEN 'evidence_only'
   WHEN regexp_matches(norm, '^(?:ok|okay|yes|yep|yeah|sure|thanks|thank you|got it|understood|fine|cool|roger|copy|好的|行|恩|嗯|明白|收到|谢谢|好吧)$') THEN 'evidence_only'
-  WHEN len([t FOR t IN types IF t NOT IN ('Topic', 'Concept')]) = 0 AND len(concepts) = 0 AND len(string_split(norm, ' ')) <= 3 THEN 'hint_only' ELSE 'materialize' END AS disposition
-  FROM (SELECT *, count(*) FILTER (WHERE override IS NULL) OVER (PARTITION BY id, norm ORDER BY sentence, clause ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM fixed))"""
-PRIMARY = "primaries AS (SELECT id, session_id, source_type, scope, CASE role WHEN 'user' THEN 'Intent' WHEN 'system' THEN 'Rule' WHEN 'assistant' THEN CASE WHEN turn % 2 = 0 THEN 'Topic' ELSE 'Decision' END ELSE 'State' END AS type, content FROM recs)"
+  WHEN len([t FOR t IN types IF t NOT IN ('Topic', 'Concept')]) = 0 AND len(concepts) = 0 AND len(string_split(norm, ' ')) <= 3 THEN 'hint_only'
+    ELSE 'materialize' END AS disposition
+  FROM (SELECT *, count(*) FILTER (WHERE override IS NULL) OVER (PARTITION BY id, norm ORDER BY sentence, clause ROWS BETWEEN UNBOUNDED PRECEDING
+    AND 1 PRECEDING) AS earlier FROM fixed))"""
+PRIMARY = """primaries AS (SELECT id, session_id, source_type, scope, CASE role WHEN 'user' THEN 'Intent' WHEN 'system' THEN 'Rule' WHEN
+    'assistant' THEN CASE WHEN turn % 2 = 0 THEN 'Topic' ELSE 'Decision' END ELSE 'State' END AS type, content FROM recs)"""
 CANDIDATES = """live AS (SELECT n.*, p.type AS prim FROM noise n JOIN primaries p ON p.id = n.id WHERE disposition NOT IN ('drop', 'evidence_only')),
-options AS (SELECT *, [t FOR t IN CASE route WHEN 'experience_trace' THEN ['Process', 'Step', 'Constraint'] WHEN 'conversation' THEN ['Goal', 'Constraint', 'Process', 'Step'] WHEN 'transcript' THEN ['Goal', 'Constraint', 'Process', 'Step'] ELSE [] END IF list_contains(types, t) AND t <> prim][1] AS target, route IN ('conversation', 'transcript', 'experience_trace') AS extra FROM live),
+options AS (SELECT *, [t FOR t IN CASE route WHEN 'experience_trace' THEN ['Process', 'Step', 'Constraint'] WHEN 'conversation' THEN ['Goal',
+    'Constraint', 'Process', 'Step'] WHEN 'transcript' THEN ['Goal', 'Constraint', 'Process', 'Step'] ELSE [] END IF list_contains(types, t)
+    AND t <> prim][1] AS target, route IN ('conversation', 'transcript', 'experience_trace') AS extra FROM live),
 chosen AS (
-  SELECT id, route, sentence, clause, span_id, text, norm, 0 AS at, target AS node_type, 'materialize' AS made, NULL AS concept FROM options WHERE target IS NOT NULL AND disposition <> 'hint_only'
-  UNION ALL SELECT id, route, sentence, clause, span_id, text, norm, 1, 'Topic', CASE WHEN prim <> 'Topic' AND disposition <> 'hint_only' AND (len(concepts) > 0 OR len(string_split(norm, ' ')) >= 4) THEN 'materialize' ELSE 'summary_only' END, NULL FROM options WHERE extra AND list_contains(types, 'Topic')
-  UNION ALL SELECT id, route, sentence, clause, span_id, text, norm, 1 + k, 'Concept', CASE WHEN prim <> 'Concept' AND disposition <> 'hint_only' THEN 'materialize' ELSE 'summary_only' END, concept
-    FROM (SELECT *, unnest(sorted) AS concept, generate_subscripts(sorted, 1) AS k FROM (SELECT *, [c FOR c IN ['context_compression', 'knowledge_graph', 'provenance', 'checkpoint', 'runtime_bundle', 'traceability', 'artifact_sidecar'] IF list_contains(concepts, c)] AS sorted FROM options WHERE extra AND list_contains(types, 'Concept')))),
-candidates AS (SELECT *, CASE WHEN node_type = 'Concept' THEN replace(concept, '_', ' ') ELSE left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 96) END AS label, sha256('context-node-candidate|' || route || '|' || span_id || '|' || node_type || '|' || coalesce(concept, '') || '|' || made) AS candidate_id FROM chosen)"""
-SUMMARIES = """slotted AS (SELECT *, CASE WHEN node_type = 'Goal' THEN 'goal' WHEN node_type = 'Intent' THEN 'intent' WHEN node_type IN ('Process', 'Step') THEN 'currentProcess' WHEN node_type IN ('Constraint', 'Mode') THEN 'activeConstraints' ELSE 'relevantEvidence' END AS slot, trim(regexp_replace(lower(label), '\\s+', ' ', 'g')) AS said,
-  row_number() OVER (PARTITION BY id, CASE WHEN node_type = 'Goal' THEN 1 WHEN node_type = 'Intent' THEN 2 WHEN node_type IN ('Process', 'Step') THEN 3 WHEN node_type IN ('Constraint', 'Mode') THEN 4 ELSE 5 END, trim(regexp_replace(lower(label), '\\s+', ' ', 'g')) ORDER BY sentence, clause, "at") AS r FROM candidates)"""
+  SELECT id, route, sentence, clause, span_id, text, norm, 0 AS at, target AS node_type, 'materialize' AS made, NULL AS concept FROM options
+    WHERE target IS NOT NULL AND disposition <> 'hint_only'
+  UNION ALL SELECT id, route, sentence, clause, span_id, text, norm, 1, 'Topic', CASE WHEN prim <> 'Topic' AND disposition <> 'hint_only' AND
+    (len(concepts) > 0 OR len(string_split(norm, ' ')) >= 4) THEN 'materialize' ELSE 'summary_only' END, NULL FROM options WHERE extra AND list_contains(types,
+    'Topic')
+  UNION ALL SELECT id, route, sentence, clause, span_id, text, norm, 1 + k, 'Concept', CASE WHEN prim <> 'Concept' AND disposition <> 'hint_only'
+    THEN 'materialize' ELSE 'summary_only' END, concept
+    FROM (SELECT *, unnest(sorted) AS concept, generate_subscripts(sorted, 1) AS k FROM (SELECT *, [c FOR c IN ['context_compression', 'knowledge_graph',
+    'provenance', 'checkpoint', 'runtime_bundle', 'traceability', 'artifact_sidecar'] IF list_contains(concepts, c)] AS sorted FROM options WHERE
+    extra AND list_contains(types, 'Concept')))),
+candidates AS (SELECT *, CASE WHEN node_type = 'Concept' THEN replace(concept, '_', ' ') ELSE left(trim(regexp_replace(text, '\\s+', ' ', 'g')),
+    96) END AS label, sha256('context-node-candidate|' || route || '|' || span_id || '|' || node_type || '|' || coalesce(concept, '') || '|'
+    || made) AS candidate_id FROM chosen)"""
+SUMMARIES = """slotted AS (SELECT *, CASE WHEN node_type = 'Goal' THEN 'goal' WHEN node_type = 'Intent' THEN 'intent' WHEN node_type IN ('Process', 'Step')
+    THEN 'currentProcess' WHEN node_type IN ('Constraint', 'Mode') THEN 'activeConstraints' ELSE 'relevantEvidence' END AS slot, trim(regexp_replace(lower(label),
+    '\\s+', ' ', 'g')) AS said,
+  row_number() OVER (PARTITION BY id, CASE WHEN node_type = 'Goal' THEN 1 WHEN node_type = 'Intent' THEN 2 WHEN node_type IN ('Process', 'Step')
+    THEN 3 WHEN node_type IN ('Constraint', 'Mode') THEN 4 ELSE 5 END, trim(regexp_replace(lower(label), '\\s+', ' ', 'g')) ORDER BY sentence,
+    clause, "at") AS r FROM candidates)"""
 HINTS = """steps AS (SELECT id, route, list(span_id ORDER BY sentence, clause, "at") AS s FROM candidates WHERE made = 'materialize' AND node_type IN ('Process', 'Step') GROUP BY 1, 2)"""
 MADE = """grouped AS (SELECT c.*, p.session_id, p.source_type, p.scope, 'span|' || p.scope || '|' || route || '|' || node_type || CASE WHEN a <> '' THEN '|' || a ELSE '' END AS group_key,
-  CASE p.source_type WHEN 'system' THEN 1.0 WHEN 'tool_output' THEN 0.95 ELSE 0.7 END - CASE node_type WHEN 'Topic' THEN 0.08 WHEN 'Concept' THEN 0.03 ELSE 0 END - CASE WHEN length(norm) < 12 THEN 0.05 ELSE 0 END + CASE WHEN concept IS NOT NULL THEN 0.08 ELSE 0 END AS sure
-  FROM (SELECT *, coalesce(concept, left(trim(regexp_replace(regexp_replace(norm, '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 96)) AS a FROM candidates WHERE made = 'materialize') c JOIN primaries p ON p.id = c.id),
-made AS (SELECT sha256('semantic|' || session_id || '|' || node_type || '|' || group_key) AS node_id, id AS record_id, node_type AS type, scope, lower(node_type) || ':' || label AS label, CASE WHEN node_type IN ('Concept', 'Topic') THEN 'heuristic' WHEN source_type = 'system' THEN 'soft' ELSE 'heuristic' END AS strength,
-  round(greatest(0.45, least(0.97, sure)), 6)::DOUBLE AS confidence, CASE WHEN node_type = 'Constraint' THEN 'norm' WHEN node_type IN ('Process', 'Step') THEN 'process' WHEN node_type = 'Goal' THEN 'state' ELSE 'fact' END AS kind,
-  'v:' || left(sha256('semantic-span-version|' || norm || '|' || coalesce(concept, '') || '|' || route), 12) AS version, CASE WHEN node_type = 'Constraint' THEN group_key END AS conflict_key, span_id FROM grouped)"""
+  CASE p.source_type WHEN 'system' THEN 1.0 WHEN 'tool_output' THEN 0.95 ELSE 0.7 END - CASE node_type WHEN 'Topic' THEN 0.08 WHEN 'Concept'
+    THEN 0.03 ELSE 0 END - CASE WHEN length(norm) < 12 THEN 0.05 ELSE 0 END + CASE WHEN concept IS NOT NULL THEN 0.08 ELSE 0 END AS sure
+  FROM (SELECT *, coalesce(concept, left(trim(regexp_replace(regexp_replace(norm, '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 96)) AS
+    a FROM candidates WHERE made = 'materialize') c JOIN primaries p ON p.id = c.id),
+made AS (SELECT sha256('semantic|' || session_id || '|' || node_type || '|' || group_key) AS node_id, id AS record_id, node_type AS type, scope,
+    lower(node_type) || ':' || label AS label, CASE WHEN node_type IN ('Concept', 'Topic') THEN 'heuristic' WHEN source_type = 'system' THEN
+    'soft' ELSE 'heuristic' END AS strength,
+  round(greatest(0.45, least(0.97, sure)), 6)::DOUBLE AS confidence, CASE WHEN node_type = 'Constraint' THEN 'norm' WHEN node_type IN ('Process',
+    'Step') THEN 'process' WHEN node_type = 'Goal' THEN 'state' ELSE 'fact' END AS kind,
+  'v:' || left(sha256('semantic-span-version|' || norm || '|' || coalesce(concept, '') || '|' || route), 12) AS version, CASE WHEN node_type
+    = 'Constraint' THEN group_key END AS conflict_key, span_id FROM grouped)"""
 
 BASE = with_(RECORDS, RECS)
 TO_CLAUSES = BASE + ", " + SENTENCES + ", " + CLAUSES
@@ -119,7 +166,8 @@ def route_resolution(spark, d):
     return records(spark, d).select("id", "route")
 
 
-@query("ref_op186_route_contract", "SELECT * FROM (VALUES ('conversation', TRUE, 8, 4), ('tool_result', FALSE, 8, 0), ('transcript', TRUE, 9, 4), ('document', FALSE, 9, 0), ('experience_trace', TRUE, 8, 3), ('system', FALSE, 7, 0)) t(route, clause_split, n_types, n_structural)")
+@query("ref_op186_route_contract", """SELECT * FROM (VALUES ('conversation', TRUE, 8, 4), ('tool_result', FALSE, 8, 0), ('transcript', TRUE, 9, 4), ('document',
+    FALSE, 9, 0), ('experience_trace', TRUE, 8, 3), ('system', FALSE, 7, 0)) t(route, clause_split, n_types, n_structural)""")
 def route_contract(spark, d):
     return spark.createDataFrame([(r, v[0], len(v[1]), len(v[2])) for r, v in I.ROUTES.items()], "route string, clause_split boolean, n_types int, n_structural int")
 
@@ -160,12 +208,16 @@ def node_candidates(spark, d):
     return candidates(spark, d).select("candidate_id", "span_id", "node_type", "made", "label")
 
 
-@query("ref_op234_summary_candidates", TO_CANDIDATES + ", " + SUMMARIES + " SELECT f.id, f.slot, sha256('context-summary-candidate|' || f.candidate_id || '|' || f.node_type) AS summary_id, CASE WHEN f.made = 'summary_only' OR f.node_type IN ('Topic', 'Concept') THEN 'summary' ELSE 'raw' END AS form, f.label, count(DISTINCT a.span_id) AS n_spans FROM slotted f JOIN slotted a ON a.id = f.id AND a.slot = f.slot AND a.said = f.said WHERE f.r = 1 GROUP BY f.id, f.slot, f.candidate_id, f.node_type, f.made, f.label")
+@query("ref_op234_summary_candidates", TO_CANDIDATES + ", " + SUMMARIES + """ SELECT f.id, f.slot, sha256('context-summary-candidate|' || f.candidate_id || '|' || f.node_type) AS summary_id, CASE WHEN
+    f.made = 'summary_only' OR f.node_type IN ('Topic', 'Concept') THEN 'summary' ELSE 'raw' END AS form, f.label, count(DISTINCT a.span_id)
+    AS n_spans FROM slotted f JOIN slotted a ON a.id = f.id AND a.slot = f.slot AND a.said = f.said WHERE f.r = 1 GROUP BY f.id, f.slot, f.candidate_id,
+    f.node_type, f.made, f.label""")
 def summary_candidates(spark, d):
     return I.summary_candidates(candidates(spark, d))
 
 
-@query("ref_op235_experience_hints", TO_CANDIDATES + ", " + HINTS + " SELECT id, 'procedure_only' AS status, len(s)::INTEGER AS n_steps, s[len(s)] AS critical, sha256('context-processing-attempt|' || route || '|' || array_to_string(s, ',') || '||' || s[len(s)]) AS attempt_id FROM steps")
+@query("ref_op235_experience_hints", TO_CANDIDATES + ", " + HINTS + """ SELECT id, 'procedure_only' AS status, len(s)::INTEGER AS n_steps, s[len(s)] AS critical, sha256('context-processing-attempt|'
+    || route || '|' || array_to_string(s, ',') || '||' || s[len(s)]) AS attempt_id FROM steps""")
 def experience_hints(spark, d):
     return I.experience_hints(candidates(spark, d))
 
@@ -178,7 +230,9 @@ def span_nodes(spark, d):
 @query(
     "ref_op231_process_record",
     TO_CANDIDATES
-    + """, s AS (SELECT id, count(*) AS spans, count(*) FILTER (WHERE disposition = 'drop') AS dropped, count(*) FILTER (WHERE disposition = 'evidence_only') AS evidence_only, count(*) FILTER (WHERE disposition = 'hint_only') AS hints, count(*) FILTER (WHERE disposition = 'materialize') AS materialize, sum(len(concepts))::BIGINT AS concepts FROM noise GROUP BY 1),
+    + """, s AS (SELECT id, count(*) AS spans, count(*) FILTER (WHERE disposition = 'drop') AS dropped, count(*) FILTER (WHERE disposition = 'evidence_only')
+    AS evidence_only, count(*) FILTER (WHERE disposition = 'hint_only') AS hints, count(*) FILTER (WHERE disposition = 'materialize') AS materialize,
+    sum(len(concepts))::BIGINT AS concepts FROM noise GROUP BY 1),
   c AS (SELECT id, count(*) AS candidates, count(*) FILTER (WHERE made = 'materialize') AS made FROM candidates GROUP BY 1)
   SELECT id, spans, dropped, evidence_only, hints, materialize, concepts, coalesce(candidates, 0) AS candidates, coalesce(made, 0) AS made FROM s LEFT JOIN c USING (id)""",
 )
@@ -192,7 +246,9 @@ def process_record(spark, d):
 
 @query(
     "ref_op117_processing_totals",
-    TO_NOISE + " SELECT route, count(DISTINCT id) AS records, count(*) AS spans, sum(len(concepts))::BIGINT AS concepts, count(*) FILTER (WHERE disposition IN ('drop', 'evidence_only')) AS noise, round(count(*) FILTER (WHERE disposition IN ('drop', 'evidence_only')) / count(*)::DOUBLE, 6) AS noise_rate FROM noise GROUP BY 1",
+    TO_NOISE + """ SELECT route, count(DISTINCT id) AS records, count(*) AS spans, sum(len(concepts))::BIGINT AS concepts, count(*) FILTER
+    (WHERE disposition IN ('drop', 'evidence_only')) AS noise, round(count(*) FILTER (WHERE disposition IN ('drop', 'evidence_only')) / count(*)::DOUBLE,
+    6) AS noise_rate FROM noise GROUP BY 1""",
 )
 def processing_totals(spark, d):
     low = F.count_if(F.col("disposition").isin("drop", "evidence_only"))
@@ -200,8 +256,11 @@ def processing_totals(spark, d):
 
 
 _KEY = "CASE WHEN type IN ('Rule', 'Topic') THEN scope || '|' || source_type || '|' || type || '|' || lower(type) || CASE WHEN a <> '' THEN '|' || a ELSE '' END END"
-OWN = f"""own AS (SELECT id, session_id, type, scope, group_key, sha256('semantic|' || session_id || '|' || type || '|' || coalesce(group_key, id)) AS node_id FROM (SELECT *, {_KEY} AS group_key FROM (SELECT *, left(CASE WHEN f <> '' THEN f ELSE w END, 72) AS a FROM (SELECT *,
-  trim(regexp_replace(regexp_replace(lower(regexp_extract(said, '^[^\\r\\n]*')), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS f, trim(regexp_replace(regexp_replace(lower(said), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS w FROM (SELECT p.*, r.said FROM primaries p JOIN recs r ON r.id = p.id)))))"""
+OWN = f"""own AS (SELECT id, session_id, type, scope, group_key, sha256('semantic|' || session_id || '|' || type || '|' || coalesce(group_key, id)) AS
+    node_id FROM (SELECT *, {_KEY} AS group_key FROM (SELECT *, left(CASE WHEN f <> '' THEN f ELSE w END, 72) AS a FROM (SELECT *,
+  trim(regexp_replace(regexp_replace(lower(regexp_extract(said, '^[^\\r\\n]*')), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS f,
+    trim(regexp_replace(regexp_replace(lower(said), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS w FROM (SELECT p.*, r.said FROM
+    primaries p JOIN recs r ON r.id = p.id)))))"""
 
 
 def own_nodes(spark, d):
@@ -223,7 +282,8 @@ def primary_nodes(spark, d):
 @query(
     "ref_op238_ingest",
     TO_CANDIDATES + ", " + MADE + ", " + OWN
-    + ", every AS (SELECT DISTINCT node_id AS from_id, record_id AS to_id FROM made UNION SELECT node_id, id FROM own) SELECT sha256('edge|' || from_id || '|' || to_id || '|supported_by|session') AS edge_id, from_id, to_id FROM every",
+    + """, every AS (SELECT DISTINCT node_id AS from_id, record_id AS to_id FROM made UNION SELECT node_id, id FROM own) SELECT sha256('edge|'
+    || from_id || '|' || to_id || '|supported_by|session') AS edge_id, from_id, to_id FROM every""",
 )
 def ingest(spark, d):
     own = own_nodes(spark, d).select("node_id", F.col("id").alias("record_id"), "scope")

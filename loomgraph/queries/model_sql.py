@@ -21,19 +21,26 @@ RECORDS = f"""records AS (SELECT 'c' || conv_id || '.' || turn AS id, 's' || con
   CASE role WHEN 'user' THEN 'conversation' WHEN 'assistant' THEN 'transcript' WHEN 'system' THEN 'system' ELSE 'tool_output' END AS source_type, text AS content,
   {_iso("conv_id * 1000 + turn")} AS created_at FROM conversations)"""
 NODES = f"""nodes AS (SELECT 'n' || conv_id || '.' || turn AS id, conv_id, turn, 's' || conv_id AS session_id, 'w' || (conv_id // 16) AS workspace_id,
-  ({_list(TYPES)})[((conv_id * 31 + turn * 17) % {len(TYPES)} + 1)::INTEGER] AS type, (['workspace', 'session', 'global', 'session'])[((conv_id + turn) % 4 + 1)::INTEGER] AS scope,
+  ({_list(TYPES)})[((conv_id * 31 + turn * 17) % {len(TYPES)} + 1)::INTEGER] AS type, (['workspace', 'session', 'global', 'session'])[((conv_id
+    + turn) % 4 + 1)::INTEGER] AS scope,
   left(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 96) AS label,
-  '{{"sessionId":"s' || conv_id || '","workspaceId":"w' || (conv_id // 16) || '","role":"' || role || '","observationCount":' || ((conv_id * 3 + turn) % 6) || ',"downgradeCount":' || ((conv_id + turn * 2) % 3) || '}}' AS payload,
+  '{{"sessionId":"s' || conv_id || '","workspaceId":"w' || (conv_id // 16) || '","role":"' || role || '","observationCount":' || ((conv_id *
+    3 + turn) % 6) || ',"downgradeCount":' || ((conv_id + turn * 2) % 3) || '}}' AS payload,
   (['hard', 'soft', 'heuristic'])[(turn % 3 + 1)::INTEGER] AS strength, round(0.5 + ((conv_id * 13 + turn * 7) % 50) / 100.0, 2)::DOUBLE AS confidence,
-  (['superseded', 'active', 'active', 'stale', 'active', 'active'])[((conv_id + turn) % 6 + 1)::INTEGER] AS freshness, (['compressed', 'raw', 'raw', 'derived', 'raw'])[(turn % 5 + 1)::INTEGER] AS origin_kind,
-  (conv_id * 3 + turn) % 6 AS observations, (conv_id + turn * 2) % 3 AS downgrades, (['candidate', 'candidate', 'promoted', 'downgraded', 'retired'])[((conv_id + turn) % 5 + 1)::INTEGER] AS promotion_state,
+  (['superseded', 'active', 'active', 'stale', 'active', 'active'])[((conv_id + turn) % 6 + 1)::INTEGER] AS freshness, (['compressed', 'raw',
+    'raw', 'derived', 'raw'])[(turn % 5 + 1)::INTEGER] AS origin_kind,
+  (conv_id * 3 + turn) % 6 AS observations, (conv_id + turn * 2) % 3 AS downgrades, (['candidate', 'candidate', 'promoted', 'downgraded', 'retired'])[((conv_id
+    + turn) % 5 + 1)::INTEGER] AS promotion_state,
   'k' || (turn % 2) AS conflict_key, turn * 10 + conv_id % 3 AS override_priority, {_iso("conv_id * 1000 + turn")} AS updated_at FROM conversations)"""
 EDGES = f"""edges AS (SELECT 'e' || a.conv_id || '.' || a.turn || '.' || h.hop AS id, 'n' || a.conv_id || '.' || a.turn AS from_id, 'n' || b.conv_id || '.' || b.turn AS to_id,
-  ({_list(RELATIONS)})[((a.conv_id * 7 + a.turn * 3 + h.hop) % {len(RELATIONS)} + 1)::INTEGER] AS type, 's' || a.conv_id AS session_id, round(0.4 + ((a.conv_id * 3 + a.turn * 11 + h.hop) % 60) / 100.0, 2)::DOUBLE AS confidence,
+  ({_list(RELATIONS)})[((a.conv_id * 7 + a.turn * 3 + h.hop) % {len(RELATIONS)} + 1)::INTEGER] AS type, 's' || a.conv_id AS session_id, round(0.4
+    + ((a.conv_id * 3 + a.turn * 11 + h.hop) % 60) / 100.0, 2)::DOUBLE AS confidence,
   {_iso("a.conv_id * 1000 + a.turn * 10 + h.hop")} AS updated_at
   FROM conversations a, (VALUES (1), (2)) h(hop), conversations b WHERE a.conv_id = b.conv_id AND a.turn + h.hop = b.turn)"""
-REQUESTS = "requests AS (SELECT item_id AS request_id, 's' || (item_id % 40) AS session_id, 'w' || ((item_id % 40) // 16) AS workspace_id, text AS query, 400 + item_id % 30 * 20 AS token_budget FROM benchmark)"
-CORRECTIONS = f"""corrections AS (SELECT 'm' || event_id AS id, event_id, CASE event_type WHEN 'view' THEN 'label_override' WHEN 'click' THEN 'node_suppression' WHEN 'error' THEN 'noise_policy' WHEN 'purchase' THEN 'promotion_decision' WHEN 'signup' THEN 'concept_alias' END AS target_kind,
+REQUESTS = """requests AS (SELECT item_id AS request_id, 's' || (item_id % 40) AS session_id, 'w' || ((item_id % 40) // 16) AS workspace_id,
+    text AS query, 400 + item_id % 30 * 20 AS token_budget FROM benchmark)"""
+CORRECTIONS = f"""corrections AS (SELECT 'm' || event_id AS id, event_id, CASE event_type WHEN 'view' THEN 'label_override' WHEN 'click' THEN 'node_suppression'
+    WHEN 'error' THEN 'noise_policy' WHEN 'purchase' THEN 'promotion_decision' WHEN 'signup' THEN 'concept_alias' END AS target_kind,
   'n' || user_id || '.' || (event_id % 3) AS target_id, CASE WHEN event_id % 4 = 3 THEN 'rollback' ELSE 'apply' END AS action, 'label ' || (event_id % 50) AS new_label,
   (['drop', 'evidence_only', 'hint_only', 'materialize'])[(event_id % 4 + 1)::INTEGER] AS disposition, {_iso("event_id * 60")} AS created_at FROM events)"""
 CONTRACT = """contract(type, stable, usage, freshness, default_confidence, recall_priority, recall_order) AS (VALUES

@@ -30,7 +30,8 @@ def get_node(spark, d):
 
 @query(
     "ref_op013_nodes_by_ids",
-    with_(NODES) + ", ".join(["SELECT w.conv_id AS list_id", "w.pos", "n.id", "n.type FROM (SELECT conv_id, p.pos, ['n' || conv_id || '.1', 'n' || conv_id || '.0', 'n' || conv_id || '.1', 'n' || conv_id || '.99'][p.pos + 1] AS id FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES (0), (1), (2), (3)) p(pos)) w JOIN nodes n USING (id)"]),
+    with_(NODES) + ", ".join(["SELECT w.conv_id AS list_id", "w.pos", "n.id", """n.type FROM (SELECT conv_id, p.pos, ['n' || conv_id || '.1', 'n' || conv_id || '.0', 'n' || conv_id || '.1', 'n' || conv_id
+    || '.99'][p.pos + 1] AS id FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES (0), (1), (2), (3)) p(pos)) w JOIN nodes n USING (id)"""]),
 )
 def nodes_by_ids(spark, d):
     ids = F.array(*(F.concat(F.lit("n"), "conv_id", F.lit(x)) for x in (".1", ".0", ".1", ".99")))
@@ -43,7 +44,8 @@ def edges_of_nodes(spark, d):
     return S.edges_of(C.nodes(spark, d).where("type = 'Goal'").select("id"), C.edges(spark, d)).select("id", "type")
 
 
-@query("ref_op016_latest_checkpoint", with_(NODES) + "SELECT session_id, id AS checkpoint_id, updated_at AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY updated_at DESC, id) AS r FROM nodes WHERE type IN ('State', 'Decision', 'Outcome')) WHERE r = 1")
+@query("ref_op016_latest_checkpoint", with_(NODES) + """SELECT session_id, id AS checkpoint_id, updated_at AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY session_id
+    ORDER BY updated_at DESC, id) AS r FROM nodes WHERE type IN ('State', 'Decision', 'Outcome')) WHERE r = 1""")
 def latest_checkpoint(spark, d):
     n = C.nodes(spark, d).where(F.col("type").isin("State", "Decision", "Outcome"))
     return S.latest(n, "session_id", F.desc("updated_at"), F.asc("id")).select("session_id", F.col("id").alias("checkpoint_id"), F.col("updated_at").alias("created_at"))
@@ -63,7 +65,10 @@ def list_corrections(spark, d):
 @query(
     "ref_op021_truth_source",
     with_(RECORDS)
-    + "SELECT session_id, source, n FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY p) AS r FROM (SELECT session_id, 'live' AS source, 0 AS p, count(*) AS n FROM records WHERE role = 'user' AND conv_id % 3 = 0 GROUP BY 1 UNION ALL SELECT session_id, 'persisted', 1, count(*) FROM records WHERE role = 'assistant' AND conv_id % 2 = 0 GROUP BY 1 UNION ALL SELECT session_id, 'transcript', 2, count(*) FROM records GROUP BY 1)) WHERE r = 1",
+    + """SELECT session_id, source, n FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY p) AS r FROM (SELECT session_id,
+    'live' AS source, 0 AS p, count(*) AS n FROM records WHERE role = 'user' AND conv_id % 3 = 0 GROUP BY 1 UNION ALL SELECT session_id, 'persisted',
+    1, count(*) FROM records WHERE role = 'assistant' AND conv_id % 2 = 0 GROUP BY 1 UNION ALL SELECT session_id, 'transcript', 2, count(*) FROM
+    records GROUP BY 1)) WHERE r = 1""",
 )
 def truth_source(spark, d):
     r = C.records(spark, d)
@@ -74,7 +79,9 @@ def truth_source(spark, d):
 
 @query(
     "ref_op030_upsert_nodes",
-    with_(NODES) + "SELECT id, label, freshness FROM (SELECT id, label, freshness, 0 AS s, 0 AS q FROM nodes UNION ALL SELECT id, 'again ' || label, 'stale', 1, turn FROM nodes WHERE turn % 2 = 1 UNION ALL SELECT id, 'last ' || label, 'active', 1, turn + 100 FROM nodes WHERE turn % 4 = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, q DESC) = 1",
+    with_(NODES) + """SELECT id, label, freshness FROM (SELECT id, label, freshness, 0 AS s, 0 AS q FROM nodes UNION ALL SELECT id, 'again ' ||
+    label, 'stale', 1, turn FROM nodes WHERE turn % 2 = 1 UNION ALL SELECT id, 'last ' || label, 'active', 1, turn + 100 FROM nodes WHERE turn
+    % 4 = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, q DESC) = 1""",
 )
 def upsert_nodes(spark, d):
     n = C.nodes(spark, d).select("id", "label", "freshness", "turn")
@@ -83,12 +90,15 @@ def upsert_nodes(spark, d):
     return S.upserted(n.drop("turn"), first.unionByName(last), "id", "seq")
 
 
-@query("ref_op032_source_dimension", "SELECT DISTINCT sha256('{\"source_type\":\"' || source || '\",\"lang\":' || CASE WHEN lang IS NULL THEN 'null' ELSE '\"' || lang || '\"' END || '}') AS source_id, source AS source_type, lang FROM documents")
+@query("ref_op032_source_dimension", """SELECT DISTINCT sha256('{\"source_type\":\"' || source || '\",\"lang\":' || CASE WHEN lang IS NULL THEN 'null' ELSE '\"'
+    || lang || '\"' END || '}') AS source_id, source AS source_type, lang FROM documents""")
 def source_dimension(spark, d):
     return S.source_dimension(C.read(spark, d, "documents").select(F.col("source").alias("source_type"), "lang"), "source_type", "lang")
 
 
-@query("ref_op040_node_filter", with_(NODES) + f"SELECT id FROM nodes, (SELECT {NORM.format(repr(TEXT))} AS q) WHERE scope = 'session' AND freshness = 'active' AND origin_kind = 'raw' AND (contains({NORM.format('label')}, q) OR len([t FOR t IN {terms('q')} IF contains({NORM.format('label')}, t)]) >= 1 OR contains({NORM.format('payload')}, q) OR len([t FOR t IN {terms('q')} IF contains({NORM.format('payload')}, t)]) >= 1)")
+@query("ref_op040_node_filter", with_(NODES) + f"""SELECT id FROM nodes, (SELECT {NORM.format(repr(TEXT))} AS q) WHERE scope = 'session' AND freshness = 'active' AND origin_kind
+    = 'raw' AND (contains({NORM.format('label')}, q) OR len([t FOR t IN {terms('q')} IF contains({NORM.format('label')}, t)]) >= 1 OR contains({NORM.format('payload')},
+    q) OR len([t FOR t IN {terms('q')} IF contains({NORM.format('payload')}, t)]) >= 1)""")
 def node_filter(spark, d):
     return C.nodes(spark, d).where(S.node_filter(scopes=("session",), freshness=("active",), origins=("raw",), query=TEXT)).select("id")
 
@@ -109,7 +119,8 @@ def node_order(spark, d):
     return C.nodes(spark, d).select("id", F.row_number().over(w).cast("long").alias("pos"))
 
 
-@query("ref_op158_history_page", with_(RECORDS) + "SELECT session_id, id, total, total > 4 AS has_more FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id) AS pos, count(*) OVER (PARTITION BY session_id) AS total FROM records) WHERE pos > 2 AND pos <= 4")
+@query("ref_op158_history_page", with_(RECORDS) + """SELECT session_id, id, total, total > 4 AS has_more FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at
+    DESC, id) AS pos, count(*) OVER (PARTITION BY session_id) AS total FROM records) WHERE pos > 2 AND pos <= 4""")
 def history_page(spark, d):
     return S.page(C.records(spark, d), "session_id", 2, 2, F.desc("created_at"), F.asc("id")).select("session_id", "id", "total", "has_more")
 
@@ -120,7 +131,8 @@ def due_schedules(spark, d):
     return e.where("due_at <= 3600").orderBy("due_at", "event_id").limit(100)
 
 
-@query("ref_op215_relation_contract", with_(CONTRACT) + "SELECT type, stable, usage, freshness, default_confidence::DOUBLE AS default_confidence, recall_priority::DOUBLE AS recall_priority, recall_order::INTEGER AS recall_order, usage = 'recall_eligible' AS recall_eligible, TRUE AS explain_visible FROM contract")
+@query("ref_op215_relation_contract", with_(CONTRACT) + """SELECT type, stable, usage, freshness, default_confidence::DOUBLE AS default_confidence, recall_priority::DOUBLE AS recall_priority,
+    recall_order::INTEGER AS recall_order, usage = 'recall_eligible' AS recall_eligible, TRUE AS explain_visible FROM contract""")
 def relation_contract(spark, d):
     from loomgraph.functions.fixed import relation_contract
 

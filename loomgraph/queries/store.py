@@ -65,7 +65,8 @@ def artifact_prune(spark, d):
     return counts.crossJoin(kept.agg(F.count("*").alias("kept")))  # one row each
 
 
-@query("ref_op038_snapshot_sink", "SELECT 's' || conv_id AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'b' ELSE 'a' END || lpad(max(turn)::VARCHAR, 4, '0') AS captured_at, max(turn) AS turns FROM conversations GROUP BY conv_id")
+@query("ref_op038_snapshot_sink", """SELECT 's' || conv_id AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'b' ELSE 'a' END || lpad(max(turn)::VARCHAR, 4, '0')
+    AS captured_at, max(turn) AS turns FROM conversations GROUP BY conv_id""")
 def snapshot_sink(spark, d):
     c = C.read(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"))
     rows = lambda v, of: of.select(F.concat(F.lit(v), F.lpad(F.col("turns").cast("string"), 4, "0")).alias("captured_at"), F.col("turns").cast("string").alias("body"), F.concat(F.lit("s"), "conv_id").alias("session_id"))
@@ -81,7 +82,10 @@ def schema_evolution(spark, d):
 
 @query(
     "ref_op020_latest_snapshots",
-    "WITH k AS (SELECT 's' || conv_id AS session_id, lpad(turn::VARCHAR, 3, '0') AS captured_at, 0 AS live, length(coalesce(text, '')) AS messages FROM conversations WHERE turn % 5 < 4 UNION ALL SELECT 's' || conv_id, lpad((turn - turn % 2)::VARCHAR, 3, '0'), 1, 7 FROM conversations WHERE conv_id % 2 = 0 AND turn < 4) SELECT session_id, m.c AS captured_at, CASE m.l WHEN 1 THEN 'live' ELSE 'persisted' END AS source, m.n AS messages FROM (SELECT session_id, max({'c': captured_at, 'l': live, 'n': messages}) AS m FROM k GROUP BY 1)",
+    """WITH k AS (SELECT 's' || conv_id AS session_id, lpad(turn::VARCHAR, 3, '0') AS captured_at, 0 AS live, length(coalesce(text,
+    '')) AS messages FROM conversations WHERE turn % 5 < 4 UNION ALL SELECT 's' || conv_id, lpad((turn - turn % 2)::VARCHAR, 3, '0'), 1, 7 FROM
+    conversations WHERE conv_id % 2 = 0 AND turn < 4) SELECT session_id, m.c AS captured_at, CASE m.l WHEN 1 THEN 'live' ELSE 'persisted' END
+    AS source, m.n AS messages FROM (SELECT session_id, max({'c': captured_at, 'l': live, 'n': messages}) AS m FROM k GROUP BY 1)""",
 )
 def latest_snapshots(spark, d):
     c, at = C.read(spark, d, "conversations"), lambda n: F.lpad(n.cast("string"), 3, "0")
@@ -90,7 +94,8 @@ def latest_snapshots(spark, d):
     return P.latest_snapshots(c.select(body.alias("json")), live)
 
 
-@query("ref_op022_session_files", "SELECT 'a' || (user_id % 5) AS agent, 's' || (user_id % 30) AS session, arg_max('home/agents/a' || (user_id % 5) || '/sessions/s' || (user_id % 30) || '.jsonl', event_id) AS path FROM events WHERE event_type <> 'view' GROUP BY 1, 2")
+@query("ref_op022_session_files", """SELECT 'a' || (user_id % 5) AS agent, 's' || (user_id % 30) AS session, arg_max('home/agents/a' || (user_id % 5) || '/sessions/s'
+    || (user_id % 30) || '.jsonl', event_id) AS path FROM events WHERE event_type <> 'view' GROUP BY 1, 2""")
 def session_files(spark, d):
     e = C.read(spark, d, "events")
     path = F.concat(F.lit("home/agents/a"), F.col("user_id") % 5, F.lit("/sessions/s"), F.col("user_id") % 30, F.when(F.col("event_type") == "view", ".txt").otherwise(".jsonl"))
@@ -100,7 +105,8 @@ def session_files(spark, d):
 _STAGE = "CASE source_type WHEN 'tool_output' THEN 'tool_output_raw' WHEN 'conversation' THEN 'hook_message_snapshot' WHEN 'system' THEN 'hook_message_snapshot' ELSE 'legacy_unknown' END"
 
 
-@query("ref_op068_origin_and_stage", with_(RECORDS) + f"SELECT id, CASE WHEN turn % 4 = 1 OR conv_id % 5 = 0 THEN 'compressed' ELSE 'raw' END AS origin_kind, CASE WHEN conv_id % 5 = 0 THEN 'tool_result_persist' ELSE {_STAGE} END AS source_stage FROM records")
+@query("ref_op068_origin_and_stage", with_(RECORDS) + f"""SELECT id, CASE WHEN turn % 4 = 1 OR conv_id % 5 = 0 THEN 'compressed' ELSE 'raw' END AS origin_kind, CASE WHEN conv_id %
+    5 = 0 THEN 'tool_result_persist' ELSE {_STAGE} END AS source_stage FROM records""")
 def origin_and_stage(spark, d):
     t = F.when(F.col("turn") % 4 == 1, "compaction")
     return C.records(spark, d).select("id", P.origin_and_stage(F.coalesce(t, F.lit("")), F.col("conv_id") % 5 == 0, F.col("source_type")).alias("p")).select("id", "p.*")
@@ -108,7 +114,12 @@ def origin_and_stage(spark, d):
 
 @query(
     "ref_op025_provenance_backfill",
-    with_(RECORDS) + f"SELECT id, CASE WHEN lacks THEN CASE WHEN t = 'compaction' OR (t = 'custom_message' AND conv_id % 3 = 0) THEN 'compressed' ELSE 'raw' END ELSE 'derived' END AS origin_kind, CASE WHEN lacks THEN CASE t WHEN 'compaction' THEN 'transcript_compaction' WHEN 'message' THEN 'transcript_message' WHEN 'custom_message' THEN 'transcript_custom' ELSE {_STAGE} END ELSE 'checkpoint' END AS source_stage, CASE WHEN lacks THEN CASE WHEN t = 'compaction' AND conv_id % 2 = 0 THEN 'compact' ELSE 'legacy-migration' END END AS filled_by, CASE WHEN lacks AND t = 'compaction' THEN id END AS run_id FROM (SELECT *, (conv_id + turn) % 4 < 3 AS lacks, CASE turn % 4 WHEN 0 THEN 'compaction' WHEN 1 THEN 'message' WHEN 2 THEN 'custom_message' END AS t FROM records)",
+    with_(RECORDS) + f"""SELECT id, CASE WHEN lacks THEN CASE WHEN t = 'compaction' OR (t = 'custom_message' AND conv_id % 3 = 0) THEN 'compressed'
+    ELSE 'raw' END ELSE 'derived' END AS origin_kind, CASE WHEN lacks THEN CASE t WHEN 'compaction' THEN 'transcript_compaction' WHEN 'message'
+    THEN 'transcript_message' WHEN 'custom_message' THEN 'transcript_custom' ELSE {_STAGE} END ELSE 'checkpoint' END AS source_stage, CASE WHEN
+    lacks THEN CASE WHEN t = 'compaction' AND conv_id % 2 = 0 THEN 'compact' ELSE 'legacy-migration' END END AS filled_by, CASE WHEN lacks AND
+    t = 'compaction' THEN id END AS run_id FROM (SELECT *, (conv_id + turn) % 4 < 3 AS lacks, CASE turn % 4 WHEN 0 THEN 'compaction' WHEN 1 THEN
+    'message' WHEN 2 THEN 'custom_message' END AS t FROM records)""",
 )
 def provenance_backfill(spark, d):
     lacks, turn = (F.col("conv_id") + F.col("turn")) % 4 < 3, F.col("turn") % 4
@@ -117,8 +128,11 @@ def provenance_backfill(spark, d):
     return P.backfilled(rows)
 
 
-_FORM = "CASE WHEN type = 'Evidence' THEN 'citation_only' WHEN type = 'Pattern' THEN 'derived' WHEN type IN ('Tool', 'Topic') THEN 'summary' WHEN origin_kind = 'compressed' THEN 'summary' WHEN origin_kind = 'derived' THEN CASE type WHEN 'Skill' THEN 'derived' ELSE 'summary' END ELSE 'raw' END"
-_PRIORITY = "CASE WHEN type IN ('Goal', 'Intent') THEN 'must' WHEN type IN ('Rule', 'Constraint', 'Mode', 'Risk', 'Process', 'Step') THEN 'high' WHEN type IN ('Decision', 'State', 'Outcome', 'Tool') THEN 'normal' ELSE 'low' END"
+_FORM = """CASE WHEN type = 'Evidence' THEN 'citation_only' WHEN type = 'Pattern' THEN 'derived' WHEN type IN ('Tool', 'Topic') THEN
+    'summary' WHEN origin_kind = 'compressed' THEN 'summary' WHEN origin_kind = 'derived' THEN CASE type WHEN 'Skill' THEN 'derived' ELSE 'summary'
+    END ELSE 'raw' END"""
+_PRIORITY = """CASE WHEN type IN ('Goal', 'Intent') THEN 'must' WHEN type IN ('Rule', 'Constraint', 'Mode', 'Risk', 'Process', 'Step') THEN
+    'high' WHEN type IN ('Decision', 'State', 'Outcome', 'Tool') THEN 'normal' ELSE 'low' END"""
 _CLASS = "CASE WHEN type IN ('Goal', 'Intent', 'Process', 'Step') THEN 'fixed' WHEN type IN ('Rule', 'Constraint', 'Mode', 'Risk') THEN 'reserved' ELSE 'candidate' END"
 
 
@@ -146,10 +160,12 @@ def row_decode(spark, d):
 
 @query(
     "ref_op085_relation_references",
-    with_(NODES) + """, refs AS (SELECT id, 'requires' AS relation, unnest(['n' || conv_id || '.' || (turn + 1), 'raw' || conv_id || '.' || (turn % 3)]) AS ref FROM nodes UNION ALL SELECT id, 'next_step', unnest(['n' || conv_id || '.' || (turn + 1), 'nowhere']) FROM nodes),
+    with_(NODES) + """, refs AS (SELECT id, 'requires' AS relation, unnest(['n' || conv_id || '.' || (turn + 1), 'raw' || conv_id || '.' || (turn % 3)]) AS ref FROM
+    nodes UNION ALL SELECT id, 'next_step', unnest(['n' || conv_id || '.' || (turn + 1), 'nowhere']) FROM nodes),
   first AS (SELECT 'raw' || conv_id || '.' || (turn % 3) AS ref, min({'u': updated_at, 'i': id, 't': type}) AS m FROM nodes GROUP BY 1),
   hit AS (SELECT r.id, relation, coalesce(n.id, f.m.i) AS to_id, coalesce(n.type, f.m.t) AS type FROM refs r LEFT JOIN nodes n ON n.id = r.ref LEFT JOIN first f ON f.ref = r.ref)
-  SELECT DISTINCT id, relation, to_id FROM hit WHERE to_id IS NOT NULL AND to_id <> id AND CASE relation WHEN 'requires' THEN type IN ('Rule', 'Constraint', 'Mode', 'Tool', 'Skill') ELSE type IN ('Step', 'Process') END""",
+  SELECT DISTINCT id, relation, to_id FROM hit WHERE to_id IS NOT NULL AND to_id <> id AND CASE relation WHEN 'requires' THEN type IN ('Rule',
+    'Constraint', 'Mode', 'Tool', 'Skill') ELSE type IN ('Step', 'Process') END""",
 )
 def relation_references(spark, d):
     n, conv, turn = C.nodes(spark, d), F.col("conv_id"), F.col("turn")
@@ -159,23 +175,28 @@ def relation_references(spark, d):
     return P.references(refs, n.select("id", "type", "updated_at", raw.alias("raw_source_id")), {"requires": ("Rule", "Constraint", "Mode", "Tool", "Skill"), "next_step": ("Step", "Process")})
 
 
-@query("ref_op089_correction_lookup", with_(NODES, CORRECTIONS) + "SELECT DISTINCT t.id, c.id AS correction_id FROM (SELECT id, id AS target_id FROM nodes UNION SELECT id, 'n' || (conv_id + 1) || '.' || (turn % 3) FROM nodes) t JOIN corrections c USING (target_id)")
+@query("ref_op089_correction_lookup", with_(NODES, CORRECTIONS) + """SELECT DISTINCT t.id, c.id AS correction_id FROM (SELECT id, id AS target_id FROM nodes UNION SELECT id, 'n' || (conv_id
+    + 1) || '.' || (turn % 3) FROM nodes) t JOIN corrections c USING (target_id)""")
 def correction_lookup(spark, d):
     n = C.nodes(spark, d)
     alias = F.concat(F.lit("n"), F.col("conv_id") + 1, F.lit("."), F.col("turn") % 3)
     return P.corrections_of(n.select("id", F.col("id").alias("target_id")).unionByName(n.select("id", alias.alias("target_id"))), C.corrections(spark, d))
 
 
-@query("ref_op090_promoted_lookup", with_(NODES) + "SELECT a.id, b.id AS existing, 'global:' || a.id AS global_id FROM nodes a LEFT JOIN nodes b ON b.conv_id = a.conv_id + 1 AND b.turn = a.turn AND b.type = 'Pattern' WHERE a.type = 'Pattern' OR a.type = 'Skill'")
+@query("ref_op090_promoted_lookup", with_(NODES) + """SELECT a.id, b.id AS existing, 'global:' || a.id AS global_id FROM nodes a LEFT JOIN nodes b ON b.conv_id = a.conv_id + 1
+    AND b.turn = a.turn AND b.type = 'Pattern' WHERE a.type = 'Pattern' OR a.type = 'Skill'""")
 def promoted_lookup(spark, d):
     n = C.nodes(spark, d)
     held = n.where("type = 'Pattern'").select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("id").alias("existing"))
     return n.where("type in ('Pattern', 'Skill')").join(held, ["conv_id", "turn"], "left").select("id", "existing", F.concat(F.lit("global:"), "id").alias("global_id"))
 
 
-KEPT = """kept AS (SELECT session_id, k.kind, k.kind || turn AS kept_id, updated_at AS created_at, CASE k.kind WHEN 'checkpoint' THEN ['n' || conv_id || '.' || turn, 'n' || conv_id || '.0'] WHEN 'delta' THEN ['n' || conv_id || '.' || (turn + 1)] ELSE ['n' || conv_id || '.0', 'n' || conv_id || '.1'] END AS ids FROM nodes, (VALUES ('checkpoint'), ('delta'), ('skill')) k(kind)),
+KEPT = """kept AS (SELECT session_id, k.kind, k.kind || turn AS kept_id, updated_at AS created_at, CASE k.kind WHEN 'checkpoint' THEN ['n' || conv_id ||
+    '.' || turn, 'n' || conv_id || '.0'] WHEN 'delta' THEN ['n' || conv_id || '.' || (turn + 1)] ELSE ['n' || conv_id || '.0', 'n' || conv_id
+    || '.1'] END AS ids FROM nodes, (VALUES ('checkpoint'), ('delta'), ('skill')) k(kind)),
 recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY created_at DESC, kept_id) AS r FROM kept) WHERE r <= 12),
-found AS (SELECT n.id, k.kind, k.kept_id, row_number() OVER (PARTITION BY n.id, k.kind ORDER BY k.r) AS place FROM nodes n JOIN recent k ON k.session_id = n.session_id AND list_contains(k.ids, n.id))"""
+found AS (SELECT n.id, k.kind, k.kept_id, row_number() OVER (PARTITION BY n.id, k.kind ORDER BY k.r) AS place FROM nodes n JOIN recent k ON k.session_id
+    = n.session_id AND list_contains(k.ids, n.id))"""
 
 
 def kept(spark, d):
@@ -192,8 +213,12 @@ def persistence_lookup(spark, d):
 
 @query(
     "ref_op317_retention_reason",
-    with_(NODES, KEPT) + """, h AS (SELECT id, bool_or(kind = 'checkpoint') AS c, bool_or(kind = 'delta') AS l, bool_or(kind = 'skill') AS s FROM found GROUP BY 1), w AS (SELECT id, array_to_string([x FOR x IN [CASE WHEN c THEN 'checkpoint history' END, CASE WHEN l THEN 'delta history' END, CASE WHEN s THEN 'skill candidate history' END] IF x IS NOT NULL], ' / ') AS where_ FROM h)
-  SELECT w.id, CASE n.freshness WHEN 'active' THEN 'node is selected into the current runtime bundle and also retained in ' || where_ WHEN 'stale' THEN 'node is retained in ' || where_ || ' but was not selected into the current runtime bundle' ELSE 'node is retained in ' || where_ END AS reason FROM w JOIN nodes n ON n.id = w.id""",
+    with_(NODES, KEPT) + """, h AS (SELECT id, bool_or(kind = 'checkpoint') AS c, bool_or(kind = 'delta') AS l, bool_or(kind = 'skill') AS s FROM found GROUP BY 1), w AS
+    (SELECT id, array_to_string([x FOR x IN [CASE WHEN c THEN 'checkpoint history' END, CASE WHEN l THEN 'delta history' END, CASE WHEN s THEN
+    'skill candidate history' END] IF x IS NOT NULL], ' / ') AS where_ FROM h)
+  SELECT w.id, CASE n.freshness WHEN 'active' THEN 'node is selected into the current runtime bundle and also retained in ' || where_ WHEN 'stale'
+    THEN 'node is retained in ' || where_ || ' but was not selected into the current runtime bundle' ELSE 'node is retained in ' || where_ END
+    AS reason FROM w JOIN nodes n ON n.id = w.id""",
 )
 def retention_reason(spark, d):
     found = P.persisted_in(C.nodes(spark, d).select("id", "session_id"), kept(spark, d))
@@ -203,7 +228,8 @@ def retention_reason(spark, d):
     return P.retention_reason(held, selected)
 
 
-@query("ref_op097_evidence_source", with_(NODES) + "SELECT a.id, CASE WHEN a.type = 'Evidence' THEN a.id ELSE coalesce((SELECT arg_min(b.id, b.turn) FROM nodes b WHERE b.conv_id = a.conv_id AND b.turn IN (a.turn + 1, a.turn + 2) AND b.type = 'Evidence'), a.id) END AS source_id FROM nodes a")
+@query("ref_op097_evidence_source", with_(NODES) + """SELECT a.id, CASE WHEN a.type = 'Evidence' THEN a.id ELSE coalesce((SELECT arg_min(b.id, b.turn) FROM nodes b WHERE b.conv_id
+    = a.conv_id AND b.turn IN (a.turn + 1, a.turn + 2) AND b.type = 'Evidence'), a.id) END AS source_id FROM nodes a""")
 def evidence_source(spark, d):
     n, node = C.nodes(spark, d), lambda t: F.concat(F.lit("n"), "conv_id", F.lit("."), F.col("turn") + t)
     return P.evidence_source(n.select("id", "type", F.array(node(1), node(2)).alias("derived_from")), n.where("type = 'Evidence'"))
@@ -211,7 +237,9 @@ def evidence_source(spark, d):
 
 @query(
     "ref_op135_merged_specs",
-    "SELECT 'k' || (user_id % 60) AS key, arg_max(event_type, event_id) FILTER (WHERE event_id % 3 > 0) AS label, coalesce(arg_max(value, event_id) FILTER (WHERE event_id % 2 = 0), -1)::DOUBLE AS even, coalesce(arg_max(value, event_id) FILTER (WHERE event_id % 2 = 1), -1)::DOUBLE AS odd, bool_or(value > 300) AS explicit FROM events GROUP BY 1",
+    """SELECT 'k' || (user_id % 60) AS key, arg_max(event_type, event_id) FILTER (WHERE event_id % 3 > 0) AS label, coalesce(arg_max(value,
+    event_id) FILTER (WHERE event_id % 2 = 0), -1)::DOUBLE AS even, coalesce(arg_max(value, event_id) FILTER (WHERE event_id % 2 = 1), -1)::DOUBLE
+    AS odd, bool_or(value > 300) AS explicit FROM events GROUP BY 1""",
 )
 def merged_specs(spark, d):
     n = F.col("event_id")
@@ -220,7 +248,9 @@ def merged_specs(spark, d):
     return P.merged_specs(specs).select("key", "label", value("even"), value("odd"), "explicit")
 
 
-SKILLS = "skills AS (SELECT user_id AS id, 'k' || (user_id % 20) AS merge_key, round(count(*) % 10 / 10.0, 6)::DOUBLE AS frequency, round(count(*) % 3 / 3.0 + 0.3, 6)::DOUBLE AS stability, round(least(1.0, avg(value) / 25), 6)::DOUBLE AS success, round(count(*) % 4 / 4.0 + 0.25, 6)::DOUBLE AS clarity, user_id % 7 AS e FROM events GROUP BY 1)"
+SKILLS = """skills AS (SELECT user_id AS id, 'k' || (user_id % 20) AS merge_key, round(count(*) % 10 / 10.0, 6)::DOUBLE AS frequency,
+    round(count(*) % 3 / 3.0 + 0.3, 6)::DOUBLE AS stability, round(least(1.0, avg(value) / 25), 6)::DOUBLE AS success, round(count(*) % 4 / 4.0
+    + 0.25, 6)::DOUBLE AS clarity, user_id % 7 AS e FROM events GROUP BY 1)"""
 
 
 def skills(spark, d):
@@ -229,37 +259,48 @@ def skills(spark, d):
     return s.withColumns({"merge_key": F.concat(F.lit("k"), F.col("id") % 20), "evidence_ids": F.array(F.col("id") % 7, F.lit(0).cast("long"))})
 
 
-@query("ref_op125_skill_merge", "WITH " + SKILLS + " SELECT merge_key, count(*) AS merged, round(least(1, avg(frequency) + 0.1 * (count(*) - 1)), 6)::DOUBLE AS frequency, round(least(1, avg(stability) + CASE WHEN count(*) > 1 THEN 0.05 ELSE 0 END), 6)::DOUBLE AS stability, round(avg(success), 6)::DOUBLE AS success, round(least(1, max(clarity)), 6)::DOUBLE AS clarity, array_to_string(list_sort(list_distinct(list(e) || [0])), ',') AS evidence FROM skills GROUP BY 1")
+@query("ref_op125_skill_merge", "WITH " + SKILLS + """ SELECT merge_key, count(*) AS merged, round(least(1, avg(frequency) + 0.1 * (count(*) - 1)), 6)::DOUBLE AS frequency, round(least(1,
+    avg(stability) + CASE WHEN count(*) > 1 THEN 0.05 ELSE 0 END), 6)::DOUBLE AS stability, round(avg(success), 6)::DOUBLE AS success, round(least(1,
+    max(clarity)), 6)::DOUBLE AS clarity, array_to_string(list_sort(list_distinct(list(e) || [0])), ',') AS evidence FROM skills GROUP BY 1""")
 def skill_merge(spark, d):
     return P.merged_skills(skills(spark, d)).withColumn("evidence", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",")).drop("evidence_ids")
 
 
-@query("ref_op258_skill_retirement", "WITH " + SKILLS + " SELECT id, 'merged:' || merge_key AS replaced_by, 'retire_candidate' AS status, round(success * 0.8, 6)::DOUBLE AS success FROM skills WHERE merge_key IN (SELECT merge_key FROM skills GROUP BY 1 HAVING count(*) > 1)")
+@query("ref_op258_skill_retirement", "WITH " + SKILLS + """ SELECT id, 'merged:' || merge_key AS replaced_by, 'retire_candidate' AS status, round(success * 0.8, 6)::DOUBLE AS success
+    FROM skills WHERE merge_key IN (SELECT merge_key FROM skills GROUP BY 1 HAVING count(*) > 1)""")
 def skill_retirement(spark, d):
     s = skills(spark, d)
     return P.retired(s, P.merged_skills(s))
 
 
-@query("ref_op112_relation_diagnostics", with_(EDGES) + "SELECT session_id AS request_id, sum(s)::BIGINT AS scanned, sum(e)::BIGINT AS eligible, sum(e)::BIGINT AS related, max(hop) AS hops, bool_or(e > 1) AS exhausted, string_agg(type, ',' ORDER BY type) AS types, array_to_string(list(sample ORDER BY type)[1:4], ',') AS samples FROM (SELECT session_id, type, count(*) AS s, count(*) FILTER (WHERE confidence > 0.6) AS e, max(split_part(id, '.', 3)::BIGINT) AS hop, min(id) AS sample FROM edges GROUP BY 1, 2) WHERE e > 0 GROUP BY 1")
+@query("ref_op112_relation_diagnostics", with_(EDGES) + """SELECT session_id AS request_id, sum(s)::BIGINT AS scanned, sum(e)::BIGINT AS eligible, sum(e)::BIGINT AS related, max(hop)
+    AS hops, bool_or(e > 1) AS exhausted, string_agg(type, ',' ORDER BY type) AS types, array_to_string(list(sample ORDER BY type)[1:4], ',')
+    AS samples FROM (SELECT session_id, type, count(*) AS s, count(*) FILTER (WHERE confidence > 0.6) AS e, max(split_part(id, '.', 3)::BIGINT)
+    AS hop, min(id) AS sample FROM edges GROUP BY 1, 2) WHERE e > 0 GROUP BY 1""")
 def relation_diagnostics(spark, d):
     good = F.count_if(F.col("confidence") > 0.6)
     passes = C.edges(spark, d).groupBy(F.col("session_id").alias("request_id"), "type").agg(F.count("*").alias("scanned"), good.alias("eligible"), good.alias("related"), F.max(F.split("id", r"\.")[2].cast("long")).alias("hops"), (good > 1).alias("exhausted"), F.min("id").alias("sample"))
     return P.merged_diagnostics(passes.withColumn("pass", F.col("type")))
 
 
-@query("ref_op210_dedupe_chunks", "SELECT conv_id AS list_id, (row_number() OVER (PARTITION BY conv_id ORDER BY f) - 1) // 3 AS chunk, row_number() OVER (PARTITION BY conv_id ORDER BY f) - 1 AS pos, id FROM (SELECT conv_id, role || (turn % 3) AS id, min(turn) AS f FROM conversations GROUP BY 1, 2)")
+@query("ref_op210_dedupe_chunks", """SELECT conv_id AS list_id, (row_number() OVER (PARTITION BY conv_id ORDER BY f) - 1) // 3 AS chunk, row_number() OVER (PARTITION
+    BY conv_id ORDER BY f) - 1 AS pos, id FROM (SELECT conv_id, role || (turn % 3) AS id, min(turn) AS f FROM conversations GROUP BY 1, 2)""")
 def dedupe_chunks(spark, d):
     c = C.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("list_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.col("turn") % 3).alias("id")))), lambda x: x["id"]).alias("ids"))
     return P.chunks(c, 3).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("ref_op208_recent_compaction", "SELECT id, coalesce(at_ - last_ <= 5000, FALSE) AS recent FROM (SELECT event_id AS id, event_id * 900 AS at_, max(event_id * 900) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ FROM events)")
+@query("ref_op208_recent_compaction", """SELECT id, coalesce(at_ - last_ <= 5000, FALSE) AS recent FROM (SELECT event_id AS id, event_id * 900 AS at_, max(event_id
+    * 900) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id % 3 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    AS last_ FROM events)""")
 def recent_compaction(spark, d):
     e = C.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("session_id"), (F.col("event_id") * 900).alias("at"), (F.col("event_type") == "purchase").alias("own"))
     return P.recent_own(e)
 
 
-@query("ref_op260_persist_or_skip", "WITH b AS (SELECT conv_id, list_sort(list_distinct(list(role))) AS ids, max(role) AS goal FROM conversations GROUP BY 1) SELECT 's' || b.conv_id AS session_id, b.conv_id % 10 = 0 OR c.ids IS NULL OR b.ids <> c.ids OR b.goal <> c.goal AS persist FROM b LEFT JOIN b c ON c.conv_id = b.conv_id - 1")
+@query("ref_op260_persist_or_skip", """WITH b AS (SELECT conv_id, list_sort(list_distinct(list(role))) AS ids, max(role) AS goal FROM conversations GROUP BY 1)
+    SELECT 's' || b.conv_id AS session_id, b.conv_id % 10 = 0 OR c.ids IS NULL OR b.ids <> c.ids OR b.goal <> c.goal AS persist FROM b LEFT JOIN
+    b c ON c.conv_id = b.conv_id - 1""")
 def persist_or_skip(spark, d):
     b = C.read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("ids"), F.max("role").alias("goal"))
     own = b.select(F.concat(F.lit("s"), "conv_id").alias("session_id"), "ids", "goal", (F.col("conv_id") % 10 == 0).alias("forced"))

@@ -34,7 +34,9 @@ def resolve_branch(spark, d):
     return T.branches(T.entries(_lines(spark, d))).select("file", "id")
 
 
-@query("ref_op003_transcript_messages", "SELECT 'f' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, CASE role WHEN 'user' THEN 'Intent' WHEN 'assistant' THEN 'Decision' ELSE 'State' END AS node_type FROM conversations c WHERE turn <> 2 OR (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id) = 2")
+@query("ref_op003_transcript_messages", """SELECT 'f' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, CASE role WHEN 'user'
+    THEN 'Intent' WHEN 'assistant' THEN 'Decision' ELSE 'State' END AS node_type FROM conversations c WHERE turn <> 2 OR (SELECT max(turn) FROM
+    conversations x WHERE x.conv_id = c.conv_id) = 2""")
 def transcript_messages(spark, d):
     return T.messages(T.branches(T.entries(_lines(spark, d)))).select("file", F.col("pos").cast("long").alias("pos"), "role", "node_type")
 

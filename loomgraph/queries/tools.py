@@ -10,15 +10,23 @@ from loomgraph.sources import corpus as C
 
 _JS = "replace(replace(replace(replace(replace(html, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
 MESSAGES = f"""messages AS (SELECT page_id AS id, CASE WHEN page_id % 9 = 8 THEN 'assistant' ELSE 'tool' END AS role, CASE page_id % 6
-  WHEN 0 THEN '{{"command":"npm test -- unit","stdout":"' || j || '","exitCode":' || (page_id % 4) || '}}' WHEN 1 THEN '{{"toolName":"search_docs","hits":["/src/a' || page_id || '.py","plain"],"totalHits":' || (page_id % 40) || ',"log":"' || left(j, 0) || 'run"}}'
-  WHEN 2 THEN '{{"tool":"read_file","path":"/data/p' || page_id || '.html","text":"' || j || '"}}' WHEN 3 THEN html WHEN 4 THEN '{{"name":"shell","status":"warning","stderr":"' || j || '","error":{{"code":"E42","message":"bad input"}}}}'
-  ELSE '{{"summary":"done","toolName":"shell","keySignals":[],"provenance":{{"originKind":"compressed","sourceStage":"tool_result_persist"}},"truncation":{{"policyId":"unknown.success.v1"}},"text":"' || j || '"}}' END AS content FROM (SELECT page_id, html, {_JS} AS j FROM pages))"""
+  WHEN 0 THEN '{{"command":"npm test -- unit","stdout":"' || j || '","exitCode":' || (page_id % 4) || '}}' WHEN 1 THEN '{{"toolName":"search_docs","hits":["/src/a'
+    || page_id || '.py","plain"],"totalHits":' || (page_id % 40) || ',"log":"' || left(j, 0) || 'run"}}'
+  WHEN 2 THEN '{{"tool":"read_file","path":"/data/p' || page_id || '.html","text":"' || j || '"}}' WHEN 3 THEN html WHEN 4 THEN '{{"name":"shell","status":"warning","stderr":"'
+    || j || '","error":{{"code":"E42","message":"bad input"}}}}'
+  ELSE '{{"summary":"done","toolName":"shell","keySignals":[],"provenance":{{"originKind":"compressed","sourceStage":"tool_result_persist"}},"truncation":{{"policyId":"unknown.success.v1"}},"text":"'
+    || j || '"}}' END AS content FROM (SELECT page_id, html, {_JS} AS j FROM pages))"""
 RESULTS = """raw AS (SELECT *, page_id_kind AS k FROM (SELECT *, id % 6 AS page_id_kind FROM messages)),
-fields AS (SELECT id, role, content, k, length(content) AS raw_size, CASE k WHEN 0 THEN trim(content->>'$.stdout') END AS stdout, CASE k WHEN 4 THEN trim(content->>'$.stderr') END AS stderr, CASE k WHEN 3 THEN trim(content) WHEN 2 THEN trim(content->>'$.text') WHEN 5 THEN trim(content->>'$.text') ELSE '' END AS output,
-  CASE k WHEN 0 THEN content->>'$.command' END AS command, CASE k WHEN 0 THEN 'npm' WHEN 1 THEN 'search_docs' WHEN 2 THEN 'read_file' WHEN 3 THEN 'tool_output' ELSE 'shell' END AS tool, CASE k WHEN 0 THEN (content->>'$.exitCode')::INTEGER END AS exit_code, CASE k WHEN 1 THEN (content->>'$.totalHits')::INTEGER END AS items,
+fields AS (SELECT id, role, content, k, length(content) AS raw_size, CASE k WHEN 0 THEN trim(content->>'$.stdout') END AS stdout, CASE k WHEN
+    4 THEN trim(content->>'$.stderr') END AS stderr, CASE k WHEN 3 THEN trim(content) WHEN 2 THEN trim(content->>'$.text') WHEN 5 THEN trim(content->>'$.text')
+    ELSE '' END AS output,
+  CASE k WHEN 0 THEN content->>'$.command' END AS command, CASE k WHEN 0 THEN 'npm' WHEN 1 THEN 'search_docs' WHEN 2 THEN 'read_file' WHEN 3
+    THEN 'tool_output' ELSE 'shell' END AS tool, CASE k WHEN 0 THEN (content->>'$.exitCode')::INTEGER END AS exit_code, CASE k WHEN 1 THEN (content->>'$.totalHits')::INTEGER
+    END AS items,
   CASE k WHEN 2 THEN content->>'$.path' END AS path, CASE k WHEN 0 THEN content->>'$.exitCode' WHEN 4 THEN 'E42' END AS error_code FROM raw),
 results AS (SELECT *, CASE k WHEN 0 THEN 'failure' WHEN 1 THEN 'empty' WHEN 4 THEN 'partial' ELSE CASE WHEN output = '' THEN 'empty' ELSE 'success' END END AS status,
-  CASE k WHEN 0 THEN 'test_run' WHEN 1 THEN 'search_listing' WHEN 2 THEN 'file_read' WHEN 3 THEN CASE WHEN regexp_matches(output, '^[\\[{]') THEN 'structured_query' ELSE 'unknown' END WHEN 4 THEN 'command_execution' ELSE 'unknown' END AS kind,
+  CASE k WHEN 0 THEN 'test_run' WHEN 1 THEN 'search_listing' WHEN 2 THEN 'file_read' WHEN 3 THEN CASE WHEN regexp_matches(output, '^[\\[{]')
+    THEN 'structured_query' ELSE 'unknown' END WHEN 4 THEN 'command_execution' ELSE 'unknown' END AS kind,
   role = 'tool' AND k <> 5 AND (raw_size > 1800 OR greatest(coalesce(length(stdout), 0), coalesce(length(stderr), 0), length(output)) > 900 OR coalesce(items, 0) > 20) AS reduced,
   len(string_split_regex(CASE k WHEN 0 THEN stdout WHEN 4 THEN stderr WHEN 1 THEN content ELSE output END, '\\r?\\n')) AS n_lines FROM fields)"""
 WITH = "WITH " + MESSAGES + ",\n" + RESULTS + " "
@@ -50,10 +58,15 @@ def classes(spark, d):
 
 @query(
     "ref_op194_tool_summaries",
-    WITH + """SELECT id, CASE k WHEN 0 THEN 'npm ran npm test -- unit and reported test failures' WHEN 1 THEN 'search_docs returned ' || items || ' search hits' WHEN 2 THEN 'read_file loaded ' || path WHEN 3 THEN CASE WHEN kind = 'unknown' THEN 'tool_output produced tool output' ELSE 'tool_output returned structured output' END ELSE 'shell produced tool output' END AS summary,
-  array_to_string([x FOR x IN ['exitCode=' || exit_code, 'itemCount=' || items, 'lineCount=' || n_lines, CASE WHEN status <> 'success' THEN 'status=' || status END, 'errorCode=' || error_code, 'command=' || command, 'sourcePath=' || path] IF x IS NOT NULL][1:6], ' | ') AS signals,
-  array_to_string([x FOR x IN [CASE WHEN raw_size > 1800 THEN 'serialized output exceeded 1800 chars' END, CASE WHEN length(stdout) > 900 THEN 'stdout was reduced to head/tail preview' END, CASE WHEN length(stderr) > 900 THEN 'stderr was reduced to head/tail preview' END,
-    CASE WHEN k IN (2, 3) AND length(output) > 900 THEN 'generic output was reduced to head/tail preview' END, CASE WHEN items > 20 THEN 'result list exceeded 20 items' END] IF x IS NOT NULL], '; ') AS reason FROM results WHERE reduced""",
+    WITH + """SELECT id, CASE k WHEN 0 THEN 'npm ran npm test -- unit and reported test failures' WHEN 1 THEN 'search_docs returned ' || items || ' search hits'
+    WHEN 2 THEN 'read_file loaded ' || path WHEN 3 THEN CASE WHEN kind = 'unknown' THEN 'tool_output produced tool output' ELSE 'tool_output returned structured output'
+    END ELSE 'shell produced tool output' END AS summary,
+  array_to_string([x FOR x IN ['exitCode=' || exit_code, 'itemCount=' || items, 'lineCount=' || n_lines, CASE WHEN status <> 'success' THEN 'status='
+    || status END, 'errorCode=' || error_code, 'command=' || command, 'sourcePath=' || path] IF x IS NOT NULL][1:6], ' | ') AS signals,
+  array_to_string([x FOR x IN [CASE WHEN raw_size > 1800 THEN 'serialized output exceeded 1800 chars' END, CASE WHEN length(stdout) > 900 THEN
+    'stdout was reduced to head/tail preview' END, CASE WHEN length(stderr) > 900 THEN 'stderr was reduced to head/tail preview' END,
+    CASE WHEN k IN (2, 3) AND length(output) > 900 THEN 'generic output was reduced to head/tail preview' END, CASE WHEN items > 20 THEN 'result list exceeded 20 items'
+    END] IF x IS NOT NULL], '; ') AS reason FROM results WHERE reduced""",
 )
 def summaries(spark, d):
     return T.compressed(results(spark, d)).select("id", "summary", F.array_join("signals", " | ").alias("signals"), "reason")
@@ -61,9 +74,14 @@ def summaries(spark, d):
 
 @query(
     "ref_op276_compressed_results",
-    WITH + """SELECT id, kind || '.' || status || '.v1' AS policy_id, sha256(content) AS content_hash, raw_size, n_lines::INTEGER AS line_count, sha256(CASE WHEN length(o) <= 520 THEN o ELSE left(o, 320) || '|' || right(o, 200) END) AS preview_sha, CASE WHEN length(o) > 520 THEN length(o) - 520 END AS omitted_chars,
-  CASE WHEN length(o) > 520 THEN greatest(len(string_split_regex(o, '\\r?\\n')) - len(string_split_regex(left(o, 320), '\\r?\\n')) - len(string_split_regex(right(o, 200), '\\r?\\n')), 0)::INTEGER END AS omitted_lines,
-  array_to_string([x FOR x IN [CASE WHEN length(stdout) > 520 THEN 'stdout.middle' END, CASE WHEN length(stderr) > 520 THEN 'stderr.middle' END, CASE WHEN k IN (2, 3) AND length(output) > 520 THEN 'output.middle' END, CASE WHEN items > 20 THEN 'result.items.tail' END] IF x IS NOT NULL], ',') AS dropped
+    WITH + """SELECT id, kind || '.' || status || '.v1' AS policy_id, sha256(content) AS content_hash, raw_size, n_lines::INTEGER AS line_count, sha256(CASE
+    WHEN length(o) <= 520 THEN o ELSE left(o, 320) || '|' || right(o, 200) END) AS preview_sha, CASE WHEN length(o) > 520 THEN length(o) - 520
+    END AS omitted_chars,
+  CASE WHEN length(o) > 520 THEN greatest(len(string_split_regex(o, '\\r?\\n')) - len(string_split_regex(left(o, 320), '\\r?\\n')) - len(string_split_regex(right(o,
+    200), '\\r?\\n')), 0)::INTEGER END AS omitted_lines,
+  array_to_string([x FOR x IN [CASE WHEN length(stdout) > 520 THEN 'stdout.middle' END, CASE WHEN length(stderr) > 520 THEN 'stderr.middle' END,
+    CASE WHEN k IN (2, 3) AND length(output) > 520 THEN 'output.middle' END, CASE WHEN items > 20 THEN 'result.items.tail' END] IF x IS NOT NULL],
+    ',') AS dropped
   FROM (SELECT *, CASE k WHEN 0 THEN stdout WHEN 4 THEN stderr WHEN 1 THEN NULL ELSE output END AS o FROM results) WHERE reduced""",
 )
 def compressed(spark, d):
@@ -86,10 +104,14 @@ _CUT = "CASE WHEN length({0}) <= 160 THEN {0} ELSE left({0}, 157) || '...' END"
 
 @query(
     "ref_op196_affected_paths",
-    WITH + f""", pairs AS (SELECT id, generate_subscripts(ks, 1) AS i, unnest(ks) AS key, unnest(vs) AS v FROM (SELECT id, regexp_extract_all(content, '{_PAIR}', 1) AS ks, regexp_extract_all(content, '{_PAIR}', 2) AS vs FROM results WHERE k <> 3)),
-  said AS (SELECT id, i, key, generate_subscripts(vs, 1) AS j, trim(unnest(vs)) AS v FROM (SELECT id, i, key, regexp_extract_all(v, '"((?:[^"\\\\]|\\\\.)*)"', 1) AS vs FROM pairs)),
-  good AS (SELECT id, i, j, {_CUT.format("v")} AS v FROM said WHERE v <> '' AND (regexp_matches(key, '(?i)(path|file|files|filepath|sourcepath|changed|affected|match|artifact|log)') OR regexp_matches(v, '[\\\\/]|(?i:\\.([cm]?[jt]sx?|json|md|txt|log|yml|yaml|toml|ini|py|rs|go|java|cs)$)'))),
-  loose AS (SELECT id, generate_subscripts(ps, 1) AS i, 1 AS j, unnest(ps) AS p FROM (SELECT id, regexp_extract_all(content, '(?:[A-Za-z]:)?[\\\\/][^\\s"''`<>|]+') AS ps FROM results WHERE k = 3 OR id NOT IN (SELECT id FROM good))),
+    WITH + f""", pairs AS (SELECT id, generate_subscripts(ks, 1) AS i, unnest(ks) AS key, unnest(vs) AS v FROM (SELECT id, regexp_extract_all(content, '{_PAIR}',
+    1) AS ks, regexp_extract_all(content, '{_PAIR}', 2) AS vs FROM results WHERE k <> 3)),
+  said AS (SELECT id, i, key, generate_subscripts(vs, 1) AS j, trim(unnest(vs)) AS v FROM (SELECT id, i, key, regexp_extract_all(v, '"((?:[^"\\\\]|\\\\.)*)"',
+    1) AS vs FROM pairs)),
+  good AS (SELECT id, i, j, {_CUT.format("v")} AS v FROM said WHERE v <> '' AND (regexp_matches(key, '(?i)(path|file|files|filepath|sourcepath|changed|affected|match|artifact|log)')
+    OR regexp_matches(v, '[\\\\/]|(?i:\\.([cm]?[jt]sx?|json|md|txt|log|yml|yaml|toml|ini|py|rs|go|java|cs)$)'))),
+  loose AS (SELECT id, generate_subscripts(ps, 1) AS i, 1 AS j, unnest(ps) AS p FROM (SELECT id, regexp_extract_all(content, '(?:[A-Za-z]:)?[\\\\/][^\\s"''`<>|]+')
+    AS ps FROM results WHERE k = 3 OR id NOT IN (SELECT id FROM good))),
   every AS (SELECT id, v, min(i * 100000 + j) AS at_ FROM (SELECT * FROM good UNION ALL SELECT id, i, j, {_CUT.format("p")} FROM loose) GROUP BY 1, 2),
   kept AS (SELECT id, v, at_, row_number() OVER (PARTITION BY id ORDER BY at_) AS r FROM every)
   SELECT id, count(*) AS n_paths, sha256(string_agg(v, chr(10) ORDER BY at_)) AS paths_sha FROM kept WHERE r <= 8 GROUP BY 1""",

@@ -10,9 +10,12 @@ from loomgraph.sources import transcripts as T
 
 _JS = "replace(replace(replace(replace(replace(t, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
 #: each turn's text with words that speak of a type
-SAID = """said AS (SELECT conv_id, turn, 'e' || conv_id || '.' || turn AS id, 's' || conv_id AS session_id, role, trim(coalesce(text, '')) || (['', ' use tool X', ' the workflow', chr(10) || 'step 2 now', ' it must not', ' debug mode', ' expected outcome', ' a risk'])[(conv_id % 8 + 1)::INTEGER] AS t FROM conversations)"""
+SAID = """said AS (SELECT conv_id, turn, 'e' || conv_id || '.' || turn AS id, 's' || conv_id AS session_id, role, trim(coalesce(text, '')) || (['', ' use tool X',
+    ' the workflow', chr(10) || 'step 2 now', ' it must not', ' debug mode', ' expected outcome', ' a risk'])[(conv_id % 8 + 1)::INTEGER] AS
+    t FROM conversations)"""
 #: and as a content of each form, with the text that it stands for
-FORMS = """forms AS (SELECT *, (conv_id + turn) % 6 AS form, CASE (conv_id + turn) % 6 WHEN 0 THEN t WHEN 1 THEN 'note' || chr(10) || t WHEN 2 THEN t WHEN 3 THEN t WHEN 4 THEN '' ELSE 'a' || chr(10) || t END AS flat FROM said)"""
+FORMS = """forms AS (SELECT *, (conv_id + turn) % 6 AS form, CASE (conv_id + turn) % 6 WHEN 0 THEN t WHEN 1 THEN 'note' || chr(10) || t WHEN 2 THEN t WHEN
+    3 THEN t WHEN 4 THEN '' ELSE 'a' || chr(10) || t END AS flat FROM said)"""
 
 
 def _said(spark, d):
@@ -48,9 +51,13 @@ def entries(spark, d):
     return rows.withColumn("json", json)
 
 
-_TYPE = """CASE WHEN regexp_matches(l, '\\b(mode|operating mode|debug mode|strict mode)\\b') THEN 'Mode' WHEN regexp_matches(l, '\\b(expected outcome|outcome|result should be|success means|target result)\\b') THEN 'Outcome' WHEN regexp_matches(l, '\\b(tooling|tool choice|preferred tool|use tool)\\b') THEN 'Tool'
-  WHEN regexp_matches(l, '\\b(must|must not|should not|cannot|can''t|never|forbid|required|constraint)\\b') THEN 'Constraint' WHEN regexp_matches(l, '(^|\\n)\\s*(step\\s*\\d+|next step|\\d+[.)])') THEN 'Step' WHEN regexp_matches(l, '\\b(process|workflow|pipeline|roadmap|phase|stage)\\b') THEN 'Process'
-  WHEN regexp_matches(l, '\\b(risk|warning|blocker|blocked|conflict|failure|issue)\\b') THEN 'Risk' WHEN regexp_matches(l, '\\b(rule|policy|guideline)\\b') THEN 'Rule' WHEN regexp_matches(l, '\\b(skill|pattern|playbook)\\b') THEN 'Skill' ELSE 'State' END"""
+_TYPE = """CASE WHEN regexp_matches(l, '\\b(mode|operating mode|debug mode|strict mode)\\b') THEN 'Mode' WHEN regexp_matches(l, '\\b(expected outcome|outcome|result should be|success means|target result)\\b')
+    THEN 'Outcome' WHEN regexp_matches(l, '\\b(tooling|tool choice|preferred tool|use tool)\\b') THEN 'Tool'
+  WHEN regexp_matches(l, '\\b(must|must not|should not|cannot|can''t|never|forbid|required|constraint)\\b') THEN 'Constraint' WHEN regexp_matches(l,
+    '(^|\\n)\\s*(step\\s*\\d+|next step|\\d+[.)])') THEN 'Step' WHEN regexp_matches(l, '\\b(process|workflow|pipeline|roadmap|phase|stage)\\b')
+    THEN 'Process'
+  WHEN regexp_matches(l, '\\b(risk|warning|blocker|blocked|conflict|failure|issue)\\b') THEN 'Risk' WHEN regexp_matches(l, '\\b(rule|policy|guideline)\\b')
+    THEN 'Rule' WHEN regexp_matches(l, '\\b(skill|pattern|playbook)\\b') THEN 'Skill' ELSE 'State' END"""
 _OWN = "CASE WHEN conv_id % 9 <> 4 THEN id ELSE sha256(session_id || '|{0}|' || content) END"
 _KEY = "array_to_string([x FOR x IN ['{0}', lower(node_type), lower({1}), left(trim(regexp_replace(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 72)] IF x <> ''], '|')"
 
@@ -68,8 +75,12 @@ def transcript_text_type(spark, d):
 @query(
     "ref_op004_message_records",
     "WITH " + SAID + ", " + FORMS
-    + ", m AS (SELECT *, flat AS content, CASE WHEN turn % 4 = 3 THEN CASE WHEN conv_id % 2 = 0 THEN 'tool' ELSE 'user' END WHEN role IN ('assistant', 'system', 'tool') THEN role ELSE 'user' END AS r FROM forms WHERE turn % 4 IN (0, 3) AND form <> 4)"
-    + f" SELECT {_OWN.format('message')} AS id, r AS role, CASE r WHEN 'system' THEN 'system' WHEN 'tool' THEN 'tool_output' ELSE 'conversation' END AS source_type, CASE r WHEN 'user' THEN 'Intent' WHEN 'assistant' THEN 'Decision' WHEN 'tool' THEN 'State' END AS node_type, 'raw' AS origin_kind, '2024-01-02T00:00:00Z' AS created_at, sha256(content) AS content_hash, CASE WHEN turn > 0 THEN 'e' || conv_id || '.' || (turn - 1) END AS parent_id FROM m",
+    + """, m AS (SELECT *, flat AS content, CASE WHEN turn % 4 = 3 THEN CASE WHEN conv_id % 2 = 0 THEN 'tool' ELSE 'user' END WHEN
+    role IN ('assistant', 'system', 'tool') THEN role ELSE 'user' END AS r FROM forms WHERE turn % 4 IN (0, 3) AND form <> 4)"""
+    + f""" SELECT {_OWN.format('message')} AS id, r AS role, CASE r WHEN 'system' THEN 'system' WHEN 'tool' THEN 'tool_output' ELSE
+    'conversation' END AS source_type, CASE r WHEN 'user' THEN 'Intent' WHEN 'assistant' THEN 'Decision' WHEN 'tool' THEN 'State' END AS node_type,
+    'raw' AS origin_kind, '2024-01-02T00:00:00Z' AS created_at, sha256(content) AS content_hash, CASE WHEN turn > 0 THEN 'e' || conv_id || '.'
+    || (turn - 1) END AS parent_id FROM m""",
 )
 def message_records(spark, d):
     return T.message_records(entries(spark, d), F.col("session_id")).select("id", "role", "source_type", "node_type", "origin_kind", "created_at", "content_hash", "parent_id")
@@ -78,9 +89,16 @@ def message_records(spark, d):
 @query(
     "ref_op005_custom_records",
     "WITH " + SAID + ", " + FORMS
-    + ", m AS (SELECT *, CASE WHEN form = 4 THEN 'more' ELSE flat || chr(10) || 'more' END AS content, (['project-rule', 'Constraint', 'skill_card', 'mode', 'tool-hint', 'note', 'workflow', 'summary'])[((conv_id + turn * 3) % 8 + 1)::INTEGER] AS name FROM forms WHERE turn % 4 = 1)"
-    + f", n AS (SELECT *, CASE name WHEN 'project-rule' THEN 'Rule' WHEN 'Constraint' THEN 'Constraint' WHEN 'skill_card' THEN 'Skill' WHEN 'mode' THEN 'Mode' WHEN 'tool-hint' THEN 'Tool' WHEN 'workflow' THEN 'Process' ELSE {_TYPE} END AS node_type FROM (SELECT *, lower(content) AS l FROM m))"
-    + f" SELECT {_OWN.format('custom_message')} AS id, node_type, CASE WHEN node_type IN ('Rule', 'Constraint') THEN 'rule' WHEN node_type IN ('Process', 'Step', 'Outcome') THEN 'workflow' WHEN node_type = 'Skill' THEN 'skill' ELSE 'system' END AS source_type, CASE WHEN name = 'summary' THEN 'compressed' ELSE 'raw' END AS origin_kind, sha256(content) AS content_hash, {_KEY.format('custom', 'name')} AS group_key FROM n",
+    + """, m AS (SELECT *, CASE WHEN form = 4 THEN 'more' ELSE flat || chr(10) || 'more' END AS content, (['project-rule', 'Constraint',
+    'skill_card', 'mode', 'tool-hint', 'note', 'workflow', 'summary'])[((conv_id + turn * 3) % 8 + 1)::INTEGER] AS name FROM forms WHERE turn
+    % 4 = 1)"""
+    + f""", n AS (SELECT *, CASE name WHEN 'project-rule' THEN 'Rule' WHEN 'Constraint' THEN 'Constraint' WHEN 'skill_card' THEN 'Skill'
+    WHEN 'mode' THEN 'Mode' WHEN 'tool-hint' THEN 'Tool' WHEN 'workflow' THEN 'Process' ELSE {_TYPE} END AS node_type FROM (SELECT *, lower(content)
+    AS l FROM m))"""
+    + f""" SELECT {_OWN.format('custom_message')} AS id, node_type, CASE WHEN node_type IN ('Rule', 'Constraint') THEN 'rule' WHEN
+    node_type IN ('Process', 'Step', 'Outcome') THEN 'workflow' WHEN node_type = 'Skill' THEN 'skill' ELSE 'system' END AS source_type, CASE
+    WHEN name = 'summary' THEN 'compressed' ELSE 'raw' END AS origin_kind, sha256(content) AS content_hash, {_KEY.format('custom', 'name')} AS
+    group_key FROM n""",
 )
 def custom_records(spark, d):
     return T.custom_records(entries(spark, d), F.col("session_id")).select("id", "node_type", "source_type", "origin_kind", "content_hash", "group_key")
@@ -89,8 +107,11 @@ def custom_records(spark, d):
 @query(
     "ref_op006_compaction_records",
     "WITH " + SAID + ", " + FORMS
-    + f", m AS (SELECT *, CASE WHEN form = 4 THEN 'kept facts' ELSE 'kept facts' || chr(10) || flat END AS content FROM forms WHERE turn % 4 = 2), n AS (SELECT *, {_TYPE} AS node_type FROM (SELECT *, lower(content) AS l FROM m))"
-    + f" SELECT {_OWN.format('compaction')} AS id, node_type, CASE WHEN node_type IN ('Rule', 'Constraint') THEN 'rule' ELSE 'workflow' END AS source_type, 'compressed' AS origin_kind, sha256(content) AS content_hash, {_KEY.format('compaction', chr(39) + chr(39) + ' || CASE WHEN conv_id % 2 = 0 THEN ' + chr(39) + 'E1' + chr(39) + ' ELSE ' + chr(39) + chr(39) + ' END')} AS group_key FROM n",
+    + f""", m AS (SELECT *, CASE WHEN form = 4 THEN 'kept facts' ELSE 'kept facts' || chr(10) || flat END AS content FROM forms WHERE
+    turn % 4 = 2), n AS (SELECT *, {_TYPE} AS node_type FROM (SELECT *, lower(content) AS l FROM m))"""
+    + f""" SELECT {_OWN.format('compaction')} AS id, node_type, CASE WHEN node_type IN ('Rule', 'Constraint') THEN 'rule' ELSE 'workflow'
+    END AS source_type, 'compressed' AS origin_kind, sha256(content) AS content_hash, {_KEY.format('compaction', chr(39) + chr(39) + ' || CASE WHEN conv_id % 2 = 0 THEN ' + chr(39) + 'E1' + chr(39) + ' ELSE ' + chr(39) + chr(39) + ' END')}
+    AS group_key FROM n""",
 )
 def compaction_records(spark, d):
     return T.compaction_records(entries(spark, d), F.col("session_id")).select("id", "node_type", "source_type", "origin_kind", "content_hash", "group_key")
@@ -99,7 +120,10 @@ def compaction_records(spark, d):
 @query(
     "ref_op008_hook_records",
     "WITH " + SAID + ", " + FORMS
-    + " SELECT session_id || ':' || id AS id, CASE role WHEN 'assistant' THEN 'assistant' WHEN 'system' THEN 'system' WHEN 'tool' THEN 'tool' ELSE 'user' END AS role, CASE role WHEN 'system' THEN 'system' WHEN 'tool' THEN 'tool_output' ELSE 'conversation' END AS source_type, sha256(flat) AS content_hash, CASE role WHEN 'tool' THEN 'tool_output_raw' ELSE 'hook_message_snapshot' END AS source_stage, 'before_compaction' AS created_by_hook FROM forms WHERE form <> 4",
+    + """ SELECT session_id || ':' || id AS id, CASE role WHEN 'assistant' THEN 'assistant' WHEN 'system' THEN 'system' WHEN 'tool'
+    THEN 'tool' ELSE 'user' END AS role, CASE role WHEN 'system' THEN 'system' WHEN 'tool' THEN 'tool_output' ELSE 'conversation' END AS source_type,
+    sha256(flat) AS content_hash, CASE role WHEN 'tool' THEN 'tool_output_raw' ELSE 'hook_message_snapshot' END AS source_stage, 'before_compaction'
+    AS created_by_hook FROM forms WHERE form <> 4""",
 )
 def hook_records(spark, d):
     rows = _said(spark, d).withColumn("json", F.concat(F.lit('{"id":"'), "id", F.lit('","role":"'), "role", F.lit('","content":'), _content(), F.lit("}")))
