@@ -60,7 +60,7 @@ _SAYS = (
     ("\\b(?:provenance|checkpoint|knowledge graph|context compression|prompt|bundle|trace)\\b|知识图谱|上下文压缩|来源追踪|检查点|提示词|上下文包", "'Topic', 'Concept'"),
 )
 _TYPES = " || ".join(f"CASE WHEN regexp_matches(norm, '{p}') THEN [{t}] ELSE [] END" for p, t in _SAYS)
-SPANS = f"""worded AS (SELECT *, id || ':sentence-' || sentence || '-clause-' || clause AS span_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM clauses),
+SPANS = f"""worded AS (SELECT *, id || ':sentence-' || sentence || '-clause-' || clause AS span_id, trim(regexp_replace(lower(translate(text, '，！；？', ',!;?')), '\\s+', ' ', 'g')) AS norm FROM clauses),
 named AS (SELECT * EXCLUDE (p), [c FOR c IN [{_CONCEPTS}] IF c IS NOT NULL] AS concepts FROM (SELECT *, ' ' || trim(regexp_replace(regexp_replace(norm,
     '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ' ' AS p FROM worded)),
 spans AS (SELECT *, list_sort([t FOR t IN list_distinct([CASE route WHEN 'conversation' THEN 'Intent' WHEN 'tool_result' THEN 'State' WHEN 'transcript'
