@@ -221,7 +221,7 @@ def repeated_strings(pieces: DataFrame) -> DataFrame:
     """``context, low, high`` over all pieces (``PIECE``), small keys in shards and large ones refined first."""
     spark = pieces.sparkSession
     # a number of its own: by their few bytes, what is most work for a byte would be put into few tasks
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = spark.createDataFrame([], "context binary, low int, high int")
     while True:
         pieces = cut(pieces)
