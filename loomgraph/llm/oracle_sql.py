@@ -67,4 +67,36 @@ SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWX
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t
 """
 
-ORACLE_SQL = {"op2_repeats": REPEATS, "op4_jaccard_join": JACCARD, "op6_near_vectors": VECTORS, "op7_warc": WARC, "op9_secret_scans": SECRETS}
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')],
+  lambda c, b: list_reduce([xor(c, b)] || range(0, 8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
+PREFIXES = rf"""
+WITH r AS (SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '') AS e, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(e)) AS i FROM r),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM r)),
+q AS (SELECT c.conv_id, 0 AS own, i, e, w FROM c JOIN t ON t.conv_id = base AND i <= h UNION ALL SELECT c.conv_id, 1, i, e, w FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+s AS (SELECT c.conv_id, coalesce(list(e ORDER BY own, i) FILTER (e IS NOT NULL), []) AS p, coalesce(list(w ORDER BY own, i) FILTER (e IS NOT NULL), []) AS w FROM c LEFT JOIN q ON q.conv_id = c.conv_id GROUP BY 1),
+n AS (SELECT conv_id, d, p[1:d] AS k, d = len(p) AS ending, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM s)),
+g AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256, min(w) AS w FROM n GROUP BY 1, 2),
+f AS (SELECT d, k, count(*) AS n FROM (SELECT d - 1 AS d, k[1:d - 1] AS k FROM g WHERE d > 0) GROUP BY 1, 2),
+v AS (SELECT g.*, coalesce(f.n, 0) AS n_children FROM g LEFT JOIN f ON f.d = g.d AND f.k = g.k),
+a AS (SELECT e AS d, k[1:e] AS k, sum((n_convs - 1) * w)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM v) GROUP BY 1, 2)
+SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, a.n_leaves, a.saved_tokens, v.ends_sha256 FROM v JOIN a ON a.d = v.d AND a.k = v.k LEFT JOIN g o ON o.d = v.d - 1 AND o.k = v.k[1:v.d - 1]
+"""
+
+FILTER_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, part, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n, len(list_distinct(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS u, min(doc_id) OVER (PARTITION BY x) AS first FROM d),
+b AS (SELECT doc_id, part, (n < 100)::INT + 2 * (100 * u < 80 * n)::INT + 4 * (100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x))::INT + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS f FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM b LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+p AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM s a, s b, s c, s d, s e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+o AS (SELECT o, k::INT AS k, 1 << (ascii(o[k:k]) - 65) AS own, list_sum([0] || [1 << (ascii(y) - 65) FOR y IN string_split(o[1:k - 1], '') IF y <> '']) AS before FROM (SELECT o, unnest(range(1, 6)) AS k FROM p)),
+z AS (SELECT part, o AS filter_order, k AS step, own, sum(n * ((f & (own | before)) = 0)::INT) AS kept, sum(n * (f & before = 0 AND f & own > 0)::INT) AS removed, sum(n * (f & before > 0 AND f & own > 0)::INT) AS redundant,
+  sum(n * (f = own)::INT) AS unique_fails, sum(g * (f & before = 0 AND f & own > 0)::INT) AS good_lost, sum(t * (f & before = 0 AND f & own > 0)::INT) AS toxic_lost FROM m, o GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM z
+"""
+
+ORACLE_SQL = {"op2_repeats": REPEATS, "op4_jaccard_join": JACCARD, "op6_near_vectors": VECTORS, "op7_warc": WARC, "op9_secret_scans": SECRETS, "op12_prefix_trie": PREFIXES, "op13_filter_audit": FILTER_AUDIT}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_codec, decontamination, lang_id, lm_scoring, near_texts, near_vectors, repeats, secret_scans, token_counts, warc
+from loomgraph.llm import bpe_codec, decontamination, filter_audit, lang_id, licenses, lm_scoring, near_texts, near_vectors, prefix_trie, repeats, secret_scans, token_counts, warc
 from loomgraph.llm.common import table
 from loomgraph.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
@@ -57,4 +57,16 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_lang_id, op4_jaccard_join, op5_lm_scoring, op6_near_vectors, op7_warc, op8_decontamination, op9_secret_scans, op10_bpe_codec)}
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefixes(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_repeats, op3_lang_id, op4_jaccard_join, op5_lm_scoring, op6_near_vectors, op7_warc, op8_decontamination, op9_secret_scans, op10_bpe_codec, op11_license_scans, op12_prefix_trie, op13_filter_audit)}

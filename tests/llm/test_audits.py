@@ -1,0 +1,243 @@
+"""License scans, the prefix trie and the filter audit against plain versions, on small rows with every awkward case."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import permutations
+
+import numpy as np
+import pytest
+
+from loomgraph.llm import filter_audit, licenses, prefix_trie
+
+AWKWARD = [None, "", "   ", "a", "MIT License", "é MIT\nlicense! ü", "\x00mit license\x00", "漢字mit license", "🙂 mit - license 🙂", "mit license mit license apache license", "x" * 5000, "lesser general public license"]
+
+
+def documents(spark, texts: list, lang=lambda k: "en"):
+    rows = [(k, t, lang(k), "x", "x", "x", 1) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, labels string, part string, digest string, n long")
+
+
+def said(tokens: list[str]) -> tuple[set, float] | None:
+    """A recursive reading of a well-formed expression."""
+
+    def atom(i):
+        if tokens[i] == "(":
+            value, i = either(i + 1)
+            i += 1
+        else:
+            label = licenses.family(tokens[i])
+            value, i = ({label}, licenses.DEMANDS[label]), i + 1
+        while i < len(tokens) and tokens[i] == "with":
+            value, i = (value[0], value[1] * licenses.EXCEPTION), i + 2
+        return value, i
+
+    def both(i):
+        value, i = atom(i)
+        while i < len(tokens) and tokens[i] == "and":
+            other, i = atom(i + 1)
+            value = value[0] | other[0], max(value[1], other[1])
+        return value, i
+
+    def either(i):
+        value, i = both(i)
+        while i < len(tokens) and tokens[i] == "or":
+            other, i = both(i + 1)
+            value = value[0] | other[0], min(value[1], other[1])
+        return value, i
+
+    return either(0)[0]
+
+
+def expression(draw: random.Random, depth: int = 3) -> list[str]:
+    if depth == 0 or draw.random() < 0.3:
+        return [draw.choice(["mit", "apache-2.0", "gpl-3.0-only", "lgpl-2.1+", "bsd-3-clause", "licenseref-own", "cc0-1.0"])]
+    kind = draw.choice(["and", "or", "with", "("])
+    if kind == "(":
+        return ["(", *expression(draw, depth - 1), ")"]
+    if kind == "with":
+        return [draw.choice(["gpl-2.0", "epl-2.0"]), "with", "classpath-exception-2.0"]
+    return [*expression(draw, depth - 1), kind, *expression(draw, depth - 1)]
+
+
+def test_expressions_against_a_recursive_reading():
+    draw = random.Random(5)
+    for _ in range(500):
+        tokens = expression(draw, 4)
+        labels, demand, postfix = licenses.evaluate(" ".join(tokens).replace("( ", "(").replace(" )", ")"))
+        assert (labels, demand) == said(tokens) and sorted(postfix.split()) == sorted(t for t in tokens if t not in "()")
+
+
+@pytest.mark.parametrize(
+    "text, postfix",
+    [("mit or", "mit"), ("mit and (", "mit"), ("(mit or apache-2.0", "mit apache-2.0 or"), ("mit) and gpl", "mit"), ("mit see below", "mit"), ("mit\nand gpl", "mit"), ("gpl-2.0 with (x)", "gpl-2.0"), ("mit and (apache or", "mit apache and"), ("and mit", None), ("(((", None), ("", None), ("mit.", "mit")],
+)
+def test_expressions_that_break_off(text, postfix):
+    found = licenses.evaluate(text)
+    assert (found and found[2]) == postfix
+
+
+def plain_base(text: str) -> tuple:
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    places = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    starts = [k for k, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places}))
+
+
+def test_license_scans(spark):
+    draw = random.Random(2)
+    texts = AWKWARD + [" ".join(draw.choices(["mit", "License", "APACHE", "general", "public", "license,", "é", "x"], k=60)) for _ in range(50)]
+    n = len(texts)
+    texts += ["// SPDX-License-Identifier: (MIT OR GPL-3.0-only) AND Apache-2.0 */", "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nx", "License-Expression: MIT\r\nLicense-Expression: AGPL-3.0", "see the GNU Lesser General Public License", "SPDX-License-Identifier: "]
+    docs = documents(spark, texts)
+    rows = licenses.scan(docs.unionByName(docs.limit(2))).collect()
+    assert len(rows) == len(texts) + 2
+    got = {r.doc_id: r for r in rows}
+    for k, t in enumerate(texts):
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_base(t or ""), t
+        assert set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} and 0 <= r.score <= 1
+    assert [(got[n + k].labels, got[n + k].score, got[n + k].expressions) for k in range(5)] == [
+        ("apache,gpl,mit", 0.2, ["mit gpl-3.0-only or apache-2.0 and"]), ("gpl", 0.4, ["gpl-2.0-only classpath-exception-2.0 with"]), ("agpl,mit", 1.0, ["mit", "agpl-3.0"]), ("gpl,lgpl", 0.6, []), ("", 0.0, []),
+    ]
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_license_scans_of_long_texts():
+    text = "mit license " * 100_000 + "\nSPDX-License-Identifier: " + "(" * 1000 + "MIT" + " OR mit" * 100_000
+    n, found, expressions = licenses.statements(text)
+    assert len(found) == 100_000 and found[-1][0] == 199_998 and n == 200_000 + 4 + 200_000 and expressions[0][1] == 0.1
+
+
+def plain_trie(rows: list) -> list:
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    code = lambda t: hashlib.sha256(f"{len(t[2])}:{t[2]}:{t[3]}".encode()).hexdigest()[:32]
+    order = {c: [(t[2], t[3]) for t in sorted(ts, key=lambda t: (*t[:2], code(t)))] for c, ts in own.items()}
+    members, exact = defaultdict(list), defaultdict(list)
+    for c, ts in order.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        full = tuple(order.get(c - c % 20, [])[:h] + ts[h:])
+        exact[full].append(c)
+        for d in range(len(full) + 1):
+            members[full[:d]].append(c)
+    kids = Counter(p[:-1] for p in members if p)
+    saved, leaves = Counter(), Counter()
+    for p, cs in members.items():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(cs) - 1) * words
+            leaves[p[:d]] += not kids[p]
+    digest = lambda p: hashlib.sha256(",".join(map(str, sorted(exact[p]))).encode()).hexdigest()
+    return sorted((min(cs), len(p), min(members[p[:-1]]) if p else -1, len(cs), kids[p], leaves[p], saved[p], digest(p)) for p, cs in members.items())
+
+
+def found_trie(frame) -> list:
+    return sorted((r.conv_id, r.depth, -1 if r.parent_conv_id is None else r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in frame.collect())
+
+
+CONVERSATION = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("seed, block_rows", [(1, 50_000), (2, 3), (3, 1), (4, 7)])
+def test_prefix_trie(spark, seed, block_rows):
+    draw = random.Random(seed)
+    rows = []
+    for c in range(3, 260):
+        for turn in range(draw.choice([1, 2, 3, 5, 9])):
+            text = draw.choice(["a", "b b", None, "c é\tc c"]) if draw.random() < 0.9 else f"own {c} words"
+            rows.append((c, draw.choice([turn, turn, turn, None]), draw.choice(["user", "user", None]), text))
+    rows += [(None, 0, "user", "a"), rows[7], rows[7], (10**12, 0, "user", "a"), (-15, 0, "user", "a"), (-15, 1, "user", "b b")] + [(1000 + k, t, "user", "a") for k in range(100) for t in range(6)]
+    rows = [r if r[0] != -15 else (None, *r[1:]) for r in rows]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], CONVERSATION + ", key string, depth long")
+    got = found_trie(prefix_trie.trie(prefix_trie.rebuilt(frame), block_rows))
+    assert got == plain_trie(rows)
+
+
+def test_prefix_trie_of_deep_copies_and_nothing(spark):
+    rows = [(c, t, "user", f"turn {t}") for c in (0, 1, 2, 3) for t in range(300)] + [(2, 300, "user", "more words here")]
+    assert found_trie(prefix_trie.prefixes(spark.createDataFrame(rows, CONVERSATION))) == plain_trie(rows)
+    assert prefix_trie.prefixes(spark.createDataFrame([], CONVERSATION)).count() == 0
+    # a conversation whose own turns are all replaced, by none
+    alone = next(c for c in range(21, 40) if zlib.crc32(str(c).encode()) % 4 >= 1)
+    assert found_trie(prefix_trie.prefixes(spark.createDataFrame([(alone, 0, "user", "a")], CONVERSATION))) == plain_trie([(alone, 0, "user", "a")])
+
+
+def test_digests_of_ends_across_partitions(spark):
+    rows = [(bytes([k % 3]), i) for i, k in enumerate(random.Random(1).choices([0, 0, 0, 0, 1, 2], k=2000))]
+    got = {bytes(r.key): r.ends_sha256 for r in prefix_trie.ends(spark.createDataFrame(rows, "key binary, conv_id long"), piece_chars=50).collect()}
+    assert got == {k: hashlib.sha256(",".join(str(i) for x, i in rows if x == k).encode()).hexdigest() for k in {k for k, _ in rows}}
+
+
+def plain_measures(text: str) -> tuple:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return len(words), len(set(words)), sum("A" <= c <= "Z" for c in text), len(text), sum(c in "#$%&*|" for c in text)
+
+
+@pytest.mark.parametrize("piece, long, hashes", [(1 << 20, 4096, True), (7, 3, True), (64, 4096, False), (1, 1, True)])
+def test_transducer_and_table(monkeypatch, piece, long, hashes):
+    draw = random.Random(piece)
+    texts = ["", "a", " ", "A b", "é🙂 漢字 x", "same same SAME #", "\x0b\x0c\r\n", "x" * 50 + " " + "x" * 50 + " " + "x" * 49 + "y", *("".join(draw.choices("abA #é漢 \t🙂", k=draw.randint(0, 80))) for _ in range(60)), ""]
+    monkeypatch.setattr(filter_audit, "PIECE", piece)
+    monkeypatch.setattr(filter_audit, "LONG", long)
+    if not hashes:  # all words of a length collide
+        monkeypatch.setattr(filter_audit, "_hashes", lambda text, starts, lengths: lengths.astype(np.uint64))
+    encoded = [t.encode() for t in texts]
+    found = filter_audit.measures(np.frombuffer(b"".join(encoded), np.uint8), np.cumsum([0, *map(len, encoded)]))
+    assert [tuple(x) for x in found.T.tolist()] == [plain_measures(t) for t in texts]
+
+
+def test_transducer_on_long_words_and_texts():
+    text = "w" * 3_000_000 + " " + "w" * 3_000_000 + " " + " ".join(f"w{k}" for k in range(400_000)) + " " + "w" * 3_000_000
+    data = text.encode()
+    found = filter_audit.measures(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert tuple(found[:, 0].tolist()) == (400_003, 400_001, 0, len(text), 0)
+
+
+def plain_audit(rows: list, labels: list) -> dict:
+    good, toxic = {d for d, q, _ in labels if q == 1 and d is not None}, {d for d, _, t in labels if t == 1 and d is not None}
+    least = {}
+    for d, t, _ in rows:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    docs = []
+    for d, t, lang in rows:
+        words, distinct, capitals, points, symbols = plain_measures(t or "")
+        fails = {"A": words < 100, "B": 100 * distinct < 80 * words, "C": 100 * capitals > 10 * points, "D": symbols > 0, "E": d is not None and d > least[t or ""]}
+        docs.append((lang or "", {f for f, x in fails.items() if x}, d in good, d in toxic))
+    out = {}
+    for part in {d[0] for d in docs}:
+        first = Counter()
+        for order in map("".join, permutations("ABCDE")):
+            for step in range(1, 6):
+                f, before = order[step - 1], set(order[: step - 1])
+                own = [d for d in docs if d[0] == part]
+                removed = [d for d in own if f in d[1] and not d[1] & before]
+                first[f] += len(removed)
+                out[part, order, step] = [sum(not d[1] & {f, *before} for d in own), len(removed), sum(f in d[1] and bool(d[1] & before) for d in own), sum(d[1] == {f} for d in own), sum(d[2] for d in removed), sum(d[3] for d in removed)]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(first[order[step - 1]])
+    return out
+
+
+def test_filter_audit(spark):
+    draw = random.Random(9)
+    words = lambda n, pool: " ".join(draw.choices(pool, k=n))
+    varied = [f"w{k}" for k in range(2000)]
+    texts = [None, "", "a", *(words(draw.choice([50, 99, 100, 150]), draw.choice([varied, varied[:50], [w.upper() for w in varied]])) + draw.choice(["", "", " # x"]) for _ in range(40))]
+    rows = [(k, t, draw.choice(["en", "de", None, ""])) for k, t in enumerate(texts)]
+    rows += [(100 + k, draw.choice(texts), "en") for k in range(40)] + [(None, texts[5], "en"), (None, texts[5], "de"), (3, texts[3], "fr"), (200, "b", "fr"), (200, "b", "fr"), (201, "b", "fr")]
+    labels = [(k, draw.choice([0, 1, None]), draw.choice([0, 1])) for k in range(0, 150, 2)] + [(2, 1, 0), (2, 1, 1), (None, 1, 1), (200, 1, 1)]
+    frame = spark.createDataFrame([(*r, "x", "x", 1) for r in rows], "doc_id long, text string, lang string, part string, quality string, n int")
+    said = spark.createDataFrame([(*r, "x") for r in labels], "doc_id long, quality int, toxic int, lang string")
+    got = {(r.part, r.filter_order, r.step): [r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley] for r in filter_audit.audit(frame, said).collect()}
+    assert got == plain_audit(rows, labels) and len(got) == 600 * 4
+    assert filter_audit.audit(frame.limit(0), said).count() == 0
+    assert len(filter_audit.audit(frame, said.limit(0)).collect()) == 2400
