@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed as X
 from loomgraph.operators import scans as S
+from loomgraph.sources.keyed import KeyedTable
 from loomgraph.sources.transcripts import written
 
 #: Stages of records by source, prompt defaults of node types (priority, budget class), forms by type.
@@ -24,20 +25,25 @@ def folder_of(frame: DataFrame, name: str) -> str:
     return f"{frame.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def table_of(frame: DataFrame, name: str, key: str) -> KeyedTable:
+    """A new keyed table for rows like those of ``frame``."""
+    return KeyedTable(frame.sparkSession, folder_of(frame, name), ", ".join(f"`{n}` {t}" for n, t in frame.dtypes), key)
+
+
 def saved(existing: DataFrame, batch: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """``existing`` overwritten by ``batch`` by key, as a new version of the table, and read back from it."""
-    path = folder_of(existing, name)
-    S.upserted(existing, batch, key, order).write.parquet(path)
-    return existing.sparkSession.read.schema(existing.schema).parquet(path)
+    """``existing`` as a keyed table, overwritten by ``batch`` by key in the buckets that the batch touches, and read back."""
+    table = table_of(existing, name, key)
+    table.insert(existing)
+    table.upsert(batch, order)
+    return table.read()
 
 
 def appended(existing: DataFrame, batch: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows of ``batch`` whose key isn't there yet added to ``existing``, as files of the same table, and read back."""
-    path = folder_of(existing, name)
-    existing.write.parquet(path)
-    new = batch.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
-    new.select(*existing.columns).write.mode("append").parquet(path)
-    return existing.sparkSession.read.schema(existing.schema).parquet(path)
+    """``existing`` as a keyed table, and rows of ``batch`` whose key isn't there yet beside it, read back."""
+    table = table_of(existing, name, key)
+    table.insert(existing)
+    table.insert(batch)
+    return table.read()
 
 
 def snapshots_written(snapshots: DataFrame, newer: DataFrame) -> DataFrame:
@@ -49,21 +55,20 @@ def snapshots_written(snapshots: DataFrame, newer: DataFrame) -> DataFrame:
     return spark.read.schema("captured_at string, body string, session_id string").json(path)
 
 
-def artifacts_written(rows: DataFrame, content: str) -> DataFrame:
-    """Content-addressed artifacts as files by the first two letters of their hash; what is there already stays; read back."""
-    path = folder_of(rows, "artifacts")
-    a = S.artifacts(rows, content).withColumn("prefix", F.substring("content_hash", 1, 2))
-    a.write.partitionBy("prefix").parquet(path)
-    return rows.sparkSession.read.parquet(path).select("content_hash", "path", F.sha2("content", 256).alias("read_hash"))
+def artifacts_written(rows: DataFrame, content: str, path: str | None = None) -> DataFrame:
+    """Content-addressed artifacts in the keyed table at ``path`` (a new one); what is there already stays as it is; read back."""
+    a = S.artifacts(rows, content).select("content_hash", "path", "content")
+    table = KeyedTable(rows.sparkSession, path or folder_of(rows, "artifacts"), "content_hash string, path string, content string", "content_hash")
+    table.insert(a)
+    return table.read().select("content_hash", "path", F.sha2("content", 256).alias("read_hash"))
 
 
-def pruned(artifacts: DataFrame, now: int, max_age: int) -> tuple[DataFrame, DataFrame]:
-    """The artifacts younger than ``max_age``, as a new table without the others; and how many were scanned and deleted."""
-    old = F.col("modified") <= now - max_age
-    path = folder_of(artifacts, "kept")
-    artifacts.where(~old).write.parquet(path)
-    counts = artifacts.agg(F.count("*").alias("scanned"), F.count_if(old).alias("deleted"))
-    return artifacts.sparkSession.read.schema(artifacts.schema).parquet(path), counts
+def pruned(artifacts: DataFrame, now: int, max_age: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """``artifacts`` as a keyed table without those of ``max_age`` or more, and how many were scanned and deleted; only buckets with old ones are written again."""
+    table = table_of(artifacts, "kept", key)
+    table.insert(artifacts)
+    scanned, deleted = table.delete(F.col("modified") <= now - max_age)
+    return table.read(), artifacts.sparkSession.createDataFrame([(scanned, deleted)], "scanned long, deleted long")
 
 
 def evolved(old: DataFrame, new: DataFrame, defaults: dict[str, Column]) -> DataFrame:

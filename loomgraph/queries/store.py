@@ -61,7 +61,7 @@ def artifact_sink(spark, d):
 
 @query("ref_op037_artifact_prune", "SELECT count(*) AS scanned, count(*) FILTER (WHERE event_id <= 4000) AS deleted, count(*) FILTER (WHERE event_id > 4000) AS kept FROM events")
 def artifact_prune(spark, d):
-    kept, counts = P.pruned(C.read(spark, d, "events").select(F.col("event_id").alias("modified"), "props"), 5000, 1000)
+    kept, counts = P.pruned(C.read(spark, d, "events").select("event_id", F.col("event_id").alias("modified"), "props"), 5000, 1000, "event_id")
     return counts.crossJoin(kept.agg(F.count("*").alias("kept")))  # one row each
 
 
