@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import ingest as I
+from loomgraph.queries.entities import ENTITIES, entity_edges
 from loomgraph.queries.model_sql import RECORDS, with_
 from loomgraph.queries.registry import query
 from loomgraph.sources import corpus as C
@@ -281,10 +282,11 @@ def primary_nodes(spark, d):
 
 @query(
     "ref_op238_ingest",
-    TO_CANDIDATES + ", " + MADE + ", " + OWN
+    TO_CANDIDATES + ", " + MADE + ", " + OWN + ", " + ENTITIES
     + """, every AS (SELECT DISTINCT node_id AS from_id, record_id AS to_id FROM made UNION SELECT node_id, id FROM own) SELECT sha256('edge|'
-    || from_id || '|' || to_id || '|supported_by|session') AS edge_id, from_id, to_id FROM every""",
+    || from_id || '|' || to_id || '|supported_by|session') AS edge_id, from_id, to_id FROM every UNION ALL SELECT edge_id, from_id, to_id FROM entity_edges""",
 )
 def ingest(spark, d):
     own = own_nodes(spark, d).select("node_id", F.col("id").alias("record_id"), "scope")
-    return I.supports(I.span_nodes(candidates(spark, d), records(spark, d)).select("node_id", "record_id", "scope").unionByName(own))
+    supports = I.supports(I.span_nodes(candidates(spark, d), records(spark, d)).select("node_id", "record_id", "scope").unionByName(own))
+    return supports.unionByName(entity_edges(spark, d).select("edge_id", "from_id", "to_id"))
