@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from loomgraph.functions import fixed as X
 from loomgraph.operators import bundles as B
 from loomgraph.operators import graph as G
+from loomgraph.operators import retrieval as R
 from loomgraph.operators import selection as S
 from loomgraph.sources.transcripts import written
 
-#: What a source's slot adds to a relation's bonus, slots of all types, and types between two hops.
+#: What a source's slot adds to a relation's bonus, and types between two hops.
 SLOT_BONUS = {"rules": 2.25, "constraints": 2.0, "risks": 2.5, "process": 1.75, "decisions": 1.25, "states": 1.0}
-SLOT_OF = {**X.CATEGORY_OF, **X.SLOTS, "Mode": "constraints", "Outcome": "states", "Tool": "evidence"}
+SLOT_OF = R.SLOT_OF
 BETWEEN = ("Rule", "Constraint", "Mode", "Process", "Step", "Risk", "Decision", "State", "Outcome", "Tool")
 
 
@@ -51,15 +52,19 @@ def two_hop_hints(sources: DataFrame, steps: DataFrame, kinds: DataFrame) -> Dat
     return on.groupBy("request_id", "source_id", F.col("to").alias("id"), F.concat("one", F.lit("->"), "type").alias("kind")).agg(F.max(bonus).alias("bonus"))
 
 
-def supported(rows: DataFrame, support: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """``rows`` with the summed bonuses of ``support`` (``request_id, id, bonus``) added for nodes of ``types``."""
+def supported(rows: DataFrame, support: DataFrame, types: tuple[str, ...], recall: R.Recall | None = None) -> DataFrame:
+    """``rows`` with the summed bonuses of ``support`` (``request_id, id, bonus``) added for nodes of ``types``; with ``recall`` also for those that ``rows`` lack."""
+    if recall:
+        support = written(support)
+        more = recall.beyond(support, rows, types).withColumn("slot", X.lookup(F.col("type"), SLOT_OF, "string")).withColumn("bonus", F.lit(0.0))
+        rows = rows.unionByName(more.select(*rows.columns))
     total = support.groupBy("request_id", "id").agg(F.sum("bonus").alias("more"))
     joined = rows.join(total, ["request_id", "id"], "left")
     return joined.withColumn("bonus", F.col("bonus") + F.when(F.col("type").isin(*types), F.coalesce("more", F.lit(0.0))).otherwise(0.0)).drop("more")
 
 
-def passes(candidates: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All slots' candidates with the bonuses of the four relation passes.
+def passes(candidates: DataFrame, edges: DataFrame, nodes: DataFrame, recall: R.Recall | None = None) -> DataFrame:
+    """All slots' candidates with the bonuses of the four relation passes; with ``recall`` those that relations lead to are added.
 
     From the first process to next steps; from the process that this gives to what it requires; from rules and
     constraints to those that override or are overridden, which supports the source; from all slots to evidence, over
@@ -67,20 +72,26 @@ def passes(candidates: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFra
     """
     steps = G.both_ways(edges)
     rows = written(slotted(candidates).withColumn("bonus", F.lit(0.0)))
-    rows = written(supported(rows, hints(chosen(ranked(rows), "process"), steps, "next_step"), ("Step", "Process")))
+    rows = written(supported(rows, hints(chosen(ranked(rows), "process"), steps, "next_step"), ("Step", "Process"), recall))
     rules = ("Rule", "Constraint", "Mode")
-    rows = written(supported(rows, hints(chosen(ranked(rows), "process"), steps, "requires"), rules))
+    rows = written(supported(rows, hints(chosen(ranked(rows), "process"), steps, "requires"), rules, recall))
     overriding = hints(chosen(ranked(rows), "rules", "constraints"), steps, "overrides")
     rows = written(supported(rows, overriding.select("request_id", F.col("source_id").alias("id"), "bonus"), rules))
     sources = chosen(ranked(rows), *SLOT_BONUS)
     kinds = nodes.select("id", "type", "confidence")
     evidence = hints(sources, steps, "supported_by", "requires", "next_step", "overrides").unionByName(two_hop_hints(sources, steps, kinds))
-    return supported(rows, evidence, ("Evidence",))
+    return supported(rows, evidence, ("Evidence",), recall)
+
+
+def retrieved_passes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = R.DEPTH) -> DataFrame:
+    """``passes`` over what can be in a bundle: the best of each slot, and what relations lead to."""
+    recall = R.Recall(requests, nodes, depth)
+    return passes(recall.candidates, edges, nodes, recall)
 
 
 def compiled(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The budgeted bundles of all requests: ``request_id, token_budget, used, category, id, rank, pass, cost``."""
-    best = ranked(passes(S.candidates(requests, nodes), edges, nodes))
+    best = ranked(retrieved_passes(requests, nodes, edges))
     return S.packed(best.withColumn("category", F.col("slot")))
 
 

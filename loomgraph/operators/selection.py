@@ -11,6 +11,8 @@ from loomgraph.functions import text as T
 
 #: Requests that are sent to every task at once.
 REQUESTS = 20_000
+#: What a match adds to a score for the whole phrase, each term, coverage, and full coverage.
+LABEL_WEIGHTS, PAYLOAD_WEIGHTS = (4, 0.75, 1.5, 1), (2, 0.5, 1, 0.5)
 
 
 def promotion(kind: Column, confidence: Column, observations: Column, downgrades: Column, state: Column) -> Column:
@@ -58,27 +60,48 @@ def base_score() -> Column:
     return strength + origin + F.when(F.col("freshness") == "active", 2.0).otherwise(0.0) + F.col("confidence")
 
 
+def asked(requests: DataFrame) -> DataFrame:
+    """Requests with their normalised query and its terms."""
+    return requests.withColumn("norm", T.normalized(F.col("query"))).withColumn("terms", T.terms(F.col("norm"))).withColumnsRenamed({"session_id": "r_session", "workspace_id": "r_workspace"})
+
+
+def recallable(nodes: DataFrame) -> DataFrame:
+    """Nodes that any request may recall, with their normalised texts and base scores."""
+    kept = nodes.where(admitted() & (F.col("freshness") != "superseded") & eligible(F.col("type")))
+    return kept.withColumn("label_norm", T.normalized(F.col("label"))).withColumn("payload_norm", T.normalized(F.col("payload"))).withColumn("base", base_score())
+
+
+def near(r: DataFrame, n: DataFrame) -> DataFrame:
+    """Each of ``asked`` requests with the ``recallable`` nodes of its session and its workspace."""
+    session = r.join(n.where("scope = 'session'"), F.col("r_session") == F.col("session_id"))
+    workspace = r.join(n.where("scope = 'workspace'"), F.col("r_workspace") == F.col("workspace_id"))
+    return session.unionByName(workspace)
+
+
+def scored(found: DataFrame) -> DataFrame:
+    """Pairs of ``asked`` requests and ``recallable`` nodes with what selection needs of them."""
+    label = T.score(F.col("label_norm"), F.col("norm"), F.col("terms"), *LABEL_WEIGHTS)
+    payload = T.score(F.col("payload_norm"), F.col("norm"), F.col("terms"), *PAYLOAD_WEIGHTS)
+    cost = T.estimated_tokens(F.col("label")) + T.estimated_tokens(F.col("payload"))
+    return found.select("request_id", "token_budget", "id", "type", "scope", "label", "confidence", "origin_kind", ((label + payload) > 0).alias("direct"), F.round(F.col("base") + label + payload, 6).alias("score"), cost.alias("cost"), X.lookup(F.col("scope"), X.SCOPE_PRECEDENCE, "int").alias("precedence"))
+
+
 def candidates(requests: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each request with the nodes of its session, its workspace and all scopes that it may recall, and their scores.
+    """Each request with all nodes of its session, its workspace and all scopes that it may recall, and their scores.
 
+    This is for reports on every pair; what needs the best nodes alone, or those that match, comes from ``retrieval``.
     Session and workspace nodes come by equality joins.  Global ones are for all requests, which are a stated query set:
-    they are sent in blocks of REQUESTS, counted first, and pairs are ranked where they arise before any is shuffled.  A
-    node comes once a request, from the closest scope.
+    they are sent in blocks of REQUESTS, counted first.  A node comes once a request, from the closest scope.
     """
-    r = requests.withColumn("norm", T.normalized(F.col("query"))).withColumn("terms", T.terms(F.col("norm"))).withColumnsRenamed({"session_id": "r_session", "workspace_id": "r_workspace"})
-    n = nodes.where(admitted() & (F.col("freshness") != "superseded") & eligible(F.col("type"))).withColumn("label_norm", T.normalized(F.col("label"))).withColumn("payload_norm", T.normalized(F.col("payload"))).withColumn("base", base_score())
-    session = r.join(n.where("scope = 'session'"), F.col("r_session") == F.col("session_id"))
-    workspace = r.join(n.where("scope = 'workspace'"), F.col("r_workspace") == F.col("workspace_id"))
-    found = session.unionByName(workspace)
+    r, n = asked(requests), recallable(nodes)
+    found = near(r, n)
+    columns = found.columns
     blocks = -(-requests.count() // REQUESTS)
     numbered = r.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(max(1, blocks))))
     for block in range(blocks):
         held = F.broadcast(numbered.where(F.col("block") == block).drop("block"))
-        found = found.unionByName(n.where("scope = 'global'").crossJoin(held).select(*session.columns))
-    label = T.score(F.col("label_norm"), F.col("norm"), F.col("terms"), 4, 0.75, 1.5, 1)
-    payload = T.score(F.col("payload_norm"), F.col("norm"), F.col("terms"), 2, 0.5, 1, 0.5)
-    cost = T.estimated_tokens(F.col("label")) + T.estimated_tokens(F.col("payload"))
-    return found.select("request_id", "token_budget", "id", "type", "scope", "label", "confidence", "origin_kind", ((label + payload) > 0).alias("direct"), F.round(F.col("base") + label + payload, 6).alias("score"), cost.alias("cost"), X.lookup(F.col("scope"), X.SCOPE_PRECEDENCE, "int").alias("precedence"))
+        found = found.unionByName(n.where("scope = 'global'").crossJoin(held).select(*columns))
+    return scored(found)
 
 
 def ranked(rows: DataFrame, *by: str) -> DataFrame:

@@ -9,6 +9,7 @@ from loomgraph.functions import fixed as X
 from loomgraph.functions import text as T
 from loomgraph.operators import bundles as B
 from loomgraph.operators import graph as G
+from loomgraph.operators import retrieval as R
 from loomgraph.operators import selection as S
 from loomgraph.queries.compile import CANDIDATES
 from loomgraph.queries.graph import STANDING
@@ -45,12 +46,16 @@ def candidates(spark, d):
 
 
 def slotted(spark, d):
-    rows = candidates(spark, d).withColumn("slot", X.lookup(F.col("type"), X.CATEGORY_OF | X.SLOTS, "string")).where("slot is not null")
+    return _slotted(candidates(spark, d))
+
+
+def _slotted(rows):
+    rows = rows.withColumn("slot", X.lookup(F.col("type"), X.CATEGORY_OF | X.SLOTS, "string")).where("slot is not null")
     return S.ranked(rows, "request_id", "slot").withColumn("most", F.coalesce(X.lookup(F.col("slot"), {k: v[1] for k, v in X.CATEGORIES.items()}, "int"), F.lit(1)))
 
 
 def items(spark, d):
-    return slotted(spark, d).where("rank <= 8").where("rank <= most")
+    return _slotted(R.recalled(C.requests(spark, d), nodes(spark, d))).where("rank <= 8").where("rank <= most")
 
 
 @query("ref_op134_open_risks", MODEL + """, o AS (SELECT request_id, id, min({'f': f, 'r': rank}) AS o FROM (SELECT *, CASE WHEN slot = 'risks' THEN 0 WHEN slot =

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed as X
 from loomgraph.functions import text as T
+from loomgraph.operators import retrieval as R
 from loomgraph.operators import selection as S
 from loomgraph.queries.model_sql import NODES, NORM, REQUESTS, terms, with_
 from loomgraph.queries.registry import query
@@ -50,7 +51,7 @@ def _best(rows, *kinds):
 
 def bundles(spark, d):
     """The budgeted bundle of every request: fixed slots, then categories in two passes."""
-    return S.packed(S.within_limits(S.candidates(C.requests(spark, d), C.nodes(spark, d)), slots=True))
+    return S.packed(S.within_limits(R.recalled(C.requests(spark, d), C.nodes(spark, d)), slots=True))
 
 
 @query("ref_op043_text_filter", with_(NODES, REQUESTS) + f""", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format(chr(39)+' '+chr(39)+' || array_to_string(string_split(r.query, chr(32))[1:3], chr(32))')}
@@ -63,9 +64,9 @@ def text_filter(spark, d):
     return r.join(n, "session_id").where(T.passes(F.col("l"), F.col("q"), T.terms(F.col("q")))).select("request_id", "id")
 
 
-@query("ref_op083_text_match_scores", MODEL + "SELECT request_id, id, score FROM candidates")
+@query("ref_op083_text_match_scores", MODEL + "SELECT request_id, id, score FROM candidates WHERE direct")
 def text_match(spark, d):
-    return S.candidates(C.requests(spark, d), C.nodes(spark, d)).select("request_id", "id", "score")
+    return R.matches(C.requests(spark, d), C.nodes(spark, d)).select("request_id", "id", "score")
 
 
 @query("ref_op044_scope_admission", with_(NODES, KNOWLEDGE, PROMOTED) + """SELECT id, scope = 'session' OR CASE scope WHEN 'workspace' THEN workspace_eligible ELSE risk = 'low' AND knowledge_class
@@ -118,12 +119,12 @@ def score_node(spark, d):
 @query("ref_op142_pick_best", MODEL + """SELECT request_id, id AS goal_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY precedence DESC, score
     DESC, label, id) AS r FROM candidates WHERE type = 'Goal') WHERE r = 1""")
 def pick_best(spark, d):
-    return _best(S.candidates(C.requests(spark, d), C.nodes(spark, d)), "Goal").select("request_id", F.col("id").alias("goal_id"))
+    return _best(R.recalled(C.requests(spark, d), C.nodes(spark, d), {"Goal": 1}), "Goal").select("request_id", F.col("id").alias("goal_id"))
 
 
 @query("ref_op157_category_limits", MODEL + LIMITED + "SELECT request_id, category, id, rank FROM limited")
 def category_limits(spark, d):
-    return S.within_limits(S.candidates(C.requests(spark, d), C.nodes(spark, d))).select("request_id", "category", "id", F.col("rank").cast("long").alias("rank"))
+    return S.within_limits(R.recalled(C.requests(spark, d), C.nodes(spark, d))).select("request_id", "category", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ref_op170_token_estimate", with_(NODES) + "SELECT id, greatest(1, ceil(length(label) / 4.0)::INTEGER) + greatest(1, ceil(length(payload) / 4.0)::INTEGER) AS cost FROM nodes")
@@ -151,7 +152,7 @@ def category_budgets(spark, d):
     + " SELECT request_id, id FROM run WHERE took",
 )
 def greedy_rules(spark, d):
-    chosen = S.within_limits(S.candidates(C.requests(spark, d), C.nodes(spark, d))).where("category = 'rules'")
+    chosen = S.within_limits(R.recalled(C.requests(spark, d), C.nodes(spark, d))).where("category = 'rules'")
     lists = chosen.groupBy("request_id", "token_budget").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col("cost").cast("long").alias("cost")))).alias("items"))
     pool = F.floor(F.col("token_budget") * 0.2)
     return lists.select("request_id", F.explode(S.taken(F.col("items"), F.col("token_budget"), F.lit(0), pool, True)["taken"]).alias("x")).select("request_id", "x.id")

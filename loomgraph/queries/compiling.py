@@ -62,7 +62,7 @@ MODEL = with_(Q.SPOKEN, EDGES, REQUESTS, CANDIDATES, PASSES)
 
 
 def _passes(spark, d):
-    return K.passes(Q.candidates(spark, d), C.edges(spark, d), Q.nodes(spark, d))
+    return K.retrieved_passes(C.requests(spark, d), Q.nodes(spark, d), C.edges(spark, d))
 
 
 @query("ref_op241_relation_passes", MODEL + " SELECT request_id, id, slot, round(bonus, 6)::DOUBLE AS bonus FROM r4 WHERE bonus > 0")
