@@ -96,6 +96,27 @@ def conflict_pairs(nodes: DataFrame) -> DataFrame:
     return pair.select(c("a", "session_id").alias("session_id"), c("a", "id").alias("left_id"), c("b", "id").alias("right_id"), relation.alias("relation"), F.when(opposite, winner).otherwise(newer).alias("winner")).where("relation is not null")
 
 
+def conflict_standing(nodes: DataFrame) -> DataFrame:
+    """What each rule-like node is to all others of its session, scope and conflict key, without their pairs.
+
+    ``won``: how many opposed nodes it beats; ``suppressed``: whether an opposed one beats it; ``superseded_by``: of the
+    newer nodes of its type that don't oppose it the one of the largest id.  Rules as in ``conflict_pairs``.  In the
+    order of strength a node has beaten the opposed ones before it, in the order of time those after it are newer, so
+    two sorts with running counts give all of it.
+    """
+    key = ["session_id", "scope", "conflict_key"]
+    side = nodes.where(F.col("type").isin("Rule", "Constraint", "Mode", "Process")).select(*key, "id", "type", "updated_at", "confidence", "override_priority", "polarity", X.lookup(F.col("origin_kind"), {"raw": 3, "compressed": 2, "derived": 1}, "int").alias("origin"))
+    is_, before = (lambda p: F.col("polarity") == p), (Window.unboundedPreceding, -1)
+    weaker = Window.partitionBy(*key).orderBy("override_priority", "origin", "confidence", "updated_at", F.desc("id")).rowsBetween(*before)
+    newer = Window.partitionBy(*key, "type").orderBy(F.desc("updated_at"), F.desc("id")).rowsBetween(*before)
+    opposed = lambda of: F.when(is_("positive"), of("negative")).when(is_("negative"), of("positive")).otherwise(F.lit(0))
+    totals = side.groupBy(*key).agg(F.count_if(is_("positive")).alias("n_positive"), F.count_if(is_("negative")).alias("n_negative"))
+    latest = lambda but: F.max(F.when(~is_(but), F.col("id"))).over(newer)
+    after = F.when(is_("positive"), latest("negative")).when(is_("negative"), latest("positive")).otherwise(F.max("id").over(newer))
+    rows = side.withColumn("won", opposed(lambda p: F.count_if(is_(p)).over(weaker))).withColumn("superseded_by", after).join(totals, key)
+    return rows.select("id", "won", (opposed(lambda p: F.col(f"n_{p}")) > F.col("won")).alias("suppressed"), "superseded_by")
+
+
 def resolved(corrections: DataFrame, kind: str) -> DataFrame:
     """The standing correction of each target: the last event, if it isn't a rollback."""
     own = corrections.where(F.col("target_kind") == kind)

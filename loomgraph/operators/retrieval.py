@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed as X
+from loomgraph.functions import text as T
 from loomgraph.operators import selection as S
 from loomgraph.sources.transcripts import written
 
@@ -81,6 +82,19 @@ def matches(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.unionByName(S.scored(hit.join(r, "request_id").join(everywhere, "id")))
 
 
+def filtered(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``request_id, id``: the global ``nodes`` (``id, label``) whose labels pass the text filter of each request's ``query``.
+
+    A label that passes holds the query's terms, so the index of labels gives all of them; an empty query passes every
+    label and is left to the caller, who knows how many are wanted.
+    """
+    r = written(requests.select("request_id", T.normalized(F.col("query")).alias("norm")).withColumn("terms", T.terms(F.col("norm"))).where("norm <> ''"))
+    n = written(nodes.select("id", T.normalized(F.col("label")).alias("label_norm")))
+    words = n.select(F.explode(F.array_distinct(F.split("label_norm", " "))).alias("word"), "id", F.lit(None).cast("string").alias("type"), F.lit(None).cast("double").alias("base"), F.lit(None).cast("string").alias("label"))
+    hit = _terms(r).join(postings(_terms(r), words), "term").select("request_id", "id").distinct()
+    return hit.join(r, "request_id").join(n, "id").where(T.passes(F.col("label_norm"), F.col("norm"), F.col("terms"))).select("request_id", "id")
+
+
 def _gain(k: Column, n: Column) -> Column:
     """The most that ``k`` of a query's ``n`` terms can add to a score."""
     phrase, term, coverage, full = (a + b for a, b in zip(S.LABEL_WEIGHTS, S.PAYLOAD_WEIGHTS, strict=True))

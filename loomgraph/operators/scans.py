@@ -67,6 +67,12 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
+def listed(saved: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` of what each session has saved of each kind (``session_id, kind, id, created_at``), with their ``place``."""
+    w = Window.partitionBy("session_id", "kind").orderBy(F.desc("created_at"), "id")
+    return saved.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
 def upserted(existing: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """``existing`` overwritten by ``batch`` (which has ``order``): of a key the last row of the batch wins, whole."""
     newest = latest(batch, key, F.desc(order)).drop(order)

@@ -307,17 +307,25 @@ def text_match_analysis(spark, d):
     return rows.select("request_id", "id", ((F.col("q") != "") & F.contains("l", "q")).alias("phrase"), m.alias("matched"), F.when(F.size("ts") == 0, 0.0).otherwise(F.round(m / F.size("ts"), 6)).alias("coverage"))
 
 
-@query("ref_op160_scope_hierarchy", with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING) + """, every AS (SELECT request_id, n.id, 1 AS place FROM requests r JOIN nodes n ON n.scope = 'session' AND n.session_id = r.session_id
-    UNION ALL SELECT request_id, n.id, 2 FROM requests r JOIN nodes n ON n.scope = 'workspace' AND n.workspace_id = r.workspace_id UNION ALL
-    SELECT request_id, n.id, 4 FROM requests r JOIN nodes n ON n.session_id = r.session_id JOIN standing s ON s.target_kind = 'label_override'
-    AND s.target_id = n.id) SELECT request_id, id, min(place) AS place FROM every GROUP BY 1, 2""")
+#: a request's goal label: the first three words of its query
+GOALS = "array_to_string(string_split(r.query, ' ')[1:3], ' ')"
+
+
+@query("ref_op160_scope_hierarchy", with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING) + f""", every AS (SELECT r.request_id, r.query, n.id, n.label, CASE n.scope WHEN 'session' THEN 1 WHEN 'workspace' THEN 2 ELSE 3 END AS place FROM requests r JOIN nodes n
+    ON CASE n.scope WHEN 'session' THEN n.session_id = r.session_id WHEN 'workspace' THEN n.workspace_id = r.workspace_id ELSE TRUE END UNION ALL SELECT r.request_id, r.query, n.id, s.new_label, 4 FROM requests r
+    JOIN nodes n ON n.session_id = r.session_id JOIN standing s ON s.target_kind = 'label_override' AND s.target_id = n.id),
+  m AS (SELECT request_id, id, place, q, l, {terms('q')} AS ts FROM (SELECT request_id, id, place, {NORM.format(GOALS)} AS q, {NORM.format('label')} AS l FROM every r))
+  SELECT request_id, id, min(place) AS place FROM m WHERE q = '' OR contains(l, q) OR (len(ts) > 0 AND len([t FOR t IN ts IF contains(l, t)]) >= CASE WHEN len(ts) <= 2 THEN len(ts) ELSE greatest(2, ceil(len(ts) * 0.6)) END) GROUP BY 1, 2""")
 def scope_hierarchy(spark, d):
-    r, n = C.requests(spark, d).select("request_id", F.col("session_id").alias("s"), F.col("workspace_id").alias("w")), nodes(spark, d)
-    own = r.join(n.where("scope = 'session'"), F.col("s") == F.col("session_id")).select("request_id", "id", F.lit(1).alias("place"))
-    near = r.join(n.where("scope = 'workspace'"), F.col("w") == F.col("workspace_id")).select("request_id", "id", F.lit(2).alias("place"))
-    named = G.resolved(C.corrections(spark, d), "label_override").select(F.col("target_id").alias("id"))
-    over = r.join(n.join(named, "id", "left_semi"), F.col("s") == F.col("session_id")).select("request_id", "id", F.lit(4).alias("place"))
-    return own.unionByName(near).unionByName(over).groupBy("request_id", "id").agg(F.min("place").alias("place"))
+    r = C.requests(spark, d).select("request_id", F.col("session_id").alias("s"), F.col("workspace_id").alias("w"), F.substring_index("query", " ", 3).alias("query"))
+    r, n = r.withColumn("q", T.normalized(F.col("query"))).withColumn("ts", T.terms(F.col("q"))), nodes(spark, d)
+    named = G.resolved(C.corrections(spark, d), "label_override").select(F.col("target_id").alias("id"), "new_label")
+    found = lambda rows, label, place: rows.where(T.passes(T.normalized(F.col(label)), F.col("q"), F.col("ts"))).select("request_id", "id", F.lit(place).alias("place"))
+    own = found(r.join(n.where("scope = 'session'"), F.col("s") == F.col("session_id")), "label", 1)
+    near = found(r.join(n.where("scope = 'workspace'"), F.col("w") == F.col("workspace_id")), "label", 2)
+    over = found(r.join(n.join(named, "id"), F.col("s") == F.col("session_id")), "new_label", 4)
+    everywhere = R.filtered(r, n.where("scope = 'global'")).withColumn("place", F.lit(3))
+    return own.unionByName(near).unionByName(everywhere).unionByName(over).groupBy("request_id", "id").agg(F.min("place").alias("place"))
 
 
 @query("ref_op052_label_override_filter", with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING) + f""", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format('r.query')} AS q, {NORM.format(chr(39) + 'the ' + chr(39) + ' || s.new_label')}

@@ -54,14 +54,14 @@ def bundles(spark, d):
     return S.packed(S.within_limits(R.recalled(C.requests(spark, d), C.nodes(spark, d)), slots=True))
 
 
-@query("ref_op043_text_filter", with_(NODES, REQUESTS) + f""", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format(chr(39)+' '+chr(39)+' || array_to_string(string_split(r.query, chr(32))[1:3], chr(32))')}
-    AS q, {NORM.format('n.label')} AS l FROM requests r JOIN nodes n ON n.session_id = r.session_id)) SELECT request_id, id FROM m WHERE q =
-    '' OR contains(l, q) OR len([t FOR t IN ts IF contains(l, t)]) >= CASE WHEN len(ts) <= 2 THEN len(ts) ELSE greatest(2, ceil(len(ts) * 0.6))
-    END AND len(ts) > 0""")
+@query("ref_op043_text_filter", with_(NODES, REQUESTS) + f""", m AS (SELECT request_id, id, q, l, {terms('q')} AS ts FROM (SELECT r.request_id, n.id, {NORM.format('r.query')} AS q,
+    {NORM.format('n.label')} AS l FROM requests r JOIN nodes n ON n.session_id = r.session_id)), c AS (SELECT *, len([t FOR t IN ts IF contains(l, t)]) AS matched, CASE WHEN len(ts) <= 2 THEN len(ts)
+    ELSE greatest(2, ceil(len(ts) * 0.6))::BIGINT END AS required FROM m) SELECT request_id, id, matched, required, q = '' OR contains(l, q) OR (matched >= required AND len(ts) > 0) AS passes FROM c""")
 def text_filter(spark, d):
-    r = C.requests(spark, d).select("request_id", "session_id", T.normalized(F.substring_index("query", " ", 3)).alias("q"))
-    n = C.nodes(spark, d).select("id", "session_id", T.normalized(F.col("label")).alias("l"))
-    return r.join(n, "session_id").where(T.passes(F.col("l"), F.col("q"), T.terms(F.col("q")))).select("request_id", "id")
+    r = C.requests(spark, d).select("request_id", "session_id", T.normalized(F.col("query")).alias("q")).withColumn("ts", T.terms(F.col("q")))
+    rows = r.join(C.nodes(spark, d).select("id", "session_id", T.normalized(F.col("label")).alias("l")), "session_id")
+    passes = T.passes(F.col("l"), F.col("q"), F.col("ts"))
+    return rows.select("request_id", "id", T.matched(F.col("l"), F.col("ts")).cast("long").alias("matched"), T.required(F.size("ts")).cast("long").alias("required"), passes.alias("passes"))
 
 
 @query("ref_op083_text_match_scores", MODEL + "SELECT request_id, id, score FROM candidates WHERE direct")

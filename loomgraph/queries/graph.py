@@ -114,19 +114,17 @@ def conflicts(spark, d):
 
 @query("ref_op216_conflict_winner", with_(NODES, PAIRS) + "SELECT strong AS winner, count(*) AS won FROM pairs WHERE opposite GROUP BY 1")
 def conflict_winner(spark, d):
-    return G.conflict_pairs(_sided(spark, d)).where("relation = 'conflicts_with'").groupBy("winner").agg(F.count("*").alias("won"))
+    return G.conflict_standing(_sided(spark, d)).where("won > 0").select(F.col("id").alias("winner"), "won")
 
 
 @query("ref_op217_superseded", with_(NODES, PAIRS) + "SELECT CASE WHEN newer = left_id THEN right_id ELSE left_id END AS id, max(newer) AS superseded_by FROM pairs WHERE same AND NOT opposite GROUP BY 1")
 def superseded(spark, d):
-    p = G.conflict_pairs(_sided(spark, d)).where("relation = 'supersedes'")
-    return p.groupBy(F.when(F.col("winner") == F.col("left_id"), F.col("right_id")).otherwise(F.col("left_id")).alias("id")).agg(F.max("winner").alias("superseded_by"))
+    return G.conflict_standing(_sided(spark, d)).where("superseded_by is not null").select("id", "superseded_by")
 
 
 @query("ref_op046_suppressed_by_conflict", with_(NODES, PAIRS) + "SELECT DISTINCT CASE WHEN strong = left_id THEN right_id ELSE left_id END AS id FROM pairs WHERE opposite")
 def suppressed_by_conflict(spark, d):
-    p = G.conflict_pairs(_sided(spark, d)).where("relation = 'conflicts_with'")
-    return p.select(F.when(F.col("winner") == F.col("left_id"), F.col("right_id")).otherwise(F.col("left_id")).alias("id")).distinct()
+    return G.conflict_standing(_sided(spark, d)).where("suppressed").select("id")
 
 
 @query("ref_op149_correction_precedence", with_(CORRECTIONS, STANDING) + "SELECT target_kind, count(*) AS n FROM standing GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import scans as S
-from loomgraph.queries.model_sql import CONTRACT, CORRECTIONS, EDGES, NODES, NORM, RECORDS, terms, with_
+from loomgraph.queries.model_sql import _iso, CONTRACT, CORRECTIONS, EDGES, NODES, NORM, RECORDS, terms, with_
 from loomgraph.queries.registry import query
 from loomgraph.sources import corpus as C
 
@@ -51,10 +51,14 @@ def latest_checkpoint(spark, d):
     return S.latest(n, "session_id", F.desc("updated_at"), F.asc("id")).select("session_id", F.col("id").alias("checkpoint_id"), F.col("updated_at").alias("created_at"))
 
 
-@query("ref_op017_list_checkpoints", with_(NODES) + "SELECT session_id, id, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY updated_at DESC, id) AS r FROM nodes) WHERE r <= 3")
+SAVED = f"""saved AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'delta' ELSE 'checkpoint' END AS kind, 'k' || event_id AS id, 's' || user_id AS session_id, {_iso("event_id * 60")} AS created_at FROM events)"""
+
+
+@query("ref_op017_list_checkpoints", "WITH " + SAVED + " SELECT session_id, kind, id, created_at, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY created_at DESC, id) AS place FROM saved) WHERE place <= 20")
 def list_checkpoints(spark, d):
-    w = Window.partitionBy("session_id").orderBy(F.desc("updated_at"), "id")
-    return C.nodes(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 3").select("session_id", "id", "updated_at")
+    e = C.read(spark, d, "events")
+    saved = e.select(F.when(F.col("event_id") % 3 == 0, "delta").otherwise("checkpoint").alias("kind"), F.concat(F.lit("k"), "event_id").alias("id"), F.concat(F.lit("s"), "user_id").alias("session_id"), C.iso(F.col("event_id") * 60).alias("created_at"))
+    return S.listed(saved, 20).withColumn("place", F.col("place").cast("long"))
 
 
 @query("ref_op019_list_corrections", with_(CORRECTIONS) + "SELECT id, target_kind, target_id, action, created_at FROM corrections ORDER BY created_at DESC, id LIMIT 200")
