@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import ingest as I
+from loomgraph.operators import memo as M
+from loomgraph.operators.store import folder_of
 from loomgraph.queries.entities import ENTITIES, entity_edges
 from loomgraph.queries.model_sql import RECORDS, with_
 from loomgraph.queries.registry import query
@@ -13,7 +15,7 @@ from loomgraph.sources import corpus as C
 RECS = """recs AS (SELECT *, 'session' AS scope, CASE turn % 7 WHEN 0 THEN 'First we need a workflow, and then the KG checkpoint; ok. ' || content WHEN
     1 THEN 'You must not stop because the build failed. ' || content
     WHEN 2 THEN content || '. Thanks. Thanks. Got it!' WHEN 3 THEN 'What is the next step? ' || content WHEN 4 THEN content || '，但是 需要 图谱，检查点。好的！'
-    WHEN 5 THEN 'Debug mode' || chr(10) || chr(10) || 'two, 3.5 words' ELSE content END AS said,
+    WHEN 5 THEN 'Debug mode' || chr(10) || chr(10) || 'two, 3.5 words. ' || content ELSE content END AS said,
   CASE WHEN turn % 13 = 12 THEN 'document' END AS explicit_route, CASE turn % 5 WHEN 1 THEN 'transcript_message' WHEN 2 THEN 'checkpoint' WHEN
     3 THEN 'tool_result_persist' END AS source_stage,
   CASE WHEN turn % 9 = 4 THEN 'custom_message' END AS transcript_type, turn % 11 = 5 AS is_trace FROM records),
@@ -135,13 +137,17 @@ TO_NOISE = TO_SPANS + ", " + FIXES + ", " + NOISE
 TO_CANDIDATES = TO_NOISE + ", " + PRIMARY + ", " + CANDIDATES
 
 
+#: what is remembered of a span
+SPANS_KEPT = "sentence int, clause int, boundary string, text string, norm string, concepts array<string>, types array<string>"
+
+
 def records(spark, d):
     """Turns as records with a route's facts and phrases that meet every branch."""
     r, t, c = C.records(spark, d), F.col("turn"), F.col("content")
     said = (
         F.when(t % 7 == 0, F.concat(F.lit("First we need a workflow, and then the KG checkpoint; ok. "), c)).when(t % 7 == 1, F.concat(F.lit("You must not stop because the build failed. "), c))
         .when(t % 7 == 2, F.concat(c, F.lit(". Thanks. Thanks. Got it!"))).when(t % 7 == 3, F.concat(F.lit("What is the next step? "), c)).when(t % 7 == 4, F.concat(c, F.lit("，但是 需要 图谱，检查点。好的！")))
-        .when(t % 7 == 5, "Debug mode\n\ntwo, 3.5 words").otherwise(c)
+        .when(t % 7 == 5, F.concat(F.lit("Debug mode\n\ntwo, 3.5 words. "), c)).otherwise(c)
     )
     stage = F.when(t % 5 == 1, "transcript_message").when(t % 5 == 2, "checkpoint").when(t % 5 == 3, "tool_result_persist")
     r = r.withColumns({"scope": F.lit("session"), "content": said, "explicit_route": F.when(t % 13 == 12, "document"), "source_stage": stage, "transcript_type": F.when(t % 9 == 4, "custom_message"), "is_trace": t % 11 == 5})
@@ -162,6 +168,19 @@ def candidates(spark, d):
     return I.node_candidates(decided)
 
 
+@query("ref_op231_remembered_spans", TO_SPANS + """, met AS (SELECT *, conv_id % 10 = 0 AS late FROM (SELECT id, route, said, conv_id FROM routed r)), known AS (SELECT DISTINCT said, route FROM met WHERE NOT late AND said IS NOT NULL)
+    SELECT m.id, k.said IS NOT NULL OR m.said IS NULL AND (SELECT count(*) FROM met WHERE NOT late AND said IS NULL AND route = m.route) > 0 AS met, coalesce(s.n, 0) AS spans, coalesce(s.first, '') AS first_norm FROM met m
+    LEFT JOIN known k ON k.said = m.said AND k.route = m.route LEFT JOIN (SELECT id, count(*) AS n, arg_min(norm, (sentence, clause)) AS first FROM spans GROUP BY 1) s ON s.id = m.id""")
+def remembered_spans(spark, d):
+    """Nine tenths of the conversations are met first, then all; what is new is processed alone."""
+    r = records(spark, d).select("id", "content", "route", "conv_id")
+    memo = M.memo(spark, f"{folder_of(r, 'memo')}", SPANS_KEPT)
+    M.remembered(r.where("conv_id % 10 <> 0").select("id", "content", "route"), memo, I.spans, "spans-1")
+    rows = M.remembered(r.select("id", "content", "route"), memo, I.spans, "spans-1")
+    first = F.array_min(F.transform("kept", lambda s: F.struct(s["sentence"], s["clause"], s["norm"])))["norm"]
+    return rows.select("id", F.col("met"), F.size("kept").cast("long").alias("spans"), F.coalesce(first, F.lit("")).alias("first_norm"))
+
+
 @query("ref_op187_route_resolution", BASE + "SELECT id, route FROM routed")
 def route_resolution(spark, d):
     return records(spark, d).select("id", "route")

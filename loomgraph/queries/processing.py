@@ -21,12 +21,12 @@ def utterances(spark, d):
 
 
 SAID = """CASE turn % 5 WHEN 0 THEN text || ' we need a tool' WHEN 1 THEN 'You must not do it; ' || text WHEN 2 THEN text || ' failed with an error'
-    WHEN 3 THEN 'What is the next step?' ELSE text END"""
+    WHEN 3 THEN 'What is the next step? ' || text ELSE text END"""
 
 
 def _said():
     t, turn = F.col("text"), F.col("turn") % 5
-    return F.when(turn == 0, F.concat(t, F.lit(" we need a tool"))).when(turn == 1, F.concat(F.lit("You must not do it; "), t)).when(turn == 2, F.concat(t, F.lit(" failed with an error"))).when(turn == 3, "What is the next step?").otherwise(t)
+    return F.when(turn == 0, F.concat(t, F.lit(" we need a tool"))).when(turn == 1, F.concat(F.lit("You must not do it; "), t)).when(turn == 2, F.concat(t, F.lit(" failed with an error"))).when(turn == 3, F.concat(F.lit("What is the next step? "), t)).otherwise(t)
 
 
 @query("ref_op190_node_type_ladder", f"""SELECT conv_id, turn, CASE WHEN regexp_matches(f, '{X.PATTERNS['Risk']}') THEN 'Risk' WHEN regexp_matches(f, '{X.PATTERNS['Constraint'].replace(chr(39), chr(39) * 2)}')
