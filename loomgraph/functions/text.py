@@ -34,8 +34,9 @@ def compatible(text: Column) -> Column:
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     widened = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(table[c], c)), "")
     folded = F.translate(text, from_, to)
-    some = "[" + "".join(f"\\u{ord(c):04x}" for c in several) + "]"
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(text.rlike(some), widened(folded)).otherwise(folded)).otherwise(text)
+    # a table of characters, where a class of so many would try one after the other
+    some = F.char_length(F.translate(text, "".join(several), "")) < F.char_length(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(some, widened(folded)).otherwise(folded)).otherwise(text)
 
 
 def normalized(text: Column) -> Column:

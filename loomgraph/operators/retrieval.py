@@ -33,6 +33,19 @@ SLOT_OF = {**X.CATEGORY_OF, **X.SLOTS, "Mode": "constraints", "Outcome": "states
 MOST = {kind: X.CATEGORIES[slot][1] if slot in X.CATEGORIES else 1 for kind, slot in SLOT_OF.items()}
 
 
+def spread(frame: DataFrame, *by: str) -> DataFrame:
+    """``frame`` over at least as many partitions as there are cores, for work that is heavy a row rather than a byte.
+
+    With ``by`` rows are dealt by these columns, into as many partitions as shuffles have at least; otherwise a frame
+    that has enough partitions stays as it is.
+    """
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if by:
+        return frame.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def _grams(word: Column, least: Column) -> Column:
     """Distinct substrings of ``word`` of ``least`` to GRAM characters."""
     characters = F.filter(F.split(word, ""), lambda c: c != "")
@@ -76,9 +89,10 @@ def matches(requests: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Nodes of the request's session and workspace come by their keys, those of all scopes by the index.
     """
-    r, n = written(S.asked(requests)), written(S.recallable(nodes))
+    r, n = written(S.asked(requests)), written(S.recallable(spread(nodes)))
     own, everywhere = S.scored(S.near(r, n)).where("direct"), n.where("scope = 'global'")
-    hit = _terms(r).join(postings(_terms(r), index(everywhere)), "term").select("request_id", "id").distinct()
+    hit = _terms(r).join(postings(_terms(r), index(everywhere)), "term").select("request_id", "id")
+    hit = spread(hit, "request_id", "id").distinct()
     return own.unionByName(S.scored(hit.join(r, "request_id").join(everywhere, "id")))
 
 
@@ -122,7 +136,8 @@ def best(r: DataFrame, n: DataFrame, most: dict[str, int] = MOST, depth: int = D
         top = written(_head(posted.join(wanted.join(terms, "request_id").select("term", "type").distinct(), ["term", "type"], "left_semi"), depth, "term", "type"))
         unread = top.groupBy("term", "type").agg(F.count("*").alias("read"), F.min("base").alias("low")).where(F.col("read") >= depth).select("term", "type", "low")
         asking = wanted.join(terms, "request_id")
-        pairs = asking.join(top.select("term", "type", "id"), ["term", "type"]).select("request_id", "id").unionByName(wanted.join(heads, "type").select("request_id", "id")).distinct()
+        pairs = asking.join(top.select("term", "type", "id"), ["term", "type"]).select("request_id", "id").unionByName(wanted.join(heads, "type").select("request_id", "id"))
+        pairs = spread(pairs, "request_id", "id").distinct()
         found = S.scored(pairs.join(r, "request_id").join(n, "id"))
         w = Window.partitionBy("request_id", "type").orderBy(F.desc("score"), "label", "id")
         kept = written(found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(most.values())).where(F.col("place") <= limit))
@@ -143,7 +158,7 @@ def best(r: DataFrame, n: DataFrame, most: dict[str, int] = MOST, depth: int = D
 
 def recalled(requests: DataFrame, nodes: DataFrame, most: dict[str, int] = MOST, depth: int = DEPTH) -> DataFrame:
     """What can be among the ``most`` best of a type for each request: all nodes of its session and workspace, and the best global ones."""
-    r, n = written(S.asked(requests)), written(S.recallable(nodes))
+    r, n = written(S.asked(requests)), written(S.recallable(spread(nodes)))
     own = S.scored(S.near(r, n)).where(F.col("type").isin(*most))
     return own.unionByName(best(r, n.where("scope = 'global'"), most, depth))
 
@@ -156,7 +171,7 @@ class Recall:
     """
 
     def __init__(self, requests: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> None:
-        self.r, n = written(S.asked(requests)), written(S.recallable(nodes))
+        self.r, n = written(S.asked(requests)), written(S.recallable(spread(nodes)))
         everywhere = n.where((F.col("scope") == "global") & F.col("type").isin(*MOST))
         raw = everywhere.where("origin_kind = 'raw'").select("type", F.lit(True).alias("raw")).distinct()
         pool = everywhere.join(F.broadcast(raw), "type", "left")  # a row a type

@@ -66,8 +66,11 @@ def asked(requests: DataFrame) -> DataFrame:
 
 
 def recallable(nodes: DataFrame) -> DataFrame:
-    """Nodes that any request may recall, with their normalised texts and base scores."""
-    kept = nodes.where(admitted() & (F.col("freshness") != "superseded") & eligible(F.col("type")))
+    """Nodes that any request may recall, with their normalised texts and base scores.
+
+    Types that a prompt may hold are neither traces nor promoted knowledge, so ``admitted`` holds for all of them.
+    """
+    kept = nodes.where((F.col("freshness") != "superseded") & eligible(F.col("type")))
     return kept.withColumn("label_norm", T.normalized(F.col("label"))).withColumn("payload_norm", T.normalized(F.col("payload"))).withColumn("base", base_score())
 
 

@@ -38,7 +38,7 @@ def rows_of(frame, *columns):
     return sorted(map(tuple, frame.select(*columns).collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed, depth", [(1, 1), (2, 3), (3, 64)])
+@pytest.mark.parametrize("seed, depth", [(1, 1), (3, 64)])
 def test_the_best_are_those_of_all_pairs(spark, seed, depth):
     requests, nodes, edges = graph(spark, seed)
     every, columns = S.candidates(requests, nodes), ("request_id", "type", "id", "score", "direct", "rank")
