@@ -22,11 +22,13 @@ COMMIT = "version long, buckets map<string,array<string>>, writers map<string,lo
 class KeyedTable:
     """A table at ``path`` with rows of ``schema`` and one row for each ``key``, in ``buckets`` parts.
 
-    The number of buckets is fixed with the first write; a bucket should stay within what a task writes at a time.
+    The number of buckets is fixed with the first write; a bucket should stay within what a task writes at a time.  With
+    ``by`` rows lie by a hash of this column, which must follow from the key, so that all rows of one of its values are
+    in one bucket and ``of`` reads that alone.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64, by: str | None = None) -> None:
+        self.spark, self.path, self.schema, self.key, self.buckets, self.by = spark, path.rstrip("/"), schema, key, buckets, by or key
 
     def last(self) -> dict:
         """The last commit: ``version``, ``buckets``, ``writers``; version 0 holds nothing."""
@@ -46,7 +48,12 @@ class KeyedTable:
         return frame.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int").alias("bucket")
+        return F.pmod(F.xxhash64(F.col(self.by).cast("string")), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """The table's rows whose ``by`` is among those of ``rows``, from their buckets alone."""
+        wanted = written(rows.select(self.by).where(F.col(self.by).isNotNull()).distinct())
+        return self.read(only=self._touched(wanted)).join(wanted, self.by, "left_semi")
 
     def _touched(self, rows: DataFrame) -> list[int]:
         """Buckets of ``rows``: at most as many numbers as the table has buckets."""
