@@ -11,8 +11,8 @@ from loomgraph.operators import bundles as B
 from loomgraph.operators import graph as G
 from loomgraph.operators import retrieval as R
 from loomgraph.operators import selection as S
-from loomgraph.queries.compile import CANDIDATES
-from loomgraph.queries.graph import STANDING
+from loomgraph.queries.compile import CANDIDATES, PROMOTED
+from loomgraph.queries.graph import PAIRS, STANDING, sided
 from loomgraph.queries.model_sql import CORRECTIONS, EDGES, NODES, NORM, REQUESTS, terms, with_
 from loomgraph.queries.registry import query
 from loomgraph.sources import corpus as C
@@ -255,26 +255,37 @@ def recalled_nodes(spark, d):
     return B.recalled_nodes(own.unionByName(more)).select("request_id", "id", "included", F.array_join("reasons", "; ").alias("reasons"), "primary_kind")
 
 
-_STATUS = """suppressed AS (SELECT target_id AS id FROM standing WHERE target_kind = 'node_suppression'), considered AS (SELECT c.request_id, c.id, c.type,
-    s.slot, coalesce(s.rank, t.rank) AS rank, s.most, c.id IN (SELECT id FROM suppressed) AS gone, n.freshness = 'stale' AS conflicted, c.scope
-    = 'session' AS admitted FROM candidates c LEFT JOIN slotted s USING (request_id, id) LEFT JOIN topics t USING (request_id, id) JOIN nodes
-    n ON n.id = c.id)"""
+#: candidates, and nodes of a request's session and workspace that can't be recalled; conflicts as they were decided
+_STATUS = PAIRS + """, knowledge AS (SELECT id, scope, confidence, observations, downgrades, promotion_state AS state, type FROM nodes WHERE type = 'Pattern'),
+""" + PROMOTED + """, suppressed AS (SELECT target_id AS id FROM standing WHERE target_kind = 'node_suppression'),
+beaten AS (SELECT DISTINCT CASE WHEN strong = left_id THEN right_id ELSE left_id END AS id FROM pairs_of WHERE opposite),
+near AS (SELECT r.request_id, n.id, n.type, n.scope FROM requests r JOIN nodes n ON n.session_id = r.session_id WHERE n.scope = 'session' AND (n.type = 'Pattern' OR n.freshness = 'superseded')
+  UNION ALL SELECT r.request_id, n.id, n.type, n.scope FROM requests r JOIN nodes n ON n.workspace_id = r.workspace_id WHERE n.scope = 'workspace' AND (n.type = 'Pattern' OR n.freshness = 'superseded')),
+every AS (SELECT c.request_id, c.id, c.type, s.slot, coalesce(s.rank, t.rank) AS rank, s.most, TRUE AS admitted FROM candidates c LEFT JOIN slotted s ON s.request_id = c.request_id AND s.id = c.id LEFT JOIN topics t ON t.request_id = c.request_id AND t.id = c.id
+  UNION ALL SELECT x.request_id, x.id, x.type, NULL, NULL, NULL, x.scope = 'session' OR coalesce(p.workspace_eligible, TRUE) FROM near x LEFT JOIN promoted p ON p.id = x.id),
+considered AS (SELECT e.*, g.id IS NOT NULL AS gone, b.id IS NOT NULL AS conflicted FROM every e LEFT JOIN suppressed g ON g.id = e.id LEFT JOIN beaten b ON b.id = e.id)"""
+_STATUS = _STATUS.replace("pairs AS (SELECT a.id", "pairs_of AS (SELECT a.id")
+SCORED = CANDIDATES.replace("candidates AS (SELECT", "candidates AS MATERIALIZED (SELECT")
 
 
 @query(
     "ref_op316_selection_status",
-    with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING, CANDIDATES, SLOTTED, TOPIC, _STATUS) + """SELECT request_id, id, st AS status, st IN ('fixed', 'category') AS included FROM (SELECT *, CASE WHEN gone THEN 'suppressed'
+    with_(SPOKEN, REQUESTS, CORRECTIONS, STANDING, SCORED, SLOTTED, TOPIC, _STATUS) + """SELECT request_id, id, st AS status, st IN ('fixed', 'category') AS included FROM (SELECT *, CASE WHEN gone THEN 'suppressed'
     WHEN slot IN ('goal', 'intent', 'process') AND rank <= most THEN 'fixed' WHEN slot IS NOT NULL AND rank <= most THEN 'category' WHEN slot
     IN ('goal', 'intent', 'process') THEN 'fixed_skipped' WHEN slot IS NOT NULL THEN 'category_skipped' WHEN type = 'Topic' AND rank <= 4 THEN
     'topic_hint' WHEN conflicted THEN 'conflict' WHEN NOT admitted THEN 'scope' ELSE 'not_selected' END AS st FROM considered)""",
 )
 def selection_status(spark, d):
-    c = candidates(spark, d)
+    c, n = candidates(spark, d), nodes(spark, d)
     s = slotted(spark, d).select("request_id", "id", "slot", "rank", "most")
     t = S.ranked(c.where("type = 'Topic'"), "request_id").select("request_id", "id", F.col("rank").alias("topic_rank"))
+    known = c.select("request_id", "id", "type", F.lit(True).alias("admitted")).join(s, ["request_id", "id"], "left").join(t, ["request_id", "id"], "left")
+    beyond = n.where((F.col("freshness") == "superseded") | ~S.eligible(F.col("type"))).withColumn("admitted", S.admitted())
+    near = S.near(S.asked(C.requests(spark, d)), beyond).select("request_id", "id", "type", "admitted")
     gone = G.resolved(C.corrections(spark, d), "node_suppression").select(F.col("target_id").alias("id"), F.lit(True).alias("suppressed"))
-    rows = c.join(s, ["request_id", "id"], "left").join(t, ["request_id", "id"], "left").join(gone, "id", "left").join(C.nodes(spark, d).select("id", (F.col("freshness") == "stale").alias("conflicted")), "id")
-    rows = rows.withColumns({"suppressed": F.coalesce("suppressed", F.lit(False)), "rank": F.coalesce("rank", "topic_rank"), "admitted": F.col("scope") == "session"})
+    beaten = G.conflict_standing(sided(spark, d)).where("suppressed").select("id", F.lit(True).alias("conflicted"))
+    rows = known.unionByName(near, allowMissingColumns=True).join(gone, "id", "left").join(beaten, "id", "left")
+    rows = rows.withColumns({"suppressed": F.coalesce("suppressed", F.lit(False)), "conflicted": F.coalesce("conflicted", F.lit(False)), "rank": F.coalesce("rank", "topic_rank")})
     return B.selection_status(rows)
 
 

@@ -53,7 +53,7 @@ def trace_view(spark, d):
 
 @query(
     "ref_op315_explain",
-    with_(Q.SPOKEN, EDGES, REQUESTS, CORRECTIONS, STANDING, CANDIDATES, Q.SLOTTED, Q.TOPIC, Q._STATUS, DEGREE)
+    with_(Q.SPOKEN, EDGES, REQUESTS, CORRECTIONS, STANDING, Q.SCORED, Q.SLOTTED, Q.TOPIC, Q._STATUS, DEGREE)
     + """SELECT request_id, c.id, CASE WHEN gone THEN 'suppressed' WHEN slot IN ('goal', 'intent', 'process') AND rank <= most THEN
     'fixed' WHEN slot IS NOT NULL AND rank <= most THEN 'category' WHEN slot IN ('goal', 'intent', 'process') THEN 'fixed_skipped' WHEN slot
     IS NOT NULL THEN 'category_skipped' WHEN type = 'Topic' AND rank <= 4 THEN 'topic_hint' WHEN conflicted THEN 'conflict' WHEN NOT admitted

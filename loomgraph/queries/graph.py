@@ -50,7 +50,7 @@ def _two(spark, d):
     return G.two_hops(_sources(spark, d), C.edges(spark, d), C.nodes(spark, d), BETWEEN, ("Evidence", "Topic", "Tool"), ("supported_by", "next_step"))
 
 
-def _sided(spark, d):
+def sided(spark, d):
     n = C.nodes(spark, d)
     pick = lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (k % len(v) + 1).cast("int"))
     said = F.concat("label", pick(F.col("conv_id") + F.floor(F.col("turn") / 2), "; never do this", "; must keep it", "", ""))
@@ -103,28 +103,28 @@ def path_admission_status(spark, d):
 
 @query("ref_op192_polarity", with_(NODES, LABELLED) + "SELECT id, polarity FROM sided")
 def polarity(spark, d):
-    return _sided(spark, d).select("id", "polarity")
+    return sided(spark, d).select("id", "polarity")
 
 
 @query("ref_op084_conflicts", with_(NODES, PAIRS) + """SELECT left_id, right_id, CASE WHEN opposite THEN 'conflicts_with' ELSE 'supersedes' END AS relation, CASE WHEN opposite
     THEN strong ELSE newer END AS winner FROM pairs WHERE opposite OR same""")
 def conflicts(spark, d):
-    return G.conflict_pairs(_sided(spark, d)).drop("session_id")
+    return G.conflict_pairs(sided(spark, d)).drop("session_id")
 
 
 @query("ref_op216_conflict_winner", with_(NODES, PAIRS) + "SELECT strong AS winner, count(*) AS won FROM pairs WHERE opposite GROUP BY 1")
 def conflict_winner(spark, d):
-    return G.conflict_standing(_sided(spark, d)).where("won > 0").select(F.col("id").alias("winner"), "won")
+    return G.conflict_standing(sided(spark, d)).where("won > 0").select(F.col("id").alias("winner"), "won")
 
 
 @query("ref_op217_superseded", with_(NODES, PAIRS) + "SELECT CASE WHEN newer = left_id THEN right_id ELSE left_id END AS id, max(newer) AS superseded_by FROM pairs WHERE same AND NOT opposite GROUP BY 1")
 def superseded(spark, d):
-    return G.conflict_standing(_sided(spark, d)).where("superseded_by is not null").select("id", "superseded_by")
+    return G.conflict_standing(sided(spark, d)).where("superseded_by is not null").select("id", "superseded_by")
 
 
 @query("ref_op046_suppressed_by_conflict", with_(NODES, PAIRS) + "SELECT DISTINCT CASE WHEN strong = left_id THEN right_id ELSE left_id END AS id FROM pairs WHERE opposite")
 def suppressed_by_conflict(spark, d):
-    return G.conflict_standing(_sided(spark, d)).where("suppressed").select("id")
+    return G.conflict_standing(sided(spark, d)).where("suppressed").select("id")
 
 
 @query("ref_op149_correction_precedence", with_(CORRECTIONS, STANDING) + "SELECT target_kind, count(*) AS n FROM standing GROUP BY 1")
@@ -178,7 +178,7 @@ def semantic_overrides(spark, d):
     AND opposed) AS suppressed FROM every GROUP BY 1""",
 )
 def conflict_patches(spark, d):
-    return G.conflict_patches(G.conflict_pairs(_sided(spark, d)))
+    return G.conflict_patches(G.conflict_pairs(sided(spark, d)))
 
 
 @query("ref_op088_correction_overlay", with_(NODES, CORRECTIONS, STANDING) + """SELECT n.id, coalesce(s.new_label, n.label) AS label FROM nodes n LEFT JOIN standing s ON s.target_kind = 'label_override'
