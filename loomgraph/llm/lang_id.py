@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.llm.common import prepared
 
@@ -127,9 +128,10 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
 def train(documents: DataFrame, sample_rows: int = 4000, windows_a_row: int = 2, epochs: int = 6, seed: int = 7) -> ByteNet | None:
     """A network from rows with text and language whose fold isn't 0; None if there are none.
 
-    The languages share ``sample_rows`` evenly; a language's rows are drawn by a hash of ``doc_id``, at the rate that
-    gives its share, so the sample doesn't depend on the partitions.  Of each drawn text ``windows_a_row`` windows at
-    places drawn by the same hash are sent to the driver: some 2 MB in all.
+    The languages share ``sample_rows`` evenly; a language's rows are drawn by a hash of ``doc_id`` and text, at the
+    rate that gives its share, so the sample doesn't depend on the partitions.  Of each drawn text ``windows_a_row``
+    windows at places drawn by the same hash are sent to the driver: some 2 MB in all.  Of a language no more than
+    twice its share is sent, those of the smallest hashes, however often a row is repeated.
     """
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold() != 0))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
@@ -137,21 +139,25 @@ def train(documents: DataFrame, sample_rows: int = 4000, windows_a_row: int = 2,
         return None
     languages, share = sorted(counts), max(1, sample_rows // len(counts))
     rate = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, share / counts[k]))))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got, tags = [], []
+            got, tags, hashes = [], [], []
             for text, lang, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 content = text.encode()
                 n = -(-len(content) // STRIDE)
                 for k in sorted({(h + j * (n // windows_a_row + 1)) % n for j in range(windows_a_row)}):
                     got.append(content[k * STRIDE : k * STRIDE + WINDOW])
                     tags.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(tags, pa.string())], names=["window", "lang"])
+                    hashes.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(tags, pa.string()), pa.array(hashes, pa.int64())], names=["window", "lang", "h"])
 
     chosen = rows.where(drawn < rate[F.col("lang")] * (1 << 30)).select("text", "lang", drawn.alias("h"))
-    table = chosen.mapInArrow(sample, "window binary, lang string").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
+    # counted: each task keeps no more of a language before the shuffle
+    counted = F.row_number().over(Window.partitionBy("lang").orderBy("h", "window"))
+    bounded = chosen.mapInArrow(sample, "window binary, lang string, h long").withColumn("k", counted).where(F.col("k") <= 2 * share * windows_a_row)
+    table = bounded.select("window", "lang").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
     if not len(table):
         return None
     x = np.stack([np.frombuffer(w.ljust(WINDOW, b"\0"), np.uint8) for w in table.column("window").to_pylist()])
@@ -162,7 +168,8 @@ def train(documents: DataFrame, sample_rows: int = 4000, windows_a_row: int = 2,
 def predict(documents: DataFrame, net: ByteNet | None, *keep: str) -> DataFrame:
     """``doc_id, lang_pred, score`` and the columns ``keep`` for each row; a text's answer is the mean over its windows' bytes.
 
-    ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.
+    ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.  Repeated rows are
+    judged each for itself; an empty table gives an empty result; ``keep`` can't name ``lang_pred`` or ``score``.
     """
     spark = prepared(documents.sparkSession)
     shared = spark.sparkContext.broadcast(net)

@@ -265,3 +265,16 @@ def test_secret_scans_of_a_megabyte(spark, text, spans):
         out += [text[at:a], "[*]"]
         at = b
     assert hidden.text == "".join(out) + text[at:] and took < 60, took
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rows of one id, also of one text, send no more than twice the sample to the driver."""
+    from loomgraph.llm import lang_id
+
+    sent = []
+    plain = lang_id.ByteNet.fit
+    monkeypatch.setattr(lang_id.ByteNet, "fit", lambda self, x, y, epochs, seed: (sent.append(len(x)), plain(self, x[:50], y[:50], 1, seed))[1])
+    rows = spark.range(20_000).selectExpr("0L as doc_id", "if(id % 2 = 0, 'always one text here', concat('words of ', id)) as text", "if(id % 3 = 0, 'en', 'de') as lang")
+    found = next(k for k in range(10) if rows.selectExpr(f"{k}L as doc_id").where(lang_id.fold() != 0).limit(1).count())
+    assert lang_id.train(rows.selectExpr(f"{found}L as doc_id", "text", "lang"), sample_rows=400) is not None
+    assert 0 < sent[0] <= 2 * 400 * 4
