@@ -37,4 +37,6 @@ def test_matches_sql(spark, tables, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+    """Queries whose rows other tests hold against plain versions: here they give some, with columns of different names."""
+    found = QUERIES[name](spark, FOLDER)
+    assert found.count() > 0 and len(set(found.columns)) == len(found.columns)
