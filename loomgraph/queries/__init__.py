@@ -1,4 +1,4 @@
 """Registered queries of the context graph."""
 
-from loomgraph.queries import assembly, bundles, compile, compiling, entities, explaining, graph, ingest, platform, processing, scans, sessions, store, streams, tools, transcripts  # noqa: A004, F401
+from loomgraph.queries import assembly, bundles, compile, compiling, entities, explaining, graph, ingest, observability, platform, processing, scans, sessions, store, streams, tools, transcripts  # noqa: A004, F401
 from loomgraph.queries.registry import ORACLE_SQL, QUERIES  # noqa: F401
