@@ -138,7 +138,8 @@ def stream(messages: DataFrame, budget: int = 400, idle_ms: int | None = None) -
     """The same over a stream: each micro-batch gives the new state of the sessions that it touches.
 
     A session's messages of one micro-batch are sorted in memory (the trigger bounds them); between batches they must
-    come in order.  With ``idle_ms`` a session is forgotten when it has said nothing for so long.
+    come in order.  With ``idle_ms`` a session is forgotten when it has said nothing for so long,
+    and the stream goes on until it is stopped, whatever its trigger.
     """
     keyed(messages.sparkSession)
     rows = messages.select("session_id", "turn", "role", "content")

@@ -185,7 +185,8 @@ class Scheduler(StatefulProcessor):
 def stream(log: DataFrame, wall_clock: bool = True, late: str = "0 seconds") -> DataFrame:
     """The answer to a log that goes on.
 
-    By the wall clock a schedule is dispatched at the first micro-batch after it is due.  Otherwise the log's own times
+    By the wall clock a schedule is dispatched at the first micro-batch after it is due; such a stream goes on until it is
+    stopped, whatever its trigger.  Otherwise the log's own times
     are the clock: a schedule is dispatched when the log of all jobs has come ``late`` past its due time, and rows that
     are later than that, and those of time 0 or before, are dropped.  A job's rows must come in order from batch to batch.
     """
