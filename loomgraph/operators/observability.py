@@ -33,17 +33,25 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
 
 
-def stage_snapshots(reports: DataFrame, *by: str) -> DataFrame:
+def stage_snapshots(reports: DataFrame, *by: str, order: str | None = None) -> DataFrame:
     """Counts, means and totals of the reports of each group: what passes, recall and its noise, coverage, memory, reuse, paths.
 
-    A report that has no path counts has none; groups without reports have no row.
+    A report that has no path counts has none; groups without reports have no row.  With ``order`` the shares of a group
+    are summed in this column's order, so that a mean at a threshold doesn't fall on another side by how files were split;
+    a group is then summed by one task, which spills what it can't hold.
     """
     paths = [F.coalesce(c, F.lit(0)).alias(c) for c in ("candidate_paths", "admitted_paths", "pruned_paths", "paths")]
-    r = reports.select(*by, "passed", "selected", "noise", *MEANS.values(), *paths)
+    r = reports.select(*by, *([order] if order else []), "passed", "selected", "noise", *MEANS.values(), *paths)
+    means = {"recall_noise_rate": F.avg(_share("noise", "selected")), **{name: F.avg(c) for name, c in MEANS.items()}, "path_prune_rate": F.avg(_share("pruned_paths", "candidate_paths"))}
+    if order:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        r = r.withColumns({f"mean_{name}": mean.over(w) for name, mean in means.items()})
+        means = {name: F.first(f"mean_{name}") for name in means}
+    mean = lambda name: means[name].alias(name)
     return r.groupBy(*by).agg(
-        F.count("*").alias("fixtures"), F.count_if("passed").alias("passes"), F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)).alias("pass_rate"), F.avg(_share("noise", "selected")).alias("recall_noise_rate"),
-        *(F.avg(c).alias(name) for name, c in MEANS.items()), F.avg("candidate_paths").alias("candidate_paths"), F.avg("admitted_paths").alias("admitted_paths"),
-        F.avg(_share("pruned_paths", "candidate_paths")).alias("path_prune_rate"), F.sum("paths").alias("total_paths"), F.sum("pruned_paths").alias("total_pruned_paths"),
+        F.count("*").alias("fixtures"), F.count_if("passed").alias("passes"), F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)).alias("pass_rate"), mean("recall_noise_rate"),
+        *(mean(name) for name in MEANS), F.avg("candidate_paths").alias("candidate_paths"), F.avg("admitted_paths").alias("admitted_paths"),
+        mean("path_prune_rate"), F.sum("paths").alias("total_paths"), F.sum("pruned_paths").alias("total_pruned_paths"),
     )
 
 

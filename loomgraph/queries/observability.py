@@ -18,7 +18,7 @@ def _reports(spark, d):
     share = lambda a, n: (k * a % n) / n
     paths = lambda c: F.when(k % 7 > 0, c)
     return C.read(spark, d, "events").select(
-        F.col("event_type").alias("stage"), F.floor(k / 250).alias("period"), (F.col("value") >= 5).alias("passed"), (k % 6).alias("selected"), F.least(k % 6, k % 4).alias("noise"), share(3, 11).alias("relation_precision"),
+        k.alias("report"), F.col("event_type").alias("stage"), F.floor(k / 250).alias("period"), (F.col("value") >= 5).alias("passed"), (k % 6).alias("selected"), F.least(k % 6, k % 4).alias("noise"), share(3, 11).alias("relation_precision"),
         share(5, 13).alias("relation_recall"), share(7, 17).alias("bundle_coverage"), share(2, 9).alias("explain_coverage"), share(4, 19).alias("concept_coverage"), share(11, 23).alias("usefulness"), share(6, 29).alias("intrusion"),
         F.least(F.lit(1.0), F.col("value") / 15).alias("knowledge_class_coverage"), F.least(F.lit(1.0), F.col("value") / 60).alias("pollution_rate"), share(8, 31).alias("reuse_benefit"),
         F.least(F.lit(1.0), F.col("value") / 40).alias("reuse_intrusion"), share(10, 37).alias("multi_source_coverage"), paths(k % 9).alias("candidate_paths"), paths(F.least(k % 9, k % 5)).alias("admitted_paths"),
@@ -47,7 +47,7 @@ _MEANS = ("pass_rate", "recall_noise_rate", *O.MEANS, "candidate_paths", "admitt
 
 @query("ref_op115_stage_observability", f"WITH {SNAPSHOTS} SELECT stage, period, fixtures, passes, total_paths, total_pruned_paths, {', '.join(f'round({c}, 6) AS {c}' for c in _MEANS)} FROM snapshots")
 def stage_observability(spark, d):
-    return O.stage_snapshots(_reports(spark, d), "stage", "period").withColumns({c: F.round(c, 6) for c in _MEANS})
+    return O.stage_snapshots(_reports(spark, d), "stage", "period", order="report").withColumns({c: F.round(c, 6) for c in _MEANS})
 
 
 def _windows(spark, d):
@@ -88,7 +88,7 @@ SAVED = {"high_scope_reuse_intrusion": 0.25}
 
 
 def _dashboard(spark, d):
-    return O.dashboard(O.stage_snapshots(_reports(spark, d), "stage", "period"), O.runtime_windows(_windows(spark, d), "stage", "period"), "stage", "period", SAVED)
+    return O.dashboard(O.stage_snapshots(_reports(spark, d), "stage", "period", order="report"), O.runtime_windows(_windows(spark, d), "stage", "period"), "stage", "period", SAVED)
 
 
 @query("ref_op300_dashboard", with_(RECORDS, SNAPSHOTS, WINDOWS, DASHBOARD) + """SELECT stage, period, metric, label, unit, round(value, 6) AS value, round(previous, 6) AS previous, round(value - previous, 6) AS change,

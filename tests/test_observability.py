@@ -34,3 +34,26 @@ def test_snapshots_and_cards(spark):
     assert said["a", 1, "recall_noise_rate"].endswith("current=0.13 threshold=0.00") and not any(k[2].endswith("count") for k in said)
     empty = O.dashboard(O.stage_snapshots(reports.limit(0), "stage", "period"), O.runtime_windows(windows.limit(0), "stage", "period"), "stage", "period")
     assert empty.collect() == []
+
+
+def test_means_at_a_threshold_by_order_not_by_files(spark):
+    """Shares whose mean is a threshold: however they are dealt, the sum is that in order, to the last place."""
+    shares = [(3 * k * 10 % 37) / 37 for k in range(37)]
+    total = 0.0
+    for x in shares:
+        total += x
+    rows = [("a", 1, k, True, 1, 0, *(x if c == "multi_source_coverage" else 0.5 for c in O.MEANS.values()), None, None, None, None) for k, x in enumerate(shares)]
+    schema = REPORT.replace("period int,", "period int, report int,", 1)
+    for parts in ([rows], [rows[::2], rows[1::2]], [rows[::-1]], [rows[k::7] for k in range(7)]):
+        frame = spark.createDataFrame(spark.sparkContext.parallelize([r for part in parts for r in part], len(parts)), schema)
+        (r,) = O.stage_snapshots(frame, "stage", "period", order="report").collect()
+        assert (r.fixtures, r.multi_source_coverage) == (37, total / 37)
+
+
+def test_half_as_much_again_is_critical(spark):
+    """0.2 and 0.4 times 1.5 as doubles are above 0.3 and 0.6, which are critical."""
+    reports = spark.createDataFrame([report("a", 1, True, 4, 1, pollution=0.3)], REPORT)
+    windows = spark.createDataFrame([("a", 1, "live_runtime", 0, 1, None)] * 2 + [("a", 1, "transcript_fallback", 0, 1, None)] * 3, WINDOW)
+    cards = O.dashboard(O.stage_snapshots(reports, "stage", "period"), O.runtime_windows(windows, "stage", "period"), "stage", "period")
+    got = {x.metric: x.status for x in cards.collect()}
+    assert got["knowledge_pollution_rate"] == got["runtime_transcript_fallback_ratio"] == "critical"
