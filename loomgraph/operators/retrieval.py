@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import fixed as X
 from loomgraph.functions import text as T
 from loomgraph.operators import selection as S
+from loomgraph.operators.selection import spread
 from loomgraph.sources.transcripts import written
 
 #: Characters of the substrings by which terms find words.
@@ -33,19 +34,6 @@ SLOT_OF = {**X.CATEGORY_OF, **X.SLOTS, "Mode": "constraints", "Outcome": "states
 MOST = {kind: X.CATEGORIES[slot][1] if slot in X.CATEGORIES else 1 for kind, slot in SLOT_OF.items()}
 
 
-def spread(frame: DataFrame, *by: str) -> DataFrame:
-    """``frame`` over at least as many partitions as there are cores, for work that is heavy a row rather than a byte.
-
-    With ``by`` rows are dealt by these columns, into as many partitions as shuffles have at least; otherwise a frame
-    that has enough partitions stays as it is.
-    """
-    spark = frame.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if by:
-        return frame.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
-
-
 def _grams(word: Column, least: Column) -> Column:
     """Distinct substrings of ``word`` of ``least`` to GRAM characters."""
     characters = F.filter(F.split(word, ""), lambda c: c != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,22 +91,35 @@ def scored(found: DataFrame) -> DataFrame:
     return found.select("request_id", "token_budget", "id", "type", "scope", "label", "confidence", "origin_kind", ((label + payload) > 0).alias("direct"), F.round(F.col("base") + label + payload, 6).alias("score"), cost.alias("cost"), X.lookup(F.col("scope"), X.SCOPE_PRECEDENCE, "int").alias("precedence"))
 
 
+def spread(frame: DataFrame, *by: str) -> DataFrame:
+    """``frame`` over at least as many partitions as there are cores, for work that is heavy a row rather than a byte.
+
+    With ``by`` rows are dealt by these columns, into as many partitions as shuffles have at least; otherwise a frame
+    that has enough partitions stays as it is.
+    """
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if by:
+        return frame.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def candidates(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each request with all nodes of its session, its workspace and all scopes that it may recall, and their scores.
 
     This is for reports on every pair; what needs the best nodes alone, or those that match, comes from ``retrieval``.
-    Session and workspace nodes come by equality joins.  Global ones are for all requests, which are a stated query set:
-    they are sent in blocks of REQUESTS, counted first.  A node comes once a request, from the closest scope.
+    A request asks for three scopes, each with its owner, and a node lies in one; so pairs come by one equality join, of
+    nodes where they lie.  Requests are a stated query set: they are sent in blocks of REQUESTS, counted first.
     """
-    r, n = asked(requests), recallable(nodes)
-    found = near(r, n)
-    columns = found.columns
-    blocks = -(-requests.count() // REQUESTS)
-    numbered = r.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(max(1, blocks))))
-    for block in range(blocks):
-        held = F.broadcast(numbered.where(F.col("block") == block).drop("block"))
-        found = found.unionByName(n.where("scope = 'global'").crossJoin(held).select(*columns))
-    return scored(found)
+    r, n = asked(requests), recallable(spread(nodes))
+    scope = lambda name, owner: F.struct(F.lit(name).alias("name"), owner.alias("owner"))
+    asks = r.withColumn("asks", F.explode(F.array(scope("session", F.col("r_session")), scope("workspace", F.col("r_workspace")), scope("global", F.lit("")))))
+    owned = n.withColumn("owner", F.when(F.col("scope") == "session", F.col("session_id")).when(F.col("scope") == "workspace", F.col("workspace_id")).otherwise(""))
+    blocks = max(1, -(-requests.count() // REQUESTS))
+    block = F.pmod(F.xxhash64("request_id"), F.lit(blocks))
+    held = [F.broadcast(asks.where(block == k)) for k in range(blocks)]
+    found = [owned.join(h, (F.col("scope") == F.col("asks.name")) & (F.col("owner") == F.col("asks.owner"))) for h in held]
+    return scored(reduce(DataFrame.unionByName, found))
 
 
 def ranked(rows: DataFrame, *by: str) -> DataFrame:

@@ -103,3 +103,12 @@ def test_budgets_over_whole_tables(spark, name, sql):
         got[r.request_id, r.token_budget]["taken"][r.id] = r["pass"]
         got[r.request_id, r.token_budget]["used"] = r.used
     assert {k: v for k, v in want.items() if v["taken"]} == dict(got) and len(got) > 30
+
+
+def test_text_match_scores_every_pair(spark):
+    """Pairs that share no term have a score, too; nodes alone are shuffled, not pairs."""
+    run, nodes, requests = QUERIES["ref_op083_text_match_scores"], QC.C.nodes(spark, FOLDER), QC.C.requests(spark, FOLDER)
+    every = S.candidates(requests, nodes)
+    matching = R.matches(requests, nodes).count()
+    assert run(spark, FOLDER).count() == every.count() > matching == every.where("direct").count() > 0
+    assert run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
