@@ -47,12 +47,12 @@ def appended(existing: DataFrame, batch: DataFrame, key: str, name: str) -> Data
 
 
 def snapshots_written(snapshots: DataFrame, newer: DataFrame) -> DataFrame:
-    """One JSON file a session in a folder by session; ``newer`` replaces those of its sessions alone; read back."""
-    path = folder_of(snapshots, "snapshots")
-    spark = snapshots.sparkSession
-    snapshots.write.partitionBy("session_id").json(path)
-    newer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").json(path)
-    return spark.read.schema("captured_at string, body string, session_id string").json(path)
+    """The last snapshot of each session in a keyed table by session; ``newer`` replaces those of its sessions alone; read back.
+
+    A bucket holds many sessions, so neither files nor what a commit moves grow with their number.
+    """
+    at = F.coalesce("captured_at", F.lit("")).alias("at")
+    return saved(snapshots, newer.select("*", at), "session_id", "at", "snapshots")
 
 
 def artifacts_written(rows: DataFrame, content: str, path: str | None = None) -> DataFrame:

@@ -98,3 +98,14 @@ def test_artifacts_are_written_once(spark, tmp_path):
     assert P.artifacts_written(rows, "props", path).count() == 2 and files(tmp_path) == before
     assert P.artifacts_written(spark.createDataFrame([("x",), ("z",)], "props string"), "props", path).count() == 3
     assert all(files(tmp_path)[k] == v for k, v in before.items())
+
+
+def test_snapshots_of_many_sessions_lie_in_few_files(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import store as P
+
+    rows = lambda at, ids: ids.select(F.lit(at).cast("string").alias("captured_at"), F.col("id").cast("string").alias("body"), F.concat(F.lit("s"), "id").alias("session_id"))
+    back = P.snapshots_written(rows("a", spark.range(300)), rows("b", spark.range(0, 300, 3)).unionByName(rows(None, spark.range(300, 302))))
+    assert {(r.session_id, r.captured_at, r.body) for r in back.collect()} == {(f"s{k}", None if k > 299 else "a" if k % 3 else "b", str(k)) for k in range(302)}
+    assert back.count() == 302 and len(back.inputFiles()) <= 64
