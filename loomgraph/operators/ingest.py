@@ -145,8 +145,8 @@ def noise(spans_: DataFrame, corrections: DataFrame) -> DataFrame:
     return rows.withColumn("seen", seen).withColumn("reason", why).withColumn("disposition", out).drop("of_id", "of_text", "override", "seen")
 
 
-def node_candidates(decided: DataFrame) -> DataFrame:
-    """Node candidates of spans with ``disposition`` and ``primary`` (the type of the record's own node): structure, topic, concepts."""
+def candidate_entries() -> Column:
+    """The node candidates of a span with ``disposition`` and ``primary`` (the type of the record's own node) as an array: structure, topic, concepts."""
     lists = F.create_map(*(x for r, v in ROUTES.items() for x in (F.lit(r), F.array(*map(F.lit, v[2])).cast("array<string>"))))[F.col("route")]
     target = F.get(F.filter(F.array_intersect(lists, F.col("types")), lambda t: ~t.eqNullSafe(F.col("primary"))), F.lit(0))
     hint, kinds = F.col("disposition") == "hint_only", F.col("types")
@@ -157,7 +157,12 @@ def node_candidates(decided: DataFrame) -> DataFrame:
     topic = F.when(F.array_contains(kinds, "Topic"), F.array(entry(F.lit(1), F.lit("Topic"), specific & ~hint & (F.col("primary") != "Topic"), none))).otherwise(no)
     concept = F.when(F.array_contains(kinds, "Concept"), F.transform("concepts", lambda c, k: entry(k + 2, F.lit("Concept"), ~hint & (F.col("primary") != "Concept"), c))).otherwise(no)
     extra = F.when(F.col("route").isin("conversation", "transcript", "experience_trace"), F.concat(topic, concept)).otherwise(no)
-    rows = decided.where(~F.col("disposition").isin("drop", "evidence_only")).withColumn("c", F.explode(F.concat(structure, extra)))
+    return F.when(F.col("disposition").isin("drop", "evidence_only"), no).otherwise(F.concat(structure, extra))
+
+
+def node_candidates(decided: DataFrame) -> DataFrame:
+    """Node candidates of spans with ``disposition`` and ``primary``, a row each."""
+    rows = decided.where(~F.col("disposition").isin("drop", "evidence_only")).withColumn("c", F.explode(candidate_entries()))
     rows = rows.select("id", "route", "sentence", "clause", "span_id", "text", "norm", F.size("concepts").alias("n_concepts"), "c.*")
     preview = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 96)
     rows = rows.withColumn("label", F.when(F.col("node_type") == "Concept", F.replace("concept", F.lit("_"), F.lit(" "))).otherwise(preview))

@@ -48,7 +48,8 @@ def _grams(word: Column, least: Column) -> Column:
 
 def containing(terms: DataFrame, words: DataFrame) -> DataFrame:
     """``term, word``: the distinct ``words`` that contain each of the distinct ``terms``, by the term's rarest substring."""
-    grams = written(words.select("word", F.explode(_grams(F.col("word"), F.lit(1))).alias("gram")))
+    # few bytes but much work a word: sessions' names are words, too, so their number grows with the input
+    grams = written(spread(words, "word").select("word", F.explode(_grams(F.col("word"), F.lit(1))).alias("gram")))
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
     own = terms.select("term", F.explode(_grams(F.col("term"), F.least(F.char_length("term"), F.lit(GRAM)))).alias("gram"))
     rarest = own.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).select("term", "m.gram")

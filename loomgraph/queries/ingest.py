@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import ingest as I
 from loomgraph.operators import memo as M
+from loomgraph.operators.selection import spread
 from loomgraph.operators.store import folder_of
 from loomgraph.queries.entities import ENTITIES, entity_edges
 from loomgraph.queries.model_sql import RECORDS, with_
@@ -143,7 +144,7 @@ SPANS_KEPT = "sentence int, clause int, boundary string, text string, norm strin
 
 def records(spark, d):
     """Turns as records with a route's facts and phrases that meet every branch."""
-    r, t, c = C.records(spark, d), F.col("turn"), F.col("content")
+    r, t, c = spread(C.records(spark, d)), F.col("turn"), F.col("content")
     said = (
         F.when(t % 7 == 0, F.concat(F.lit("First we need a workflow, and then the KG checkpoint; ok. "), c)).when(t % 7 == 1, F.concat(F.lit("You must not stop because the build failed. "), c))
         .when(t % 7 == 2, F.concat(c, F.lit(". Thanks. Thanks. Got it!"))).when(t % 7 == 3, F.concat(F.lit("What is the next step? "), c)).when(t % 7 == 4, F.concat(c, F.lit("，但是 需要 图谱，检查点。好的！")))
@@ -257,11 +258,14 @@ def span_nodes(spark, d):
   SELECT id, spans, dropped, evidence_only, hints, materialize, concepts, coalesce(candidates, 0) AS candidates, coalesce(made, 0) AS made FROM s LEFT JOIN c USING (id)""",
 )
 def process_record(spark, d):
+    """Spans and their candidates are counted in one pass; records without a span have no row."""
     r, n = records(spark, d), lambda k: F.count_if(F.col("disposition") == k)
-    decided = I.noise(I.spans(r), fixes(spark, d)).join(r.select("id", "primary"), "id")
-    s = decided.groupBy("id").agg(F.count("*").alias("spans"), n("drop").alias("dropped"), n("evidence_only").alias("evidence_only"), n("hint_only").alias("hints"), n("materialize").alias("materialize"), F.sum(F.size("concepts")).alias("concepts"))
-    c = I.node_candidates(decided).groupBy("id").agg(F.count("*").alias("candidates"), F.count_if(F.col("made") == "materialize").alias("made"))
-    return s.join(c, "id", "left").na.fill(0, ["candidates", "made"])
+    decided = I.noise(I.spans(r), fixes(spark, d)).join(r.select("id", "primary"), "id").withColumn("entries", I.candidate_entries())
+    size = lambda c: F.sum(F.size(c))
+    return decided.groupBy("id").agg(
+        F.count("*").alias("spans"), n("drop").alias("dropped"), n("evidence_only").alias("evidence_only"), n("hint_only").alias("hints"), n("materialize").alias("materialize"), size("concepts").alias("concepts"),
+        size("entries").alias("candidates"), size(F.filter("entries", lambda x: x["made"] == "materialize")).alias("made"),
+    )
 
 
 @query(

@@ -110,3 +110,11 @@ def test_compatibility_forms(spark):
         if t is not None and t != "ｶﾀｶﾅ １２":
             assert got[k][0] == unicodedata.normalize("NFKC", t), repr(t)
     assert got[0][1] == "abc fine" and got[5] == (None, "")
+
+
+def test_process_record_reads_its_tables_once(spark):
+    """Candidates are counted with their spans: turns are read for spans and types, corrections by id and by text."""
+    from loomgraph.queries import QUERIES
+
+    plan = QUERIES["ref_op231_process_record"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4, plan.count("Relation [")
