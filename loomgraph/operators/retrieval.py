@@ -51,9 +51,9 @@ def containing(terms: DataFrame, words: DataFrame) -> DataFrame:
     # few bytes but much work a word: sessions' names are words, too, so their number grows with the input
     grams = written(spread(words, "word").select("word", F.explode(_grams(F.col("word"), F.lit(1))).alias("gram")))
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    own = terms.select("term", F.explode(_grams(F.col("term"), F.least(F.char_length("term"), F.lit(GRAM)))).alias("gram"))
+    own = spread(terms, "term").select("term", F.explode(_grams(F.col("term"), F.least(F.char_length("term"), F.lit(GRAM)))).alias("gram"))
     rarest = own.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).select("term", "m.gram")
-    return rarest.join(grams, "gram").where(F.contains("word", "term")).select("term", "word")
+    return spread(rarest, "gram").join(spread(grams, "gram"), "gram").where(F.contains("word", "term")).select("term", "word")
 
 
 def index(n: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def best(r: DataFrame, n: DataFrame, most: dict[str, int] = MOST, depth: int = D
         lows = written(lows)
         hit = asking.join(top.select("term", "type", "id", "base"), ["term", "type"]).select("request_id", "id", "type", "base", "n", F.lit(1).alias("hits"))
         head = wanted.join(heads, "type").select("request_id", "id", "type", "base", F.lit(None).cast("int").alias("n"), F.lit(0).alias("hits"))
-        pairs = spread(hit.unionByName(head), "request_id", "id").groupBy("request_id", "id").agg(F.first("type").alias("type"), F.first("base").alias("base"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
+        pairs = spread(hit.unionByName(head), "request_id", "id").groupBy("request_id", "id", "type").agg(F.first("base").alias("base"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
         if least is not None:
             # what is known of a pair bounds its score: the terms that showed it, and those read to its base at most; below the last of the best it isn't scored
             known = pairs.join(few(least), ["request_id", "type"], "left").join(few(lows.select("request_id", "type", "lows", F.col("n").alias("of"))), ["request_id", "type"], "left")
