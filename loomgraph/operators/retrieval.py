@@ -7,8 +7,8 @@ The best nodes of a type for a request are sought as far as they can still be be
 with the request scores its base, so of such nodes only the head of its type can be among the best.  Of each term the
 nodes of highest base are read; a node that none of the request's terms has shown yet has at most the base at which the
 reading stopped, and what its terms could add.  If this is less than the last of the best nodes found, they are final; the
-other requests read deeper, and score only nodes whose known terms could better what they have.  Ranks are limited before they are shuffled, so a very common term costs each task its
-depth.
+other requests read deeper, and score only nodes whose known terms could better what they have.  Postings of a term and
+type are ranked by one task, once for all rounds.
 """
 
 from __future__ import annotations
@@ -104,9 +104,14 @@ def _gain(k: Column, n: Column) -> Column:
     return k * F.lit(float(term)) + k / n * float(coverage) + F.when(k == n, float(full + phrase)).otherwise(0.0)
 
 
+def _placed(rows: DataFrame, *by: str) -> DataFrame:
+    """``place`` of each row within its ``by`` in the order of ties: base, label, id."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("base"), "label", "id")))
+
+
 def _head(rows: DataFrame, depth: int, *by: str) -> DataFrame:
-    """The first ``depth`` rows of each ``by`` in the order of ties: base, label, id."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("base"), "label", "id"))).where(F.col("place") <= depth)
+    """The first ``depth`` rows of each ``by``."""
+    return _placed(rows, *by).where(F.col("place") <= depth)
 
 
 def best(r: DataFrame, n: DataFrame, most: dict[str, int] = MOST, depth: int = DEPTH) -> DataFrame:
@@ -117,21 +122,21 @@ def best(r: DataFrame, n: DataFrame, most: dict[str, int] = MOST, depth: int = D
     limit = X.lookup(F.col("type"), most, "int")
     n = n.where(F.col("type").isin(*most))
     terms = written(_terms(r))
-    posted = written(postings(terms, index(n)))
+    # ranked once: a round reads places up to its depth, and what is at that place is the base at which it stops
+    posted = written(_placed(postings(terms, index(n)), "term", "type").select("term", "type", "id", "base", "place"))
     heads = written(_head(n.select("id", "type", "base", "label"), max(most.values()), "type").where(F.col("place") <= limit).select("id", "type", "base"))
     wanted = r.select("request_id", F.explode(F.lit(list(most))).alias("type"))
     done: list[DataFrame] = []
     few = F.broadcast if r.count() <= S.REQUESTS else lambda frame: frame
     least: DataFrame | None = None
     while True:
-        top = written(_head(posted.join(wanted.join(terms, "request_id").select("term", "type").distinct(), ["term", "type"], "left_semi"), depth, "term", "type"))
-        unread = top.groupBy("term", "type").agg(F.count("*").alias("read"), F.min("base").alias("low")).where(F.col("read") >= depth).select("term", "type", "low")
         asking = wanted.join(terms, "request_id")
+        unread = posted.where(F.col("place") == depth).select("term", "type", F.col("base").alias("low"))
         lows = asking.join(unread, ["term", "type"]).groupBy("request_id", "type").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("low"), asc=False).alias("lows"))
         lows = written(lows)
-        hit = asking.join(top.select("term", "type", "id", "base"), ["term", "type"]).select("request_id", "id", "type", "base", "n", F.lit(1).alias("hits"))
+        hit = asking.join(posted.where(F.col("place") <= depth), ["term", "type"]).select("request_id", "id", "type", "base", "n", F.lit(1).alias("hits"))
         head = wanted.join(heads, "type").select("request_id", "id", "type", "base", F.lit(None).cast("int").alias("n"), F.lit(0).alias("hits"))
-        pairs = spread(hit.unionByName(head), "request_id", "id").groupBy("request_id", "id", "type").agg(F.first("base").alias("base"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
+        pairs = spread(hit.unionByName(head), "id").groupBy("request_id", "id", "type").agg(F.first("base").alias("base"), F.max("n").alias("n"), F.sum("hits").alias("hits"))
         if least is not None:
             # what is known of a pair bounds its score: the terms that showed it, and those read to its base at most; below the last of the best it isn't scored
             known = pairs.join(few(least), ["request_id", "type"], "left").join(few(lows.select("request_id", "type", "lows", F.col("n").alias("of"))), ["request_id", "type"], "left")
@@ -139,7 +144,7 @@ def best(r: DataFrame, n: DataFrame, most: dict[str, int] = MOST, depth: int = D
             unshown = F.when(F.col("lows").isNull(), 0).otherwise(F.size(F.filter("lows", lambda low: low >= F.col("base"))))
             terms_at_most = F.least(n_terms, F.col("hits") + unshown)
             pairs = known.where(F.col("least").isNull() | (F.col("base") + _gain(terms_at_most, n_terms) >= F.col("least") - MARGIN))
-        found = S.scored(pairs.select("request_id", "id").join(r, "request_id").join(n, "id"))
+        found = S.scored(pairs.select("request_id", "id").join(n, "id").join(few(r), "request_id"))
         w = Window.partitionBy("request_id", "type").orderBy(F.desc("score"), "label", "id")
         kept = written(found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(most.values())).where(F.col("place") <= limit))
         least = kept.groupBy("request_id", "type").agg(F.when(F.count("*") == F.first(limit), F.min("score")).alias("least"))

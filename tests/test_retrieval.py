@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 from pathlib import Path
 
@@ -112,3 +113,21 @@ def test_text_match_scores_every_pair(spark):
     matching = R.matches(requests, nodes).count()
     assert run(spark, FOLDER).count() == every.count() > matching == every.where("direct").count() > 0
     assert run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
+
+
+def test_rounds_deal_pairs_once(spark, monkeypatch):
+    """Pairs come to the nodes by one shuffle of ids, without the requests' texts, and postings aren't ranked again."""
+    requests, nodes, _ = graph(spark, 5)
+    r, n = R.written(S.asked(requests)), R.written(S.recallable(nodes).where("scope = 'global'"))
+    plans, scored = [], S.scored
+    monkeypatch.setattr(S, "scored", lambda found: plans.append(found._jdf.queryExecution().executedPlan().toString()) or scored(found))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert R.best(r, n, depth=2).count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) > 1
+    for plan in plans:
+        # the pairs' and the nodes'; none of pairs by both ids, and none of pairs that hold a request's terms
+        assert plan.count("Exchange hashpartitioning(id") == 2 and "Window" not in plan and not re.search(r"hashpartitioning\(request_id#\d+, id#", plan), plan
