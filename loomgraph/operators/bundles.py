@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed as X
 from loomgraph.functions import text as T
+from loomgraph.operators.selection import spread
 
 #: Words of labels that speak of a risk, or of a failed state; how many risks and topics a bundle takes.
 OPEN_RISK = "risk|block|conflict|constraint|forbid|warning"
 FAILED = r"(?<![A-Za-z0-9_])(?:fail|failure|blocked|timeout|error|exception|rollback|conflict)(?![A-Za-z0-9_])|失败|阻塞|超时|错误|异常|回滚|冲突"
 RISKS, TOPICS = 4, 4
+#: The slots of bundles, and why a node is mentioned with one.
+SLOT_NAMES = ("goal", "intent", "process", *X.CATEGORIES)
+SELECTED, SKIPPED, RELATED = "selected for", "skipped in", "related to a selection"
 #: Bonuses that learned knowledge gives to nodes.
 SEVERITY_BONUS = {"high": 2.5, "medium": 2.0, "low": 1.5}
 
@@ -154,10 +158,22 @@ def primary_kind(kinds: Column) -> Column:
     return F.when(F.array_contains(kinds, "relation_graph"), "relation_graph").when(F.array_contains(kinds, "learning_graph"), "learning_graph").otherwise("direct_text")
 
 
-def recalled_nodes(mentions: DataFrame) -> DataFrame:
-    """Each node that a bundle mentions (``request_id, id, included, reason, kinds``), with all reasons and kinds together."""
-    g = mentions.groupBy("request_id", "id").agg(F.max("included").alias("included"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))
-    return g.withColumn("primary_kind", primary_kind(F.col("kinds")))
+def recalled_nodes(listed: DataFrame, items: DataFrame, related: DataFrame) -> DataFrame:
+    """Each node that a bundle mentions, with all reasons together: ``request_id, id, included, reasons, direct, related, primary_kind``.
+
+    ``listed`` are all candidates and ``items`` those that were selected (``request_id, id, slot``, a slot of SLOT_NAMES);
+    ``related`` are nodes that relations of items lead to (``request_id, id``).  A candidate is skipped where fewer rows of
+    its id are selected than listed.  All is counted where pairs are dealt to, once, and reasons are bits of one number.
+    """
+    row = lambda rows, slot, listed, selected, related: rows.select("request_id", "id", slot.alias("slot"), *(F.lit(v).alias(k) for k, v in (("listed", listed), ("selected", selected), ("related", related))))
+    rows = row(listed, F.col("slot"), 1, 0, False).unionByName(row(items, F.col("slot"), 0, 1, False)).unionByName(row(related, F.lit(None).cast("string"), 0, 0, True))
+    slots = spread(rows, "request_id", "id").groupBy("request_id", "id", "slot").agg(F.sum("listed").alias("listed"), F.sum("selected").alias("selected"), F.max("related").alias("related"))
+    texts = sorted([RELATED, *(f"{v} {s}" for s in SLOT_NAMES for v in (SELECTED, SKIPPED))])
+    bit = lambda verb: F.coalesce(X.lookup(F.col("slot"), {s: 1 << texts.index(f"{verb} {s}") for s in SLOT_NAMES}, "int"), F.lit(0))
+    why = F.when(F.col("related"), 1 << texts.index(RELATED)).otherwise(0).bitwiseOR(F.when(F.col("selected") > 0, bit(SELECTED)).otherwise(0)).bitwiseOR(F.when(F.col("listed") > F.col("selected"), bit(SKIPPED)).otherwise(0))
+    g = slots.groupBy("request_id", "id").agg(F.max(F.col("selected") > 0).alias("included"), F.bit_or(why).alias("why"), F.max(F.col("listed") + F.col("selected") > 0).alias("direct"), F.max("related").alias("related"))
+    reasons = F.concat_ws("; ", *(F.when(F.col("why").bitwiseAND(1 << k) != 0, t) for k, t in enumerate(texts)))
+    return g.select("request_id", "id", "included", reasons.alias("reasons"), "direct", "related", F.when(F.col("related"), "relation_graph").otherwise("direct_text").alias("primary_kind"))
 
 
 def selection_status(considered: DataFrame) -> DataFrame:

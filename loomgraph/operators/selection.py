@@ -67,12 +67,17 @@ def asked(requests: DataFrame) -> DataFrame:
     return requests.withColumn("norm", T.normalized(F.col("query"))).withColumn("terms", T.terms(F.col("norm"))).withColumnsRenamed({"session_id": "r_session", "workspace_id": "r_workspace"})
 
 
+def may_be_recalled() -> Column:
+    """Whether any request may recall a node: it isn't superseded, and its type may be in a prompt."""
+    return (F.col("freshness") != "superseded") & eligible(F.col("type"))
+
+
 def recallable(nodes: DataFrame) -> DataFrame:
     """Nodes that any request may recall, with their normalised texts and base scores.
 
     Types that a prompt may hold are neither traces nor promoted knowledge, so ``admitted`` holds for all of them.
     """
-    kept = nodes.where((F.col("freshness") != "superseded") & eligible(F.col("type")))
+    kept = nodes.where(may_be_recalled())
     return kept.withColumn("label_norm", T.normalized(F.col("label"))).withColumn("payload_norm", T.normalized(F.col("payload"))).withColumn("base", base_score())
 
 
@@ -104,6 +109,30 @@ def spread(frame: DataFrame, *by: str) -> DataFrame:
     return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
+def _blocks(requests: DataFrame) -> list[DataFrame]:
+    """``asked`` requests once for each scope that they ask for (``asks``, with its owner), in blocks of REQUESTS, counted first."""
+    scope = lambda name, owner: F.struct(F.lit(name).alias("name"), owner.alias("owner"))
+    asks = asked(requests).withColumn("asks", F.explode(F.array(scope("session", F.col("r_session")), scope("workspace", F.col("r_workspace")), scope("global", F.lit("")))))
+    blocks = max(1, -(-requests.count() // REQUESTS))
+    block = F.pmod(F.xxhash64("request_id"), F.lit(blocks))
+    return [asks.where(block == k) for k in range(blocks)]
+
+
+def _owned(n: DataFrame) -> DataFrame:
+    """Nodes with the owner of their scope."""
+    return n.withColumn("owner", F.when(F.col("scope") == "session", F.col("session_id")).when(F.col("scope") == "workspace", F.col("workspace_id")).otherwise(""))
+
+
+def _met(owned: DataFrame, asks: DataFrame) -> DataFrame:
+    return owned.join(F.broadcast(asks), (F.col("scope") == F.col("asks.name")) & (F.col("owner") == F.col("asks.owner")))
+
+
+def listed(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of ``candidates`` without their scores: ``request_id, id, type``."""
+    owned = _owned(spread(nodes).where(may_be_recalled())).select("id", "type", "scope", "owner")
+    return reduce(DataFrame.unionByName, [_met(owned, b.select("request_id", "asks")).select("request_id", "id", "type") for b in _blocks(requests)])
+
+
 def candidates(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each request with all nodes of its session, its workspace and all scopes that it may recall, and their scores.
 
@@ -111,15 +140,8 @@ def candidates(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     A request asks for three scopes, each with its owner, and a node lies in one; so pairs come by one equality join, of
     nodes where they lie.  Requests are a stated query set: they are sent in blocks of REQUESTS, counted first.
     """
-    r, n = asked(requests), recallable(spread(nodes))
-    scope = lambda name, owner: F.struct(F.lit(name).alias("name"), owner.alias("owner"))
-    asks = r.withColumn("asks", F.explode(F.array(scope("session", F.col("r_session")), scope("workspace", F.col("r_workspace")), scope("global", F.lit("")))))
-    owned = n.withColumn("owner", F.when(F.col("scope") == "session", F.col("session_id")).when(F.col("scope") == "workspace", F.col("workspace_id")).otherwise(""))
-    blocks = max(1, -(-requests.count() // REQUESTS))
-    block = F.pmod(F.xxhash64("request_id"), F.lit(blocks))
-    held = [F.broadcast(asks.where(block == k)) for k in range(blocks)]
-    found = [owned.join(h, (F.col("scope") == F.col("asks.name")) & (F.col("owner") == F.col("asks.owner"))) for h in held]
-    return scored(reduce(DataFrame.unionByName, found))
+    owned = _owned(recallable(spread(nodes)))
+    return scored(reduce(DataFrame.unionByName, [_met(owned, b) for b in _blocks(requests)]))
 
 
 def ranked(rows: DataFrame, *by: str) -> DataFrame:

@@ -16,6 +16,7 @@ from loomgraph.queries.graph import PAIRS, STANDING, sided
 from loomgraph.queries.model_sql import CORRECTIONS, EDGES, NODES, NORM, REQUESTS, terms, with_
 from loomgraph.queries.registry import query
 from loomgraph.sources import corpus as C
+from loomgraph.sources.transcripts import written
 
 #: nodes whose labels speak of failures and risks, too
 SPOKEN = NODES.replace("nodes AS (", "plain_nodes AS (", 1) + ",\nnodes AS (SELECT * REPLACE (label || (['; error seen', '; open risk', '', '', ''])[((conv_id + turn) % 5 + 1)::INTEGER] AS label) FROM plain_nodes)"
@@ -49,13 +50,20 @@ def slotted(spark, d):
     return _slotted(candidates(spark, d))
 
 
+def _with_slot(rows):
+    return rows.withColumn("slot", X.lookup(F.col("type"), X.CATEGORY_OF | X.SLOTS, "string")).where("slot is not null")
+
+
 def _slotted(rows):
-    rows = rows.withColumn("slot", X.lookup(F.col("type"), X.CATEGORY_OF | X.SLOTS, "string")).where("slot is not null")
-    return S.ranked(rows, "request_id", "slot").withColumn("most", F.coalesce(X.lookup(F.col("slot"), {k: v[1] for k, v in X.CATEGORIES.items()}, "int"), F.lit(1)))
+    return S.ranked(_with_slot(rows), "request_id", "slot").withColumn("most", F.coalesce(X.lookup(F.col("slot"), {k: v[1] for k, v in X.CATEGORIES.items()}, "int"), F.lit(1)))
+
+
+def _selected(rows):
+    return _slotted(rows).where("rank <= 8").where("rank <= most")
 
 
 def items(spark, d):
-    return _slotted(R.recalled(C.requests(spark, d), nodes(spark, d))).where("rank <= 8").where("rank <= most")
+    return _selected(R.recalled(C.requests(spark, d), nodes(spark, d)))
 
 
 @query("ref_op134_open_risks", MODEL + """, o AS (SELECT request_id, id, min({'f': f, 'r': rank}) AS o FROM (SELECT *, CASE WHEN slot = 'risks' THEN 0 WHEN slot =
@@ -249,10 +257,10 @@ def recall_kinds(spark, d):
     bool_or(kind = 'relation_graph') THEN 'relation_graph' ELSE 'direct_text' END AS primary_kind FROM m GROUP BY 1, 2""",
 )
 def recalled_nodes(spark, d):
-    s = slotted(spark, d)
-    own = s.select("request_id", "id", (F.col("rank") <= F.col("most")).alias("included"), F.concat(F.when(F.col("rank") <= F.col("most"), "selected for ").otherwise("skipped in "), "slot").alias("reason"), F.array(F.lit("direct_text")).alias("kinds"))
-    more = related(spark, d, items(spark, d)).select("request_id", "id", F.lit(False).alias("included"), F.lit("related to a selection").alias("reason"), F.array(F.lit("relation_graph")).alias("kinds"))
-    return B.recalled_nodes(own.unionByName(more)).select("request_id", "id", "included", F.array_join("reasons", "; ").alias("reasons"), "primary_kind")
+    r, n = C.requests(spark, d), nodes(spark, d)
+    # read twice; the list of all pairs takes no scores and no ranks
+    chosen = written(items(spark, d).select("request_id", "id", "slot"))
+    return B.recalled_nodes(_with_slot(S.listed(r, n)), chosen, related(spark, d, chosen)).select("request_id", "id", "included", "reasons", "primary_kind")
 
 
 #: candidates, and nodes of a request's session and workspace that can't be recalled; conflicts as they were decided

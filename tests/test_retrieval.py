@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed as X
+from loomgraph.operators import bundles as B
 from loomgraph.operators import compiling as K
 from loomgraph.operators import retrieval as R
 from loomgraph.operators import selection as S
@@ -115,6 +116,24 @@ def test_text_match_scores_every_pair(spark):
     assert run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
 
 
+def test_recalled_nodes_list_pairs_without_ranks(spark):
+    """The list of all candidates takes neither scores nor ranks, and is dealt once."""
+    plan = QUERIES["ref_op114_recalled_nodes"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "NestedLoop" not in plan and plan.count("Exchange hashpartitioning(request_id") <= 2
+
+
+def test_recalled_nodes_of_several_rows_and_slots(spark):
+    """An id of two rows of which one is selected, an id in two slots, a related candidate, and one that is related alone."""
+    listed = spark.createDataFrame([(1, "a", "rules"), (1, "a", "rules"), (1, "b", "risks"), (1, "b", "goal"), (2, "b", "risks")], "request_id int, id string, slot string")
+    items = spark.createDataFrame([(1, "a", "rules"), (1, "b", "goal")], listed.schema)
+    related = spark.createDataFrame([(2, "b"), (2, "z")], "request_id int, id string")
+    got = {(r.request_id, r.id): (r.included, r.reasons, r.primary_kind, r.direct) for r in B.recalled_nodes(listed, items, related).collect()}
+    assert got == {
+        (1, "a"): (True, "selected for rules; skipped in rules", "direct_text", True), (1, "b"): (True, "selected for goal; skipped in risks", "direct_text", True),
+        (2, "b"): (False, "related to a selection; skipped in risks", "relation_graph", True), (2, "z"): (False, "related to a selection", "relation_graph", False),
+    }
+
+
 def test_rounds_deal_pairs_once(spark, monkeypatch):
     """Pairs come to the nodes by one shuffle of ids, without the requests' texts, and postings aren't ranked again."""
     requests, nodes, _ = graph(spark, 5)
