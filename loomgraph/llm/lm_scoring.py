@@ -9,7 +9,7 @@ tree over all leaves, so the probabilities of all words sum to one.
 The network is trained in numpy on every word of all documents.  Documents are dealt by a hash to groups of about
 GROUP_WORDS words, one network is trained in mini-batches on each, all from the same start, and their parameters are
 averaged in rounds of bounded fan-in, weighted by words.  Groups depend on the rows alone, so neither the partitions nor
-the order of the table has a say.
+the order of the table has a say.  Texts are turned into leaves once, two bytes a word; training and scoring read these.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,9 @@ VOCABULARY = 32_768
 STEPS = 16
 WIDTH = 16
 SIDES = (-2, -1, 1, 2)
+EDGE = 2
+#: A leaf as it is sent and kept.
+LEAF = np.uint16
 #: Leaves for the words that have none of their own, each time that their number doubles.
 MORE_LEAVES = 4
 #: Words of a mini-batch, of a group that trains one network, and networks that are averaged at once.
@@ -60,6 +65,14 @@ class Codes(dict):
         return Codes, (dict(self), self.rest)
 
 
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of all texts, as ``str.split`` gives them, and the number of each one's text."""
+    found = pc.utf8_split_whitespace(texts)
+    text, found = pc.list_parent_indices(found), pc.list_flatten(found)
+    real = pc.not_equal(found, "")  # there is an empty one where a text begins or ends with a space
+    return text.filter(real).to_numpy().astype(np.int64), found.filter(real)
+
+
 def rest_leaves(rest: int) -> int:
     """How many leaves ``rest`` distinct words share."""
     return MORE_LEAVES * max(1, rest.bit_length())
@@ -71,8 +84,11 @@ class Words:
 
     of: Codes
     share: np.ndarray
-    #: Where a leaf's path begins, and the nodes and directions (1 or -1) along all paths.
+    #: Where a leaf's path begins, how many of its steps are at the top, how many beyond; the nodes and directions (1 or -1)
+    #: along all paths.
     begin: np.ndarray
+    near: np.ndarray
+    beyond: np.ndarray
     node: np.ndarray
     way: np.ndarray
 
@@ -81,9 +97,13 @@ class Words:
         """``rest`` distinct words aren't frequent; ``rest_mass`` has the sum of their counts by leaf, from 0 on."""
         leaves = rest_leaves(rest)
         mass = [max(1, rest_mass.get(k, 0)) for k in range(leaves)]
+        if len(frequent) + leaves > np.iinfo(LEAF).max:
+            raise ValueError("more leaves than two bytes tell apart")
         of = Codes({w: k for k, (w, _) in enumerate(frequent)}, leaves)
         share = np.concatenate([np.zeros(len(frequent)), -np.log(mass)])
-        return cls(of, share, *huffman([*(n for _, n in frequent), *mass]))
+        begin, node, way = huffman([*(n for _, n in frequent), *mass])
+        near = np.diff(np.concatenate([[0], np.cumsum(node < TOP)])[begin])  # on a path nodes ascend, so those of the top come first
+        return cls(of, share, begin, near, np.diff(begin) - near, node.astype(LEAF), way.astype(np.int8))
 
     @property
     def leaves(self) -> int:
@@ -91,14 +111,49 @@ class Words:
 
     def encoded(self, text: str | None) -> np.ndarray:
         """The leaf of each word."""
-        return np.fromiter(map(self.of.__getitem__, text.split()), np.int64) if text else np.zeros(0, np.int64)
+        return self.coded(pa.array([text], pa.string()))[1]
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+        """Of all words of ``texts``, the text (by number) and the leaf; and of each text, the words that have no leaf of their own, with a space between."""
+        text, found = split(texts)
+        found = found.dictionary_encode()
+        word, known = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        leaf = np.fromiter(map(self.of.get, known, repeat(-1)), np.int32, len(known))
+        missing = np.flatnonzero(leaf < 0)
+        leaf[missing] = self.of.own + np.fromiter(map(zlib.crc32, map(str.encode, map(known.__getitem__, missing.tolist()))), np.int64, len(missing)) % self.of.rest
+        leaf = leaf.take(word)
+        at = np.flatnonzero(leaf >= self.of.own)
+        begin = np.searchsorted(text[at], np.arange(len(texts) + 1))
+        left = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), found.dictionary.take(pa.array(word[at])).cast(pa.string())), " ")
+        return text, leaf.astype(LEAF), left
+
+    def paths(self, leaf: np.ndarray) -> Paths:
+        """All steps to ``leaf``, words in the order of their steps beyond the top, most first."""
+        steps = self.beyond.take(leaf)
+        order = np.argsort((steps.max() - steps).astype(LEAF), kind="stable")
+        leaf = leaf.take(order)
+        sizes = len(leaf) - np.cumsum(np.bincount(steps))[:-1]
+        first, count = self.begin.take(leaf), self.near.take(leaf)
+        end = np.cumsum(count)
+        near = np.repeat(np.arange(len(leaf)), count)
+        top, beyond = np.arange(len(near)) + (first - end + count).take(near), first + count
+        at = np.concatenate([top, *(beyond[:n] + k for k, n in enumerate(sizes.tolist()))])
+        return Paths(order, near, sizes.tolist(), self.node.take(at), self.way.take(at))
 
-    def steps(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All steps of the paths to ``leaf``: which of them, node, way; and how many steps each has."""
-        count = self.begin[leaf + 1] - self.begin[leaf]
-        first = np.cumsum(count) - count
-        at = np.arange(int(count.sum())) + np.repeat(self.begin[leaf] - first, count)
-        return np.repeat(np.arange(len(leaf)), count), self.node[at], self.way[at], count
+
+@dataclass
+class Paths:
+    """Steps of a batch: first those to nodes of the top, word by word, then the first, second ... beyond it of each word.
+
+    Of ``n`` words that have a step of some depth beyond the top, the first ``n`` in ``order`` have one.
+    """
+
+    order: np.ndarray
+    #: The word, by its place in ``order``, of each step at the top; words by depth beyond it; node and way of all steps.
+    near: np.ndarray
+    sizes: list[int]
+    node: np.ndarray
+    way: np.ndarray
 
 
 def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,98 +196,145 @@ class WindowNet:
     def parameters(self) -> list[np.ndarray]:
         return [self.inputs, self.scale, self.bias, self.nodes, self.offset]
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        """``context``: input rows by place and side."""
-        h = np.einsum("psw,sw->pw", self.inputs[context], self.scale, optimize=False) + self.bias
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """Of every place but the first and last two, edges too; ``x``: the input row of each place."""
+        n = len(x) - 2 * EDGE
+        h = np.tile(self.bias, (n, 1))
+        for side, scale in zip(SIDES, self.scale, strict=True):
+            h += x[EDGE + side : EDGE + side + n] * scale
         return np.tanh(h, out=h)
 
     def log_probabilities(self, words: Words, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Of each leaf given its context: [place, side] and [place]."""
-        out = np.empty(len(leaf))
+        """Of each leaf given its ``context`` (see ``contexts``), whose words, but for two at each end, ``leaf`` has."""
+        out, place = np.empty(len(leaf)), EDGE + np.flatnonzero(context[EDGE:-EDGE])
         for k in range(0, len(leaf), BATCH):
-            h = self.hidden(context[k : k + BATCH])
-            of, z, _ = self.choices(words, h, leaf[k : k + BATCH])
-            # log(sigmoid(z))
-            out[k : k + BATCH] = np.bincount(of, np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), len(h))
+            at, own = place[k : k + BATCH], leaf[k : k + BATCH]
+            paths = words.paths(own)
+            h = self.hidden(self.inputs.take(context[at[0] - EDGE : at[-1] + EDGE + 1], axis=0)).take(at.take(paths.order) - at[0], axis=0)
+            z, _ = self.choices(paths, h)
+            each = np.minimum(z, 0) - np.log(1 + np.exp(-np.abs(z)))  # log(sigmoid(z))
+            total, first = np.bincount(paths.near, each[: len(paths.near)], len(h)), len(paths.near)
+            for n in paths.sizes:
+                total[:n] += each[first : first + n]
+                first += n
+            out[k + paths.order] = total
         return out
 
-    def choices(self, words: Words, h: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Of all steps of the paths: which word's, and the answer in the step's way; and what learning needs besides."""
-        of, node, way, _ = words.steps(leaf)
-        top = node < TOP
-        near, far = np.flatnonzero(top), np.flatnonzero(~top)
-        beyond, w = h[of[far]], self.nodes[node[far]]
-        z = np.empty(len(node), np.float32)
-        z[near] = (h @ self.nodes[:TOP].T)[of[near], node[near]]
-        z[far] = np.einsum("iw,iw->i", beyond, w)
-        return of, way * (z + self.offset[node]), (node, way, near, far, beyond, w)
+    def choices(self, paths: Paths, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The answer of each step in the step's way, and the nodes' rows beyond the top by depth; ``h`` in the order of ``paths``."""
+        z, rows, first = np.empty(len(paths.node), np.float32), [], len(paths.near)
+        top = h @ self.nodes[:TOP].T
+        z[:first] = top.ravel().take(paths.near * top.shape[1] + paths.node[:first])
+        for n in paths.sizes:
+            w = self.nodes.take(paths.node[first : first + n], axis=0)
+            np.einsum("iw,iw->i", h[:n], w, out=z[first : first + n])
+            rows.append(w)
+            first += n
+        z += self.offset.take(paths.node)
+        z *= paths.way
+        return z, rows
 
     def learn(self, words: Words, context: np.ndarray, leaf: np.ndarray, rate: float, squares: list[np.ndarray]) -> None:
         """One step of Adagrad on a batch, on the rows of the batch alone where a table is large."""
-        x = self.inputs[context]
-        h = np.tanh(np.einsum("psw,sw->pw", x, self.scale, optimize=False) + self.bias)
-        of, z, (node, way, near, far, beyond, w) = self.choices(words, h, leaf)
-        g = -way / (1 + np.exp(np.clip(z, -30, 30)))
-        at_top = np.zeros((len(h), TOP), np.float32)
-        at_top[of[near], node[near]] = g[near]
-        back = at_top[:, : len(self.nodes)] @ self.nodes[:TOP]
+        x, paths = self.inputs.take(context, axis=0), words.paths(leaf)
+        place = np.flatnonzero(context[EDGE:-EDGE]).take(paths.order)
+        h = self.hidden(x).take(place, axis=0)
+        z, rows = self.choices(paths, h)
+        g = np.exp(np.minimum(z, 30, out=z), out=z)
+        g += 1
+        np.divide(paths.way, g, out=g)
+        np.negative(g, out=g)
+        first, n = len(paths.near), min(TOP, len(self.nodes))
+        at_top = np.zeros((len(h), n), np.float32)
+        at_top.ravel()[paths.near * n + paths.node[:first]] = g[:first]
+        back, far, begin = at_top @ self.nodes[:n], np.empty((len(g) - first, WIDTH), np.float32), 0
+        for w in rows:
+            own, stop = g[first + begin : first + begin + len(w), None], begin + len(w)
+            np.multiply(h[: len(w)], own, out=far[begin:stop])
+            w *= own
+            back[: len(w)] += w
+            begin = stop
+        self._step(self.nodes, squares[3], slice(0, n), at_top.T @ h, rate)
+        self._step(self.offset, squares[4], slice(0, n), np.ones(len(h), np.float32) @ at_top, rate)
         if len(far):
-            w *= g[far, None]
-            first = np.flatnonzero(np.r_[True, of[far[1:]] != of[far[:-1]]])
-            back[of[far[first]]] += np.add.reduceat(w, first, axis=0)
-            beyond *= g[far, None]
-            rows, step = summed(node[far], beyond)
-            self._step(self.nodes, squares[3], rows, step, rate)
-        n = min(TOP, len(self.nodes))
-        self._step(self.nodes, squares[3], slice(0, n), (at_top.T @ h)[:n], rate)
-        total = np.bincount(node, g, len(self.offset)).astype(np.float32)
-        squares[4] += total * total
-        self.offset -= rate * total / np.sqrt(squares[4])
-        back *= 1 - h * h
-        sides = back[:, None, :] * self.scale
-        for p, s, d in ((self.scale, squares[1], np.einsum("psw,pw->sw", x, back)), (self.bias, squares[2], back.sum(axis=0))):
-            s += d * d
-            p -= rate * d / np.sqrt(s)
-        rows, step = summed(context.ravel(), sides.reshape(-1, WIDTH))
-        self._step(self.inputs, squares[0], rows, step, rate)
+            order, begin, node = grouped(paths.node[first:])
+            self._step(self.nodes, squares[3], node, sums(far, order, begin), rate)
+            self._step(self.offset, squares[4], node, np.add.reduceat(g[first:].take(order), begin), rate)
+        h *= h
+        back *= np.subtract(1, h, out=h)
+        # what a place passes on to each side; edges between texts have passed on nothing
+        m = len(context) - 2 * EDGE
+        d, whole = np.zeros((m, WIDTH), np.float32), np.zeros_like(x)
+        put(d, place, back)
+        to_scale = np.stack([np.einsum("pw,pw->w", x[EDGE + s : EDGE + s + m], d) for s in SIDES])
+        for s, scale in zip(SIDES, self.scale, strict=True):
+            whole[EDGE + s : EDGE + s + m] += d * scale
+        self._step(self.scale, squares[1], slice(None), to_scale, rate)
+        self._step(self.bias, squares[2], slice(None), np.ones(len(h), np.float32) @ back, rate)
+        order, begin, row = grouped(context)
+        self._step(self.inputs, squares[0], row, sums(whole, order, begin), rate)
 
     @staticmethod
     def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
-        s = squares[rows] + g * g
-        squares[rows] = s
-        table[rows] -= rate * g / np.sqrt(s)
+        if isinstance(rows, slice):
+            s, old = squares[rows] + g * g, table[rows]
+            squares[rows] = s
+            table[rows] = old - rate * g / np.sqrt(s)
+            return
+        s = squares.take(rows, axis=0)
+        s += g * g
+        put(squares, rows, s)
+        g *= rate
+        g /= np.sqrt(s, out=s)
+        put(table, rows, np.subtract(table.take(rows, axis=0), g, out=g))
+
+
+def put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] = values``, a row at a time as one item, which is several times as fast."""
+    item = np.dtype((np.void, table.nbytes // len(table)))
+    np.put(table.view(item), rows, values.view(item))
+
+
+def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, where each begins in it, and the distinct rows; rows are below 65,536."""
+    rows = rows.astype(LEAF)  # numpy sorts two bytes by radix
+    order = np.argsort(rows, kind="stable")
+    rows = rows.take(order)
+    begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return order, begin, rows[begin].astype(np.int64)
 
 
-def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    order = np.argsort(rows.astype(np.int32), kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[first], np.add.reduceat(values[order], first, axis=0)
+def sums(values: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` in groups, two numbers at a time as a complex one."""
+    return np.add.reduceat(values.take(order, axis=0).view(np.complex64), begin, axis=0).view(np.float32)
 
 
-def contexts(leaf: np.ndarray) -> np.ndarray:
-    """The input rows on each side of every place of a text: [place, side]."""
-    padded = np.concatenate([[0, 0], leaf + 1, [0, 0]])
-    return np.stack([padded[2 + k : 2 + k + len(leaf)] for k in SIDES], axis=1)
+def contexts(*leaves: np.ndarray) -> np.ndarray:
+    """The input rows of texts one after another, with edges before, between and after them."""
+    edge = np.zeros(EDGE, LEAF)
+    return np.concatenate([edge, *(part for leaf in leaves for part in (leaf + LEAF(1), edge))])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """``word, n`` over all rows of column ``text``; a task sums what it has met before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        def summed(counts: list[pa.Table]) -> pa.Table:
+            return pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        counts: Counter = Counter()
+        counts, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(text.split())
-            if len(counts) > TASK_WORDS:
-                yield out(counts)
-                counts = Counter()
-        yield out(counts)
+            word, n = split(batch.column(0))[1].value_counts().flatten()
+            counts.append(pa.table({"word": word.cast(pa.string()), "n": n}))
+            size += len(n)
+            if size > TASK_WORDS:
+                counts = [summed(counts)]
+                size = len(counts[0])
+                if 2 * size > TASK_WORDS:
+                    yield from counts[0].to_batches()
+                    counts, size = [], 0
+        if counts:
+            yield from summed(counts).to_batches()
 
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -243,23 +345,26 @@ class Fit:
     def __init__(self, words: Words, seed: int, batch: int, rate: float = 0.1):
         self.words, self.batch, self.rate, self.net = words, batch, rate, WindowNet.start(seed, words.leaves)
         self.squares = [np.full_like(p, 1e-2) for p in self.net.parameters()]
-        self.seen, self.size, self.held = 0, 0, []
+        self.seen, self.size, self.held = 0, 0, [contexts()]
 
-    def add(self, text: str | None) -> None:
-        leaf = self.words.encoded(text)
+    def add(self, leaf: np.ndarray) -> None:
+        """A text, by its leaves."""
         if len(leaf):
-            self.held.append((contexts(leaf), leaf))
+            self.held.append(contexts(leaf)[EDGE:])
             self.size += len(leaf)
             if self.size >= self.batch:
                 self.learn(whole=True)
 
     def learn(self, whole: bool) -> None:
         """Steps on what is held, as long as ``whole`` batches are left, or on all."""
-        x, y = np.concatenate([h[0] for h in self.held]), np.concatenate([h[1] for h in self.held])
-        stop = len(y) // self.batch * self.batch if whole else len(y)
+        held = np.concatenate(self.held)  # begins with the two places before the next word
+        place = EDGE + np.flatnonzero(held[EDGE:])
+        stop = len(place) // self.batch * self.batch if whole else len(place)
         for k in range(0, stop, self.batch):
-            self.net.learn(self.words, x[k : k + self.batch], y[k : k + self.batch], self.rate, self.squares)
-        self.seen, self.size, self.held = self.seen + min(stop, len(y)), len(y) - min(stop, len(y)), [(x[stop:], y[stop:])]
+            at = place[k : k + self.batch]
+            self.net.learn(self.words, held[at[0] - EDGE : at[-1] + EDGE + 1], held[at].astype(np.int64) - 1, self.rate, self.squares)
+        self.seen, self.size = self.seen + stop, len(place) - stop
+        self.held = [held[place[stop] - EDGE :] if self.size else contexts()]
 
     def done(self) -> tuple[WindowNet, int]:
         if self.size:
@@ -271,12 +376,12 @@ def fitted(texts: Iterable[str | None], words: Words, seed: int) -> tuple[Window
     """The network that is trained on ``texts``, and the number of their words."""
     fit = Fit(words, seed, BATCH)
     for text in texts:
-        fit.add(text)
+        fit.add(words.encoded(text))
     return fit.done()
 
 
 def train(rows: DataFrame, words: Words, total: int, seed: int) -> WindowNet:
-    """The average of the networks of all groups of ``rows`` (``doc_id, text``), which have ``total`` words."""
+    """The average of the networks of all groups of ``rows`` (``digest, leaves``), which have ``total`` words."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(words)
     columns = "part long, seen double, net binary"
@@ -288,12 +393,12 @@ def train(rows: DataFrame, words: Words, total: int, seed: int) -> WindowNet:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = None, None
         for batch in batches:
-            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for p, leaves in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p != part:
                     if at is not None:
                         yield row(part, *flat(*at.done()))
                     part, at = p, Fit(shared.value, seed, BATCH)
-                at.add(text)
+                at.add(np.frombuffer(leaves, LEAF))
         if at is not None:
             yield row(part, *flat(*at.done()))
 
@@ -307,9 +412,8 @@ def train(rows: DataFrame, words: Words, total: int, seed: int) -> WindowNet:
         total = sum(w * np.frombuffer(net.as_py(), np.float32) for w, net in zip(share, nets.column("net"), strict=True))
         return pa.Table.from_batches([row(nets.column("part")[0].as_py() // FAN_IN, float(seen.sum()), total)])
 
-    digest = F.xxhash64("doc_id", "text")
-    dealt = rows.where(F.col("text").isNotNull()).select(F.pmod(digest, F.lit(parts)).alias("part"), F.xxhash64(digest).alias("place"), "text")
-    dealt = dealt.repartitionById(min(parts, MOST_TASKS), F.pmod("part", F.lit(min(parts, MOST_TASKS))).cast("int")).sortWithinPartitions("part", "place", "text").select("part", "text")
+    dealt = rows.where(F.octet_length("leaves") > 0).select(F.pmod("digest", F.lit(parts)).alias("part"), F.xxhash64("digest").alias("place"), "leaves")
+    dealt = dealt.repartitionById(min(parts, MOST_TASKS), F.pmod("part", F.lit(min(parts, MOST_TASKS))).cast("int")).sortWithinPartitions("part", "place", "leaves").select("part", "leaves")
     nets = cut(dealt.mapInArrow(fit, columns))
     while nets.count() > 1:
         nets = cut(nets.groupBy(F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(mean, columns))
@@ -343,6 +447,26 @@ def vocabulary(counts: DataFrame) -> tuple[Words, DataFrame, int]:
     return Words.counted(sorted(frequent, key=lambda p: (-p[1], p[0])), rest, mass), others, sum(r.n for r in levels)
 
 
+def coded(rows: DataFrame, words: Words) -> DataFrame:
+    """``row, doc_id, digest, leaves, left`` of each row (``doc_id, text``): its number, its words' leaves, and the words that have none of their own, with a space between."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words = shared.value
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            text, leaf, left = words.coded(batch.column(1))
+            stop = np.searchsorted(text, np.arange(batch.num_rows + 1)) * LEAF().itemsize
+            leaves = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(stop.astype(np.int32)), pa.py_buffer(leaf)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + batch.num_rows)), batch.column(0), batch.column(2), leaves, left], names=["row", "doc_id", "digest", "leaves", "left"])
+            at += batch.num_rows
+
+    # written, so that a row's number stays the same
+    return cut(rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("digest")).mapInArrow(run, "row long, doc_id long, digest long, leaves binary, left string"))
+
+
 def score(documents: DataFrame, seed: int = 3) -> DataFrame:
     """``doc_id, mean_log_likelihood, log_likelihood, n_words`` of every whole text (``doc_id, text``).
 
@@ -353,30 +477,24 @@ def score(documents: DataFrame, seed: int = 3) -> DataFrame:
     spark = prepared(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words, others, total = vocabulary(cut(count_words(rows)))
-    shared = spark.sparkContext.broadcast((words, train(rows, words, total, seed)))
+    texts = coded(rows, words)
+    shared = spark.sparkContext.broadcast((words, train(texts, words, total, seed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         words, net = shared.value
-        own = words.of.own
-        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            codes = [words.encoded(t) for t in texts]
+            codes = [np.frombuffer(b, LEAF) for b in batch.column(2).to_pylist()]
             n = np.array([len(c) for c in codes], np.int64)
             total = np.zeros(len(codes))
             if n.sum():
-                y = np.concatenate(codes)
-                each = net.log_probabilities(words, np.concatenate([contexts(c) for c in codes if len(c)]), y) + words.share[y]
+                y = np.concatenate(codes).astype(np.int64)
+                each = net.log_probabilities(words, contexts(*codes), y) + words.share[y]
                 total = np.bincount(np.repeat(np.arange(len(codes)), n), each, len(codes))
-            left = [Counter(w for w, c in zip(t.split(), code.tolist(), strict=True) if c >= own) if len(code) and code.max() >= own else {} for t, code in zip(texts, codes, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(codes))), batch.column(0), pa.array(n), pa.array(total), pa.array([list(f.items()) for f in left], pa.map_(pa.string(), pa.int64()))], names=["row", "doc_id", "n_words", "sum", "left"])
-            at += len(codes)
-
-    # written, so that a row's number stays the same; the counts of its words that weren't sent are added by word
-    scored = cut(rows.mapInArrow(run, "row long, doc_id long, n_words long, sum double, left map<string,long>"))
-    pairs = scored.select("row", F.explode("left").alias("word", "times"))
-    added = pairs.join(others, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("added"))
-    whole = scored.drop("left").join(added, "row", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("added", F.lit(0.0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total)], names=["row", "doc_id", "n_words", "sum"])
+
+    # the counts of words that have no leaf of their own weren't sent; they are added by word
+    scored = texts.select("row", "doc_id", "leaves").mapInArrow(run, "row long, doc_id long, n_words long, sum double")
+    pairs = texts.where("left != ''").select("row", F.explode(F.split("left", " ")).alias("word"))
+    added = pairs.join(others, "word").groupBy("row").agg(F.sum(F.log("n")).alias("added"))
+    whole = scored.join(added, "row", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("added", F.lit(0.0)))
     return whole.select("doc_id", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"), "log_likelihood", "n_words")

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import bpe_codec, decontamination, lang_id, lm_scoring, near_texts, near_vectors, repeats, secret_scans, suffixes, token_counts, warc
@@ -242,6 +243,66 @@ def test_lm_gradients_are_those_of_the_loss():
         assert np.allclose((old - p) * 1e9, slope, atol=0.15 * max(1e-3, np.abs(slope).max()) + 60 * np.finfo(np.float32).eps * 1e9 * np.abs(old).max())
 
 
+def test_lm_words_are_coded_as_split_gives_them():
+    """Two bytes a word, whatever stands between words; words without a leaf of their own are kept beside them."""
+    words = lm_scoring.Words.counted([("a", 9), ("b", 5), ("é", 3)], 4, {0: 2, 3: 1})
+    draw = random.Random(1)
+    signs = ["a", "b", "é", "xx", "\U0001f600", "\x1c", "\x85", "\u3000", "\u2028", " ", "\t", "\n", "\u200b", "\ufeff", "\0"]
+    texts = [None, "", " ", "\u3000\u3000", "a", "  a b ", *("".join(draw.choices(signs, k=draw.randint(0, 40))) for _ in range(500)), None]
+    of, leaves, left = words.coded(pa.array(texts, pa.string()))
+    assert leaves.dtype.itemsize == 2
+    for k, text in enumerate(texts):
+        found = (text or "").split()
+        assert leaves[of == k].tolist() == [words.of[w] for w in found]
+        assert left[k].as_py() == " ".join(w for w in found if words.of[w] >= words.of.own)
+
+
+def test_lm_codes_of_a_table(spark):
+    """What training and scoring read is coded once: two bytes a word, and no word that has a leaf of its own."""
+    texts = [None, "", "a a b c", "a " * 5000]
+    rows = lm_scoring.coded(documents(spark, texts).select("doc_id", "text"), lm_scoring.Words.counted([("a", 9), ("b", 5)], 1, {})).collect()
+    assert {r.doc_id: (len(r.leaves), r.left) for r in rows} == {0: (0, ""), 1: (0, ""), 2: (8, "c"), 3: (10_000, "")}
+    assert len({r.row for r in rows}) == 4
+
+
+def test_lm_steps_over_several_texts_against_a_plain_version():
+    """A batch of parts of several texts, with paths beyond the top of the tree: each parameter's slope against loops in double precision."""
+    draw = np.random.default_rng(4)
+    words = lm_scoring.Words.counted([(f"w{k}", 1 + 40_000 // (k + 1)) for k in range(400)], 4, {})
+    assert (words.node >= lm_scoring.TOP).any()
+    net = lm_scoring.WindowNet.start(1, words.leaves)
+    for p in net.parameters():
+        p += draw.normal(0, 0.2, p.shape).astype(np.float32)
+    texts = [(draw.zipf(1.2, n) % 400).astype(lm_scoring.LEAF) for n in (1, 50, 2, 90)]
+    context, leaf = lm_scoring.contexts(*texts)[4:-1], np.concatenate(texts)[2:-1]  # a batch begins and ends inside texts
+    inputs, scale, bias, nodes, offset = (p.astype(float) for p in net.parameters())
+    want = [np.zeros_like(p) for p in (inputs, scale, bias, nodes, offset)]
+    scores = []
+    for k, y in zip(2 + np.flatnonzero(context[2:-2]), leaf, strict=True):
+        row = [int(context[k + s]) for s in lm_scoring.SIDES]
+        h = np.tanh(bias + sum(inputs[r] * scale[s] for s, r in enumerate(row)))
+        back, score = np.zeros_like(h), 0.0
+        for step in range(words.begin[y], words.begin[y + 1]):
+            node, way = int(words.node[step]), int(words.way[step])
+            z = way * (h @ nodes[node] + offset[node])
+            score -= np.log1p(np.exp(-z))
+            g = -way / (1 + np.exp(z))
+            back += g * nodes[node]
+            want[3][node] += g * h
+            want[4][node] += g
+        scores.append(score)
+        back *= 1 - h * h
+        want[2] += back
+        for s, r in enumerate(row):
+            want[0][r] += back * scale[s]
+            want[1][s] += back * inputs[r]
+    assert np.allclose(net.log_probabilities(words, context, leaf), scores, rtol=1e-4, atol=1e-4)
+    before = [p.copy() for p in net.parameters()]
+    net.learn(words, context, leaf, 1e4, [np.full_like(p, 1e12) for p in before])  # a step is a hundredth of the slope
+    for p, old, slope in zip(net.parameters(), before, want, strict=True):
+        assert np.allclose((old.astype(float) - p) * 100, slope, rtol=1e-3, atol=1e-3)
+
+
 def plain_log_probability(words, net, context: list[int], leaf: int) -> float:
     h = [math.tanh(net.bias[w] + sum(net.inputs[r, w] * net.scale[s, w] for s, r in enumerate(context))) for w in range(lm_scoring.WIDTH)]
     path = range(words.begin[leaf], words.begin[leaf + 1])
