@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -101,6 +103,28 @@ def test_repeats(spark, monkeypatch, large, shard):
     assert got == without_repeats(texts)
 
 
+def test_repeats_let_go_of_shuffles(spark):
+    """What earlier steps have shuffled, texts among it, is off the disk before texts are shuffled again."""
+    kept = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+
+    def settled() -> int:
+        least, still = kept.size(), 0
+        while still < 20:  # the cleaner has a thread of its own
+            time.sleep(0.1)
+            still = still + 1 if kept.size() >= least else 0
+            least = min(least, kept.size())
+        return least
+
+    passage = prose(7, 90)
+    texts = repeats._key(documents(spark, [prose(k, 30) + passage + prose(50 + k, 30) for k in range(8)])).select("id", "mark", "text")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    before = settled()
+    runs = repeats.repeated_intervals(texts)
+    assert settled() <= before + 2
+    assert runs.select("id").distinct().count() == 8
+
+
 def test_language_id_on_held_out_rows(spark):
     alphabets = {"xx": "abcdefgh", "yy": "ijklmnop", "zz": "qrstuvwxyzé"}
     langs = [list(alphabets)[k % 3] for k in range(300)]
