@@ -83,7 +83,7 @@ def dashboard(snapshots: DataFrame, windows: DataFrame, stage: str, point: str,
         return F.struct(*(c.cast("double" if n in ("value", "previous", "threshold") else "string").alias(n) for n, c in parts.items()))
 
     cards = s.join(r, [stage, point], "full").select(stage, point, F.explode(F.array(*(card(*c[:4]) for c in CARDS))).alias("c")).select(stage, point, "c.*")
-    status = F.when(F.col("value").isNull(), "unknown").when(F.col("direction").isNull(), "healthy").otherwise(metric_status(F.col("value"), F.col("direction"), F.col("threshold")))
+    status = F.when(F.col("value").isNull(), "unknown").when(F.col("direction").isNull(), "healthy").otherwise(metric_status(F.col("value"), F.col("direction"), F.col("threshold"), places=9))
     known = F.when(F.col("value").isNotNull(), F.col("previous"))
     return cards.withColumns({"status": status, "previous": known, "change": F.col("value") - known})
 
