@@ -45,3 +45,9 @@ def test_changes_between_releases(spark, folder):
     ours, theirs = both(spark, folder, "ref_op098_release_comparison")
     assert ours == theirs
     assert {metric: changed for changed, metric, n in ours}["fallback"] == 3
+
+
+def test_counts_of_statuses(spark, folder):
+    ours, theirs = both(spark, folder, "ref_op301_metric_status")
+    assert ours == theirs
+    assert {(metric, status): n for metric, n, status in ours if metric == "fallback"} == {("fallback", "healthy"): 1, ("fallback", "warning"): 6, ("fallback", "critical"): 1}
