@@ -51,3 +51,10 @@ def test_counts_of_statuses(spark, folder):
     ours, theirs = both(spark, folder, "ref_op301_metric_status")
     assert ours == theirs
     assert {(metric, status): n for metric, n, status in ours if metric == "fallback"} == {("fallback", "healthy"): 1, ("fallback", "warning"): 6, ("fallback", "critical"): 1}
+
+
+def test_messages_of_alerts(spark, folder):
+    ours, theirs = both(spark, folder, "ref_op302_alerts")
+    assert ours == theirs
+    assert {user for message, user in ours if message == "fallback is warning"} == {1, 3, 4, 5, 8, None}
+    assert {user for message, user in ours if message == "pollution is warning"} == {1, 3, 8, None}
